@@ -1,8 +1,10 @@
 """The registered queries of the training-data operators."""
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, packing, token_counts
 
 _QUERIES = [
+    (packing.op5_packing, None),
+    (token_counts.op6_token_counts, None),
     (mixing.op7_mixing, mixing.SQL),
     (exact_dedup.op9_exact_dedup, exact_dedup.SQL),
 ]
