@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators."""
 
-from . import exact_dedup, language_id, mixing, packing, quality, secret_scan, token_counts
+from . import exact_dedup, html_extract, language_id, mixing, packing, quality, secret_scan, token_counts
 
 _QUERIES = [
     (secret_scan.op1_secret_scan, None),
@@ -9,6 +9,7 @@ _QUERIES = [
     (packing.op5_packing, None),
     (token_counts.op6_token_counts, None),
     (mixing.op7_mixing, mixing.SQL),
+    (html_extract.op8_html_extract, None),
     (exact_dedup.op9_exact_dedup, exact_dedup.SQL),
 ]
 
