@@ -1,11 +1,12 @@
 """The registered queries of the training-data operators."""
 
-from . import exact_dedup, html_extract, language_id, mixing, packing, quality, secret_scan, token_counts
+from . import embedding_dedup, exact_dedup, html_extract, language_id, mixing, packing, quality, secret_scan, token_counts
 
 _QUERIES = [
     (secret_scan.op1_secret_scan, None),
     (language_id.op2_language_id, None),
     (quality.op3_quality, None),
+    (embedding_dedup.op4_embedding_dedup, None),
     (packing.op5_packing, None),
     (token_counts.op6_token_counts, None),
     (mixing.op7_mixing, mixing.SQL),
