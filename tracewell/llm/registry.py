@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators."""
 
-from . import embedding_dedup, exact_dedup, html_extract, language_id, mixing, packing, quality, secret_scan, token_counts
+from . import embedding_dedup, exact_dedup, html_extract, jaccard_join, language_id, mixing, packing, quality, secret_scan, token_counts
 
 _QUERIES = [
     (secret_scan.op1_secret_scan, None),
@@ -12,6 +12,7 @@ _QUERIES = [
     (mixing.op7_mixing, mixing.SQL),
     (html_extract.op8_html_extract, None),
     (exact_dedup.op9_exact_dedup, exact_dedup.SQL),
+    (jaccard_join.op10_jaccard_join, None),
 ]
 
 
