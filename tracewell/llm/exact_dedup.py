@@ -102,11 +102,12 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: the pipeline's form of the operator.
 
-    A row is found again by its id and whole-text digest; of repeated rows one stays.
+    A row is found again by its id and the digest of its whole text; of rows that repeat both, one stays.
     """
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    joined = docs.join(kept, F.col("__id").eqNullSafe(docs["doc_id"]) & (F.col("__sha") == F.sha2(normalised(docs["text"]).cast("binary"), 256)), "left_semi")
-    return joined
+    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept")).distinct()
+    keyed = docs.withColumn("__sha", F.sha2(normalised(F.col("text")).cast("binary"), 256))
+    joined = keyed.join(kept, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__kept") == F.col("__sha")), "left_semi")
+    return joined.dropDuplicates(["doc_id", "__sha"]).drop("__sha")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
