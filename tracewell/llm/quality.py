@@ -145,7 +145,7 @@ def sample(docs: DataFrame, labels: DataFrame, max_rows: int, id_col: str, text_
 
 def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> np.ndarray:
     """The fitted parameters as one flat array; without labelled rows, those of an unfitted machine."""
-    rows = sample(docs, labels, max_rows, id_col, text_col, chars_col).repartition(SHARDS, "doc_id").sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
+    rows = sample(docs, labels, max_rows, id_col, text_col, chars_col).coalesce(SHARDS).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
     flat = Machine().flat()
     for _ in range(rounds):
 
