@@ -1,0 +1,12 @@
+"""All registered queries of the engine: name -> (query, SQL it must agree with or None)."""
+
+from __future__ import annotations
+
+from . import evidence, relational
+
+
+def registered() -> dict:
+    found: dict = {}
+    for module in (evidence, relational):
+        found |= module.QUERIES
+    return found
