@@ -25,7 +25,7 @@ from .common import held_out, pick, read
 
 SIZE = 300
 MAX_LANGUAGES = 1000
-#: A task sends its counts on when it holds this many.
+#: A task counts n-grams when it holds this many, and sends its counts on when they are as many.
 HELD = 1_000_000
 
 
@@ -69,23 +69,34 @@ def profiles(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         n = 0
 
+        def fold(parts_of) -> int:
+            rows = 0
+            for lang, parts in parts_of.items():
+                held.setdefault(lang, []).append(one := counted(np.concatenate(parts)))
+                rows += len(one[0])
+            return rows
+
         def sent():
             for lang, parts in held.items():
                 values, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
                 sums = np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values), pa.string()), pa.array(values), pa.array(sums)], ["lang", "gram", "n"])
 
+        raw: dict[str, list[np.ndarray]] = {}
+        n_raw = 0
         for batch in batches:
-            by_lang: dict[str, list[np.ndarray]] = {}
             for text, lang in zip(batch.column("text"), batch.column("lang").to_pylist(), strict=True):
-                if (found := grams(text.as_py())) is not None:
-                    by_lang.setdefault(lang, []).append(found)
-            for lang, parts in by_lang.items():
-                held.setdefault(lang, []).append(one := counted(np.concatenate(parts)))
-                n += len(one[0])
-            if n > HELD:
-                yield from sent()
-                held, n = {}, 0
+                if (found := grams(text.as_py())) is None:
+                    continue
+                raw.setdefault(lang, []).append(found)
+                n_raw += len(found)
+                if n_raw > HELD:
+                    n += fold(raw)
+                    raw, n_raw = {}, 0
+                if n > HELD:
+                    yield from sent()
+                    held, n = {}, 0
+        fold(raw)
         yield from sent()
 
     sums = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
