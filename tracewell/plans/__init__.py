@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import evidence, relational
+from . import evidence, relational, text
 
 
 def registered() -> dict:
     found: dict = {}
-    for module in (evidence, relational):
+    for module in (evidence, relational, text):
         found |= module.QUERIES
     return found
