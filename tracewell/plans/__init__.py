@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import evidence, relational, text
+from . import evidence, graph, relational, streaming, text
 
 
 def registered() -> dict:
     found: dict = {}
-    for module in (evidence, relational, text):
+    for module in (evidence, relational, text, graph, streaming):
         found |= module.QUERIES
     return found
