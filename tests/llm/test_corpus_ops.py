@@ -1,0 +1,382 @@
+"""Training-data operators on small tables: brute force, round trips and awkward rows."""
+
+import base64
+import hashlib
+import itertools
+import json
+import random
+import re
+import struct
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tests.compare import connection, same
+from tracewell.llm import common, components, embedding_dedup, exact_dedup, html_extract, jaccard_join, language_id, mixing, packing, quality, registry, secret_scan, token_counts, tokens
+
+SF = "/root/testdata/sf0.001"
+AWKWARD = [(1, None), (2, ""), (3, "   "), (4, "one two"), (5, "one\ttwo"), (6, "One two"), (None, "one two"), (7, "x " * 5000), (7, "x " * 5000), (8, "a<|endoftext|>b  \n é ﷽")]
+
+
+def docs(spark, rows=AWKWARD, source="s"):
+    return spark.createDataFrame([(i, t, source, 0, "x", 5) for i, t in rows], "doc_id long, text string, source string, size int, TEXT string, bucket int")
+
+
+def small(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_query_agrees_with_sql(spark, name):
+    assert same(registry.queries()[name](spark, SF), registry.oracle_sql()[name], connection(SF))
+
+
+# exact deduplication
+
+
+def test_exact_dedup_awkward_rows(spark):
+    rows = {(r["doc_id"], r["kept"], r["group_size"], r["keep_id"]) for r in exact_dedup.exact_dedup(docs(spark)).collect()}
+    assert {(1, True, 2, 1), (2, False, 2, 1), (3, True, 1, 3), (4, True, 3, 4), (5, False, 3, 4), (None, False, 3, 4), (7, True, 2, 7)} <= rows
+
+
+def test_exact_dedup_chains_texts_whose_keys_collide(spark):
+    texts = [f"text {i % 40}" for i in range(200)]
+    found = exact_dedup.exact_dedup(small(spark, texts), key_hex=1, capacity=2).collect()
+    assert len(found) == 200
+    assert all(r["keep_id"] == r["doc_id"] % 40 and r["group_size"] == 5 for r in found)
+
+
+def test_directory_splits_full_buckets(spark):
+    entries = spark.range(64).select((F.col("id") * 1024).cast("int").alias("prefix"))
+    rows = exact_dedup.directory(entries, 4, 16).collect()
+    assert len(rows) == 64 and {r["depth"] for r in rows} == {4}
+    assert exact_dedup.directory(entries, 1000, 16).select("depth").distinct().collect()[0][0] == 0
+
+
+def test_exact_dedup_empty_and_table_form(spark):
+    assert exact_dedup.exact_dedup(docs(spark).limit(0)).count() == 0
+    table = spark.createDataFrame([(1, "a  b", "s"), (2, "a b", "s"), (3, "c", None), (3, "c", None)], "doc_id long, text string, source string")
+    kept = exact_dedup.deduplicated(table)
+    assert kept.columns == table.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+
+
+# mixing
+
+
+def test_mix_awkward_rows(spark):
+    rows = mixing.mix(docs(spark)).collect()
+    assert len(rows) == len(AWKWARD) and all(0 <= r["taken"] <= 2 * r["size"] for r in rows)
+    assert {r["size"] for r in rows if r["doc_id"] in (1, 2, 3)} == {0}
+    assert mixing.mix(docs(spark).limit(0)).count() == 0
+
+
+def test_mix_meets_targets_and_is_repeatable(spark):
+    rng = random.Random(1)
+    table = spark.createDataFrame([(i, "w " * rng.randint(1, 9), rng.choice(["a", "a", "b", "c", "d", None])) for i in range(3000)], "doc_id long, text string, source string")
+    found = mixing.mix(table).collect()
+    by = {}
+    for r in found:
+        s = by.setdefault(r["source"], [0, r["target"], r["source_size"]])
+        s[0] += r["taken"]
+    assert all(abs(t - target) <= 9 for t, target, _ in by.values())
+    assert abs(sum(t for t, _, _ in by.values()) - 1.5 * sum(n for _, _, n in by.values())) <= 9
+    assert sorted(map(str, found)) == sorted(map(str, mixing.mix(table.repartition(7)).collect()))
+    taken = {r["doc_id"]: r["taken"] // r["size"] for r in found}
+    copies = {r["doc_id"]: r["count"] for r in mixing.mixed(table).groupBy("doc_id").count().collect()}
+    assert copies == {k: v for k, v in taken.items() if v}
+
+
+# tokens, packing
+
+
+def test_ids_are_those_of_the_library():
+    fast, library = tokens.encoder(tokens.default_path()), tokens.Library(tokens.default_path())
+    odd = ["", " ", "  a", "a \n b", "<|endoftext|>x<|endoftext|> ", "x" * 3000, " " * 9000 + "a", "a　 b\xa0 c", "'Ll 'S", "é \U0001f600 ١٢ ²", "\x1c\x85 a"]
+    assert isinstance(fast, tokens.ByteLevel)
+    assert [fast.ids(t) for t in odd] == [library.ids(t) for t in odd]
+
+
+def test_token_counts_and_cache(spark, tmp_path):
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"):
+        path = tokens.default_path(name)
+        want = {t: len(tokens.encoder(path).ids(t or "")) for _, t in AWKWARD}
+        rows = token_counts.token_counts(docs(spark), f"file://{tmp_path}/{name}", tokenizer=path).collect()
+        assert len(rows) == len(AWKWARD) and {r["n_tokens"] for r in rows if r["doc_id"] == 7} == {want["x " * 5000]}
+        by_id = {i: t for i, t in AWKWARD}
+        assert all(r["n_tokens"] == want[by_id[r["doc_id"]]] and r["over_limit"] == (r["n_tokens"] > 512) and r["n_bytes"] == len((by_id[r["doc_id"]] or "").encode()) for r in rows)
+    cache = f"file://{tmp_path}/byte_bpe_50k.json"
+    before = token_counts.stored(spark, cache).count()
+    token_counts.token_counts(docs(spark), cache).count()
+    assert token_counts.stored(spark, cache).count() == before  # no text was encoded again
+    assert token_counts.token_counts(docs(spark).limit(0), f"file://{tmp_path}/none").count() == 0
+
+
+def checked_packing(rows, texts):
+    ids_of = tokens.encoder(tokens.default_path()).ids
+    by_doc, by_sequence = {}, {}
+    for r in rows:
+        by_doc.setdefault(r["doc_id"], []).append(r)
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert set(by_doc) == set(texts)
+    for i, text in texts.items():
+        ids = ids_of(text or "") + [0]
+        pieces = sorted(by_doc[i], key=lambda r: r["piece"])
+        assert [p["piece"] for p in pieces] == list(range(len(pieces))) and sum(p["length"] for p in pieces) == len(ids)
+        assert all(p["length"] == 2048 for p in pieces[1:])
+        for p in pieces:
+            part = ids[p["start"] : p["start"] + p["length"]]
+            assert p["ids_crc32"] == zlib.crc32(struct.pack(f"<{len(part)}I", *part))
+    for places in by_sequence.values():
+        end = 0
+        for offset, length in sorted(places):
+            assert offset == end
+            end += length
+        assert end <= 2048
+    return len(by_sequence)
+
+
+def test_packing_round_trip(spark):
+    rng = random.Random(2)
+    texts = {i: " ".join(rng.choice(["alpha", "be", "ga", "delta9"]) for _ in range(rng.choice([0, 1, 3, 50, 700, 2500]))) or None for i in range(120)}
+    rows = packing.pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    n = checked_packing(rows, texts)
+    assert n <= 1.05 * sum(r["length"] for r in rows) / 2048 + 1
+    assert packing.pack(docs(spark).limit(0)).count() == 0
+    assert packing.pack(docs(spark)).where("doc_id IS NULL").count() == 1
+
+
+def test_best_fit_plan_places_every_piece_once():
+    rng = random.Random(3)
+    histogram = {rng.randint(1, 64): rng.randint(1, 40) for _ in range(30)}
+    bins, seen = {}, {}
+    for length, first, end, sequence, per, offset in packing.best_fit(histogram, 64):
+        for k in range(end - first):
+            bins.setdefault(sequence + k // per, []).append((offset + k % per * length, length))
+        seen[length] = seen.get(length, 0) + end - first
+    assert seen == histogram
+    for places in bins.values():
+        end = 0
+        for offset, length in sorted(places):
+            assert offset == end
+            end += length
+        assert end <= 64
+
+
+# secrets
+
+
+def der(tag, body):
+    n = len(body)
+    return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x82]) + n.to_bytes(2, "big")) + body
+
+
+def number(x):
+    raw = x.to_bytes(x.bit_length() // 8 + 1, "big")
+    return der(2, raw)
+
+
+PKCS1 = der(0x30, number(0) + b"".join(number((1 << 500) + i) for i in range(8)))
+PKCS8 = der(0x30, number(0) + der(0x30, der(6, bytes([0x2A, 0x86, 0x48])) + der(5, b"")) + der(4, PKCS1))
+SEC1 = der(0x30, number(1) + der(4, bytes(range(32))))
+
+
+def field(b):
+    return len(b).to_bytes(4, "big") + b
+
+
+OPENSSH = b"openssh-key-v1\x00" + field(b"none") * 2 + field(b"") + (1).to_bytes(4, "big") + field(b"p" * 40) + field(b"k" * 100)
+
+
+def b64(data, url=False):
+    return (base64.urlsafe_b64encode(data) if url else base64.b64encode(data)).decode()
+
+
+JWT = ".".join(b64(x, True).rstrip("=") for x in (json.dumps({"alg": "HS256", "typ": "JWT"}).encode(), b'{"sub":"1"}', bytes(32)))
+
+
+def kinds(text):
+    return [secret_scan.KINDS[k] for _, k, _ in sorted(secret_scan.confirmed_spans(text))]
+
+
+def test_structure_confirms_and_refuses():
+    assert kinds(f"key {b64(PKCS1)} end") == ["der"] and kinds(f"key {PKCS8.hex()} end") == ["der"] and kinds(f"x {b64(SEC1)}") == ["der"]
+    assert kinds(f"id {b64(OPENSSH)}") == ["openssh"] and kinds(f"auth {JWT} ok") == ["jwt"]
+    assert kinds(f"-----BEGIN PRIVATE KEY-----\n{b64(PKCS8)}\n-----END PRIVATE KEY-----") == ["pem"]
+    assert kinds(f"key {b64(PKCS1[:-3] + b'abc' + b'more')} end") == [] and kinds(f"x {b64(bytes(120))}") == []
+    assert kinds(JWT[:-4]) == [] and kinds(JWT.replace("eyJhbGci", "eyJhbGcx")) == []
+
+
+def test_base_spans_are_those_of_the_contract():
+    text = 'API_KEY = "abcdef" token:abſ password=12345 x AKIA' + "Z" * 16 + " AKIAX " + "0a" * 12 + " " + "0a" * 11 + " SECRET'='zz.zz-zz"
+    found = {(secret_scan.KINDS[k], text[a:b]) for a, k, b in secret_scan.base_spans(text)}
+    assert found == {("assign", 'API_KEY = "abcdef'), ("access", "AKIA" + "Z" * 16), ("hex", "0a" * 12), ("assign", "SECRET'='zz.zz-zz")}
+
+
+def test_secret_digest_awkward_rows(spark):
+    rows = secret_scan.digest(docs(spark)).collect()
+    assert len(rows) == len(AWKWARD) and {r["base_sha256"] for r in rows} == {hashlib.sha256(b"").hexdigest()}
+    assert secret_scan.digest(docs(spark).limit(0)).count() == 0
+
+
+# language
+
+
+def test_language_held_out_accuracy_and_awkward_rows(spark):
+    table = common.read(spark, "/root/testdata/sf0.01", "documents")
+    found = language_id.op2_language_id(spark, "/root/testdata/sf0.01").join(table.select("doc_id", "lang"), "doc_id").where("held_out")
+    assert found.where("lang_pred = lang").count() >= 0.95 * found.count()
+    known = {"a": language_id.ranked(language_id.grams("the cat and the hat"), 300).tolist(), "b": language_id.ranked(language_id.grams("der hund und die maus"), 300).tolist()}
+    rows = {(r["doc_id"], r["lang_pred"]) for r in language_id.identify(docs(spark, [*AWKWARD, (9, "THE HAT"), (10, "der mund"), (11, "123 !!")]), known).collect()}
+    assert {(1, "und"), (2, "und"), (3, "und"), (9, "a"), (10, "b"), (11, "und")} <= rows
+    assert {r["lang_pred"] for r in language_id.identify(docs(spark), {}).collect()} == {"und"}
+
+
+def test_out_of_place_distance_is_the_definition():
+    profile = {"p": language_id.ranked(language_id.grams("aaa bbb ab"), 5).tolist()}
+    own = language_id.ranked(language_id.grams("ab ab b"), 5).tolist()
+    want = sum(abs(profile["p"].index(g) - i) if g in profile["p"] else 5 for i, g in enumerate(own))
+    assert language_id.Distances(profile, 5).of(language_id.grams("ab ab b")).tolist() == [want]
+
+
+# quality
+
+
+def test_machine_is_all_pairwise_interactions():
+    m = quality.Machine()
+    m.p[:, 0] = np.random.default_rng(1).normal(size=len(m.p))
+    i, x = np.array([3, 7, 20]), np.array([0.5, 1.0, 2.0])
+    z = m.bias + (m.p[i, 0] * x).sum() + sum(m.p[i[a], 1:] @ m.p[i[b], 1:] * x[a] * x[b] for a, b in itertools.combinations(range(3), 2))
+    assert np.isclose(m.forward(i, x, np.array([0]))[0][0], 1 / (1 + np.exp(-z)))
+
+
+def test_quality_held_out_accuracy_and_awkward_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    found = quality.op3_quality(spark, sf).join(common.read(spark, sf, "labels"), "doc_id").where("held_out")
+    assert found.where("predicted = quality").count() >= 0.97 * found.count()
+    flat = quality.Machine().flat()
+    rows = quality.score(docs(spark).withColumn("n_chars", F.lit(None).cast("long")), flat)
+    assert rows.count() == len(AWKWARD) and rows.where("__score BETWEEN 0 AND 1").count() == len(AWKWARD)
+    none = common.read(spark, SF, "labels").limit(0)
+    assert quality.fit(common.read(spark, SF, "documents"), none).shape == flat.shape
+
+
+# embeddings
+
+
+def test_near_embeddings_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(300, 16))
+    near = np.repeat(base[:20], 6, axis=0) + rng.normal(scale=0.08, size=(120, 16))
+    x = np.concatenate((base, near, base[:5]))
+    rows = [(i, [float(v) for v in e], i % 3 if i < 420 else (i - 420) % 3) for i, e in enumerate(x)]
+    rows += [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903, rows[0][1], None), (904, [], 1)]
+    got = {r["vec_id"]: r for r in embedding_dedup.near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    label = np.array([r[2] for r in rows[: len(x)]])
+    link = (unit @ unit.T >= 0.98) & (label[:, None] == label[None, :])
+    np.fill_diagonal(link, False)
+    assert abs(sum(got[i]["n_links"] for i in range(len(x))) - link.sum()) <= 0.01 * link.sum()
+    root = components.forest(*np.nonzero(link), len(x))
+    assert np.mean([got[i]["component_id"] == root[i] for i in range(len(x))]) >= 0.99
+    assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"] for i in range(900, 905))
+
+
+def test_components_settle_on_long_paths(spark):
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, 103), (103, 101)]
+    found = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert found == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 103: 100}
+
+
+# shingles
+
+
+def brute_components(rows):
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    ids, comp = sorted(sets), {i: i for i in sets}
+    for a, b in itertools.combinations(ids, 2):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            x, y = comp[a], comp[b]
+            comp = {k: min(x, y) if v in (x, y) else v for k, v in comp.items()}
+    return {i: (len(sets[i]), comp[i]) for i in ids}
+
+
+@pytest.mark.parametrize("least", [2, 32])
+def test_jaccard_against_brute_force(spark, monkeypatch, least):
+    monkeypatch.setattr(jaccard_join, "FREQUENT_SETS", least)
+    monkeypatch.setattr(jaccard_join, "LOCAL", 1)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    rng = random.Random(5)
+    word = [f"w{i}" for i in range(400)]
+    passage = rng.choices(word, k=60)
+    rows = []
+    for g in range(12):
+        base = rng.choices(word, k=rng.choice([3, 5, 6, 20, 90, 150]))
+        for _ in range(rng.choice([1, 3, 30])):
+            edited = list(base)
+            for _ in range(rng.choice([0, 0, 1, 2, 4])):
+                edited[rng.randrange(len(edited))] = rng.choice(word)
+            rows.append((len(rows), " ".join(edited + (passage if g % 3 == 0 else []))))
+    rows += [(900, None), (901, ""), (902, "A b"), (903, "a B"), (904, "É b"), (905, "é b")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(table).collect()}
+    assert got == brute_components(rows)
+
+
+def test_jaccard_awkward_rows(spark):
+    rows = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs(spark)).collect()}
+    assert {(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4), (6, 1, 4), (None, 1, 4), (7, 1, 7)} <= rows
+    assert jaccard_join.jaccard_components(docs(spark).limit(0)).count() == 0
+
+
+# pages
+
+PAGE = '<html><head><title>t</title><script>var a="</p>";</script></head><body><nav><a href=/x>menu</a></nav><div class="ad">buy</div><article><h1>A &amp; B</h1><p>one\n two<p><b>three</b>four<br>five<aside>side</aside><div class="comments">bad</div></article><footer>&copy; f</footer>'
+
+
+def test_extract_articles(spark):
+    rows = [(1, "https://a.example/1", PAGE), (2, "https://a.example/2", PAGE.replace("one", "uno")), (3, None, None), (4, "x", ""), (5, "https://a.example/3", "plain &lt;text")]
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = "A & B one two threefour five"
+    assert got == {1: (want, len(want)), 2: (want.replace("one", "uno"), len(want)), 3: ("", 0), 4: ("", 0), 5: ("plain <text", 11)}
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_wrapper_finds_the_main_part_without_article_tags(spark):
+    page = '<body><div class="top">Site name</div><div class="x1"><div class="y"><p>{0} first words of this page</p><p>{0} more words</p></div></div><div class="b">All rights of this site</div></body>'
+    rows = [(i, "http://h.example/" + str(i), page.format(f"Number{i}")) for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Number{i} first words of this page Number{i} more words" for i in range(8)}
+
+
+def test_alignment_makes_optional_and_repeated_parts():
+    one, two = (html_extract.part_of(html_extract.tree(f"<ul>{x}</ul>")) for x in ("<li>a<li>b<li>c", "<li>a<p>z"))
+    ul = html_extract.aligned_part(one, two)[5][0]
+    li, = ul[5]
+    assert li[:3] == ["li", 1, 0] and [(p[0], p[2]) for p in li[5]] == [("#", 0), ("p", 1)]
+
+
+# pipeline
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    table = common.read(spark, SF, "documents")
+    for name, stage in corpus_pipeline.STAGES:
+        before = table
+        stage(spark, before, SF).write.parquet(f"{tmp_path}/{len(name)}{name[:3]}")
+        table = spark.read.parquet(f"{tmp_path}/{len(name)}{name[:3]}")
+        if name != "best-fit packing":
+            assert table.columns == before.columns and table.count() > 0
+        if name == "exact dedup":
+            assert table.count() == len({" ".join((r["text"] or "").split()) for r in before.collect()})
+        if name == "n-gram jaccard join":
+            want = {c for _, c in brute_components([(r["doc_id"], r["text"]) for r in before.collect()]).values()}
+            assert {r["doc_id"] for r in table.collect()} == want
+        if name == "best-fit packing":
+            assert table.select("sequence_id", "offset").distinct().count() == table.count()
