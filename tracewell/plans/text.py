@@ -113,9 +113,18 @@ def parsed(s, d):
 
 _TEXT = """cells AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 5 WHEN 0 THEN CAST(CAST(l_quantity AS INT) AS VARCHAR) || ' . 5 ± ' || l_tax WHEN 1 THEN CAST(l_quantity AS INT) || '%' WHEN 2 THEN 'N/A' WHEN 3 THEN CAST(l_quantity AS INT) || ' (3)' ELSE '-' || CAST(l_quantity AS INT) END AS cell FROM lineitem),
 fixed AS (SELECT *, regexp_replace(trim(cell), '(\\d)\\s*\\.\\s*(\\d)', '\\1.\\2', 'g') AS t FROM cells)"""
-_names = F.concat(F.lit("★ (2) "), F.col("p_name"), F.lit(" et al. [3, 4] baseline_v"), F.col("p_size").cast("string"), F.lit("† (N = 12)"))
+
+def _names():
+    return F.concat(F.lit("★ (2) "), F.col("p_name"), F.lit(" et al. [3, 4] baseline_v"), F.col("p_size").cast("string"), F.lit("† (N = 12)"))
+
+
 _NAMES = "'★ (2) ' || p_name || ' et al. [3, 4] baseline_v' || p_size || '† (N = 12)'"
-_caption = F.concat(F.lit("Success in "), F.when(F.col("p_size") % 2 == 0, "Real-World clutter").otherwise("simulation, single object"), F.when(F.col("p_size") % 3 == 0, " unseen").when(F.col("p_size") % 3 == 1, " seen").otherwise(""))
+
+def _caption():
+    view = F.when(F.col("p_size") % 2 == 0, "Real-World clutter").otherwise("simulation, single object")
+    return F.concat(F.lit("Success in "), view, F.when(F.col("p_size") % 3 == 0, " unseen").when(F.col("p_size") % 3 == 1, " seen").otherwise(""))
+
+
 _CAPTION = "'Success in ' || CASE WHEN p_size % 2 = 0 THEN 'Real-World clutter' ELSE 'simulation, single object' END || CASE p_size % 3 WHEN 0 THEN ' unseen' WHEN 1 THEN ' seen' ELSE '' END"
 
 
@@ -183,14 +192,14 @@ QUERIES = {
         CASE WHEN NOT none THEN TRY_CAST(regexp_extract(t, '±\\s*(\\d+(?:\\.\\d+)?)', 1) AS DOUBLE) END AS deviation, CASE WHEN contains(t, '%') THEN '%' END AS unit FROM h""",
     ),
     "str_names": (
-        lambda s, d: table(s, d, "part").select("p_partkey", X.slug(_names).alias("slug"), X.compact(_names).alias("compact"), X.registry_key(_names).alias("registry"), X.clean_method(_names).alias("clean")),
+        lambda s, d: table(s, d, "part").select("p_partkey", X.slug(_names()).alias("slug"), X.compact(_names()).alias("compact"), X.registry_key(_names()).alias("registry"), X.clean_method(_names()).alias("clean")),
         f"""WITH n AS (SELECT p_partkey, {_NAMES} AS x FROM part), r AS (SELECT *, regexp_replace(regexp_replace(lower(x), '\\[\\d+\\]', ' ', 'g'), '\\(n\\s*=\\s*\\d+\\)', ' ', 'g') AS k FROM n)
         SELECT p_partkey, trim(regexp_replace(lower(regexp_replace(x, '^[^A-Za-z0-9]+', '')), '[^a-z0-9]+', '-', 'g'), '-') AS slug, regexp_replace(lower(x), '[^a-z0-9]', '', 'g') AS compact,
         trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(k, '[()%*]', ' ', 'g'), '[-_/]', ' ', 'g'), '\\bbaselines?\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS registry,
         trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '\\[[\\d,\\s]+\\]', '', 'g'), '\\bet al\\.?', '', 'g'), '[†‡*]', '', 'g'), '^\\s*\\(?\\d+[.)]\\s*', '', 'g'), '\\s+', ' ', 'g')) AS clean FROM r""",
     ),
     "str_protocol_tokens": (
-        lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(X.protocol(_caption), ",").alias("tokens")),
+        lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(X.protocol(_caption()), ",").alias("tokens")),
         f"""WITH c AS (SELECT p_partkey, lower({_CAPTION}) AS c FROM part) SELECT p_partkey, array_to_string(list_filter([CASE WHEN regexp_matches(c, 'real[ -]?world|hardware') THEN 'sim:real' WHEN regexp_matches(c, 'simulat') THEN 'sim:sim' END,
         CASE WHEN regexp_matches(c, 'clutter|pile') THEN 'clutter:pile' WHEN regexp_matches(c, 'single|isolated') THEN 'clutter:single' END, CASE WHEN regexp_matches(c, 'unseen|novel') THEN 'split:unseen' WHEN regexp_matches(c, '\\bseen\\b|known') THEN 'split:seen' END], lambda x: x IS NOT NULL), ',') AS tokens FROM c""",
     ),
