@@ -45,6 +45,8 @@ BLOCK = 1024
 HELD = 4_000_000
 BAND = 1.25
 SALTS = 64
+#: Texts of up to so many candidate sets are found by a broadcast of their ids, of more by a shuffle.
+FETCHED = 250_000
 
 _factors = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 _mask = np.uint64((1 << 62) - 1)
@@ -194,10 +196,9 @@ def blocked(sets: DataFrame) -> DataFrame:
     return heavy.join(sizes, ["r", "key"]).select("class", "tokens", F.xxhash64("r", "key", block).alias("g"))
 
 
-def block_links(sets: DataFrame) -> DataFrame:
-    """(u, v): a spanning forest of the links inside each block."""
-    rows = blocked(sets)
-    spread = rows.repartition(partitions(sets.sparkSession), "g").sortWithinPartitions("g", "class")
+def block_links(rows: DataFrame) -> DataFrame:
+    """(u, v): a spanning forest of the links inside each block g of rows (g, class, tokens)."""
+    spread = rows.repartition(partitions(rows.sparkSession), "g").sortWithinPartitions("g", "class")
 
     def compare(batches):
         def met(classes, tokens):
@@ -331,18 +332,32 @@ def candidates(lists: DataFrame, member: DataFrame, sets: DataFrame) -> DataFram
         & (room >= needed)
         & ~together
     )
+    # beyond the prefix that ends first, its set has ceil(0.8 n) - 1 shingles left to share
+    beyond = F.ceil(F.lit(4) * F.greatest("n", "n_a") / F.lit(5)) - 1
     pairs = met.groupBy(F.least("class", "class_a").alias("a"), F.greatest("class", "class_a").alias("b")).agg(
         F.count(F.lit(1)).alias("common"),
         F.first(F.col("n") + F.col("n_a")).alias("both"),
-        F.min(F.least(F.col("n") - F.col("pos"), F.col("n_a") - F.col("pos_a"))).alias("rest"),
+        F.min(F.least(beyond, F.col("n") - F.col("pos"), F.col("n_a") - F.col("pos_a"))).alias("rest"),
     )
     return pairs.where(9 * (F.col("common") + F.col("rest")) >= 4 * F.col("both")).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """(u, v): the pairs that reach the threshold, by their whole sets, computed again from one text each."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    one = sets.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("__id"))
+    """(u, v): a forest that spans the links among the pairs, by whole sets computed again from one text each.
+
+    Pairs make families (components of candidates). A set goes to its family's block once, or, in a
+    family of over BLOCK sets, to each pair of blocks that holds a candidate pair.
+    """
+    member = staged(components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))), "jaccard-families")
+    blocks = member.groupBy("component").agg(F.expr(f"(count(1) + {BLOCK - 1}) div {BLOCK}").alias("k"))
+    placed = member.join(blocks, "component").select(F.col("id").alias("class"), "component", F.pmod(F.xxhash64("id"), F.col("k")).alias("block"))
+    ends = pairs.join(placed.select(F.col("class").alias("a"), "component", F.col("block").alias("x")), "a").join(placed.select(F.col("class").alias("b"), F.col("block").alias("y")), "b")
+    needed = ends.select("component", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    routes = needed.select("component", F.xxhash64("component", "x", "y").alias("g"), F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+
+    one = staged(sets.join(placed.select("class"), "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("__id")), "jaccard-wanted")
+    if one.count() <= FETCHED:
+        one = F.broadcast(one)
 
     def build(batches):
         for batch in batches:
@@ -351,20 +366,8 @@ def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(own, pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())], ["class", "own", "tokens"])
 
     fetched = texts.join(one, F.col("doc_id").eqNullSafe(F.col("__id"))).select("class", "text").mapInArrow(build, "class long, own long, tokens binary")
-    whole = staged(fetched.where("class = own").select("class", "tokens").dropDuplicates(["class"]), "jaccard-whole")
-
-    def compare(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                p, q = np.frombuffer(x.as_py(), np.int64), np.frombuffer(y.as_py(), np.int64)
-                common = len(p) + len(q) - len(np.unique(np.concatenate((p, q))))
-                keep.append(9 * common >= 4 * (len(p) + len(q)))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    left = whole.select(F.col("class").alias("a"), F.col("tokens").alias("x"))
-    right = whole.select(F.col("class").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "u long, v long")
+    whole = staged(fetched.where("class = own").select("class", "tokens"), "jaccard-whole")
+    return block_links(whole.join(placed.join(routes, ["component", "block"]).select("class", "g"), "class").select("g", "class", "tokens"))
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -377,7 +380,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """
     texts = pick(docs, doc_id=id_col, text=text_col)
     sets = indexed(texts, frequent(texts))
-    blocks = staged(block_links(sets), "jaccard-blocks")
+    blocks = staged(block_links(blocked(sets)), "jaccard-blocks")
     pairs = staged(candidates(postings(sets), components(blocks), sets), "jaccard-pairs")
     found = staged(verified(pairs, sets, texts), "jaccard-links")
     member = components(blocks.unionByName(found)).withColumnRenamed("id", "class")

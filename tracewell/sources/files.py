@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-GRAPH = T.StructType.fromDDL(
+GRAPH = (
     "nodes array<struct<id: string, type: string, label: string, paper_id: string>>, links array<struct<source: string, target: string, type: string, weight: double>>, "
     "edges array<struct<source: string, target: string, type: string, weight: double>>"
 )
@@ -28,7 +27,7 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def read_tables(spark: SparkSession, path: str, row_tag: str = "figure") -> DataFrame:
     """Table figures of XML documents: caption and rows of cells."""
-    schema = T.StructType.fromDDL("_type string, head string, figDesc string, table struct<row: array<struct<cell: array<string>>>>")
+    schema = "_type string, head string, figDesc string, table struct<row: array<struct<cell: array<string>>>>"
     found = spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path).where("_type = 'table'")
     return found.select(F.coalesce("figDesc", "head").alias("caption"), F.transform("table.row", lambda r: r["cell"]).alias("rows"))
 
