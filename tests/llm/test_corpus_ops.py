@@ -353,6 +353,15 @@ def test_wrapper_finds_the_main_part_without_article_tags(spark):
     assert got == {i: f"Number{i} first words of this page Number{i} more words" for i in range(8)}
 
 
+def test_deep_and_wide_pages():
+    deep = html_extract.main_text("<article>" + "<div>" * 5000 + "in<nav>menu<b>x</b></nav> side" + "</div>" * 5000 + "<p>after</article><footer>f</footer>", None)
+    assert deep == "in side after"
+    wide = ["<article>" + "".join(f'<p id="{page}-{i}">{i}' for i in range(3000)) + "</article>" for page in "ab"]
+    one, two = (html_extract.part_of(html_extract.tree(w)) for w in wide)
+    place = html_extract.main_place(html_extract.aligned_part(one, two), 2)
+    assert html_extract.main_text(wide[0], place) == " ".join(map(str, range(3000)))
+
+
 def test_alignment_makes_optional_and_repeated_parts():
     one, two = (html_extract.part_of(html_extract.tree(f"<ul>{x}</ul>")) for x in ("<li>a<li>b<li>c", "<li>a<p>z"))
     ul = html_extract.aligned_part(one, two)[5][0]
