@@ -353,6 +353,15 @@ def test_wrapper_finds_the_main_part_without_article_tags(spark):
     assert got == {i: f"Number{i} first words of this page Number{i} more words" for i in range(8)}
 
 
+def test_parts_that_one_page_has_are_not_template(spark):
+    page = '<body><div class="top">Site name</div><div class="x1"><div class="y"><p>{0} first words of this page</p>{1}<p>{0} more words</p></div></div><div class="b">All rights of this site</div></body>'
+    once = {2: "<h2>A heading</h2>", 4: "<blockquote>A quote</blockquote>", 6: "<table><tr><td>A cell</table>"}
+    rows = [(i, "http://h.example/" + str(i), page.format(f"Number{i}", once.get(i, ""))) for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    middle = {2: "A heading ", 4: "A quote ", 6: "A cell "}
+    assert got == {i: f"Number{i} first words of this page {middle.get(i, '')}Number{i} more words" for i in range(8)}
+
+
 def test_deep_and_wide_pages():
     deep = html_extract.main_text("<article>" + "<div>" * 5000 + "in<nav>menu<b>x</b></nav> side" + "</div>" * 5000 + "<p>after</article><footer>f</footer>", None)
     assert deep == "in side after"

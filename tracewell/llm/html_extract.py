@@ -33,7 +33,7 @@ SPREAD = 64
 WIDTH = 64
 #: Elements nested deeper are read as parts of the one above them; their texts stay in place.
 DEEP = 100
-#: From this many pages on, a text that never varied belongs to the template.
+#: A text that never varied belongs to the template if so many pages showed it.
 CONSTANT_PAGES = 3
 
 _token = re.compile(
@@ -112,14 +112,14 @@ def apart(key: str) -> bool:
     return tag in APART or any(w in APART_WORDS for name in names for w in _hint.findall(name))
 
 
-# A wrapper part is [key, repeated, optional, characters, constant text or None, parts]; the key of a text slot is "#".
+# A wrapper part is [key, repeated, optional, characters, constant text or None, parts, pages that showed it, at least]; the key of a text slot is "#".
 
 
 def part_of(node) -> list | None:
     if isinstance(node, str):
         text = _space.sub(" ", node).strip()
-        return ["#", 0, 0, len(text), text if len(text) <= 200 else None, []] if text else None
-    return [node[0], 0, 0, 0, None, narrowed(folded([p for p in map(part_of, node[1]) if p]))]
+        return ["#", 0, 0, len(text), text if len(text) <= 200 else None, [], 1] if text else None
+    return [node[0], 0, 0, 0, None, narrowed(folded([p for p in map(part_of, node[1]) if p])), 1]
 
 
 def size(part: list) -> int:
@@ -135,7 +135,7 @@ def narrowed(parts: list) -> list:
     kept: list = []
     for p in parts:
         if p[0] in first:
-            kept[first[p[0]]] = aligned_part(kept[first[p[0]]], p)
+            kept[first[p[0]]] = aligned_part(kept[first[p[0]]], p, max)
         else:
             first[p[0]] = len(kept)
             kept.append(p)
@@ -154,26 +154,27 @@ def folded(parts: list) -> list:
             if period == 1:
                 if len(out) > 1 and out[-1][0] == out[-2][0] and out[-1][0] != "#":
                     one = out.pop()
-                    out[-1] = aligned_part(out[-1], one)
+                    out[-1] = aligned_part(out[-1], one, max)
                     out[-1][1] = 1
                     break
             elif len(out) >= 2 * period and [p[0] for p in out[-period:]] == [p[0] for p in out[-2 * period : -period]] and len({p[0] for p in out[-period:]}) == period:
                 new = out[-period:]
                 del out[-period:]
                 old = out[-period:]
-                out[-period:] = [[*aligned_part(a, b)[:1], 1, *aligned_part(a, b)[2:]] for a, b in zip(old, new, strict=True)]
+                out[-period:] = [[one[0], 1, *one[2:]] for one in (aligned_part(a, b, max) for a, b in zip(old, new, strict=True))]
                 break
     return out
 
 
-def aligned_part(a: list, b: list) -> list:
-    return [a[0], a[1] | b[1], a[2] | b[2], a[3] + b[3], a[4] if a[4] == b[4] else None, aligned(a[5], b[5])]
+def aligned_part(a: list, b: list, pages=int.__add__) -> list:
+    """``pages`` adds the page counts of different pages; ``max`` is for parts that the same pages may have shown."""
+    return [a[0], a[1] | b[1], a[2] | b[2], a[3] + b[3], a[4] if a[4] == b[4] else None, aligned(a[5], b[5], pages), pages(a[6], b[6])]
 
 
-def aligned(a: list, b: list) -> list:
+def aligned(a: list, b: list, pages=int.__add__) -> list:
     """One sequence of parts that both sequences match: common parts in order, the rest optional."""
     if [p[0] for p in a] == [p[0] for p in b]:
-        return [aligned_part(x, y) for x, y in zip(a, b, strict=True)]
+        return [aligned_part(x, y, pages) for x, y in zip(a, b, strict=True)]
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
@@ -182,7 +183,7 @@ def aligned(a: list, b: list) -> list:
     out, i, j = [], 0, 0
     while i < n or j < m:
         if i < n and j < m and a[i][0] == b[j][0]:
-            out.append(aligned_part(a[i], b[j]))
+            out.append(aligned_part(a[i], b[j], pages))
             i, j = i + 1, j + 1
         elif j >= m or (i < n and best[i + 1][j] >= best[i][j + 1]):
             out.append([*a[i][:2], 1, *a[i][3:]])
@@ -198,7 +199,7 @@ def main_place(wrapper: list, pages: int) -> dict:
 
     def held(part: list) -> int:
         if part[0] == "#":
-            return 0 if part[4] is not None and pages >= CONSTANT_PAGES else part[3]
+            return 0 if part[4] is not None and min(pages, part[6]) >= CONSTANT_PAGES else part[3]
         return 0 if apart(part[0]) else sum(map(held, part[5]))
 
     marked: list[tuple[int, list[str]]] = []
@@ -225,7 +226,7 @@ def main_place(wrapper: list, pages: int) -> dict:
     template: list[str] = []
 
     def gather(part: list) -> None:
-        if part[0] == "#" and part[4] and pages >= CONSTANT_PAGES:
+        if part[0] == "#" and part[4] and min(pages, part[6]) >= CONSTANT_PAGES:
             template.append(part[4])
         for p in part[5]:
             gather(p)
@@ -269,7 +270,7 @@ def main_text(page: str | None, place: dict | None) -> str:
         found = nodes_at(root, place["path"])
         if found and (text := " ".join(t for n in found if (t := text_of(n, template)))):
             return text
-    own = main_place([root[0], 0, 0, 0, None, folded([p for p in map(part_of, root[1]) if p])], 1)
+    own = main_place([root[0], 0, 0, 0, None, folded([p for p in map(part_of, root[1]) if p]), 1], 1)
     return " ".join(t for n in nodes_at(root, own["path"]) if (t := text_of(n, frozenset())))
 
 
