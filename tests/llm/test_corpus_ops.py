@@ -362,6 +362,16 @@ def test_parts_that_one_page_has_are_not_template(spark):
     assert got == {i: f"Number{i} first words of this page {middle.get(i, '')}Number{i} more words" for i in range(8)}
 
 
+def test_class_words_do_not_set_the_page_or_its_main_part_apart(spark):
+    shells = [
+        '<body class="single has-sidebar comments-open">{}</body>', '<body class="sidebar"><div class="page no-comments">{}</div></body>', '<body><article class="post no-comments share">{}</article></body>',
+        '<body><div class="widget"><div class="row">{}</div></div></body>', '<body><div class="widget"><article>{}</article></div></body>', '<body><div>{}</div><div class="site-footer">end</div><div id="sidebar-2">side</div></body>',
+    ]
+    rows = [(10 * h + i, f"http://h{h}.example/{i}", shell.format(f"<p>Number{i} first words</p><p>{i} more words</p>")) for h, shell in enumerate(shells) for i in range(5)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {10 * h + i: f"Number{i} first words {i} more words" for h in range(len(shells)) for i in range(5)}
+
+
 def test_deep_and_wide_pages():
     deep = html_extract.main_text("<article>" + "<div>" * 5000 + "in<nav>menu<b>x</b></nav> side" + "</div>" * 5000 + "<p>after</article><footer>f</footer>", None)
     assert deep == "in side after"

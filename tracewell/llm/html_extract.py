@@ -20,6 +20,7 @@ from __future__ import annotations
 import html as htmllib
 import json
 import re
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -51,11 +52,18 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 #: Elements that never hold main text.
 APART = frozenset("nav header footer aside form script style noscript template button select option input head title menu dialog iframe svg".split())
-#: Words of a class, id or role that mark such parts.
+#: Elements that hold the page or its main part, whatever their class, id or role says.
+PAGE = frozenset("html body article main".split())
+#: Names of a class, id or role that mark such parts: alone, before a hyphen, or after ``PLACE``.
 APART_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent notice notices alert popup modal newsletter subscribe "
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside header footer comment comments disqus reply replies respond related share sharing social widget pagination pager toolbar search complementary contentinfo".split()
 )
+#: What may stand before such a name, and what makes it a state of the page instead.
+PLACE = frozenset("site main page post entry article blog top bottom left right primary secondary global local sub mobile user wp js the google".split())
+STATE = frozenset("open opened closed on off enabled disabled active inactive visible hidden shown fixed sticky collapsed expanded allowed layout less free".split())
+#: An element holds most of another one's text from this share on.
+MOST = 0.7
 #: Start tags that end an open element of the same set in the same parent.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -107,9 +115,18 @@ def tree(page: str | None) -> list:
     return root
 
 
+def marks(name: str) -> bool:
+    """Whether a class, id or role names a part that is left out: ``sidebar-left`` and ``site-footer`` do, ``has-sidebar`` and ``comments-open`` do not."""
+    words = _hint.findall(name)
+    while words and words[0] in PLACE:
+        del words[0]
+    return bool(words) and words[0] in APART_WORDS and not STATE & set(words[1:])
+
+
+@lru_cache(4096)
 def apart(key: str) -> bool:
     tag, *names = key.split(" ")
-    return tag in APART or any(w in APART_WORDS for name in names for w in _hint.findall(name))
+    return tag in APART or (tag not in PAGE and any(map(marks, names)))
 
 
 # A wrapper part is [key, repeated, optional, characters, constant text or None, parts, pages that showed it, at least]; the key of a text slot is "#".
@@ -195,34 +212,55 @@ def aligned(a: list, b: list, pages=int.__add__) -> list:
 
 
 def main_place(wrapper: list, pages: int) -> dict:
-    """{"path": keys down to the main part, "template": texts to leave out there}."""
+    """{"path": keys down to the main part, "template": texts to leave out there, "kept": paths that are not left out}.
 
-    def held(part: list) -> int:
-        if part[0] == "#":
-            return 0 if part[4] is not None and min(pages, part[6]) >= CONSTANT_PAGES else part[3]
-        return 0 if apart(part[0]) else sum(map(held, part[5]))
+    An element that only its class, id or role sets apart is kept if it holds most of the page's varying text.
+    """
+    kept: set[str] = set()
 
-    marked: list[tuple[int, list[str]]] = []
+    def out(part: list, path: str) -> bool:
+        return apart(part[0]) and path not in kept
+
+    def varying(part: list) -> int:
+        return 0 if part[4] is not None and min(pages, part[6]) >= CONSTANT_PAGES else part[3]
+
+    def all_held(part: list) -> int:
+        return varying(part) if part[0] == "#" else 0 if part[0].split(" ", 1)[0] in APART else sum(map(all_held, part[5]))
+
+    def held(part: list, path: str) -> int:
+        return varying(part) if part[0] == "#" else 0 if out(part, path) else sum(held(p, below(path, p[0])) for p in part[5])
 
-    def look(part: list, path: list[str]) -> None:
-        if path and apart(part[0]):
+    def size_of(part: list, path: str) -> int:
+        return part[3] if part[0] == "#" else 0 if out(part, path) else sum(size_of(p, below(path, p[0])) for p in part[5])
+
+    def look(part: list, path: list[str], at: str, marked: list) -> None:
+        if path and out(part, at):
             return
         if part[0].split(" ")[0] in ("article", "main") or "main" in part[0].split(" ")[1:]:
-            marked.append((sum(map(size, part[5])), path))
+            marked.append((sum(size_of(p, below(at, p[0])) for p in part[5]), path))
             return
         for p in part[5]:
             if p[0] != "#":
-                look(p, [*path, p[0]])
+                look(p, [*path, p[0]], below(at, p[0]), marked)
 
-    look(wrapper, [])
+    marked: list[tuple[int, list[str]]] = []
+    look(wrapper, [], "", marked)
+    whole, at, path = all_held(wrapper), wrapper, ""
+    while whole and (inner := max((p for p in at[5] if p[0] != "#"), key=all_held, default=None)) and all_held(inner) >= MOST * whole:
+        at, path = inner, below(path, inner[0])
+        if apart(inner[0]):
+            kept.add(path)
+    if kept and not any(n for n, _ in marked):
+        marked.clear()
+        look(wrapper, [], "", marked)
     if marked:
-        return {"path": max(marked, key=lambda x: x[0])[1], "template": []}
-    at, path = wrapper, []
+        return {"path": max(marked, key=lambda x: x[0])[1], "template": [], "kept": sorted(kept)}
+    at, keys, path = wrapper, [], ""
     while True:
-        inner = max((p for p in at[5] if p[0] != "#"), key=held, default=None)
-        if inner is None or inner[1] or held(inner) < 0.7 * max(1, held(at)):
+        inner = max((p for p in at[5] if p[0] != "#"), key=lambda p: held(p, below(path, p[0])), default=None)
+        if inner is None or inner[1] or held(inner, below(path, inner[0])) < MOST * max(1, held(at, path)):
             break
-        at, path = inner, [*path, inner[0]]
+        at, keys, path = inner, [*keys, inner[0]], below(path, inner[0])
     template: list[str] = []
 
     def gather(part: list) -> None:
@@ -232,7 +270,11 @@ def main_place(wrapper: list, pages: int) -> dict:
             gather(p)
 
     gather(at)
-    return {"path": path, "template": template}
+    return {"path": keys, "template": template, "kept": sorted(kept)}
+
+
+def below(path: str, key: str) -> str:
+    return f"{path}>{key}"
 
 
 def nodes_at(root: list, path: list[str]) -> list[list]:
@@ -242,36 +284,37 @@ def nodes_at(root: list, path: list[str]) -> list[list]:
     return found
 
 
-def text_of(node: list, template: frozenset[str]) -> str:
+def text_of(node: list, template: frozenset[str], path: str = "", kept: frozenset[str] = frozenset()) -> str:
     """Text of a part: references decoded, white space in a block as one space, blocks joined by one."""
     blocks: list[list[str]] = [[]]
 
-    def walk(n: list) -> None:
+    def walk(n: list, path: str) -> None:
         for p in n[1]:
             if isinstance(p, str):
                 if not template or _space.sub(" ", p).strip() not in template:
                     blocks[-1].append(p)
-            elif not apart(p[0]):
+            elif not apart(p[0]) or (kept and below(path, p[0]) in kept):
                 inline = p[0].split(" ", 1)[0] in INLINE
                 if not inline:
                     blocks.append([])
-                walk(p)
+                walk(p, below(path, p[0]))
                 if not inline:
                     blocks.append([])
 
-    walk(node)
+    walk(node, path)
     return " ".join(t for b in blocks if (t := _space.sub(" ", htmllib.unescape("".join(b))).strip()))
 
 
 def main_text(page: str | None, place: dict | None) -> str:
     root = tree(page)
-    if place is not None:
-        template = frozenset(place["template"])
-        found = nodes_at(root, place["path"])
-        if found and (text := " ".join(t for n in found if (t := text_of(n, template)))):
-            return text
-    own = main_place([root[0], 0, 0, 0, None, folded([p for p in map(part_of, root[1]) if p]), 1], 1)
-    return " ".join(t for n in nodes_at(root, own["path"]) if (t := text_of(n, frozenset())))
+
+    def at(place: dict, template: frozenset[str]) -> str:
+        path, kept = "".join(f">{key}" for key in place["path"]), frozenset(place["kept"])
+        return " ".join(t for n in nodes_at(root, place["path"]) if (t := text_of(n, template, path, kept)))
+
+    if place is not None and (text := at(place, frozenset(place["template"]))):
+        return text
+    return at(main_place([root[0], 0, 0, 0, None, folded([p for p in map(part_of, root[1]) if p]), 1], 1), frozenset())
 
 
 def host_of(url):
