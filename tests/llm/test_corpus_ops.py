@@ -372,6 +372,18 @@ def test_class_words_do_not_set_the_page_or_its_main_part_apart(spark):
     assert got == {10 * h + i: f"Number{i} first words {i} more words" for h in range(len(shells)) for i in range(5)}
 
 
+def test_template_does_not_depend_on_how_many_pages_or_how_long_texts_are(spark):
+    notice = "All rights of this site are reserved, and so on. " * 8
+    page = '<body><p class="top">Site</p><p><a>Label</a></p><div id="{1}"><p>{0} first words of this page, which are its own</p><p>{0} more words</p><p>Filed here</p></div><div class="b">' + notice + "</div></body>"
+
+    def got(n):
+        rows = [(i, "http://h.example/" + str(i), page.format(f"Number{i}", f"post-{i}" if i % 2 else "x" + "abcdefghij"[i // 2 % 10] * (1 + i // 20))) for i in range(n)]
+        return {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+    want = {i: f"Number{i} first words of this page, which are its own Number{i} more words" for i in range(700)}
+    assert got(700) == want and got(20) == {i: want[i] for i in range(20)}
+
+
 def test_deep_and_wide_pages():
     deep = html_extract.main_text("<article>" + "<div>" * 5000 + "in<nav>menu<b>x</b></nav> side" + "</div>" * 5000 + "<p>after</article><footer>f</footer>", None)
     assert deep == "in side after"

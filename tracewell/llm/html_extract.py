@@ -12,14 +12,17 @@ Each slot counts its characters. The main part of a host is its article or main
 most slot text, or without one the innermost part that holds most of the varying text. Each page's
 text is then read from the parts at that place, without menus, headers, footers, side bars, notices,
 adverts, forms, scripts, styles and comments, and, where no article element marks the main part,
-without texts that never vary over the host's pages.
+without texts that never vary over the host's pages. Those are counted by host, place and digest over
+all pages, outside the wrapper, whose width is bounded.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as htmllib
 import json
 import re
+from collections import Counter
 from functools import lru_cache
 
 import pandas as pd
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, read
+from .common import pick, read, staged
 
 SPREAD = 64
 #: A wrapper part keeps at most this many parts in sequence; equal ones beyond are merged.
@@ -47,6 +50,7 @@ _token = re.compile(
 _named = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _hint = re.compile(r"[a-z]+")
 _space = re.compile(r"\s+")
+_digits = re.compile(r"[0-9]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
@@ -132,10 +136,14 @@ def apart(key: str) -> bool:
 # A wrapper part is [key, repeated, optional, characters, constant text or None, parts, pages that showed it, at least]; the key of a text slot is "#".
 
 
+def digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode(errors="surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
 def part_of(node) -> list | None:
     if isinstance(node, str):
         text = _space.sub(" ", node).strip()
-        return ["#", 0, 0, len(text), text if len(text) <= 200 else None, [], 1] if text else None
+        return ["#", 0, 0, len(text), text if len(text) <= 200 else f"#{digest(text)}", [], 1] if text else None
     return [node[0], 0, 0, 0, None, narrowed(folded([p for p in map(part_of, node[1]) if p])), 1]
 
 
@@ -212,7 +220,7 @@ def aligned(a: list, b: list, pages=int.__add__) -> list:
 
 
 def main_place(wrapper: list, pages: int) -> dict:
-    """{"path": keys down to the main part, "template": texts to leave out there, "kept": paths that are not left out}.
+    """{"path": keys down to the main part, "marked": whether an element marks it, "kept": paths that are not left out}.
 
     An element that only its class, id or role sets apart is kept if it holds most of the page's varying text.
     """
@@ -254,23 +262,14 @@ def main_place(wrapper: list, pages: int) -> dict:
         marked.clear()
         look(wrapper, [], "", marked)
     if marked:
-        return {"path": max(marked, key=lambda x: x[0])[1], "template": [], "kept": sorted(kept)}
+        return {"path": max(marked, key=lambda x: x[0])[1], "marked": True, "kept": sorted(kept)}
     at, keys, path = wrapper, [], ""
     while True:
         inner = max((p for p in at[5] if p[0] != "#"), key=lambda p: held(p, below(path, p[0])), default=None)
         if inner is None or inner[1] or held(inner, below(path, inner[0])) < MOST * max(1, held(at, path)):
             break
         at, keys, path = inner, [*keys, inner[0]], below(path, inner[0])
-    template: list[str] = []
-
-    def gather(part: list) -> None:
-        if part[0] == "#" and part[4] and min(pages, part[6]) >= CONSTANT_PAGES:
-            template.append(part[4])
-        for p in part[5]:
-            gather(p)
-
-    gather(at)
-    return {"path": keys, "template": template, "kept": sorted(kept)}
+    return {"path": keys, "marked": False, "kept": sorted(kept)}
 
 
 def below(path: str, key: str) -> str:
@@ -284,15 +283,53 @@ def nodes_at(root: list, path: list[str]) -> list[list]:
     return found
 
 
-def text_of(node: list, template: frozenset[str], path: str = "", kept: frozenset[str] = frozenset()) -> str:
+def slotted(root: list):
+    """(parts, place in them, slots) of each text: the digests of three descriptions of where it stands.
+
+    They are the path of keys, with numbers taken as equal; that and the neighbours of the last
+    element; and the path of tags.
+    """
+
+    def walk(node: list, path: str, tags: str, beside: str):
+        slots = None
+        parts = node[1]
+        keys = [None if isinstance(p, str) else _digits.sub("0", p[0]) for p in parts]
+        after: list = [""] * len(parts)  # the next other key of each element
+        run, following = "", ""
+        for i in range(len(parts) - 1, -1, -1):
+            if keys[i] is not None:
+                if keys[i] != run:
+                    run, following = keys[i], run
+                after[i] = following
+        run, before = "", ""
+        for i, p in enumerate(parts):
+            if isinstance(p, str):
+                if p.strip():
+                    slots = slots or (digest(path), digest(f"{path}\n{beside}"), digest(f"\n{tags}"))
+                    yield parts, i, slots
+                continue
+            if keys[i] != run:
+                run, before = keys[i], run
+            tag = p[0].split(" ", 1)[0]
+            if tag not in APART:
+                yield from walk(p, below(path, keys[i]), below(tags, tag), f"{before}\n{after[i]}")
+
+    return walk(root, "", "", "")
+
+
+def entries(text: str, slots: tuple[int, ...]) -> list[int]:
+    text = _space.sub(" ", text).strip()
+    return [digest(f"{slot}\n{text}") for slot in slots]
+
+
+def text_of(node: list, path: str = "", kept: frozenset[str] = frozenset()) -> str:
     """Text of a part: references decoded, white space in a block as one space, blocks joined by one."""
     blocks: list[list[str]] = [[]]
 
     def walk(n: list, path: str) -> None:
         for p in n[1]:
             if isinstance(p, str):
-                if not template or _space.sub(" ", p).strip() not in template:
-                    blocks[-1].append(p)
+                blocks[-1].append(p)
             elif not apart(p[0]) or (kept and below(path, p[0]) in kept):
                 inline = p[0].split(" ", 1)[0] in INLINE
                 if not inline:
@@ -305,16 +342,23 @@ def text_of(node: list, template: frozenset[str], path: str = "", kept: frozense
     return " ".join(t for b in blocks if (t := _space.sub(" ", htmllib.unescape("".join(b))).strip()))
 
 
-def main_text(page: str | None, place: dict | None) -> str:
+def main_text(page: str | None, place: dict | None, template: frozenset[int] = frozenset()) -> str:
     root = tree(page)
 
-    def at(place: dict, template: frozenset[str]) -> str:
+    def at(place: dict) -> str:
         path, kept = "".join(f">{key}" for key in place["path"]), frozenset(place["kept"])
-        return " ".join(t for n in nodes_at(root, place["path"]) if (t := text_of(n, template, path, kept)))
+        return " ".join(t for n in nodes_at(root, place["path"]) if (t := text_of(n, path, kept)))
 
-    if place is not None and (text := at(place, frozenset(place["template"]))):
-        return text
-    return at(main_place([root[0], 0, 0, 0, None, folded([p for p in map(part_of, root[1]) if p]), 1], 1), frozenset())
+    if place is not None:
+        if template:
+            for parts, i, slots in slotted(root):
+                if not template.isdisjoint(entries(parts[i], slots)):
+                    parts[i] = ""
+        if text := at(place):
+            return text
+        if template:
+            root = tree(page)
+    return at(main_place([root[0], 0, 0, 0, None, folded([p for p in map(part_of, root[1]) if p]), 1], 1))
 
 
 def host_of(url):
@@ -322,7 +366,7 @@ def host_of(url):
 
 
 def wrappers(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, place): where each host's main text stands, from all its pages."""
+    """(host, place, marked): where each host's main text stands, from all its pages, and whether an element marks it."""
     rows = pick(pages, url=url_col, html=html_col).select(host_of(F.col("url")).alias("host"), "html")
 
     def infer(batches):
@@ -350,10 +394,39 @@ def wrappers(pages: DataFrame, *, url_col: str = "url", html_col: str = "html")
 
     def place(batches):
         for batch in batches:
-            found = [json.dumps(main_place(json.loads(w), n)) for w, n in zip(batch.column("wrapper").to_pylist(), batch.column("pages").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(found, pa.string())], ["host", "place"])
+            found = [main_place(json.loads(w), n) for w, n in zip(batch.column("wrapper").to_pylist(), batch.column("pages").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(map(json.dumps, found), pa.string()), pa.array([f["marked"] for f in found], pa.bool_())], ["host", "place", "marked"])
+
+    return whole.mapInArrow(place, "host string, place string, marked boolean")
+
+
+def templates(rows: DataFrame) -> DataFrame:
+    """(host, template): digests of the texts that stood in a slot on each of its pages, ``CONSTANT_PAGES`` at least; rows have host and html."""
+
+    def count(batches):
+        held: Counter = Counter()
+
+        def flushed():
+            hosts, slots, texts = zip(*held, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts), pa.array(slots, pa.int64()), pa.array(texts, pa.int64()), pa.array(held.values(), pa.int64())], ["host", "slot", "entry", "n"])
+            held.clear()
+
+        for batch in batches:
+            for host, page in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
+                seen: set = set()
+                for parts, i, slots in slotted(tree(page.as_py())):
+                    for slot, entry in zip(slots, entries(parts[i], slots), strict=True):
+                        seen |= {(host, slot, None), (host, slot, entry)}
+                held.update(seen)
+                if len(held) > 100_000:
+                    yield from flushed()
+        if held:
+            yield from flushed()
 
-    return whole.mapInArrow(place, "host string, place string")
+    counted = rows.select("host", "html").mapInArrow(count, "host string, slot long, entry long, n long").groupBy("host", "slot", "entry").agg(F.sum("n").alias("n"))
+    counted = staged(counted.where(F.col("n") >= CONSTANT_PAGES), "constant")
+    pages = counted.where("entry IS NULL").select("host", "slot", "n")
+    return counted.where("entry IS NOT NULL").join(pages, ["host", "slot", "n"]).groupBy("host").agg(F.collect_set("entry").alias("template"))
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -364,12 +437,22 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     host's place is missing or empty is read by a wrapper of its own.
     """
     rows = pick(pages, page_id=id_col, url=url_col, html=html_col).withColumn("host", host_of(F.col("url")))
-    placed = rows.join(wrappers(pages, url_col=url_col, html_col=html_col), "host", "left").select("page_id", "url", "html", "place")
+    places = staged(wrappers(pages, url_col=url_col, html_col=html_col), "places")
+    unmarked = places.where("NOT marked").select("host")
+    if unmarked.isEmpty():
+        places = places.withColumn("template", F.lit(None).cast("array<long>"))
+    else:
+        places = places.join(templates(rows.join(unmarked, "host", "left_semi")), "host", "left").withColumn("template", F.when(~F.col("marked"), F.col("template")))
+    placed = rows.join(places, "host", "left").select("page_id", "url", "html", "place", "template")
 
     def texts(batches):
+        places: dict = {}
         for batch in batches:
-            places = {p: json.loads(p) for p in set(batch.column("place").to_pylist()) if p}
-            found = [main_text(page.as_py(), places.get(p)) for page, p in zip(batch.column("html"), batch.column("place").to_pylist(), strict=True)]
+            found = []
+            for page, where, template in zip(batch.column("html"), batch.column("place").to_pylist(), batch.column("template"), strict=True):
+                if where not in places:
+                    places[where] = where and json.loads(where)
+                found.append(main_text(page.as_py(), places[where], frozenset(template.as_py() or ())))
             arrays = [batch.column("page_id"), batch.column("url"), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "text", "n_chars"])
 
