@@ -208,6 +208,25 @@ def test_structure_confirms_and_refuses():
     assert kinds(JWT[:-4]) == [] and kinds(JWT.replace("eyJhbGci", "eyJhbGcx")) == []
 
 
+def wrapped(data, end="\n", width=64):
+    text = data if isinstance(data, str) else b64(data)
+    return end.join(text[i : i + width] for i in range(0, len(text), width))
+
+
+def test_keys_over_line_ends_and_after_stray_armour():
+    begin, end = "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----"
+    for mark in ("\\n", "\\\\n", "\\r\\n", "\r\n", "\\\n"):
+        assert kinds(f'{{"private_key": "{begin}{mark}{wrapped(PKCS8, mark)}{mark}{end}{mark}"}}') == ["pem"]
+        for data, kind in ((PKCS1, "der"), (PKCS8, "der"), (SEC1, "der"), (OPENSSH, "openssh")):
+            text = f"key{mark}{wrapped(data, mark)}{mark}end of it"
+            (start, k, stop), = set(secret_scan.confirmed_spans(text))
+            assert secret_scan.KINDS[k] == kind and text[start:stop] == wrapped(data, mark)
+    key = f"{begin}\n{wrapped(PKCS8)}\n{end}"
+    assert kinds(f"a file begins with {begin} and goes on\n{key}") == ["pem"] and kinds(f"{begin} stray\n{key}\n{key}") == ["pem", "pem"]
+    assert kinds(f"x\n{wrapped(PKCS1.hex())}\ny") == ["der"] and kinds(f"k=\\n{b64(PKCS1)}\\n") == ["der"]
+    assert kinds(f"x\n{wrapped(PKCS1[:-9])}\n\nend") == [] and kinds(f"{begin}\\n{wrapped(bytes(90))}\\n{end}") == []
+
+
 def test_base_spans_are_those_of_the_contract():
     text = 'API_KEY = "abcdef" token:abſ password=12345 x AKIA' + "Z" * 16 + " AKIAX " + "0a" * 12 + " " + "0a" * 11 + " SECRET'='zz.zz-zz"
     found = {(secret_scan.KINDS[k], text[a:b]) for a, k, b in secret_scan.base_spans(text)}

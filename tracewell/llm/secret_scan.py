@@ -32,9 +32,19 @@ _assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _access = re.compile(r"AKIA[A-Z0-9]+")
 _long_hex = re.compile(r"[0-9a-f]{24,}")
 _jwt = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
-_pem = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,.-]*?)-----END \1-----")
+_pem = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:(?!-----BEGIN )[A-Za-z0-9+/=\s:,.\\-])*?)-----END \1-----")
+#: Line ends and other characters that string literals write with a backslash, once or more often.
+_escaped_end = re.compile(r"\\+(?:[nrt]|(?=\s))")
+_escaped_char = re.compile(r"\\+(?:u00(2[bBfF]|3[dD])|(?=/))")
 _run64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 _run16 = re.compile(r"[0-9A-Fa-f]{80,}")
+#: Where a key that goes on over line ends may start (a DER sequence or the OpenSSH magic), a line of it, and what may part its lines.
+_start = r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nrt]))"
+_start64 = re.compile(_start + r"(?:M[A-P]|b3BlbnNzaC1rZXktdjEA)")
+_start16 = re.compile(_start + r"30[0-9A-Fa-f]{2}")
+_line64 = re.compile(r"[A-Za-z0-9+/_-]+")
+_line16 = re.compile(r"[0-9A-Fa-f]+")
+_line_end = re.compile(r"(?:[ \t]*(?:\r?\n|\\+(?:[nrt]|\r?\n)))+[ \t]*")
 
 #: Signature bytes by algorithm name (fixed values of the signed-token standard); None: set by the key.
 SIGNATURE_BYTES = {
@@ -54,6 +64,10 @@ def decoded64(run: str) -> bytes | None:
         return None
 
 
+def decoded16(run: str) -> bytes | None:
+    return bytes.fromhex(run) if len(run) % 2 == 0 else None
+
+
 def der(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     """(tag, start, end) of the value at ``at``; None unless its length is minimal and fits before ``end``."""
     if at + 2 > end:
@@ -108,9 +122,15 @@ def private_der(data: bytes) -> str | None:
 
 def private_openssh(data: bytes) -> bool:
     """Whether ``data`` is an OpenSSH private key whose fields fill it."""
+    size = openssh_fields(data)
+    return size is not None and len(data) - size <= 16  # an authentication tag may follow
+
+
+def openssh_fields(data: bytes) -> int | None:
+    """Where the fields of the OpenSSH private key that ``data`` begins with end."""
     magic = b"openssh-key-v1\x00"
     if not data.startswith(magic):
-        return False
+        return None
     at, fields = len(magic), 0
 
     def field() -> bytes | None:
@@ -125,18 +145,18 @@ def private_openssh(data: bytes) -> bool:
 
     for _ in range(3):  # cipher, key derivation, its options
         if field() is None:
-            return False
+            return None
     if at + 4 > len(data):
-        return False
+        return None
     keys = int.from_bytes(data[at : at + 4], "big")
     at += 4
     if not 1 <= keys <= 64:
-        return False
+        return None
     while fields < keys + 1:  # public keys, then the private part
         if field() is None:
-            return False
+            return None
         fields += 1
-    return len(data) - at <= 16  # an authentication tag may follow
+    return at
 
 
 def signed_token(head: str, claims: str, signature: str) -> bool:
@@ -153,6 +173,60 @@ def signed_token(head: str, claims: str, signature: str) -> bool:
     return len(raw_signature) == size if size is not None else len(raw_signature) >= 64
 
 
+def extent(data: bytes) -> int | None:
+    """Bytes of the private key that ``data`` begins with, if that is as far as the start tells; None if it is no key's start."""
+    if data[:1] == b"0" and len(data) >= 8:
+        length, at = data[1], 2
+        if length >= 0x80:
+            n = length & 0x7F
+            if not 1 <= n <= 4:
+                return None
+            length, at = int.from_bytes(data[2 : 2 + n], "big"), 2 + n
+        return at + length if data[at : at + 1] in (b"\x02", b"0") else None
+    return None
+
+
+def joined(text: str, start: int, line: re.Pattern, decode, is64: bool) -> tuple[int, int] | None:
+    """(kind, end) of the key that starts at ``start`` and may go on over line ends; its own lengths say where it ends."""
+    head = line.match(text, start)
+    need = extent(decode(head[0][:16]) or b"") if head else None
+    openssh = head is not None and is64 and head[0].startswith("b3BlbnNzaC1rZXktdjEA")
+    if head is None or (need is None and not openssh):
+        return None
+    chars = None if openssh else -(-need * 4 // 3) if is64 else need * 2
+    pieces, have, at, ends = [], 0, start, []
+    while m := line.match(text, at):
+        pieces.append(m[0])
+        have, at = have + len(m[0]), m.end()
+        ends.append((have, at))
+        if chars is not None and have >= chars:
+            break
+        gap = _line_end.match(text, at)
+        if not gap:
+            break
+        at = gap.end()
+    if chars is not None:
+        if have != chars:
+            return None
+        end = ends[-1][1]
+        data = decode("".join(pieces))
+        if not data or not private_der(data):
+            return None
+        kind = 5
+    else:
+        body = "".join(pieces)
+        data = decode(body[: len(body) // 4 * 4] if len(body) % 4 == 1 else body) or b""
+        size = openssh_fields(data)
+        fits = [e for e in ends if size is not None and size <= e[0] * 3 // 4 <= size + 16]
+        if not fits:
+            return None
+        end, kind = fits[0][1], 6
+    if is64:
+        while text[end : end + 1] == "=" and end - ends[-1][1] < 2:
+            end += 1
+    return kind, end
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, place of the kind, end) of the three base patterns."""
     found = [(m.start(), 0, m.end()) for m in _assign.finditer(text) if len(m[2]) >= 6]
@@ -169,13 +243,15 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
             found.append((m.start(), 3, m.end()))
     if "PRIVATE KEY-----" in text:
         for m in _pem.finditer(text):
-            lines = [x for x in m[2].split("\n") if ":" not in x]
+            body = _escaped_end.sub("\n", m[2]) if "\\" in m[2] else m[2]
+            body = _escaped_char.sub(lambda c: chr(int(c[1], 16)) if c[1] else "", body) if "\\" in body else body
+            lines = [x for x in body.split("\n") if ":" not in x]
             data = decoded64(re.sub(r"\s", "", "".join(lines)))
-            headed = len(lines) < m[2].count("\n") + 1  # an encrypted body is not DER
+            headed = len(lines) < body.count("\n") + 1  # an encrypted body is not DER
             if data and (private_der(data) or private_openssh(data) or headed):
                 found.append((m.start(), 4, m.end()))
                 inside.append((m.start(), m.end()))
-    for pattern, decode in ((_run64, decoded64), (_run16, lambda run: bytes.fromhex(run) if len(run) % 2 == 0 else None)):
+    for pattern, decode in ((_run64, decoded64), (_run16, decoded16)):
         for m in pattern.finditer(text):
             if any(a <= m.start() < b for a, b in inside):
                 continue
@@ -184,6 +260,11 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
                 found.append((m.start(), 5, m.end()))
             elif data and private_openssh(data):
                 found.append((m.start(), 6, m.end()))
+    known = {a for a, k, _ in found if k > 4}
+    for pattern, line, decode, is64 in ((_start64, _line64, decoded64, True), (_start16, _line16, decoded16, False)):
+        for m in pattern.finditer(text):
+            if m.start() not in known and not any(a <= m.start() < b for a, b in inside) and (one := joined(text, m.start(), line, decode, is64)):
+                found.append((m.start(), *one))
     return found
 
 
