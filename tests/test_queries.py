@@ -39,3 +39,12 @@ def test_entry_returns_ranked_rows(spark):
 
     rows = __spark_entry__.entry(spark).collect()
     assert [r["rank"] for r in rows] == sorted(r["rank"] for r in rows)
+
+
+def test_nearest_takes_the_smallest_ids_of_equal_scores(spark):
+    from tracewell.operators.retrieval import nearest
+
+    rows = [(i, [1.0, (201 - i) * 1e-6 if i else 0.0]) for i in range(200, -1, -1)]  # equal after rounding, larger ids first and closer
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    found = nearest(vectors, vectors.where("vec_id = 0"), 5).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"], r["rank"]) for r in found] == [(i, 1.0, i) for i in range(1, 6)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -48,11 +49,22 @@ def top_k(scored: DataFrame, k: int, by: list[str] | None = None, id_col: str =
     return scored.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
+def millionths(scores: np.ndarray) -> np.ndarray:
+    """``scores`` in millionths, rounded as SQL rounds to 6 digits: the written value, half away from zero."""
+    scaled = scores * 1e6
+    whole = np.floor(scaled + 0.5)
+    near = np.abs(scaled - np.floor(scaled) - 0.5) < 1e-6
+    if near.any():
+        values, at = np.unique(scores[near], return_inverse=True)
+        whole[near] = np.array([float(Decimal(repr(float(x))).scaleb(6).quantize(Decimal(1), ROUND_HALF_UP)) for x in values])[at]
+    return whole
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, score, rank): each query's k most cosine-similar other vectors.
 
-    Queries go to the tasks in blocks of a fixed size; each task keeps its k best for each query of a block, and the final
-    rank is over those. Null and zero vectors match nothing.
+    Queries go to the tasks in blocks of a fixed size; each task keeps its k best (by score as rounded, then id)
+    of a batch for each query of a block, and the final rank is over those. Null and zero vectors match nothing.
     """
     n = queries.count()
     blocks = max(1, math.ceil(n / QUERY_BLOCK))
@@ -73,11 +85,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                     continue
                 own = batch.column("vec_id").to_numpy()
                 v = batch.column("embedding").flatten().to_numpy().reshape(len(own), -1)
+                by_id = np.argsort(own, kind="stable")
+                own, v = own[by_id], v[by_id]
                 norm = np.linalg.norm(v, axis=1)
                 s = q @ (v / np.maximum(norm, 1e-300)[:, None]).T
                 s[:, norm == 0] = -2
                 s[ids[:, None] == own[None, :]] = -2
-                best = np.argsort(-s, axis=1, kind="stable")[:, : k + 8]
+                best = np.argsort(-millionths(s), axis=1, kind="stable")[:, :k]
                 row = np.repeat(np.arange(len(ids)), best.shape[1])
                 col = best.ravel()
                 good = s[row, col] > -2
