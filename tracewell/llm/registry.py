@@ -4,6 +4,7 @@ from . import embedding_dedup, exact_dedup, html_extract, jaccard_join, language
 
 _QUERIES = [
     (secret_scan.op1_secret_scan, None),
+    (secret_scan.secret_base_spans, secret_scan.SQL),
     (language_id.op2_language_id, None),
     (quality.op3_quality, None),
     (embedding_dedup.op4_embedding_dedup, None),
