@@ -13,6 +13,10 @@ SPACE = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+#: A key is hot from this part of all rows on.
+HOT_SHARE = 1000
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -24,26 +28,32 @@ def pick(df: DataFrame, *names: str, **renamed: str) -> DataFrame:
     a name that an operator uses itself) can neither clash nor make a reference ambiguous.
     """
     wanted = {n: n for n in names} | renamed
-    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return by_place(df).select(*[F.col(place_of(df, name)).alias(alias) for alias, name in wanted.items()])
+
+
+def by_place(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1, ..., so that columns added beside them clash with none."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def place_of(df: DataFrame, name: str) -> str:
+    """The name that :func:`by_place` gives a column, found by exact name first and then without regard to case."""
     lower = [c.lower() for c in df.columns]
-    out = []
-    for alias, name in wanted.items():
-        if name in df.columns:
-            at = df.columns.index(name)
-        elif lower.count(name.lower()) == 1:
-            at = lower.index(name.lower())
-        else:
-            raise ValueError(f"no column {name!r} among {df.columns}")
-        out.append(F.col(f"c{at}").alias(alias))
-    return plain.select(*out)
+    if name in df.columns:
+        return f"c{df.columns.index(name)}"
+    if lower.count(name.lower()) == 1:
+        return f"c{lower.index(name.lower())}"
+    raise ValueError(f"no column {name!r} among {df.columns}")
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a local one only if that is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; a local one only if that is unset on a local master."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tracewell-"))
         where = spark.sparkContext.getCheckpointDir()
     return where.rstrip("/")
@@ -61,6 +71,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int | None = None) -> DataFrame:
+    """``rows`` joined with the row of ``table`` that has their ``keys`` (rows without one go).
+
+    ``weight`` of ``table`` says how many of ``rows`` have its keys, about ``total`` in all. Keys with over a
+    thousandth of these, fewer than a thousand, are broadcast, so no task gets all rows of a hot key.
+    """
+    if total is None:
+        total = table.agg(F.sum(weight)).first()[0] or 0
+    is_hot = F.col(weight) * HOT_SHARE > total
+    hot = table.where(is_hot).drop(weight)
+    warm = rows.join(F.broadcast(hot), keys)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.where(~is_hot).drop(weight), keys)
+    return warm.unionByName(cold)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Remove all staged tables of the shared folder; call it once their results are written."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/tracewell")

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import lookup, staged
 
 
 def _mark(edges: DataFrame):
@@ -14,30 +14,26 @@ def _mark(edges: DataFrame):
     return r[0], r[1]
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, component): for each end of an edge (u, v), the smallest id it can be reached from.
 
     In a large-star round every vertex sends its larger neighbours to its smallest one; in a
-    small-star round its smaller ones. Minima are aggregated before the shuffle and joined back, so
-    a vertex with very many neighbours is a skewed join key that adaptive execution splits. Edges are
+    small-star round its smaller ones. Minima are aggregated before the shuffle and looked up, hot
+    vertices by a broadcast, so one with very many neighbours is spread over tasks. Edges are
     written after each round; their number never rises. Ends after a round that changes nothing.
     """
     now = staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = _mark(now)
-    for _ in range(rounds):
-        if not mark[0]:
-            break
+    while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = lookup(both.where("v > u"), low, ["u"], "n", 2 * mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = lookup(large, low, ["u"], "n", mark[0]).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         now = staged(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
         before, mark = mark, _mark(now)
         if mark == before:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 

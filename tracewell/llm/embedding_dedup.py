@@ -1,20 +1,22 @@
 """Near-duplicate embeddings by counting collisions of one-dimensional projections.
 
 Unit vectors u, v with cosine c lie sqrt(2 - 2c) apart, so on a random unit direction they differ by
-about that over sqrt(dimension). Pairs are candidates if they fall into each other's query-centred
-window on at least ``least`` of ``PROJECTIONS`` directions; window and count are set so that a pair at
-exactly the threshold passes with probability ``recall``. Passing pairs are verified by cosine in
-double precision.
-
-Counting every window collision of every pair would be quadratic, so only vectors that share a
-sorted-window cell are counted together: ``tables`` times, ``keys`` further directions are cut into windows
-with a random offset, and the combination is a cell. The number of directions grows with the logarithm of the largest
-label's rows, which keeps cells of unrelated vectors small, and the number of tables follows from the
-recall wanted. A pair that shares several cells counts in the first of them, so nothing is emitted per pair:
-a task sends one row of counts per vector and a spanning forest of its links.
-
-Equal vectors are folded beforehand. A cell with more than ``BLOCK`` vectors is compared block against block in
-as many tasks as it has pairs of blocks.
+about that over sqrt(dimension). On each of ``PROJECTIONS`` directions the vectors are sorted and each is the
+centre of a window; a pair's count is on how many directions one falls into the window of the
+other. Window and count are set so that a pair at exactly the threshold passes with probability
+``recall``. Passing pairs are verified by cosine in double precision.
+
+A window must be so wide (a near pair keeps 0.95 of its collisions) that it holds a fifth of unrelated vectors
+too, so walking the windows of a whole label would be quadratic in it. Labels of more than ``CELL`` vectors are
+therefore first cut into cells: ``keys`` further directions, each cut into ranges with a random offset, of which
+``keys`` grows with the logarithm of the largest label until a cell holds about ``CELL`` vectors; the ``tables``
+cuts that the recall wanted needs follow from that. Windows are walked inside cells. A pair that shares cells of
+several tables counts in the first of them, so nothing is emitted per pair: a task sends one row of
+counts per vector and a spanning forest of its links.
+
+Equal vectors are folded beforehand. What is moved per table is an id and a cell; vectors are joined to these once
+the cells are known. A cell with more than ``BLOCK`` vectors is compared block against block in as many tasks
+as it has pairs of blocks.
 """
 
 from __future__ import annotations
@@ -27,16 +29,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, pick, read, staged
+from .common import lookup, partitions, pick, read, staged
 from .components import components, forest
 
-PROJECTIONS = 32
+PROJECTIONS = 24
+#: Vectors that a cell should hold.
+CELL = 512
 BLOCK = 1024
-#: Width of a cell's windows in units of the distance of a pair at the threshold over sqrt(dimension).
+#: Width of a cell's ranges in units of the distance of a pair at the threshold over sqrt(dimension).
 WIDTH = 8.0
 #: Half width of the query-centred windows in the same units.
 WINDOW = 2.0
+#: Links and counters that a task holds at once.
 HELD = 2_000_000
+COUNTERS = 1 << 24
+#: Cells of over BLOCK vectors are broadcast if they are at most so many.
+BROADCAST_CELLS = 100_000
 
 
 def least_count(recall: float) -> int:
@@ -53,12 +61,12 @@ def least_count(recall: float) -> int:
 def shape(rows: int, recall: float) -> tuple[int, int]:
     """(directions a cell, tables) for labels of up to ``rows`` vectors.
 
-    Windows of WIDTH share a pair at the threshold with probability 1 - E|d| / WIDTH for a standard
+    Ranges of WIDTH share a pair at the threshold with probability 1 - E|d| / WIDTH for a standard
     normal d, and an unrelated pair with about half of that.
     """
-    keys = max(6, math.ceil(math.log(max(2, rows)) / math.log(2.2)))
+    keys = max(0, math.ceil(math.log(max(1, rows) / CELL) / math.log(2.2)))
     together = (1 - math.sqrt(2 / math.pi) / WIDTH) ** keys
-    return keys, math.ceil(math.log(1 - recall) / math.log(1 - together))
+    return keys, math.ceil(math.log(1 - recall) / math.log(1 - together)) if keys else 1
 
 
 @lru_cache(maxsize=8)
@@ -67,15 +75,70 @@ def directions(dim: int, n: int, seed: int) -> np.ndarray:
     return a / np.linalg.norm(a, axis=0)
 
 
-@lru_cache(maxsize=8)
-def cells(dim: int, keys: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
+def units(column) -> np.ndarray:
+    """The vectors of a column of equal lengths, scaled by their largest component first so that no norm overflows or vanishes."""
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+    x = x / np.abs(x).max(axis=1)[:, None]
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def cells(unit: np.ndarray, keys: int, tables: int, reach: float) -> np.ndarray:
+    """The cell of each vector in each table; one cell if there are no ``keys``."""
+    dim = unit.shape[1]
+    if not keys:
+        return np.zeros((len(unit), tables), np.int64)
     rng = np.random.default_rng([7, dim, keys, tables])
-    return rng.uniform(size=keys * tables), rng.integers(1, 1 << 62, size=keys, dtype=np.int64) | 1
+    offset, mix = rng.uniform(size=keys * tables), rng.integers(1, 1 << 62, size=keys, dtype=np.int64) | 1
+    at = np.floor(unit @ directions(dim, keys * tables, 1) / (WIDTH * reach / math.sqrt(dim)) + offset).astype(np.int64)
+    with np.errstate(over="ignore"):
+        h = (at.reshape(len(unit), tables, keys) * mix).sum(axis=2)
+        return (h ^ (h >> 29)) * np.int64(0x5851F42D4C957F2D)
 
 
-def matrix(column) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
-    return flat.reshape(len(column), -1)
+def by_dimension(batch):
+    """(rows, vectors) of a batch for each length of vectors in it."""
+    dims = batch.column("dim").to_numpy()
+    for dim in np.unique(dims):
+        rows = np.flatnonzero(dims == dim)
+        column = batch.column("embedding").take(pa.array(rows))
+        yield rows, units(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
+
+
+def collided(seen: np.ndarray, run: np.ndarray, window: float, least: int):
+    """Rows (a, b), a < b, of one run that lie in each other's window on ``least`` columns of ``seen`` or more.
+
+    Runs are rows that follow each other. Each column is sorted run by run, and each row's window walked
+    upwards, which meets every pair of neighbours once; only these are counted.
+    """
+    starts = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+    sizes = np.diff(np.append(starts, len(run)))
+    cost = np.cumsum(sizes**2)
+    at = 0
+    while at < len(starts):
+        end = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + COUNTERS, "right")))
+        low, high = starts[at], starts[end - 1] + sizes[end - 1]
+        first, size = (np.repeat(x[at:end], sizes[at:end]) for x in (starts - low, sizes))
+        base = np.cumsum(size) - size - first  # the counter of (a, b) is base[a] + b
+        counts = np.zeros(int(size.sum()), np.uint8)
+        shift = 4.0 * np.repeat(np.arange(end - at), sizes[at:end])  # no window reaches from one run into the next
+        for x in seen[low:high].T:
+            x = x + shift
+            order = np.argsort(x, kind="stable")
+            x = x[order]
+            after = np.searchsorted(x, x + window, "right") - np.arange(len(x)) - 1
+            upto = np.cumsum(after)
+            k = 0
+            while k < len(x):
+                j = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + HELD, "right")))
+                own = np.repeat(np.arange(k, j), after[k:j])
+                other = own + 1 + np.arange(len(own)) - np.repeat(upto[k:j] - after[k:j] - (upto[k - 1] if k else 0), after[k:j])
+                own, other = order[own], order[other]
+                counts[base[np.minimum(own, other)] + np.maximum(own, other)] += 1
+                k = j
+        hit = np.flatnonzero(counts >= least)
+        a = np.searchsorted(np.cumsum(size), hit, "right")
+        yield low + a, low + hit - base[a]
+        at = end
 
 
 def links(vectors: DataFrame, threshold: float, recall: float) -> DataFrame:
@@ -90,76 +153,49 @@ def links(vectors: DataFrame, threshold: float, recall: float) -> DataFrame:
 
     def place(batches):
         for batch in batches:
-            dims = batch.column("dim").to_numpy()
-            for dim in np.unique(dims):
-                part = batch.filter(pa.array(dims == dim))
-                unit = matrix(part.column("embedding"))
-                unit /= np.linalg.norm(unit, axis=1)[:, None]
-                offset, mix = cells(dim, keys, tables)
-                at = np.floor(unit @ directions(dim, keys * tables, 1) / (WIDTH * reach / math.sqrt(dim)) + offset).astype(np.int64)
-                with np.errstate(over="ignore"):
-                    h = (at.reshape(len(unit), tables, keys) * mix).sum(axis=2)
-                    h = (h ^ (h >> 29)) * np.int64(0x5851F42D4C957F2D)
-                for t in range(tables):
-                    everywhere = pa.array(list((h >> 32).astype(np.int32)), pa.list_(pa.int32()))
-                    columns = [*(part.column(c) for c in ("label", "dim", "rep", "times", "embedding")), everywhere, pa.array(np.full(len(unit), t, np.int32)), pa.array(h[:, t])]
-                    yield pa.RecordBatch.from_arrays(columns, ["label", "dim", "rep", "times", "embedding", "cells", "t", "cell"])
+            for rows, unit in by_dimension(batch):
+                part = batch.select(["label", "dim", "rep"]).take(pa.array(np.repeat(rows, tables)))
+                t = np.tile(np.arange(tables, dtype=np.int32), len(rows))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(t), pa.array(cells(unit, keys, tables, reach).ravel())], ["label", "dim", "rep", "t", "cell"])
 
     shared = ["label", "dim", "t", "cell"]
-    kind = vectors.select("label", "dim", "rep", "times", "embedding").schema
-    placed = vectors.select("label", "dim", "rep", "times", "embedding").mapInArrow(
-        place, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kind) + ", cells array<int>, t int, cell long"
+    kind = vectors.select("label", "dim", "rep", "embedding").schema
+    placed = vectors.select("label", "dim", "rep", "embedding").mapInArrow(place, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kind if f.name != "embedding") + ", t int, cell long")
+    crowded = staged(
+        placed.groupBy(*shared).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select(*shared, F.expr(f"cast((n + {BLOCK - 1}) div {BLOCK} as int)").alias("blocks")), "embedding-crowded"
     )
-    placed = staged(placed, "embedding-cells")
-    sizes = placed.groupBy(*shared).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = (
-        placed.join(sizes, shared)
-        .withColumn("blocks", F.expr(f"cast((n + {BLOCK - 1}) div {BLOCK} as int)"))
+    few = crowded.count() <= BROADCAST_CELLS
+    dealt = (
+        placed.join(F.broadcast(crowded) if few else crowded, shared, "left")
+        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("low", F.least("block", "other"))
-        .withColumn("high", F.greatest("block", "other"))
+        .select("rep", "t", "cell", F.xxhash64(*shared, F.least("block", "other"), F.greatest("block", "other")).alias("g"), "block", (F.col("block") != F.col("other")).alias("crossed"))
     )
-    group = [*shared, "low", "high"]
-    # the id of a group: pairs are compared in full before they count, so equal ids of two groups do no harm
-    grouped = rows.select(F.xxhash64(*group).alias("g"), "label", "dim", "rep", "times", "embedding", "cells", "t", "cell", "block", (F.col("low") != F.col("high")).alias("crossed"))
-    sorted_rows = grouped.repartition(partitions(vectors.sparkSession), "g").sortWithinPartitions("g", "rep")
+    # rows of two groups may share an id g by chance: label, table and cell tell their runs apart
+    whole = dealt.join(vectors.select("rep", "label", "dim", "times", "embedding"), "rep")
+    sorted_rows = whole.repartition(partitions(vectors.sparkSession), "g").sortWithinPartitions("g", "dim", "label", "t", "cell", "rep")
 
     def compare(batches):
         def met(parts):
-            table = pa.Table.from_batches(parts)
-            g, rep, times = (table.column(c).to_numpy() for c in ("g", "rep", "times"))
-            dims = table.column("dim").to_numpy()
-            label, t, cell, block = (table.column(c).to_numpy() for c in ("label", "t", "cell", "block"))
-            crossed = table.column("crossed").to_numpy()
-            used = np.array(table.column("cells").combine_chunks().flatten().to_numpy()).reshape(len(g), -1)
+            table = pa.Table.from_batches(parts).combine_chunks()
+            g, rep, times, t, cell, block, crossed = (table.column(c).to_numpy() for c in ("g", "rep", "times", "t", "cell", "block", "crossed"))
+            label = table.column("label").to_numpy()
             ids, own = np.unique(rep, return_inverse=True)
             counts, found, n_found = np.zeros(len(ids), np.int64), [], 0
-            for dim in np.unique(dims):
-                pick_rows = np.flatnonzero(dims == dim)
-                unit = matrix(table.column("embedding").take(pa.array(pick_rows)).combine_chunks())
-                unit /= np.linalg.norm(unit, axis=1)[:, None]
-                seen = unit @ directions(int(dim), PROJECTIONS, 2)
-                window = WINDOW * reach / math.sqrt(dim)
-                gs = g[pick_rows]
-                i, step = np.arange(len(pick_rows)), 0
-                while True:
-                    step += 1
-                    i = i[i + step < len(gs)]
-                    i = i[gs[i] == gs[i + step]]
-                    if not len(i):
-                        break
-                    for at in range(0, len(i), 1 << 16):
-                        a, b = i[at : at + (1 << 16)], i[at : at + (1 << 16)] + step
-                        x, y = pick_rows[a], pick_rows[b]
-                        ok = (label[x] == label[y]) & (t[x] == t[y]) & (cell[x] == cell[y]) & (rep[x] != rep[y]) & (~crossed[x] | (block[x] != block[y]))
-                        a, b, x, y = a[ok], b[ok], x[ok], y[ok]
-                        first = (np.argmax(used[x] == used[y], axis=1) == t[x]) if len(x) else np.zeros(0, bool)
-                        a, b = a[first], b[first]
-                        near = (np.abs(seen[a] - seen[b]) <= window).sum(axis=1) >= least
-                        a, b = a[near], b[near]
-                        near = np.einsum("ij,ij->i", unit[a], unit[b]) >= threshold
-                        x, y = pick_rows[a[near]], pick_rows[b[near]]
+            for rows, unit in by_dimension(table):
+                new = np.concatenate(([True], np.any([x[rows][1:] != x[rows][:-1] for x in (g, label, t, cell)], axis=0)))
+                everywhere = cells(unit, keys, tables, reach)
+                window = WINDOW * reach / math.sqrt(unit.shape[1])
+                for a, b in collided(unit @ directions(unit.shape[1], PROJECTIONS, 2), np.cumsum(new), window, least):
+                    for at in range(0, len(a), 1 << 16):
+                        p, q = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+                        x, y = rows[p], rows[q]
+                        ok = ~crossed[x] | (block[x] != block[y])
+                        ok &= np.argmax(everywhere[p] == everywhere[q], axis=1) == t[x]
+                        p, q, x, y = p[ok], q[ok], x[ok], y[ok]
+                        near = np.einsum("ij,ij->i", unit[p], unit[q]) >= threshold
+                        x, y = x[near], y[near]
                         counts += np.bincount(own[x], times[y], len(ids)).astype(np.int64) + np.bincount(own[y], times[x], len(ids)).astype(np.int64)
                         found.append((own[x], own[y]))
                         n_found += len(x)
@@ -199,31 +235,33 @@ def near_dedup(table: DataFrame, *, threshold: float = 0.98, recall: float = 0.9
 
     Vectors are compared when their labels are equal and not null and their lengths agree. Null, empty and
     zero vectors, and those with a null or non-finite component, link with nothing: n_links 0, their
-    own component. Rows that repeat a vector link with each other. Null ids link like others and
-    lose to any id; a component of null ids only has a null component_id. An empty table gives no rows.
+    own component. Rows that repeat a vector link with each other; rows that repeat an id are vectors of their
+    own. Null ids link like others and lose to any id; a component of null ids only has a null
+    component_id. An empty table gives no rows. Extra columns, whatever their names, are not read.
     """
     rows = pick(table, vec_id=id_col, embedding=vector_col, label=label_col).withColumn("embedding", F.col("embedding").cast("array<double>"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     usable = F.coalesce(F.col("label").isNotNull() & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    rows = rows.withColumn("fold", F.when(usable, F.unhex(F.sha2(F.concat_ws("|", F.col("label").cast("string"), F.col("embedding").cast("string")).cast("binary"), 256))))
+    fold = ["fold_a", "fold_b"]  # 128 bits that stand for label and vector where documents are looked up
+    rows = rows.withColumns({"usable": usable, "fold_a": F.xxhash64("label", "embedding"), "fold_b": F.xxhash64(F.lit("b"), "embedding", "label")})
     folded = staged(
-        rows.where(F.col("fold").isNotNull()).groupBy("fold", "label", "embedding").agg(F.min("vec_id").alias("smallest"), F.count(F.lit(1)).alias("times"))
-        .withColumn("rep", F.coalesce("smallest", F.xxhash64("fold"))).withColumn("dim", F.size("embedding")),
+        rows.where("usable").groupBy(*fold, "label", "embedding").agg(F.min("vec_id").alias("smallest"), F.count(F.lit(1)).alias("times"))
+        .withColumn("rep", F.monotonically_increasing_id()).withColumn("dim", F.size("embedding")),
         "embedding-folded",
     )
     found = staged(links(folded, threshold, recall), "embedding-links")
     counts = found.where("kind = 0").groupBy("u").agg(F.sum("v").alias("links"))
     member = components(found.where("kind = 1").select("u", "v"))
-    classes = (
-        folded.select("fold", "smallest", "times", "rep")
-        .join(counts.withColumnRenamed("u", "rep"), "rep", "left")
-        .join(member.withColumnRenamed("id", "rep"), "rep", "left")
-        .select("fold", F.col("times"), (F.col("times") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "smallest").alias("component_id"))
-    )
-    return rows.select("vec_id", "fold").join(classes, "fold", "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.when(F.col("fold").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"),
-    ).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    classes = staged(
+        folded.select(*fold, "smallest", "times", "rep").join(counts.withColumnRenamed("u", "rep"), "rep", "left").join(member.withColumnRenamed("id", "rep"), "rep", "left")
+        .select(*fold, "smallest", "times", (F.col("times") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component")),
+        "embedding-classes",
+    )
+    smallest = classes.groupBy("component").agg(F.min("smallest").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    named = lookup(classes.drop("smallest"), smallest, ["component"], "n")
+    linked = lookup(rows.where("usable").select("vec_id", *fold), named.drop("component"), fold, "times").select("vec_id", "n_links", "component_id")
+    alone = rows.where("NOT usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
