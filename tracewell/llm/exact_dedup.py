@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, pick, read, staged
+from .common import SPACE, by_place, pick, place_of, read, staged
 
 SALTS = 64
 HOT_SHARE = 1000
@@ -102,12 +102,17 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: the pipeline's form of the operator.
 
-    A row is found again by its id and the digest of its whole text; of rows that repeat both, one stays.
+    A row is found again by its id and the digest of its whole text; of rows that repeat both, one stays,
+    and of a group of null ids only, one too. An empty table gives no rows. Extra columns of any name stay.
+    Texts move once: rows are found again and repeats dropped in one partitioning.
     """
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept")).distinct()
-    keyed = docs.withColumn("__sha", F.sha2(normalised(F.col("text")).cast("binary"), 256))
-    joined = keyed.join(kept, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__kept") == F.col("__sha")), "left_semi")
-    return joined.dropDuplicates(["doc_id", "__sha"]).drop("__sha")
+    def keyed(doc_id, sha):
+        return {"key_null": doc_id.isNull(), "key_id": F.coalesce(doc_id.cast("string"), F.lit("")), "key_sha": sha}
+
+    keys = ["key_null", "key_id", "key_sha"]
+    kept = exact_dedup(docs).where("kept").select(*[c.alias(n) for n, c in keyed(F.col("doc_id"), F.col("text_sha256")).items()]).distinct()
+    rows = by_place(docs).withColumns(keyed(F.col(place_of(docs, "doc_id")), F.sha2(normalised(F.col(place_of(docs, "text"))).cast("binary"), 256)))
+    return rows.join(kept, keys, "left_semi").dropDuplicates(keys).drop(*keys).toDF(*docs.columns)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

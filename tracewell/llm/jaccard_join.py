@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, pick, read, staged
+from .common import by_place, lookup, partitions, pick, place_of, read, staged
 from .components import components, forest
 
 WORDS = 5
@@ -393,9 +393,13 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id names their component, with all their columns."""
-    keep = jaccard_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    """The rows of ``docs`` whose id names their component, with all their columns: the pipeline's form of the operator.
+
+    Rows without words stay. Rows that repeat an id that stays, stay with it; null ids stay where a component has
+    no other. An empty table gives no rows. Extra columns of any name stay.
+    """
+    keep = jaccard_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    return by_place(docs).join(keep, F.col(place_of(docs, "doc_id")).eqNullSafe(F.col("doc_id")), "left_semi").toDF(*docs.columns)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

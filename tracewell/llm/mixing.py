@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, pick, read, staged
+from .common import WORD, by_place, pick, place_of, read, staged
 
 #: Digest ranges of a source (three hex digits).
 BUCKETS = 4096
@@ -118,14 +118,16 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, budget_share: fl
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, each as often as it takes it, in all their columns.
+    """The rows of ``docs`` that the mix takes, each as often as it takes it, in all their columns: the pipeline's form.
 
-    A row is found again by its id and a hash of its text; of repeated rows each is as often there
-    as the most taken of them.
+    A row is found again by its id (null ids too) and a hash of its text; of repeated rows each is as often there
+    as the most taken of them. Rows without words are not taken. An empty table gives no rows. Extra columns
+    of any name stay.
     """
-    taken = mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key")).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    found = docs.join(taken, F.col("__id").eqNullSafe(docs["doc_id"]) & (F.col("__key") == F.xxhash64(docs["text"])))
-    return found.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__n", "__id", "__key", "__times")
+    taken = mix(docs).where("taken > 0").groupBy("doc_id", "row_key").agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("times"))
+    found = by_place(docs).join(taken, F.col("doc_id").eqNullSafe(F.col(place_of(docs, "doc_id"))) & (F.col("row_key") == F.xxhash64(place_of(docs, "text"))))
+    each = found.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return each.drop("turn", "doc_id", "row_key", "times").toDF(*docs.columns)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

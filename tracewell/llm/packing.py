@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import pick, read, staged
 from .tokens import default_path, encoder
 
-PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, local_rank long"
+PIECES = "piece int, start long, length int, ids_crc32 long, part int, local_rank long"
 RUNS = "run_length int, first_rank long, end_rank long, first_sequence long, per_sequence long, run_offset long"
 END = (0).to_bytes(4, "little")
 
@@ -80,20 +80,22 @@ def pieces_of(docs: DataFrame, tokenizer: str, size: int) -> DataFrame:
         ids_of, part, seen = encoder(tokenizer).encode, TaskContext.get().partitionId(), {}
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+            for row, text in enumerate(batch.column("text")):
                 ids = ids_of(text.as_py() or "") + END
                 total, start, piece = len(ids) // 4, 0, 0
                 end = total % size or size
                 while start < total:
                     length = end - start
                     rank = seen[length] = seen.get(length, -1) + 1
-                    out.append((doc_id, piece, start, length, zlib.crc32(ids[4 * start : 4 * end]), part, rank))
+                    out.append((row, piece, start, length, zlib.crc32(ids[4 * start : 4 * end]), part, rank))
                     start, end, piece = end, end + size, piece + 1
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
-            names = [f.split()[0] for f in PIECES.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 7, kinds, strict=True)], names)
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
+            names = ["doc_id", *(f.split()[0] for f in PIECES.split(", "))]
+            rows, *columns = (pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 7, kinds, strict=True))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), *columns], names)
 
-    return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
+    texts = pick(docs, "doc_id", "text")
+    return texts.mapInArrow(cut, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, {PIECES}")
 
 
 def pack(docs: DataFrame, *, tokenizer: str | None = None, size: int = 2048) -> DataFrame:
@@ -101,7 +103,8 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, size: int = 2048) ->
 
     A document is its ids and then id 0, so a null or empty text is one piece of one token. Longer
     documents are cut into pieces of ``size``, of which the first may be shorter. Rows that repeat
-    an id, or have none, are documents of their own. An empty table gives no rows.
+    an id, or have none, are documents of their own. Ids may be of any type. Extra columns, whatever their
+    names, are not read. An empty table gives no rows.
     """
     spark = docs.sparkSession
     pieces = staged(pieces_of(docs, tokenizer or default_path(), size), "pack-pieces")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, pick, read, staged
+from .common import by_place, held_out, pick, place_of, read, staged
 
 #: Hashed words share this many inputs; inputs of the binned statistics follow them.
 WORDS = 1 << 14
@@ -170,13 +170,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, rounds:
 
 
 def score(docs: DataFrame, flat: np.ndarray, *, text_col: str = "text", chars_col: str = "n_chars", threshold: float = THRESHOLD) -> DataFrame:
-    """All rows and columns of ``docs`` with __score (0 to 1) and __accepted; null text counts as empty.
+    """All rows of ``docs``, its columns as c0, c1, ... in their order, with score (0 to 1) and accepted.
 
-    Every row is scored by its own text and metadata, so repeated rows score alike and null ids do
-    not matter. An empty table gives no rows.
+    Every row is scored by its own text and metadata, null text counting as empty, so repeated rows
+    score alike and null ids do not matter. An empty table gives no rows. Columns are taken by place:
+    extra ones of any name, even two of one name, stay as they are.
     """
-    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    names = {n: f"c{docs.columns.index(n)}" for n in (text_col, chars_col)}
     half = (flat.size - 2) // 2
     small = flat.copy()
     small[half : 2 * half] = 0
@@ -193,17 +192,21 @@ def score(docs: DataFrame, flat: np.ndarray, *, text_col: str = "text", chars_co
             out[at : at + 512] = machine.forward(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), np.concatenate(([0], ends[:-1])))[0]
         return pd.Series(out)
 
-    out = plain.withColumn("__score", scored(F.coalesce(F.col(names[text_col]), F.lit("")), F.col(names[chars_col]).cast("double")))
-    return out.toDF(*docs.columns, "__score").withColumn("__accepted", F.col("__score") >= threshold)
+    found = scored(F.coalesce(F.col(place_of(docs, text_col)), F.lit("")), F.col(place_of(docs, chars_col)).cast("double"))
+    return by_place(docs).withColumn("score", found).withColumn("accepted", F.col("score") >= threshold)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, **fitting) -> DataFrame:
-    """The rows of ``docs`` that the fitted machine accepts, with all their columns."""
-    found = score(docs, fit(docs, labels, **fitting))
-    return found.where("__accepted").drop("__score", "__accepted")
+    """The rows of ``docs`` that the fitted machine accepts, with all their columns: the pipeline's form of the operator.
+
+    Rows with a null id or text and repeated rows are judged like others; extra columns of any name stay.
+    """
+    return score(docs, fit(docs, labels, **fitting)).where("accepted").drop("score", "accepted").toDF(*docs.columns)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
-    found = score(pick(docs, "doc_id", "text", "n_chars"), fit(docs, labels))
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), F.col("__accepted").cast("int").alias("predicted"))
+    docs = pick(docs, "doc_id", "text", "n_chars")
+    found = score(docs, fit(docs, labels))
+    doc_id = F.col(place_of(docs, "doc_id"))
+    return found.select(doc_id.alias("doc_id"), held_out(doc_id).alias("held_out"), "score", F.col("accepted").cast("int").alias("predicted"))

@@ -90,6 +90,8 @@ def encoder(path: str):
         spec = json.load(f)
     split = spec.get("pre_tokenizer") or {}
     plain = spec["model"]["type"] == "BPE" and not spec.get("normalizer") and not spec["model"].get("dropout") and not spec["model"].get("ignore_merges")
+    results = [spec["model"]["vocab"].get("".join(m if isinstance(m, list) else m.split(" "))) for m in spec["model"].get("merges", ())]
+    plain = plain and None not in results and all(map(int.__lt__, results, results[1:]))  # merges are in the order of their ids
     added = all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in spec["added_tokens"])
     if plain and added and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space"):
         return ByteLevel(path, spec)
