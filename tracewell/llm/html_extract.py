@@ -4,16 +4,20 @@ A wrapper is a union-free regular expression over a host's token streams, writte
 parts of an element are a sequence of elements and text slots, each of which may be optional or
 repeated. Pages are aligned with it one after another: parts that only one side has become optional,
 runs of equal parts become one repeated part (or a repeated group of up to three), and a text that
-differs becomes a slot. Aligning two wrappers works like aligning a page, so tasks infer partial
-wrappers of the pages they read, and partial wrappers of a host are aligned in two rounds (by host
-and one of ``SPREAD`` parts, then by host): no task ever holds the pages of a host.
+differs becomes a slot. Aligning two wrappers works like aligning a page.
+
+The order of alignment is fixed by the pages alone, so another partitioning gives the same wrappers: pages of
+equal shape are taken together first (their slots' counts add up), shapes are dealt to buckets by their
+digests, about ``FAN`` to a bucket, and aligned in the order of digests; the buckets' wrappers are
+aligned again, ``FAN`` at a time, until a host has one. Tasks read the sorted rows as a stream and hold
+one wrapper, whatever a host's size.
 
 Each slot counts its characters. The main part of a host is its article or main element with the
-most slot text, or without one the innermost part that holds most of the varying text. Each page's
-text is then read from the parts at that place, without menus, headers, footers, side bars, notices,
-adverts, forms, scripts, styles and comments, and, where no article element marks the main part,
+most varying slot text, or without one the innermost part, not repeated, that holds most of the varying
+text. Each page's text is then read from the parts at that place, without menus, headers, footers, side bars,
+notices, adverts, forms, scripts, styles and comments, and, where no article element marks the main part,
 without texts that never vary over the host's pages. Those are counted by host, place and digest over
-all pages, outside the wrapper, whose width is bounded.
+all pages, outside the wrapper, whose width is bounded by taking parts together, never by leaving any out.
 """
 
 from __future__ import annotations
@@ -25,16 +29,20 @@ import re
 from collections import Counter
 from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, read, staged
+from .common import lookup, partitions, pick, read, staged
 
-SPREAD = 64
-#: A wrapper part keeps at most this many parts in sequence; equal ones beyond are merged.
+#: Shapes, or wrappers, that are aligned in one bucket.
+FAN = 64
+#: Beyond so many parts in sequence equal ones are merged, then ones of equal tags, then all.
 WIDTH = 64
+#: Shapes that a task holds before it passes them on.
+SHAPES = 2000
+#: Places and templates of up to so many characters in all are broadcast.
+BROADCAST = 16_000_000
 #: Elements nested deeper are read as parts of the one above them; their texts stay in place.
 DEEP = 100
 #: A text that never varied belongs to the template if so many pages showed it.
@@ -58,14 +66,16 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 APART = frozenset("nav header footer aside form script style noscript template button select option input head title menu dialog iframe svg".split())
 #: Elements that hold the page or its main part, whatever their class, id or role says.
 PAGE = frozenset("html body article main".split())
-#: Names of a class, id or role that mark such parts: alone, before a hyphen, or after ``PLACE``.
+#: Names of a class, id or role that mark such parts, alone or with words of ``PLACE`` only.
 APART_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent notice notices alert popup modal newsletter subscribe "
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside header footer comment comments disqus reply replies respond related share sharing social widget pagination pager toolbar search complementary contentinfo".split()
 )
-#: What may stand before such a name, and what makes it a state of the page instead.
-PLACE = frozenset("site main page post entry article blog top bottom left right primary secondary global local sub mobile user wp js the google".split())
-STATE = frozenset("open opened closed on off enabled disabled active inactive visible hidden shown fixed sticky collapsed expanded allowed layout less free".split())
+#: What may stand beside such a name; any other word makes it another thing's name or a state of the page.
+PLACE = frozenset(
+    "site main page post posts entry article articles blog top bottom left right primary secondary global local sub mobile user wp js the google "
+    "wrapper wrap container box block list section area bar panel item items inner outer content region slot unit button buttons link links signup stories".split()
+)
 #: An element holds most of another one's text from this share on.
 MOST = 0.7
 #: Start tags that end an open element of the same set in the same parent.
@@ -120,11 +130,9 @@ def tree(page: str | None) -> list:
 
 
 def marks(name: str) -> bool:
-    """Whether a class, id or role names a part that is left out: ``sidebar-left`` and ``site-footer`` do, ``has-sidebar`` and ``comments-open`` do not."""
-    words = _hint.findall(name)
-    while words and words[0] in PLACE:
-        del words[0]
-    return bool(words) and words[0] in APART_WORDS and not STATE & set(words[1:])
+    """Whether a class, id or role names a part that is left out: ``sidebar-left`` and ``site-footer`` do, ``has-sidebar``, ``share-price`` and ``comments-open`` do not."""
+    words = [w for w in _hint.findall(name) if w not in PLACE]
+    return bool(words) and all(w in APART_WORDS for w in words)
 
 
 @lru_cache(4096)
@@ -133,41 +141,55 @@ def apart(key: str) -> bool:
     return tag in APART or (tag not in PAGE and any(map(marks, names)))
 
 
-# A wrapper part is [key, repeated, optional, characters, constant text or None, parts, pages that showed it, at least]; the key of a text slot is "#".
+# A wrapper part is [key, repeated, optional, characters, digest of a constant text or None, parts, pages that showed it, at least]; the key of a text slot is "#".
+# Numbers in keys are taken as equal. "div *" stands for a div of any class, id or role, "*" for any element.
 
 
 def digest(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(errors="surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
+@lru_cache(4096)
+def plain(key: str) -> str:
+    return _digits.sub("0", key)
+
+
 def part_of(node) -> list | None:
     if isinstance(node, str):
         text = _space.sub(" ", node).strip()
-        return ["#", 0, 0, len(text), text if len(text) <= 200 else f"#{digest(text)}", [], 1] if text else None
-    return [node[0], 0, 0, 0, None, narrowed(folded([p for p in map(part_of, node[1]) if p])), 1]
+        return ["#", 0, 0, len(text), digest(text), [], 1] if text else None
+    return [plain(node[0]), 0, 0, 0, None, narrowed(folded([p for p in map(part_of, node[1]) if p])), 1]
+
+
+def shape_of(part: list) -> int:
+    """A digest of what a wrapper is without its counts and texts, not negative."""
+
+    def walk(p: list) -> str:
+        return f"{p[0]}|{p[1]}{p[2]}({','.join(map(walk, p[5]))})"
+
+    return digest(walk(part)) >> 1 & (1 << 62) - 1
+
+
+def merged(parts: list) -> list:
+    """``parts`` with those of equal keys taken together, in the order of the first ones."""
+    first: dict[str, list] = {}
+    for p in parts:
+        first[p[0]] = aligned_part(first[p[0]], p, max) if p[0] in first else p
+    return list(first.values())
 
 
-def size(part: list) -> int:
-    """Characters of the texts in a part, without parts that are left out."""
-    return part[3] if part[0] == "#" else 0 if apart(part[0]) else sum(map(size, part[5]))
+def widened(parts: list, by_tag: bool) -> list:
+    return [p if p[0] == "#" else [f"{p[0].split(' ', 1)[0]} *" if by_tag and p[0] != "*" else "*", *p[1:]] for p in parts]
 
 
 def narrowed(parts: list) -> list:
-    """``parts``, with equal ones taken together if there are more than ``WIDTH``; of very many, those with most text."""
+    """``parts``, with equal ones taken together if there are more than ``WIDTH``, then those of equal tags, then all elements."""
     if len(parts) <= WIDTH:
         return parts
-    first: dict[str, int] = {}
-    kept: list = []
-    for p in parts:
-        if p[0] in first:
-            kept[first[p[0]]] = aligned_part(kept[first[p[0]]], p, max)
-        else:
-            first[p[0]] = len(kept)
-            kept.append(p)
-    if len(kept) > 4 * WIDTH:
-        most = sorted(range(len(kept)), key=lambda i: (-size(kept[i]), i))[:WIDTH]
-        kept = [kept[i] for i in sorted(most)]
-    return kept
+    out = merged(parts)
+    if len(out) > WIDTH:
+        out = merged(widened(out, True))
+    return out if len(out) <= WIDTH else merged(widened(out, False))
 
 
 def folded(parts: list) -> list:
@@ -200,6 +222,10 @@ def aligned(a: list, b: list, pages=int.__add__) -> list:
     """One sequence of parts that both sequences match: common parts in order, the rest optional."""
     if [p[0] for p in a] == [p[0] for p in b]:
         return [aligned_part(x, y, pages) for x, y in zip(a, b, strict=True)]
+    if any(p[0] == "*" for p in (*a, *b)):
+        a, b = merged(widened(a, False)), merged(widened(b, False))
+    elif any(p[0].endswith(" *") for p in (*a, *b)):
+        a, b = merged(widened(a, True)), merged(widened(b, True))
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
@@ -245,20 +271,20 @@ def main_place(wrapper: list, pages: int) -> dict:
         if path and out(part, at):
             return
         if part[0].split(" ")[0] in ("article", "main") or "main" in part[0].split(" ")[1:]:
-            marked.append((sum(size_of(p, below(at, p[0])) for p in part[5]), path))
+            marked.append(((sum(held(p, below(at, p[0])) for p in part[5]), sum(size_of(p, below(at, p[0])) for p in part[5])), path))
             return
         for p in part[5]:
             if p[0] != "#":
                 look(p, [*path, p[0]], below(at, p[0]), marked)
 
-    marked: list[tuple[int, list[str]]] = []
+    marked: list[tuple[tuple[int, int], list[str]]] = []
     look(wrapper, [], "", marked)
     whole, at, path = all_held(wrapper), wrapper, ""
     while whole and (inner := max((p for p in at[5] if p[0] != "#"), key=all_held, default=None)) and all_held(inner) >= MOST * whole:
         at, path = inner, below(path, inner[0])
         if apart(inner[0]):
             kept.add(path)
-    if kept and not any(n for n, _ in marked):
+    if kept and not any(n[1] for n, _ in marked):
         marked.clear()
         look(wrapper, [], "", marked)
     if marked:
@@ -277,9 +303,12 @@ def below(path: str, key: str) -> str:
 
 
 def nodes_at(root: list, path: list[str]) -> list[list]:
+    def fits(key: str, name: str) -> bool:
+        return key == "*" or plain(name) == key or (key.endswith(" *") and name.split(" ", 1)[0] == key[:-2])
+
     found = [root]
     for key in path:
-        found = [p for n in found for p in n[1] if not isinstance(p, str) and p[0] == key]
+        found = [p for n in found for p in n[1] if not isinstance(p, str) and fits(key, p[0])]
     return found
 
 
@@ -293,7 +322,7 @@ def slotted(root: list):
     def walk(node: list, path: str, tags: str, beside: str):
         slots = None
         parts = node[1]
-        keys = [None if isinstance(p, str) else _digits.sub("0", p[0]) for p in parts]
+        keys = [None if isinstance(p, str) else plain(p[0]) for p in parts]
         after: list = [""] * len(parts)  # the next other key of each element
         run, following = "", ""
         for i in range(len(parts) - 1, -1, -1):
@@ -330,11 +359,11 @@ def text_of(node: list, path: str = "", kept: frozenset[str] = frozenset()) -> s
         for p in n[1]:
             if isinstance(p, str):
                 blocks[-1].append(p)
-            elif not apart(p[0]) or (kept and below(path, p[0]) in kept):
+            elif not apart(p[0]) or (kept and below(path, plain(p[0])) in kept):
                 inline = p[0].split(" ", 1)[0] in INLINE
                 if not inline:
                     blocks.append([])
-                walk(p, below(path, p[0]))
+                walk(p, below(path, plain(p[0])))
                 if not inline:
                     blocks.append([])
 
@@ -358,7 +387,7 @@ def main_text(page: str | None, place: dict | None, template: frozenset[int] = f
             return text
         if template:
             root = tree(page)
-    return at(main_place([root[0], 0, 0, 0, None, folded([p for p in map(part_of, root[1]) if p]), 1], 1))
+    return at(main_place(part_of(root), 1))
 
 
 def host_of(url):
@@ -366,38 +395,85 @@ def host_of(url):
 
 
 def wrappers(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, place, marked): where each host's main text stands, from all its pages, and whether an element marks it."""
+    """(host, pages, wrapper): the wrapper of each host's pages as JSON; the same for any partitioning of ``pages``."""
     rows = pick(pages, url=url_col, html=html_col).select(host_of(F.col("url")).alias("host"), "html")
+    kind = "host string, bucket long, shape long, pages long, wrapper string"
+
+    def batch_of(found: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], ["host", "bucket", "shape", "pages", "wrapper"])
+
+    def shapes(batches):
+        held: dict[tuple[str, int], list] = {}
+
+        def passed_on():
+            yield batch_of([(host, 0, shape, n, json.dumps(part)) for (host, shape), (n, part) in held.items()])
+            held.clear()
 
-    def infer(batches):
-        held: dict[str, list] = {}
         for batch in batches:
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
                 part = part_of(tree(page.as_py()))
-                if host in held:
-                    held[host] = [held[host][0] + 1, aligned_part(held[host][1], part)]
-                else:
-                    held[host] = [1, part]
+                key = host, shape_of(part)
+                held[key] = [held[key][0] + 1, aligned_part(held[key][1], part)] if key in held else [1, part]
+                if len(held) >= SHAPES:
+                    yield from passed_on()
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([v[0] for v in held.values()], pa.int64()), pa.array([json.dumps(v[1]) for v in held.values()])], ["host", "pages", "wrapper"])
+            yield from passed_on()
+
+    def align(batches):
+        """Rows come sorted by host, bucket and shape; one row leaves for each host and bucket."""
+        group, shape, pages, whole, same, out = None, None, 0, None, None, []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("host", "bucket", "shape", "pages", "wrapper")), strict=True):
+                part = json.loads(row[4])
+                if row[:2] != group:
+                    if group is not None:
+                        whole = same if whole is None else aligned_part(whole, same)
+                        out.append((*group, group[1], pages, json.dumps(whole)))
+                    group, shape, pages, whole, same = row[:2], row[2], 0, None, part
+                elif row[2] == shape:
+                    same = aligned_part(same, part)
+                else:
+                    whole = same if whole is None else aligned_part(whole, same)
+                    shape, same = row[2], part
+                pages += row[3]
+            if len(out) >= 256:
+                yield batch_of(out)
+                out = []
+        if group is not None:
+            whole = same if whole is None else aligned_part(whole, same)
+            yield batch_of([*out, (*group, group[1], pages, json.dumps(whole))])
+
+    def round_of(rows: DataFrame, keys: list[str]) -> DataFrame:
+        spread = rows.repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions("host", "bucket", "shape")
+        return spread.select("host", "bucket", "shape", "pages", "wrapper").mapInArrow(align, kind)
+
+    partial = staged(rows.mapInArrow(shapes, kind), "page-shapes")
+    counted = partial.select("host", "shape").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    bits = staged(counted.select("host", "n", F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / FAN))).cast("int").alias("bits")), "page-hosts")
+    left = bits.agg(F.max("bits")).first()[0] or 0
+    # equal shapes first, one row of each, so that a bucket holds as many rows as shapes
+    now = round_of(partial.withColumn("bucket", F.col("shape")), ["host", "shape"])
+    now = lookup(now, bits, ["host"], "n").withColumn("bucket", F.expr("shiftright(shape, 62 - bits)"))
+    step = FAN.bit_length() - 1
+    while True:
+        now = round_of(now, ["host", "bucket"])
+        if left <= 0:
+            return now.select("host", "pages", "wrapper")
+        left -= step
+        now = lookup(staged(now, "page-wrappers"), bits, ["host"], "n").withColumn("bucket", F.expr(f"shiftright(bucket, least({step}, greatest(0, bits)))"))
+        bits = bits.withColumn("bits", F.col("bits") - step)
 
-    def align(group: pd.DataFrame) -> pd.DataFrame:
-        out = None
-        for text in sorted(group["wrapper"]):
-            part = json.loads(text)
-            out = part if out is None else aligned_part(out, part)
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "pages": [group["pages"].sum()], "wrapper": [json.dumps(out)]})
 
-    kind = "host string, pages long, wrapper string"
-    partial = rows.mapInArrow(infer, kind).withColumn("spread", F.pmod(F.xxhash64("wrapper"), F.lit(SPREAD)))
-    whole = partial.groupBy("host", "spread").applyInPandas(align, kind).groupBy("host").applyInPandas(align, kind)
+def places_of(found: DataFrame) -> DataFrame:
+    """(host, pages, place, marked): where each host's main text stands, by its wrapper, and whether an element marks it."""
 
     def place(batches):
         for batch in batches:
             found = [main_place(json.loads(w), n) for w, n in zip(batch.column("wrapper").to_pylist(), batch.column("pages").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(map(json.dumps, found), pa.string()), pa.array([f["marked"] for f in found], pa.bool_())], ["host", "place", "marked"])
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("pages"), pa.array(map(json.dumps, found), pa.string()), pa.array([f["marked"] for f in found], pa.bool_())], ["host", "pages", "place", "marked"])
 
-    return whole.mapInArrow(place, "host string, place string, marked boolean")
+    return found.mapInArrow(place, "host string, pages long, place string, marked boolean")
 
 
 def templates(rows: DataFrame) -> DataFrame:
@@ -433,17 +509,22 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     """One row per row of ``pages``: page_id, url, text, n_chars.
 
     A null html counts as empty and gives an empty text; pages without a host in their url share the
-    host ''. Repeated rows are extracted alike. An empty table gives no rows. A page on which the
-    host's place is missing or empty is read by a wrapper of its own.
+    host ''. Repeated rows are extracted alike, and null or repeated ids do not matter. An empty table gives no
+    rows. Extra columns, whatever their names, are not read. A page on which the host's place is missing or
+    empty is read by a wrapper of its own. Reruns and other partitionings give the same texts.
     """
     rows = pick(pages, page_id=id_col, url=url_col, html=html_col).withColumn("host", host_of(F.col("url")))
-    places = staged(wrappers(pages, url_col=url_col, html_col=html_col), "places")
-    unmarked = places.where("NOT marked").select("host")
+    places = staged(places_of(wrappers(pages, url_col=url_col, html_col=html_col)), "places")
+    unmarked = places.where("NOT marked").select("host", "pages")
     if unmarked.isEmpty():
         places = places.withColumn("template", F.lit(None).cast("array<long>"))
     else:
-        places = places.join(templates(rows.join(unmarked, "host", "left_semi")), "host", "left").withColumn("template", F.when(~F.col("marked"), F.col("template")))
-    placed = rows.join(places, "host", "left").select("page_id", "url", "html", "place", "template")
+        found = templates(lookup(rows, unmarked, ["host"], "pages"))
+        places = staged(places.join(found, "host", "left").withColumn("template", F.when(~F.col("marked"), F.col("template"))), "placed")
+    places = places.select("host", "pages", "place", "template")
+    size = places.agg(F.sum(F.length("host") + F.length("place") + 8 * F.greatest(F.lit(0), F.size(F.coalesce("template", F.array().cast("array<long>")))))).first()[0] or 0
+    placed = rows.join(F.broadcast(places.drop("pages")), "host") if size <= BROADCAST else lookup(rows, places, ["host"], "pages")
+    placed = placed.select("page_id", "url", "html", "place", "template")
 
     def texts(batches):
         places: dict = {}
