@@ -4,9 +4,9 @@ Each text's digest, with the digest of the tokenizer file, is joined to the stor
 distinct texts that miss are encoded, and their counts are appended to the cache. Counts depend on
 every byte of a text, so its normal form is the text itself with null as empty.
 
-Texts move once, folded by digest before the shuffle, and only when they miss; what is joined back
-to the documents is digests and numbers. A digest that many documents share is a skewed join key on
-narrow rows, which adaptive execution splits.
+Texts move once, folded by digest before the shuffle; what is joined back to the documents is digests
+and numbers. The counts of digests that over a thousandth of the documents share are broadcast (fewer
+than a thousand), so no task gets all rows of a hot one.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pick, read, scratch_dir
+from .common import lookup, pick, read, scratch_dir, staged
 from .tokens import default_path, encoder, version
 
 CACHE = T.StructType([T.StructField("content", T.BinaryType()), T.StructField("tokenizer", T.StringType()), T.StructField("n_tokens", T.LongType())])
@@ -37,7 +37,7 @@ def token_counts(docs: DataFrame, cache_path: str, *, tokenizer: str | None = No
 
     Null texts count as empty (0 tokens). Rows may repeat and ids may be null: counts follow the
     text alone. An empty table gives no rows and leaves the cache as it was. Two runs that append
-    the same digest agree on its count, and readers take it once.
+    the same digest agree on its count, and readers take it once. Extra columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
     tokenizer = tokenizer or default_path()
@@ -57,8 +57,9 @@ def token_counts(docs: DataFrame, cache_path: str, *, tokenizer: str | None = No
     misses.mapInArrow(encode, CACHE).write.mode("append").parquet(cache_path)
 
     counts = stored(spark, cache_path).where(F.col("tokenizer") == name).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
-    narrow = keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content")
-    return narrow.join(counts, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    narrow = staged(keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content"), "token-documents")
+    held = narrow.groupBy("content").agg(F.count(F.lit(1)).alias("n"))
+    return lookup(narrow, held.join(counts, "content"), ["content"], "n", narrow.count()).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
