@@ -55,6 +55,14 @@ def test_directory_splits_full_buckets(spark):
     assert exact_dedup.directory(entries, 1000, 16).select("depth").distinct().collect()[0][0] == 0
 
 
+def test_documents_are_routed_to_the_bucket_of_the_directory(spark):
+    texts = [f"text {i % 700}" for i in range(1000)] + ["hot"] * 500
+    rows = exact_dedup.exact_dedup(small(spark, texts), capacity=8).collect()
+    assert len(rows) == 1500 and len({r["bucket"] for r in rows}) > 60
+    assert all(r["keep_id"] == (r["doc_id"] % 700 if r["doc_id"] < 1000 else 1000) for r in rows)
+    assert [exact_dedup.depth_of(n, 1024) for n in (0, 10**6, 10**12)] == [3, 13, 20] and exact_dedup.depth_of(10**6, 128) == 16
+
+
 def test_exact_dedup_empty_and_table_form(spark):
     assert exact_dedup.exact_dedup(docs(spark).limit(0)).count() == 0
     table = spark.createDataFrame([(1, "a  b", "s"), (2, "a b", "s"), (3, "c", None), (3, "c", None)], "doc_id long, text string, source string")
@@ -447,6 +455,26 @@ def test_jaccard_against_brute_force(spark, monkeypatch, least):
     assert got == brute_components(rows)
 
 
+def test_blocks_of_lists_are_skipped_by_position(spark):
+    rng = random.Random(6)
+    rows = []
+    for token in range(30):
+        for c in range(40):
+            n = rng.choice([20, 40, 45, 100, 1000])
+            rows.append((token, c, n, rng.randint(1, jaccard_join.prefix_size(n)), c % 2 == 0))
+    table = spark.createDataFrame(rows, "token long, class long, n int, pos int, asks boolean").withColumn("band", F.floor(F.log("n") / F.log(F.lit(jaccard_join.BAND))).cast("int"))
+    table = table.withColumn("place", F.floor(F.lit(jaccard_join.POSITIONS) * F.col("pos") / F.col("n")).cast("int"))
+    pairs = jaccard_join.block_pairs(table).collect()
+    read = {tuple(r)[:5] for r in pairs if r["read"]}
+    assert 0 < len(read) < 0.8 * len(pairs)  # the rest of the blocks that a size band alone would read are skipped
+    placed = table.collect()
+    for x, y in itertools.product(placed, placed):
+        if x["token"] == y["token"] and x["asks"] and 5 * min(x["n"], y["n"]) >= 4 * max(x["n"], y["n"]):
+            room = min(x["pos"], y["pos"]) + min(x["n"] - x["pos"], y["n"] - y["pos"])
+            if 9 * room >= 4 * (x["n"] + y["n"]):
+                assert (x["token"], x["band"], x["place"], y["band"], y["place"]) in read
+
+
 def test_jaccard_awkward_rows(spark):
     rows = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs(spark)).collect()}
     assert {(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4), (6, 1, 4), (None, 1, 4), (7, 1, 7)} <= rows
@@ -504,6 +532,67 @@ def test_template_does_not_depend_on_how_many_pages_or_how_long_texts_are(spark)
     assert got(700) == want and got(20) == {i: want[i] for i in range(20)}
 
 
+def extracted(spark, rows, partitions=None):
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, HTML string, host string, place string")
+    found = html_extract.extract(table.repartition(partitions, "page_id") if partitions else table).collect()
+    assert len(found) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in found)
+    return {r["page_id"]: r["text"] for r in found}
+
+
+def test_names_that_only_hold_a_marking_word_stay(spark):
+    main = '<main><section id="share-price">Shares of {0} rose</section><div class="notice-period">{0} days</div><div class="post post-with-comments">{0} more</div><div class="sidebar-left">side</div><div id="related-posts">more</div></main>'
+    rows = [(i, f"http://h.example/{i}", main.format(f"N{i}"), "x", "x", "x") for i in range(4)]
+    assert extracted(spark, rows) == {i: f"Shares of N{i} rose N{i} days N{i} more" for i in range(4)}
+
+
+def generated_host(rng, host, marked, pages):
+    """(rows, texts): pages of one layout with repeated paragraphs, optional parts and boilerplate in and around the main part"""
+    word = [f"w{i}" for i in range(900)]
+    said = lambda n: " ".join(rng.choices(word, k=n))
+    top, notice, end = said(6), said(rng.choice([8, 60])), said(5)
+    rows, texts = [], {}
+    for i in range(pages):
+        blocks = [said(5)] + [said(rng.randint(20, 60)) for _ in range(rng.randint(3, 7))]
+        body = f"<h2>{blocks[0]}</h2>" + "".join(f"<p>{b}</p>" for b in blocks[1:])
+        if i % 3 == 0:
+            quote = said(9)
+            body += f"<blockquote>{quote}</blockquote>"
+            blocks.append(quote)
+        body += "" if marked else f'<p class="legal">{notice}</p>'
+        main = f"<article>{body}</article>" if marked else f'<div class="y">{body}</div>'
+        html = f'<html><body><nav><a href="/">{said(2)}</a></nav><div id="post-{i}"><div class="brand">{top}</div>{main}</div>' + (f"<aside>{said(4)}</aside>" if i % 2 else "") + f"<footer>{end}</footer></body></html>"
+        rows.append((host * 1000 + i, f"https://host{host}.example/{i}", html, None, "h", "p"))
+        texts[host * 1000 + i] = " ".join(blocks)
+    return rows, texts
+
+
+def test_generated_hosts_and_any_partitioning(spark, monkeypatch):
+    monkeypatch.setattr(html_extract, "FAN", 4)
+    monkeypatch.setattr(html_extract, "BROADCAST", 1000)
+    rng, rows, want = random.Random(9), [], {}
+    for host in range(6):
+        some, texts = generated_host(rng, host, host % 2, rng.choice([5, 12, 120]))
+        rows += some
+        want |= texts
+    rows.append((10**6, None, None, None, None, None))
+    want[10**6] = ""
+    for partitions in (None, 1, 2, 7, 31):
+        rng.shuffle(rows)
+        assert extracted(spark, rows, partitions) == want
+
+
+def test_wrappers_do_not_depend_on_the_order_of_pages(spark):
+    parts = ["<p>a</p>", "<ul><li>b</ul>", "<div>c</div>", "<h2>d</h2>", "<table><tr><td>e</table>"]
+    rng = random.Random(3)
+    rows = [(i, "http://h.example/x", "<body>" + "".join(rng.sample(parts, 3)) + "</body>", None, None, None) for i in range(12)]
+    found = set()
+    for turn in range(5):
+        rng.shuffle(rows)
+        table = spark.createDataFrame(rows, "page_id long, url string, html string, a string, b string, c string").repartition(1 + turn)
+        found.add(tuple(html_extract.wrappers(table).collect()))
+    assert len(found) == 1
+
+
 def test_deep_and_wide_pages():
     deep = html_extract.main_text("<article>" + "<div>" * 5000 + "in<nav>menu<b>x</b></nav> side" + "</div>" * 5000 + "<p>after</article><footer>f</footer>", None)
     assert deep == "in side after"

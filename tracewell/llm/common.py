@@ -80,10 +80,12 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, tota
     if total is None:
         total = table.agg(F.sum(weight)).first()[0] or 0
     is_hot = F.col(weight) * HOT_SHARE > total
-    hot = table.where(is_hot).drop(weight)
-    warm = rows.join(F.broadcast(hot), keys)
-    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.where(~is_hot).drop(weight), keys)
-    return warm.unionByName(cold)
+    added = [c for c in table.columns if c not in (*keys, weight)]
+    hot = F.broadcast(table.where(is_hot).select(*keys, F.struct(F.lit(True).alias("is_hot"), *added).alias("hot_row")))
+    marked = rows.join(hot, keys, "left")
+    warm = marked.where("hot_row IS NOT NULL").select(*rows.columns, *[F.col(f"hot_row.{c}").alias(c) for c in added])
+    cold = marked.where("hot_row IS NULL").drop("hot_row").join(table.where(~is_hot).drop(weight), keys)
+    return warm.unionByName(cold.select(*rows.columns, *added))
 
 
 def clear_scratch(spark: SparkSession) -> None:

@@ -5,10 +5,12 @@ that reach the threshold share a shingle among the first ``n - ceil(0.8 n) + 1``
 Prefix shingles are the index; an index list is kept in blocks by set size, and entries carry
 their position. Two relations between sets save work:
 
-* Index lists: a query reads only blocks whose sizes can match, and an entry at positions (i, j) is
-  skipped when min(i, j) + min(n - i, m - j) falls short of the overlap needed. Summed over lists,
+* Index lists: a list is kept in blocks by set size and position. What a block's smallest and largest
+  size, position and rest leave room for decides which pairs of blocks can hold a link; all other blocks are
+  skipped unread, and the rest are met by an equi-join on the block. Among their entries, one at positions (i, j)
+  is skipped when min(i, j) + min(n - i, m - j) falls short of the overlap needed. Summed over lists,
   common prefix shingles and last positions bound a pair's overlap again before any set is fetched.
-* Answers: equal sets are one class. Classes made up mostly of frequent shingles (groups of near
+* Answers: the answer to a set is its component, and equal sets are one class. Classes made up mostly of frequent shingles (groups of near
   copies) are first compared in blocks that share a min-hash of their frequent shingles. A set's
   answers then extend to the component found so far: in an index list only sets outside the list's
   largest component ask, and only sets of other components answer. So a group of n near copies costs
@@ -44,6 +46,8 @@ BLOCK = 1024
 #: Shingles a task counts at once.
 HELD = 4_000_000
 BAND = 1.25
+#: Blocks of positions that a list of whole sets would have; a prefix reaches into the first fifth of these.
+POSITIONS = 36
 SALTS = 64
 #: Texts of up to so many candidate sets are found by a broadcast of their ids, of more by a shuffle.
 FETCHED = 250_000
@@ -303,6 +307,23 @@ def postings(sets: DataFrame) -> DataFrame:
     return staged(spread.mapInArrow(lists, kind).dropDuplicates(["token", "class"]), "jaccard-lists")
 
 
+def block_pairs(rows: DataFrame) -> DataFrame:
+    """(token, band_a, place_a, band, place, read): pairs of a list's blocks of like size, and whether their bounds leave room for a link.
+
+    ``rows`` has token, band, place, n, pos and asks. The first block of a pair has entries that ask.
+    """
+    rest = F.col("n") - F.col("pos")
+    kept = rows.groupBy("token", "band", "place").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.max("pos").alias("pos"), F.max(rest).alias("rest"), F.max("asks").alias("asks")
+    )
+    near = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
+    ask = kept.where("asks").select("token", F.col("band").alias("band_a"), "place", "low", "high", "pos", "rest", near.alias("band"))
+    ask = ask.select("token", "band", "band_a", *(F.col(c).alias(f"{c}_a") for c in ("place", "low", "high", "pos", "rest")))
+    sizes = (5 * F.col("high_a") >= 4 * F.col("low")) & (5 * F.col("high") >= 4 * F.col("low_a"))
+    room = F.least("pos", "pos_a") + F.least("rest", "rest_a") >= F.ceil(F.lit(4) * (F.col("low") + F.col("low_a")) / F.lit(9))
+    return kept.join(ask, ["token", "band"]).select("token", "band_a", "place_a", "band", "place", (sizes & room).alias("read"))
+
+
 def candidates(lists: DataFrame, member: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): pairs of classes of different components whose prefixes leave room for a link."""
     blocks = blocked(sets).groupBy("class").agg(F.collect_set("g").alias("blocks"))
@@ -311,21 +332,22 @@ def candidates(lists: DataFrame, member: DataFrame, sets: DataFrame) -> DataFram
         .withColumn("component", F.coalesce("component", "class"))
         .join(blocks, "class", "left")
         .withColumn("band", F.floor(F.log("n") / F.log(F.lit(BAND))).cast("int"))
+        .withColumn("place", F.floor(F.lit(POSITIONS) * F.col("pos") / F.col("n")).cast("int"))
     )
     rows = staged(rows, "jaccard-entries")
     parts = rows.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
     largest = parts.groupBy("token").agg(F.max(F.struct("k", "component")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("token", F.col("m.component").alias("largest"))
-    open_rows = staged(rows.join(largest, "token"), "jaccard-open")
+    open_rows = staged(rows.join(largest, "token").withColumn("asks", F.col("component") != F.col("largest")), "jaccard-open")
     ask = (
-        open_rows.where("component <> largest")
-        .withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-        .select("token", "band", *(F.col(c).alias(f"{c}_a") for c in ("class", "n", "pos", "component", "blocks")))
+        open_rows.where("asks")
+        .select("token", F.col("band").alias("band_a"), F.col("place").alias("place_a"), *(F.col(c).alias(f"{c}_a") for c in ("class", "n", "pos", "component", "blocks")))
+        .join(block_pairs(open_rows).where("read").drop("read"), ["token", "band_a", "place_a"])
     )
-    answer = open_rows.select("token", "band", "largest", "class", "n", "pos", "component", "blocks")
+    answer = open_rows.select("token", "band", "place", "largest", "class", "n", "pos", "component", "blocks")
     together = F.coalesce(F.arrays_overlap("blocks", "blocks_a"), F.lit(False))  # compared in a block already
     needed = F.ceil(F.lit(4) * (F.col("n") + F.col("n_a")) / F.lit(9))
     room = F.least("pos", "pos_a") + F.least(F.col("n") - F.col("pos"), F.col("n_a") - F.col("pos_a"))
-    met = answer.join(ask, ["token", "band"]).where(
+    met = answer.join(ask, ["token", "band", "place"]).where(
         (F.col("component") != F.col("component_a"))
         & ((F.col("component") == F.col("largest")) | (F.col("class_a") < F.col("class")))
         & (5 * F.least("n", "n_a") >= 4 * F.greatest("n", "n_a"))
@@ -355,7 +377,8 @@ def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     needed = ends.select("component", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     routes = needed.select("component", F.xxhash64("component", "x", "y").alias("g"), F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
 
-    one = staged(sets.join(placed.select("class"), "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("__id")), "jaccard-wanted")
+    one = sets.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("__id"))  # before the join, so that a task sends a hot class once
+    one = staged(one.join(placed.select("class"), "class", "left_semi"), "jaccard-wanted")
     if one.count() <= FETCHED:
         one = F.broadcast(one)
 
@@ -384,12 +407,13 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     pairs = staged(candidates(postings(sets), components(blocks), sets), "jaccard-pairs")
     found = staged(verified(pairs, sets, texts), "jaccard-links")
     member = components(blocks.unionByName(found)).withColumnRenamed("id", "class")
-    classes = sets.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("smallest")).join(member, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    smallest = classes.groupBy("component").agg(F.min("smallest").alias("component_id"))
-    named = classes.select("class", "component").join(smallest, "component").select("class", "component_id")
-    return sets.select("doc_id", "class", "n").join(named, "class", "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
-    )
+    grouped = sets.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("smallest"), F.count(F.lit(1)).alias("rows"))
+    classes = staged(grouped.join(member, "class", "left").withColumn("component", F.coalesce("component", "class")), "jaccard-classes")
+    smallest = classes.groupBy("component").agg(F.min("smallest").alias("component_id"), F.count(F.lit(1)).alias("classes"))
+    named = lookup(classes.select("class", "component", "rows"), smallest, ["component"], "classes").drop("component")
+    narrow = sets.select("doc_id", "class", F.col("n").cast("long").alias("n_shingles"))
+    found = lookup(narrow.where("n_shingles > 0"), named, ["class"], "rows").select("doc_id", "n_shingles", "component_id")
+    return found.unionByName(narrow.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
@@ -404,3 +428,16 @@ def representatives(docs: DataFrame) -> DataFrame:
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s FROM w),
+n AS (SELECT doc_id, len(s) AS n FROM s),
+x AS (SELECT doc_id, unnest(s) AS x FROM s),
+common AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM x a JOIN x b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT u, v FROM common JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * k >= 80 * (a.n + b.n - k)),
+reached AS (SELECT u, v FROM links UNION SELECT r.u, l.v FROM reached r JOIN links l ON r.v = l.u),
+smallest AS (SELECT u, min(v) AS low FROM reached GROUP BY u)
+SELECT doc_id, n AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id FROM n LEFT JOIN smallest ON u = doc_id
+"""

@@ -7,13 +7,13 @@ _QUERIES = [
     (secret_scan.secret_base_spans, secret_scan.SQL),
     (language_id.op2_language_id, None),
     (quality.op3_quality, None),
-    (embedding_dedup.op4_embedding_dedup, None),
+    (embedding_dedup.op4_embedding_dedup, embedding_dedup.SQL),
     (packing.op5_packing, None),
     (token_counts.op6_token_counts, None),
     (mixing.op7_mixing, mixing.SQL),
     (html_extract.op8_html_extract, None),
     (exact_dedup.op9_exact_dedup, exact_dedup.SQL),
-    (jaccard_join.op10_jaccard_join, None),
+    (jaccard_join.op10_jaccard_join, jaccard_join.SQL),
 ]
 
 
