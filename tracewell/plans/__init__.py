@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import evidence, graph, relational, resolution, streaming, text
+from . import evidence, graph, records, relational, resolution, streaming, text
 
 
 def registered() -> dict:
     found: dict = {}
-    for module in (evidence, relational, text, resolution, graph, streaming):
+    for module in (evidence, records, relational, text, resolution, graph, streaming):
         found |= module.QUERIES
     return found
