@@ -5,14 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Reading order of protocol axes: pattern -> token, first match of an axis wins.
-PROTOCOL_AXES = (
-    (("sim:real", r"real[ -]?world|hardware"), ("sim:sim", r"simulat")),
-    (("clutter:pile", r"clutter|pile"), ("clutter:single", r"single|isolated")),
-    (("split:unseen", r"unseen|novel"), ("split:seen", r"\bseen\b|known")),
-)
-
-
 def slug(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.regexp_replace(name, r"^[^A-Za-z0-9]+", "")), "[^a-z0-9]+", "-"), F.lit("-"))
 
@@ -21,57 +13,24 @@ def compact(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), "[^a-z0-9]", "")
 
 
-def registry_key(name: Column) -> Column:
-    """Lower case without references, counts, brackets, percent signs and 'baseline(s)'; separators as one space."""
-    out = F.lower(name)
-    for pattern, new in ((r"\[\d+\]", " "), (r"\(n\s*=\s*\d+\)", " "), (r"[()%*]", " "), (r"[-_/]", " "), (r"\bbaselines?\b", " "), (r"\s+", " ")):
-        out = F.regexp_replace(out, pattern, new)
-    return F.trim(out)
-
-
-def clean_method(name: Column) -> Column:
-    """A method cell without citation marks, 'et al', daggers and an enumerated row prefix."""
-    out = name
-    for pattern in (r"\[[\d,\s]+\]", r"\bet al\.?", r"[†‡*]", r"^\s*\(?\d+[.)]\s*"):
-        out = F.regexp_replace(out, pattern, "")
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
-
-
-def parse_value(cell: Column) -> tuple[Column, Column, Column]:
-    """(value, deviation, unit) of a table cell; nulls where it holds no single number."""
-    text = F.regexp_replace(F.trim(cell), r"(\d)\s*\.\s*(\d)", "$1.$2")
-    none = F.lower(text).isin("", "-", "n/a", "na", "none", "nan")
-    head = F.trim(F.split(text, "±")[0])
-    many = F.size(F.regexp_extract_all(head, F.lit(r"(\d+(?:\.\d+)?)"), 1)) > 1
-    value = F.when(~none & ~many, F.expr("1")).cast("double") * F.regexp_extract(head, r"(-?\d+(?:\.\d+)?)", 1).try_cast("double")
-    deviation = F.regexp_extract(text, r"±\s*(\d+(?:\.\d+)?)", 1).try_cast("double")
-    return value, F.when(~none, deviation), F.when(text.contains("%"), F.lit("%"))
-
-
-def protocol(text: Column) -> Column:
-    """Tokens of the protocol axes that a header or caption names, in axis order."""
-    found = []
-    for axis in PROTOCOL_AXES:
-        hit = F.lit(None).cast("string")
-        for token, pattern in reversed(axis):
-            hit = F.when(F.lower(text).rlike(pattern), F.lit(token)).otherwise(hit)
-        found.append(hit)
-    return F.array_compact(F.array(*found))
-
-
 def sentences(text: Column) -> Column:
     """Cut after . ! or ? before white space and a capital."""
     return F.split(text, r"(?<=[.!?])\s+(?=[A-Z])")
 
 
 def stem(word: Column) -> Column:
+    """The word without a common English ending, where enough of it is left."""
     n = F.length(word)
+
+    def without(k: int) -> Column:
+        return F.left(word, n - k)
+
     return (
-        F.when(word.endswith("ing") & (n > 6), F.expr("left(w, length(w) - 3)"))
-        .when(word.endswith("ies") & (n > 5), F.expr("left(w, length(w) - 3) || 'y'"))
-        .when(word.endswith("ed") & (n > 5), F.expr("left(w, length(w) - 2)"))
-        .when(word.endswith("es") & (n > 4), F.expr("left(w, length(w) - 2)"))
-        .when(word.endswith("s") & (n > 4) & ~word.endswith("ss"), F.expr("left(w, length(w) - 1)"))
+        F.when(word.endswith("ing") & (n > 6), without(3))
+        .when(word.endswith("ies") & (n > 5), F.concat(without(3), F.lit("y")))
+        .when(word.endswith("ed") & (n > 5), without(2))
+        .when(word.endswith("es") & (n > 4), without(2))
+        .when(word.endswith("s") & (n > 4) & ~word.endswith("ss"), without(1))
         .otherwise(word)
     )
 

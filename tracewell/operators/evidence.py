@@ -128,7 +128,7 @@ def nearest_cells(found: DataFrame, metric: str, condition: str) -> DataFrame:
 
 def coverage_gaps(records: DataFrame, least: int = 2) -> DataFrame:
     """Cells that fewer than ``least`` methods report."""
-    return records.groupBy("paper", *CELL).agg(F.countDistinct("method").alias("n_methods")).where(F.col("n_methods") < least)
+    return records.groupBy(*CELL).agg(F.countDistinct("method").alias("n_methods")).where(F.col("n_methods") < least)
 
 
 def faceted_filter(records: DataFrame, chosen: dict[str, list[str]]) -> DataFrame:

@@ -18,23 +18,30 @@ def split_values(cell: Column) -> Column:
 
 
 def smart_split(cell: Column) -> Column:
-    """Comma split in which quotes protect commas; trimmed, empties dropped."""
-    parts = F.transform(F.regexp_extract_all(cell, F.lit(r'("[^"]*"|[^,]+)'), 1), lambda p: F.trim(F.regexp_replace(F.trim(p), '^"|"$', "")))
-    return F.filter(parts, lambda p: p != "")
+    """Comma split as of a CSV line: quotes protect commas, doubled quotes stand for one, blanks before a quote and text after it are allowed; trimmed, empties dropped."""
+    parts = F.regexp_extract_all(cell, F.lit(r'(?:^|,) *("(?:[^"]|"")*"[^,]*|[^,]*)'), 1)
+    quoted = r'(?s)^"((?:[^"]|"")*)"(.*)$'
+    plain = F.transform(parts, lambda p: F.trim(F.when(p.rlike(quoted), F.concat(F.regexp_replace(F.regexp_extract(p, quoted, 1), '""', '"'), F.regexp_extract(p, quoted, 2))).otherwise(p)))
+    return F.filter(plain, lambda p: p != "")
 
 
 def filter_and_count(df: DataFrame, filters: dict[str, str]) -> DataFrame:
     """Rows whose columns contain every pattern, without regard to case; unknown columns are ignored."""
-    tests = [F.lower(F.col(c)).rlike(p.lower()) for c, p in filters.items() if c in df.columns]
+    tests = [F.col(c).rlike(f"(?i){p}") for c, p in filters.items() if c in df.columns]
     return df.where(reduce(lambda a, b: a & b, tests, F.lit(True)))
 
 
 def attribute_filter(df: DataFrame, query: str, columns: tuple[str, ...], least: int = 2) -> DataFrame:
-    """Rows that have a value named in the query: OR in a column, AND across columns that are named at all."""
-    named = [F.lit(query.lower()).contains(F.lower(F.col(c))) for c in columns]
-    seen = df.agg(*[F.coalesce(F.bool_or(n), F.lit(False)).alias(f"c{i}") for i, n in enumerate(named)]).first()  # one row
-    active = [n for i, n in enumerate(named) if seen[f"c{i}"]]
-    return df.where(reduce(lambda a, b: a & b, active)) if active else df.limit(0)
+    """Rows that have a value named in the query: OR in a column, AND across columns that are named at all; none if fewer than ``least``.
+
+    Which columns are named and how many rows match are one row each, joined by a broadcast.
+    """
+    named = [F.coalesce(F.lit(query.lower()).contains(F.lower(F.col(c))), F.lit(False)) for c in columns]
+    seen = df.agg(*[F.coalesce(F.bool_or(n), F.lit(False)).alias(f"named_{i}") for i, n in enumerate(named)])
+    fits = reduce(lambda a, b: a & b, [n | ~F.col(f"named_{i}") for i, n in enumerate(named)])
+    some = reduce(lambda a, b: a | b, [F.col(f"named_{i}") for i in range(len(columns))])
+    kept = df.crossJoin(F.broadcast(seen)).where(some & fits).select(*df.columns)
+    return kept.crossJoin(F.broadcast(kept.agg(F.count(F.lit(1)).alias("n_matches")))).where(F.col("n_matches") >= least).drop("n_matches")
 
 
 def structured_matches(df: DataFrame, query: str, columns: tuple[str, ...]) -> DataFrame:

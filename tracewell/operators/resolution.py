@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import text as X
+from ..functions import labels as L
 
 
 def resolve_methods(mentions: DataFrame, registry: DataFrame) -> DataFrame:
@@ -15,8 +16,8 @@ def resolve_methods(mentions: DataFrame, registry: DataFrame) -> DataFrame:
     Each step is an equi-join on what the step compares; for containment both sides are met by the words of the registry name.
     Only mentions that a step leaves open go on.
     """
-    known = registry.select("method", X.registry_key(F.col("name")).alias("key")).groupBy("key").agg(F.min("method").alias("method"))
-    asked = mentions.select("mention").distinct().withColumn("key", X.registry_key(F.col("mention")))
+    known = registry.select("method", L.registry_key(F.col("name")).alias("key")).groupBy("key").agg(F.min("method").alias("method"))
+    asked = mentions.select("mention").distinct().withColumn("key", L.registry_key(F.col("mention")))
     exact = asked.join(known, "key").select("mention", "method", F.lit("exact").alias("how"))
     rest = asked.join(exact, "mention", "left_anti")
     tight = known.withColumn("tight", F.regexp_replace("key", " ", "")).where(F.length("tight") >= 5).groupBy("tight").agg(F.min("method").alias("method"))
@@ -64,17 +65,35 @@ def ungrounded_numbers(answer: Column, evidence: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.array_except(numbers(answer), numbers(evidence)), lambda x: ~exempt(x))))
 
 
+def shortened(words: DataFrame, word: str, most: Column) -> DataFrame:
+    """``words`` with each string (``key``) that up to ``most`` deletions, three at most, leave of them; its own too."""
+    level = words.withColumn("key", F.col(word)).withColumn("gone", F.lit(0))
+    every = level
+    for n in range(1, 4):
+        places = F.sequence(F.lit(1), F.length("key"))
+        cuts = F.transform(places, lambda i: F.concat(F.substring(F.col("key"), F.lit(1), i - 1), F.substring(F.col("key"), i + 1, F.length("key"))))
+        level = level.where((most >= n) & (F.length("key") > 0)).withColumn("key", F.explode(F.array_distinct(cuts))).withColumn("gone", F.lit(n)).distinct()
+        every = every.unionByName(level)
+    return every.drop("gone").distinct()
+
+
 def corrected(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(word, fixed): the closest vocabulary word within 1, 2 or 3 edits for words up to 4, 7 or more letters.
+    """(word, fixed, distance): the closest vocabulary word within 1, 2 or 3 edits for words up to 4, 7 or more letters.
 
-    Candidates are met by length (within the edits) and first letter; ties go to the smaller word.
+    Words within k edits share a string that k deletions or fewer leave of both, on which they meet; the exact
+    distance is checked after. Ties go to the smaller word. Words of the vocabulary are left alone; capitals are restored.
     """
-    edits = F.when(F.length("word") <= 4, 1).when(F.length("word") <= 7, 2).otherwise(3)
-    w = words.select("word").distinct().withColumn("edits", edits).withColumn("n", F.explode(F.sequence(F.length("word") - F.col("edits"), F.length("word") + F.col("edits"))))
-    v = vocabulary.select(F.col("word").alias("known")).distinct()
-    met = w.withColumn("initial", F.substring("word", 1, 1)).join(v.withColumn("n", F.length("known")).withColumn("initial", F.substring("known", 1, 1)), ["n", "initial"])
-    near = met.withColumn("distance", F.levenshtein("word", "known")).where("distance <= edits")
-    return near.groupBy("word").agg(F.min(F.struct("distance", "known")).alias("m")).select("word", F.col("m.known").alias("fixed"), F.col("m.distance").alias("distance"))
+    edits = F.when(F.length("low") <= 4, 1).when(F.length("low") <= 7, 2).otherwise(3)
+    v = vocabulary.select(F.lower("word").alias("known")).distinct()
+    w = words.select("word", F.lower("word").alias("low")).distinct().withColumn("edits", edits).join(v, F.col("low") == F.col("known"), "left_anti")
+    met = shortened(w, "low", F.col("edits")).join(shortened(v, "known", F.lit(3)), "key").where(F.abs(F.length("low") - F.length("known")) <= F.col("edits")).select("word", "low", "edits", "known").distinct()
+    near = met.withColumn("distance", F.levenshtein("low", "known")).where("distance <= edits")
+    best = near.groupBy("word").agg(F.min(F.struct("distance", "known")).alias("m"))
+    rest = F.substring(F.col("word"), F.lit(2), F.length("word"))
+    title = (F.length("word") > 1) & (F.substring("word", 1, 1) == F.upper(F.substring("word", 1, 1))) & (rest == F.lower(rest))
+    capital = (F.length("word") > 1) & (F.col("word") == F.upper("word"))
+    fixed = F.when(title, F.concat(F.upper(F.substring("m.known", 1, 1)), F.substring(F.col("m.known"), F.lit(2), F.length("m.known")))).when(capital, F.upper("m.known")).otherwise(F.col("m.known"))
+    return best.select("word", fixed.alias("fixed"), F.col("m.distance").alias("distance"))
 
 
 def acronyms(docs: DataFrame) -> DataFrame:
@@ -96,21 +115,32 @@ def mentions(docs: DataFrame, aliases: DataFrame) -> DataFrame:
 def packed(chunks: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
     """Greedy packs of consecutive chunks of up to ``most`` tokens: (key, pack, first, last, tokens).
 
-    A document's chunk sizes are folded in one expression; the texts themselves do not move.
+    Sizes are sorted by document and read as a stream, in time linear in the chunks; texts do not move.
     """
-    rows = chunks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "tokens"))).alias("c"))
-    start = F.struct(F.array().cast("array<struct<first:int,last:int,tokens:int>>").alias("done"))
-
-    def step(acc, c):
-        last = F.try_element_at(acc["done"], F.lit(-1))
-        fits = (F.size(acc["done"]) > 0) & (F.coalesce(last["tokens"], F.lit(0)) + c["tokens"] <= most)
-        grown = F.struct(last["first"].alias("first"), c["seq"].alias("last"), (last["tokens"] + c["tokens"]).alias("tokens"))
-        new = F.struct(c["seq"].alias("first"), c["seq"].alias("last"), c["tokens"].alias("tokens"))
-        head = F.slice(acc["done"], 1, F.greatest(F.lit(0), F.size(acc["done"]) - 1))
-        return F.struct(F.when(fits, F.concat(head, F.array(grown))).otherwise(F.concat(acc["done"], F.array(new))).alias("done"))
-
-    folded = rows.select(key, F.aggregate("c", start, step)["done"].alias("packs"))
-    return folded.select(key, F.posexplode("packs").alias("pack", "p")).select(key, "pack", "p.first", "p.last", "p.tokens")
+    kind = dict(chunks.dtypes)[key]
+
+    def packs(batches):
+        now, out = None, []  # [key, pack, first, last, tokens]
+        for batch in batches:
+            for k, seq, tokens in zip(*(batch.column(c).to_pylist() for c in ("key", "seq", "tokens")), strict=True):
+                if now is not None and now[0] == k and now[4] + tokens <= most:
+                    now[3:] = [seq, now[4] + tokens]
+                else:
+                    if now is not None:
+                        out.append(now)
+                    now = [k, now[1] + 1 if now is not None and now[0] == k else 0, seq, seq, tokens]
+            if len(out) > 4096:
+                yield rows(out, batch.schema.field("key").type)
+                out = []
+        if now is not None:
+            yield rows([*out, now], batch.schema.field("key").type)
+
+    def rows(found, key_type):
+        kinds = (key_type, pa.int32(), pa.int32(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], [key, "pack", "first", "last", "tokens"])
+
+    sizes = chunks.select(F.col(key).alias("key"), F.col("seq").cast("int"), F.col("tokens").cast("int")).repartition("key").sortWithinPartitions("key", "seq")
+    return sizes.mapInArrow(packs, f"{key} {kind}, pack int, first int, last int, tokens int")
 
 
 def first_k(df: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:

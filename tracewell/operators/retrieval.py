@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
@@ -11,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Query vectors that tasks hold at once.
-QUERY_BLOCK = 4096
+#: Vectors of a block.
+BLOCK = 2048
 
 
 def equal_to(word: str):
@@ -60,47 +59,40 @@ def millionths(scores: np.ndarray) -> np.ndarray:
     return whole
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score, rank): each query's k most cosine-similar other vectors.
+def blocked(vectors: DataFrame, name: str, within: list[str]) -> DataFrame:
+    """(dim, within, name_block, name_ids, name_vectors): usable vectors in rows of about ``BLOCK``; null, zero and non-finite ones are left out."""
+    rows = vectors.select("vec_id", *within, F.col("embedding").cast("array<double>").alias("e")).where(F.exists("e", lambda x: x != 0) & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
+    n = rows.count()
+    return rows.groupBy(F.size("e").alias("dim"), *within, F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-n // BLOCK)))).alias(f"{name}_block")).agg(F.collect_list("vec_id").alias(f"{name}_ids"), F.flatten(F.collect_list("e")).alias(f"{name}_vectors"))
 
-    Queries go to the tasks in blocks of a fixed size; each task keeps its k best (by score as rounded, then id)
-    of a batch for each query of a block, and the final rank is over those. Null and zero vectors match nothing.
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, within: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, vec_id, score, rank): each query's k most cosine-similar other vectors of its length, with equal columns ``within``.
+
+    Queries and vectors are dealt to blocks of about ``BLOCK`` and met block by block in tasks, which keep the k best of a
+    block (by score as rounded, then id) for each query; the final rank is over those. Null, zero and non-finite vectors match nothing.
     """
-    n = queries.count()
-    blocks = max(1, math.ceil(n / QUERY_BLOCK))
-    rows = vectors.where("embedding IS NOT NULL").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    asked = queries.where("embedding IS NOT NULL").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    found = None
-    for block in range(blocks):
-        held = asked.where(F.col("block") == block).collect()  # about QUERY_BLOCK rows
-        if not held:
-            continue
-        ids = np.array([r["vec_id"] for r in held])
-        q = np.array([r["embedding"] for r in held])
-        q = q / np.maximum(np.linalg.norm(q, axis=1), 1e-300)[:, None]
-
-        def score(batches, ids=ids, q=q):
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own = batch.column("vec_id").to_numpy()
-                v = batch.column("embedding").flatten().to_numpy().reshape(len(own), -1)
+    pairs = blocked(queries, "query", list(within)).join(blocked(vectors, "other", list(within)), ["dim", *within]).repartition("query_block", "other_block")
+
+    def score(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                dim = batch.column("dim")[i].as_py()
+                ids, own = (np.array(batch.column(c)[i].values) for c in ("query_ids", "other_ids"))
+                q, v = (np.array(batch.column(c)[i].values).reshape(-1, dim) for c in ("query_vectors", "other_vectors"))
+                q, v = (x / np.abs(x).max(axis=1)[:, None] for x in (q, v))
+                q, v = (x / np.linalg.norm(x, axis=1)[:, None] for x in (q, v))
                 by_id = np.argsort(own, kind="stable")
                 own, v = own[by_id], v[by_id]
-                norm = np.linalg.norm(v, axis=1)
-                s = q @ (v / np.maximum(norm, 1e-300)[:, None]).T
-                s[:, norm == 0] = -2
-                s[ids[:, None] == own[None, :]] = -2
-                best = np.argsort(-millionths(s), axis=1, kind="stable")[:, :k]
-                row = np.repeat(np.arange(len(ids)), best.shape[1])
-                col = best.ravel()
-                good = s[row, col] > -2
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row[good]]), pa.array(own[col[good]]), pa.array(s[row[good], col[good]])], ["query_id", "vec_id", "score"])
-
-        part = rows.mapInArrow(score, "query_id long, vec_id long, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
+                for at in range(0, len(ids), 256):
+                    s = q[at : at + 256] @ v.T
+                    s[ids[at : at + 256, None] == own[None, :]] = -2
+                    best = np.argsort(-millionths(s), axis=1, kind="stable")[:, :k]
+                    row, col = np.repeat(np.arange(len(s)), best.shape[1]), best.ravel()
+                    good = s[row, col] > -2
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at + row[good]]), pa.array(own[col[good]]), pa.array(s[row[good], col[good]])], ["query_id", "vec_id", "score"])
+
+    found = pairs.mapInArrow(score, "query_id long, vec_id long, score double")
     return top_k(found.withColumn("score", F.round("score", 6)), k, ["query_id"], "vec_id")
 
 
@@ -120,10 +112,21 @@ def token_budget(ranked: DataFrame, budget: int, by: str) -> DataFrame:
 
 
 def suppress_near(chunks: DataFrame, prefix: int = 240) -> DataFrame:
-    """One chunk of those in a document whose normalised prefixes are equal: the best score, then the finer layer."""
+    """Chunks without those whose normalised prefix equals, contains or is contained in that of a better one of their document.
+
+    Better is a higher score, then a finer layer (fine, mid, coarse), then the first. Chunks without letters or digits
+    stay; prefixes of under five characters are only compared as a whole. Contained prefixes are met by their first
+    five characters, so a document's chunks are not compared all with all.
+    """
     norm = F.substring(F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")), 1, prefix)
-    best = W.partitionBy("doc_id", "norm").orderBy(F.desc("score"), F.desc("layer"), "seq")
-    return chunks.withColumn("norm", norm).withColumn("place", F.row_number().over(best)).where("place = 1").drop("place", "norm")
+    worth = F.struct(-F.col("score"), F.when(F.col("layer") == "fine", 0).when(F.col("layer") == "mid", 1).otherwise(2), F.col("seq"))
+    rows = chunks.select("doc_id", "seq", norm.alias("norm"), worth.alias("worth")).where("norm <> ''")
+    seeds = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("norm") - 4)), lambda i: F.substring(F.col("norm"), i, F.lit(5)))
+    offered = rows.withColumn("seed", F.explode(F.array_distinct(seeds)))
+    asked = rows.select("doc_id", F.substring("norm", 1, 5).alias("seed"), *(F.col(c).alias(f"own_{c}") for c in ("seq", "norm", "worth")))
+    met = offered.join(asked, ["doc_id", "seed"]).where((F.col("seq") != F.col("own_seq")) & ((F.col("norm") == F.col("own_norm")) | ((F.length("own_norm") >= 5) & F.col("norm").contains(F.col("own_norm")))))
+    lost = met.select("doc_id", F.when(F.col("worth") < F.col("own_worth"), F.col("own_seq")).otherwise(F.col("seq")).alias("seq")).distinct()
+    return chunks.join(lost, ["doc_id", "seq"], "left_anti")
 
 
 def tf_idf(rows: DataFrame, key: str, words: str) -> DataFrame:

@@ -87,7 +87,10 @@ QUERIES = {
         lambda s, d: E.nearest_cells(E.cells(E.leaderboard(results(s, d)), E.cross_validation(results(s, d)), E.pairwise_wins(results(s, d))), "PROMO", "a:o"),
         f"""WITH {BOARD} SELECT metric, condition, count(*) AS n_methods, CAST((split_part(condition, ':', 1) <> 'a') AS INT) + CAST((split_part(condition, ':', 2) <> 'o') AS INT) AS n_differing FROM board WHERE metric = 'PROMO' GROUP BY metric, condition""",
     ),
-    "ag_coverage_gaps": (lambda s, d: E.coverage_gaps(results(s, d), 12), f"WITH {RESULTS} SELECT paper, metric, condition, count(DISTINCT method) AS n_methods FROM results GROUP BY ALL HAVING count(DISTINCT method) < 12"),
+    "ag_coverage_gaps": (
+        lambda s, d: E.coverage_gaps(results(s, d).withColumn("condition", F.concat_ws(":", "condition", "paper", F.col("value").cast("int").cast("string")))),
+        f"WITH {RESULTS} SELECT metric, condition || ':' || paper || ':' || CAST(value AS INT) AS condition, count(DISTINCT method) AS n_methods FROM results GROUP BY ALL HAVING count(DISTINCT method) < 2",
+    ),
     "ft_faceted_filter": (
         lambda s, d: E.faceted_filter(results(s, d), CHOSEN).select("record_id", "metric", "condition"),
         f"WITH {RESULTS} SELECT record_id, metric, condition FROM results WHERE metric IN ('PROMO', 'SMALL') AND condition IN ('a:f', 'n:o')",

@@ -30,8 +30,7 @@ _REVENUE = "round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue"
 
 
 def grouping_sets(s, d):
-    star(s, d).createOrReplaceTempView("tracewell_star")
-    return s.sql("SELECT r_name, c_mktsegment, count(*) AS n FROM tracewell_star GROUP BY GROUPING SETS ((r_name), (c_mktsegment), ())")
+    return star(s, d).groupingSets([["r_name"], ["c_mktsegment"], []], "r_name", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
 
 
 def asof(s, d):
@@ -46,19 +45,24 @@ def theta(s, d):
     return R.band_join(table(s, d, "supplier").select("s_suppkey", "s_acctbal"), bands, "s_acctbal", "low", "high", 500).select("s_suppkey", "n_name")
 
 
+def _line():
+    """A cell as of a CSV line: a plain value, one with a comma in quotes and text after them, an empty one, doubled quotes."""
+    return F.concat("p_brand", F.lit(', "'), "p_type", F.lit(", "), "p_name", F.lit('" end, , "say ""'), "p_type", F.lit('"""'), F.when(F.col("p_size") % 2 == 0, ",  a  b ").otherwise(","))
+
+
 QUERIES = {
     "src_split_values": (
         lambda s, d: _cell(s, d).select("p_partkey", F.array_join(R.split_values(F.col("cell")), "|").alias("parts")),
         f"SELECT p_partkey, array_to_string(list_filter(list_transform(regexp_split_to_array({CELLS}, '[,;]|\\s+and\\s+'), lambda x: trim(x)), lambda x: lower(x) NOT IN ('nan', '', '-', 'n/a', 'none') AND length(x) > 1), '|') AS parts FROM part",
     ),
     "src_smart_split": (
-        lambda s, d: _cell(s, d).select("p_partkey", F.array_join(R.smart_split(F.col("cell")), "|").alias("parts"), F.array_join(F.array_sort(R.smart_split(F.col("cell"))), ", ").alias("canonical")),
-        f"""WITH p AS (SELECT p_partkey, list_filter(list_transform(regexp_extract_all({CELLS}, '("[^"]*"|[^,]+)', 1), lambda x: trim(regexp_replace(trim(x), '^"|"$', '', 'g'))), lambda x: x <> '') AS x FROM part)
+        lambda s, d: table(s, d, "part").select("p_partkey", R.smart_split(_line()).alias("x")).select("p_partkey", F.array_join("x", "|").alias("parts"), F.array_join(F.array_sort("x"), ", ").alias("canonical")),
+        """WITH p AS (SELECT p_partkey, [p_brand, p_type || ', ' || p_name || ' end', 'say "' || p_type || '"'] || CASE WHEN p_size % 2 = 0 THEN ['a  b'] ELSE [] END AS x FROM part)
         SELECT p_partkey, array_to_string(x, '|') AS parts, array_to_string(list_sort(x), ', ') AS canonical FROM p""",
     ),
     "ft_filter_and_count": (
-        lambda s, d: R.filter_and_count(methods(s, d), {"name": "RED|blue", "brand": "#1", "missing": "x"}).select("method_id", "name"),
-        f"WITH {METHODS} SELECT method_id, name FROM methods WHERE regexp_matches(lower(name), 'red|blue') AND regexp_matches(lower(brand), '#1')",
+        lambda s, d: R.filter_and_count(methods(s, d), {"name": "RED|blue", "brand": r"#1\D*\d$", "missing": "x"}).select("method_id", "name"),
+        f"WITH {METHODS} SELECT method_id, name FROM methods WHERE (contains(lower(name), 'red') OR contains(lower(name), 'blue')) AND brand IN ('Brand#10', 'Brand#11', 'Brand#12', 'Brand#13', 'Brand#14', 'Brand#15', 'Brand#16', 'Brand#17', 'Brand#18', 'Brand#19')",
     ),
     "ft_attribute_filter": (
         lambda s, d: R.attribute_filter(methods(s, d), "promo or small parts of brand#13", ("type", "brand")).select("method_id", "type", "brand"),

@@ -26,7 +26,7 @@ def grounded(s, d):
 
 def spelled(s, d):
     words = table(s, d, "part").select(F.explode(F.split("p_name", " ")).alias("w")).distinct()
-    wrong = words.select(F.concat(F.substring("w", 1, 2), F.lit("q"), F.expr("substr(w, 4)")).alias("word"))
+    wrong = words.select(F.explode(F.array(F.concat(F.substring("w", 1, 2), F.lit("q"), F.expr("substr(w, 4)")), F.concat(F.lit("X"), F.expr("substr(w, 2)")), F.upper(F.concat("w", F.lit("z"))))).alias("word"))
     return R.corrected(wrong, words.select(F.col("w").alias("word")))
 
 
@@ -62,9 +62,9 @@ QUERIES = {
     ),
     "str_levenshtein_correct": (
         spelled,
-        """WITH v AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part), x AS (SELECT DISTINCT substr(w, 1, 2) || 'q' || substr(w, 4) AS word FROM v),
-        d AS (SELECT word, w, levenshtein(word, w) AS distance FROM x JOIN v ON substr(word, 1, 1) = substr(w, 1, 1) AND levenshtein(word, w) <= CASE WHEN length(word) <= 4 THEN 1 WHEN length(word) <= 7 THEN 2 ELSE 3 END)
-        SELECT word, w AS fixed, CAST(distance AS INT) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY word ORDER BY distance, w) = 1""",
+        """WITH v AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part), x AS (SELECT substr(w, 1, 2) || 'q' || substr(w, 4) AS word FROM v UNION SELECT 'X' || substr(w, 2) FROM v UNION SELECT upper(w || 'z') FROM v),
+        d AS (SELECT word, w, levenshtein(lower(word), w) AS distance FROM x JOIN v ON levenshtein(lower(word), w) <= CASE WHEN length(word) <= 4 THEN 1 WHEN length(word) <= 7 THEN 2 ELSE 3 END WHERE lower(word) NOT IN (SELECT w FROM v))
+        SELECT word, CASE WHEN length(word) > 1 AND left(word, 1) = upper(left(word, 1)) AND substr(word, 2) = lower(substr(word, 2)) THEN upper(left(w, 1)) || substr(w, 2) WHEN length(word) > 1 AND word = upper(word) THEN upper(w) ELSE w END AS fixed, CAST(distance AS INT) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY word ORDER BY distance, w) = 1""",
     ),
     "tx_acronyms": (with_acronyms, None),
     "jn_mentions": (

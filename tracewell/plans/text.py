@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import labels as L
 from ..functions import text as X
 from ..operators import retrieval as R
 from ..sources.views import CHUNKS, METHODS, RESULTS, chunks, methods, results, table
@@ -73,9 +74,14 @@ def term_idf(s, d):
 
 
 def similarity_edges(s, d):
-    near = neighbours(s, d).where("score >= 0.2")
-    label = vectors(s, d).select("vec_id", "label")
-    return near.join(label, "vec_id").join(label.select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label")), "query_id").select("query_id", "vec_id", "score", (F.col("label") == F.col("query_label")).alias("same_role"))
+    """Every vector's 5 nearest from 0.2 on, and its 3 nearest of its own label from 0.15 on; one edge of both."""
+    v = vectors(s, d)
+    near = R.nearest(v, v, 5).where("score >= 0.2").select("query_id", "vec_id", "score")
+    label = v.select("vec_id", "label")
+    own = R.nearest(v, v, 3, ("label",)).where("score >= 0.15").select("query_id", "vec_id", "score")
+    every = near.unionByName(own)
+    ends = every.distinct().join(label, "vec_id").join(label.select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label")), "query_id")
+    return ends.select("query_id", "vec_id", "score", (F.col("label") == F.col("query_label")).alias("same_role"))
 
 
 def budget(s, d):
@@ -84,7 +90,7 @@ def budget(s, d):
 
 
 def near_suppressed(s, d):
-    return R.suppress_near(chunks(s, d).select("doc_id", "seq", "text", F.col("tokens").cast("double").alias("score"), F.lit("fine").alias("layer")), 40).select("doc_id", "seq")
+    return R.suppress_near(chunks(s, d).select("doc_id", "seq", "text", F.col("tokens").cast("double").alias("score"), F.lit("fine").alias("layer"))).select("doc_id", "seq")
 
 
 def metrics(s, d):
@@ -107,25 +113,21 @@ def cell(s, d):
 
 
 def parsed(s, d):
-    value, deviation, unit = X.parse_value(F.col("cell"))
+    value, deviation, unit = L.cell_value(F.col("cell"))
     return cell(s, d).select("l_orderkey", "l_linenumber", value.alias("value"), deviation.alias("deviation"), unit.alias("unit"))
 
 
-_TEXT = """cells AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 5 WHEN 0 THEN CAST(CAST(l_quantity AS INT) AS VARCHAR) || ' . 5 ± ' || l_tax WHEN 1 THEN CAST(l_quantity AS INT) || '%' WHEN 2 THEN 'N/A' WHEN 3 THEN CAST(l_quantity AS INT) || ' (3)' ELSE '-' || CAST(l_quantity AS INT) END AS cell FROM lineitem),
-fixed AS (SELECT *, regexp_replace(trim(cell), '(\\d)\\s*\\.\\s*(\\d)', '\\1.\\2', 'g') AS t FROM cells)"""
-
 def _names():
     return F.concat(F.lit("★ (2) "), F.col("p_name"), F.lit(" et al. [3, 4] baseline_v"), F.col("p_size").cast("string"), F.lit("† (N = 12)"))
 
 
-_NAMES = "'★ (2) ' || p_name || ' et al. [3, 4] baseline_v' || p_size || '† (N = 12)'"
-
 def _caption():
-    view = F.when(F.col("p_size") % 2 == 0, "Real-World clutter").otherwise("simulation, single object")
-    return F.concat(F.lit("Success in "), view, F.when(F.col("p_size") % 3 == 0, " unseen").when(F.col("p_size") % 3 == 1, " seen").otherwise(""))
-
-
-_CAPTION = "'Success in ' || CASE WHEN p_size % 2 = 0 THEN 'Real-World clutter' ELSE 'simulation, single object' END || CASE p_size % 3 WHEN 0 THEN ' unseen' WHEN 1 THEN ' seen' ELSE '' END"
+    n = F.col("p_size")
+    parts = [
+        F.when(n % 2 == 0, "Real-World runs").otherwise("In simulation"), F.when(n % 3 == 0, "a random viewpoint").when(n % 3 == 1, "one Fixed camera").otherwise("no view"), F.when(n % 5 == 0, "Gamma noise").when(n % 5 == 1, "gaussian noise"),
+        F.when(n % 7 == 0, "YCB objects").when(n % 7 == 1, "EGAD set").otherwise("egadx"), F.when(n % 4 == 0, "not re-trained"),
+    ]
+    return F.concat_ws(", ", *parts)
 
 
 def _counts(name):
@@ -146,7 +148,9 @@ QUERIES = {
     "rt_cosine_topk": (neighbours, f"WITH {NEAR} SELECT * FROM near"),
     "ft_similarity_edges": (
         similarity_edges,
-        f"WITH {NEAR} SELECT query_id, n.vec_id, score, a.label = b.label AS same_role FROM near n JOIN embeddings a ON a.vec_id = n.vec_id JOIN embeddings b ON b.vec_id = n.query_id WHERE score >= 0.2",
+        """WITH p AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score, q.label = v.label AS same_role FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id),
+        a AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5), b AS (SELECT * FROM p WHERE same_role QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 3)
+        SELECT * FROM a WHERE score >= 0.2 UNION SELECT * FROM b WHERE score >= 0.15""",
     ),
     "rt_token_budget": (
         budget,
@@ -155,7 +159,8 @@ QUERIES = {
     ),
     "rt_dedupe_near": (
         near_suppressed,
-        f"WITH {CHUNKS} SELECT doc_id, seq FROM chunks QUALIFY row_number() OVER (PARTITION BY doc_id, substr(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), 1, 40) ORDER BY tokens DESC, seq) = 1",
+        f"""WITH {CHUNKS}, k AS (SELECT doc_id, seq, tokens, substr(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), 1, 240) AS k FROM chunks)
+        SELECT doc_id, seq FROM k WHERE k = '' OR NOT EXISTS (SELECT 1 FROM k o WHERE o.doc_id = k.doc_id AND o.seq <> k.seq AND o.k <> '' AND (o.k = k.k OR (length(o.k) >= 5 AND contains(k.k, o.k)) OR (length(k.k) >= 5 AND contains(o.k, k.k))) AND (o.tokens > k.tokens OR (o.tokens = k.tokens AND o.seq < k.seq)))""",
     ),
     "tx_chunks_layers": (layers, f"WITH {CHUNKS} SELECT doc_id, seq, tokens, CASE WHEN tokens < 20 THEN 'fine' WHEN tokens < 80 THEN 'mid' ELSE 'coarse' END AS layer FROM chunks"),
     "tx_sentences": (
@@ -187,21 +192,17 @@ QUERIES = {
     ),
     "str_parse_value": (
         parsed,
-        f"""WITH {_TEXT}, h AS (SELECT *, lower(t) IN ('', '-', 'n/a', 'na', 'none', 'nan') AS none, trim(string_split(t, '±')[1]) AS head FROM fixed)
-        SELECT l_orderkey, l_linenumber, CASE WHEN NOT none AND len(regexp_extract_all(head, '\\d+(?:\\.\\d+)?')) <= 1 THEN TRY_CAST(regexp_extract(head, '-?\\d+(?:\\.\\d+)?') AS DOUBLE) END AS value,
-        CASE WHEN NOT none THEN TRY_CAST(regexp_extract(t, '±\\s*(\\d+(?:\\.\\d+)?)', 1) AS DOUBLE) END AS deviation, CASE WHEN contains(t, '%') THEN '%' END AS unit FROM h""",
+        """SELECT l_orderkey, l_linenumber, CASE l_linenumber % 5 WHEN 0 THEN CAST(l_quantity AS INT) + 0.5::DOUBLE WHEN 1 THEN CAST(l_quantity AS INT)::DOUBLE WHEN 3 THEN CAST(l_quantity AS INT)::DOUBLE WHEN 4 THEN -CAST(l_quantity AS INT)::DOUBLE END AS value,
+        CASE WHEN l_linenumber % 5 = 0 THEN l_tax END AS deviation, CASE WHEN l_linenumber % 5 = 1 THEN '%' END AS unit FROM lineitem""",
     ),
     "str_names": (
-        lambda s, d: table(s, d, "part").select("p_partkey", X.slug(_names()).alias("slug"), X.compact(_names()).alias("compact"), X.registry_key(_names()).alias("registry"), X.clean_method(_names()).alias("clean")),
-        f"""WITH n AS (SELECT p_partkey, {_NAMES} AS x FROM part), r AS (SELECT *, regexp_replace(regexp_replace(lower(x), '\\[\\d+\\]', ' ', 'g'), '\\(n\\s*=\\s*\\d+\\)', ' ', 'g') AS k FROM n)
-        SELECT p_partkey, trim(regexp_replace(lower(regexp_replace(x, '^[^A-Za-z0-9]+', '')), '[^a-z0-9]+', '-', 'g'), '-') AS slug, regexp_replace(lower(x), '[^a-z0-9]', '', 'g') AS compact,
-        trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(k, '[()%*]', ' ', 'g'), '[-_/]', ' ', 'g'), '\\bbaselines?\\b', ' ', 'g'), '\\s+', ' ', 'g')) AS registry,
-        trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '\\[[\\d,\\s]+\\]', '', 'g'), '\\bet al\\.?', '', 'g'), '[†‡*]', '', 'g'), '^\\s*\\(?\\d+[.)]\\s*', '', 'g'), '\\s+', ' ', 'g')) AS clean FROM r""",
+        lambda s, d: table(s, d, "part").select("p_partkey", X.slug(_names()).alias("slug"), X.compact(_names()).alias("compact"), L.registry_key(_names()).alias("registry"), L.method_name(F.concat(F.lit("2) "), "p_name", F.lit(" et al. [3, 4]  v"), F.col("p_size").cast("string"), F.lit("† ,"))).alias("clean")),
+        """SELECT p_partkey, '2-' || replace(p_name, ' ', '-') || '-et-al-3-4-baseline-v' || p_size || '-n-12' AS slug, '2' || replace(p_name, ' ', '') || 'etal34baselinev' || p_size || 'n12' AS compact,
+        '★ 2 ' || p_name || ' et al. v' || p_size AS registry, p_name || ' v' || p_size AS clean FROM part""",
     ),
     "str_protocol_tokens": (
-        lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(X.protocol(_caption()), ",").alias("tokens")),
-        f"""WITH c AS (SELECT p_partkey, lower({_CAPTION}) AS c FROM part) SELECT p_partkey, array_to_string(list_filter([CASE WHEN regexp_matches(c, 'real[ -]?world|hardware') THEN 'sim:real' WHEN regexp_matches(c, 'simulat') THEN 'sim:sim' END,
-        CASE WHEN regexp_matches(c, 'clutter|pile') THEN 'clutter:pile' WHEN regexp_matches(c, 'single|isolated') THEN 'clutter:single' END, CASE WHEN regexp_matches(c, 'unseen|novel') THEN 'split:unseen' WHEN regexp_matches(c, '\\bseen\\b|known') THEN 'split:seen' END], lambda x: x IS NOT NULL), ',') AS tokens FROM c""",
+        lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(L.protocol_tokens(F.lit(None).cast("string"), _caption()), ",").alias("tokens")),
+        """SELECT p_partkey, concat_ws(',', CASE WHEN p_size % 2 = 0 THEN 'real' ELSE 'sim' END, CASE p_size % 3 WHEN 0 THEN 'randomview' WHEN 1 THEN 'fixedview' END, CASE p_size % 5 WHEN 0 THEN 'gammanoise' WHEN 1 THEN 'gaussnoise' END, CASE p_size % 7 WHEN 0 THEN 'ycb' WHEN 1 THEN 'egad' END, CASE WHEN p_size % 4 = 0 THEN 'noretrain' END) AS tokens FROM part""",
     ),
     "str_stems": (
         lambda s, d: table(s, d, "documents").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1))).alias("w")).select("w").distinct().select("w", X.stem(F.col("w")).alias("stem")),

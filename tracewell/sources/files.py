@@ -45,7 +45,8 @@ def guarded_write(df: DataFrame, path: str, key: str | None = None, present: Dat
 
     An empty table never replaces one with rows. With ``key``, neither does one that lacks keys of
     the old table that are still ``present`` (all, if not given) or that has fewer rows. What is
-    written goes to a side folder first and is moved into place.
+    written goes to a side folder first; the old table is moved aside, the new one into its place, and only then the
+    old one removed, so that at each moment one whole table is there.
     """
     spark = df.sparkSession
     jvm = spark._jvm
@@ -63,9 +64,17 @@ def guarded_write(df: DataFrame, path: str, key: str | None = None, present: Dat
             dropped = old.select(key).distinct().join(new.select(key), key, "left_anti")
             dropped = dropped if present is None else dropped.join(present.select(key), key, "left_semi")
             ok = n_new >= n_old and dropped.isEmpty()
-    if ok:
-        fs.delete(at, True)
-        fs.rename(side, at)
-    else:
+    if not ok:
         fs.delete(side, True)
-    return ok
+        return False
+    aside = jvm.org.apache.hadoop.fs.Path(f"{path}.old")
+    fs.delete(aside, True)
+    had = fs.exists(at)
+    if had and not fs.rename(at, aside):
+        raise OSError(f"{path} could not be moved aside; the new table is at {path}.new")
+    if not fs.rename(side, at):
+        if had:
+            fs.rename(aside, at)
+        raise OSError(f"{path}.new could not be moved to {path}")
+    fs.delete(aside, True)
+    return True
