@@ -116,7 +116,7 @@ def copy_status(caption: Column) -> Column:
 
 def caption_copied(method: Column, caption: Column) -> Column:
     """Whether the caption says that this method's numbers are copied; excepted names match as whole tokens."""
-    names = F.filter(F.transform(F.split(F.regexp_extract(caption, EXCEPT_PATTERN, 1), r"\s+and\s+|,"), F.trim), lambda n: n != "")
+    names = F.filter(F.transform(F.split(F.regexp_extract(caption, EXCEPT_PATTERN, 1), r"\s+and\s+|,"), lambda n: F.trim(n)), lambda n: n != "")
 
     def flat(c):
         return F.regexp_replace(F.lower(c), "[^a-z0-9]", "")

@@ -64,7 +64,7 @@ def method_cascade(mentions: DataFrame, methods: DataFrame, aliases: DataFrame)
 def aliases_of(methods: DataFrame) -> DataFrame:
     """(method, alias): the lower-case name, its bracketed parts of 2 to 20 characters, and the name without brackets."""
     name = F.lower(F.trim("method"))
-    short = F.filter(F.transform(F.regexp_extract_all(name, F.lit(r"\(([^)]+)\)"), 1), F.trim), lambda a: F.length(a).between(2, 20))
+    short = F.filter(F.transform(F.regexp_extract_all(name, F.lit(r"\(([^)]+)\)"), 1), lambda a: F.trim(a)), lambda a: F.length(a).between(2, 20))
     bare = F.trim(F.regexp_replace(name, r"\s*\([^)]*\)\s*", " "))
     return methods.where(name != "").select("method", F.explode(F.filter(F.array_distinct(F.concat(F.array(name), short, F.array(bare))), lambda a: a != "")).alias("alias"))
 

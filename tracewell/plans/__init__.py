@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import evidence, graph, kg, records, relational, reports, resolution, streaming, text
+from . import evidence, graph, kg, prose, records, relational, reports, resolution, streaming, text
 
 
 def registered() -> dict:
     found: dict = {}
-    for module in (evidence, records, kg, reports, relational, text, resolution, graph, streaming):
+    for module in (evidence, records, kg, reports, prose, relational, text, resolution, graph, streaming):
         found |= module.QUERIES
     return found
