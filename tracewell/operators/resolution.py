@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 
 
+#: So many quotes are broadcast to the documents at most; more are met by a shuffle of hashes.
+BROADCAST_QUOTES = 20_000
+
+
 def resolve_methods(mentions: DataFrame, registry: DataFrame) -> DataFrame:
     """(mention, method, how): exact key, then key without separators, then a known name inside the mention.
 
@@ -43,13 +47,16 @@ def verified_quotes(quotes: DataFrame, docs: DataFrame, width: int = 8) -> DataF
     fold = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
     q = quotes.select("item_id", fold(F.col("text")).alias("quote")).where(F.length("quote") >= 15).withColumn("words", F.split("quote", " "))
     q = q.withColumn("width", F.least(F.lit(width), F.size("words"))).withColumn("key", F.xxhash64(F.array_join(F.slice("words", 1, F.col("width")), " ")))
-    widths = [r[0] for r in q.select("width").distinct().collect()]  # at most ``width`` rows
+    sizes = q.groupBy("width").agg(F.count(F.lit(1)).alias("n")).collect()  # at most ``width`` rows
+    widths = [r["width"] for r in sizes]
+    few = sum(r["n"] for r in sizes) <= BROADCAST_QUOTES
     d = docs.select("doc_id", fold(F.col("text")).alias("body")).withColumn("words", F.split("body", " "))
     found = None
     for n in widths:
         places = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - n + 1)), hash_of_words(n))
         keys = d.select("doc_id", F.explode(F.array_distinct(places)).alias("key"))
-        met = keys.join(q.where(F.col("width") == n).select("item_id", "quote", "key"), "key").select("doc_id", "item_id", "quote").distinct()
+        asked = q.where(F.col("width") == n).select("item_id", "quote", "key")
+        met = keys.join(F.broadcast(asked) if few else asked, "key").select("doc_id", "item_id", "quote").distinct()
         found = met if found is None else found.unionByName(met)
     if found is None:
         return quotes.sparkSession.createDataFrame([], "doc_id long, item_id long")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..operators import evidence as E
+from ..session import cut
 from ..sources.views import RESULTS, results, table
 
 _CV = "CASE WHEN count(value) < 2 OR avg(value) = 0 THEN 0.0 ELSE stddev_pop(value) / abs(avg(value)) END"
@@ -42,6 +43,12 @@ def trust(s, d):
     return table(s, d, "customer").select("c_custkey", F.round(t, 6).alias("trust"), F.round(0.25 + 0.75 * t, 6).alias("opacity"))
 
 
+def found_cells(s, d):
+    """Records are joined and written once; leaderboard, validations and wins each read them from there."""
+    rows = cut(results(s, d))
+    return E.cells(E.leaderboard(rows), E.cross_validation(rows), E.pairwise_wins(rows))
+
+
 QUERIES = {
     "ag_leaderboard": (lambda s, d: E.leaderboard(results(s, d)), f"WITH {BOARD} SELECT * FROM board"),
     "ag_cross_validation": (lambda s, d: E.cross_validation(results(s, d)), f"WITH {VALID} SELECT * FROM validated"),
@@ -77,14 +84,14 @@ QUERIES = {
         SELECT method, metric, condition, count(DISTINCT paper) AS n_papers, min(value) AS value FROM b WHERE value IS NOT NULL AND std IS NOT NULL GROUP BY ALL HAVING count(DISTINCT paper) >= 2 AND count(DISTINCT (value, std)) = 1""",
     ),
     "jn_cells": (
-        lambda s, d: E.cells(E.leaderboard(results(s, d)), E.cross_validation(results(s, d)), E.pairwise_wins(results(s, d))),
+        found_cells,
         f"""WITH {BOARD}, {VALID[len(RESULTS) + 2 :]}, {WINS}
         SELECT b.metric, b.condition, count(*) AS n_methods, min(CASE WHEN rank = 1 THEN method END) AS leader,
         (SELECT count(*) FROM validated v WHERE v.metric = b.metric AND v.condition = b.condition) AS n_validations,
         (SELECT count(*) FROM wins w WHERE w.metric = b.metric AND w.condition = b.condition) AS n_comparisons FROM board b GROUP BY b.metric, b.condition""",
     ),
     "ft_nearest_cells": (
-        lambda s, d: E.nearest_cells(E.cells(E.leaderboard(results(s, d)), E.cross_validation(results(s, d)), E.pairwise_wins(results(s, d))), "PROMO", "a:o"),
+        lambda s, d: E.nearest_cells(found_cells(s, d), "PROMO", "a:o"),
         f"""WITH {BOARD} SELECT metric, condition, count(*) AS n_methods, CAST((split_part(condition, ':', 1) <> 'a') AS INT) + CAST((split_part(condition, ':', 2) <> 'o') AS INT) AS n_differing FROM board WHERE metric = 'PROMO' GROUP BY metric, condition""",
     ),
     "ag_coverage_gaps": (
