@@ -329,6 +329,42 @@ def test_out_of_place_distance_is_the_definition():
     assert language_id.Distances(profile, 5).of(language_id.grams("ab ab b")).tolist() == [want]
 
 
+def test_language_query_against_brute_force(spark):
+    from collections import Counter
+
+    def brute_grams(text):
+        import unicodedata
+
+        kept = [c if unicodedata.category(c)[0] in "LM" else " " for c in (text or "").lower()]
+        if not any(unicodedata.category(c)[0] == "L" for c in kept):
+            return None
+        words = f" {' '.join(''.join(kept).split(' '))} "
+        words = re.sub(" +", " ", words)
+        found = [c for c in words if c != " "] + [words[i : i + 2] for i in range(len(words) - 1)] + [words[i : i + 3] for i in range(len(words) - 2) if words[i + 1] != " "]
+        return Counter(found)
+
+    def top(counts):
+        return sorted(counts, key=lambda g: (-counts[g], sum(ord(c) << 21 * i for i, c in enumerate(g))))[:300]
+
+    rows = common.read(spark, SF, "documents").collect()
+    learned = {}
+    for r in rows:
+        if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["lang"] is not None and (found := brute_grams(r["text"])):
+            learned.setdefault(r["lang"], Counter()).update(found)
+    ranks = {lang: {g: i for i, g in enumerate(top(c))} for lang, c in learned.items()}
+    got = {r["doc_id"]: r for r in language_id.op2_language_id(spark, SF).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        found = brute_grams(r["text"])
+        one = got[r["doc_id"]]
+        assert one["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        if not found:
+            assert one["lang_pred"] == "und"
+            continue
+        far = sorted((sum(abs(known[g] - i) if g in known else 300 for i, g in enumerate(top(found))), lang) for lang, known in ranks.items())
+        assert one["lang_pred"] == far[0][1] and one["score"] == pytest.approx(far[1][0] / (far[0][0] + far[1][0]))
+
+
 # quality
 
 
