@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from . import evidence, relational, retrieval
+from . import browse, evidence, relational, retrieval
 
 
 @dataclass(frozen=True)
@@ -68,6 +68,9 @@ register("cross_tabulate", "counts of value pairs of two columns", "tables", a="
 register("distribution_stats", "most frequent items of each group", "tables", group="string", item="string", k="integer")(relational.top_per_group)
 register("outlier_score", "z-scores of a value in its group", "statistics", group="string", value="string")(relational.z_scores)
 register("nearest_neighbors", "most similar vectors of query vectors", "vectors", queries="object", k="integer")(retrieval.nearest)
+register("cosine_similarity", "how alike two named vectors are", "vectors", names="array")(retrieval.pairwise)
+register("pairwise_distances", "distances of up to ten named vectors", "vectors", names="array")(retrieval.pairwise)
+register("cluster_membership", "the cluster of each vector", "vectors", default="integer")(browse.clustered)
 register("search_papers", "lexical ranking of documents", "retrieval", terms="object")(retrieval.bm25)
 register("feature_importance", "weighted terms of each row", "vectors", key="string", words="string")(retrieval.tf_idf)
 register("leaderboard", "ranked methods of each cell", "evidence")(evidence.leaderboard)

@@ -96,6 +96,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, within: tuple[str, .
     return top_k(found.withColumn("score", F.round("score", 6)), k, ["query_id"], "vec_id")
 
 
+def pairwise(vectors: DataFrame, names: list[str]) -> DataFrame:
+    """(a, b, similarity, distance, reading) of the named vectors, ten at most; ``vectors`` has name and embedding. Zero vectors are like nothing."""
+    if len(names) > 10:
+        raise ValueError("more than ten names")
+    v = vectors.where(F.col("name").isin(names)).select("name", F.col("embedding").cast("array<double>").alias("e"))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t)
+    pairs = v.select(F.col("name").alias("a"), F.col("e").alias("x")).join(v.select(F.col("name").alias("b"), F.col("e").alias("y")), F.col("a") < F.col("b"))
+    scale = F.sqrt(dot(F.col("x"), F.col("x")) * dot(F.col("y"), F.col("y")))
+    rows = pairs.select("a", "b", F.round(dot(F.col("x"), F.col("y")) / F.when(scale == 0, 1.0).otherwise(scale), 6).alias("similarity"))
+    return rows.withColumn("distance", F.round(1 - F.col("similarity"), 6)).withColumn("reading", F.when(F.col("similarity") > 0.8, "very similar").when(F.col("similarity") > 0.5, "similar").otherwise("different"))
+
+
 def reciprocal_rank_fusion(lists: list[DataFrame], k: int = 60, id_col: str = "doc_id") -> DataFrame:
     """Sum over lists of 1 / (k + rank from 0)."""
     rows = None

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import browse as B
+from ..operators import chunking as C
 from ..operators import evidence as E
+from ..operators import retrieval as R
 from ..sources.views import CHUNKS, RESULTS, chunks, results, table
 from .evidence import BOARD
 from .given import given, named
@@ -22,6 +24,7 @@ HAY = "SELECT p_partkey AS chunk_id, concat(p_name, ' and ', p_type, ' material
 CITES = "SELECT p_partkey, concat(CASE p_size % 3 WHEN 0 THEN 'J. K. Müller, A. Bee, ' WHEN 1 THEN 'O''Neil, P., ' ELSE '' END, CASE WHEN p_size % 4 = 0 THEN 'no title' ELSE concat('\"On ', p_name, ',\"') END, ' in Things, 2020') AS citation FROM {part}"
 PAIRS = "SELECT p_partkey AS paper, p_name AS winner, p_brand AS loser, CASE p_size % 3 WHEN 0 THEN 'SR Packed  Scene' WHEN 1 THEN 'SR pile' ELSE 'SR' END AS metric, p_retailprice AS winner_value, p_retailprice - 1 AS loser_value FROM {part}"
 _BARE = "lower(trim(regexp_replace({0}, '^[^\\p{{L}}\\p{{N}}]+', '')))"
+SPACED = "SELECT doc_id, replace(text, chr(10), concat(chr(10), chr(10))) AS text FROM {documents}"
 SECTIONED = "SELECT doc_id, seq, text, CAST(floor(seq / 3) AS INT) AS section FROM {rows}"
 
 
@@ -137,6 +140,19 @@ QUERIES = {
         f AS (SELECT doc_id, seq, 0 AS i, '' AS kept, 0 AS n FROM p WHERE b IS NOT NULL UNION ALL SELECT f.doc_id, f.seq, f.i + 1, CASE WHEN f.kept = '' THEN trim(s[f.i + 1]) ELSE trim(s[f.i + 1]) || ' ' || f.kept END, f.n + len(list_filter(regexp_split_to_array(s[f.i + 1], '\\s+'), lambda w: w <> '')) FROM f JOIN p ON p.doc_id = f.doc_id AND p.seq = f.seq WHERE f.i < len(s) AND f.n + len(list_filter(regexp_split_to_array(s[f.i + 1], '\\s+'), lambda w: w <> '')) <= room),
         g AS (SELECT doc_id, seq, arg_max(kept, i) AS kept FROM f GROUP BY ALL) SELECT doc_id, seq, CASE WHEN section = sb AND room >= 10 AND coalesce(kept, '') <> '' THEN kept || ' ' || text ELSE text END AS text, coalesce(section = sb AND room >= 10 AND coalesce(kept, '') <> '', false) AS has_overlap FROM p LEFT JOIN g USING (doc_id, seq)""",
     ),
+    "ml_pairwise": (
+        lambda s, d: R.pairwise(given(s, d, "SELECT concat('v', CAST(vec_id AS STRING)) AS name, embedding FROM {embeddings}"), ["v1", "v2", "v30", "v4"]),
+        """WITH v AS (SELECT 'v' || vec_id AS name, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IN (1, 2, 30, 4)), p AS (SELECT a.name AS a, b.name AS b, round(list_cosine_similarity(a.e, b.e), 6) AS similarity FROM v a JOIN v b ON a.name < b.name)
+        SELECT *, round(1 - similarity, 6) AS distance, CASE WHEN similarity > 0.8 THEN 'very similar' WHEN similarity > 0.5 THEN 'similar' ELSE 'different' END AS reading FROM p""",
+    ),
+    "tx_chunk_strategies": (
+        lambda s, d: C.chunked(given(s, d, SPACED), "structural", most=60).select("doc_id", F.lit("structural").alias("strategy"), "seq", "text").unionByName(C.chunked(given(s, d, SPACED), "semantic").select("doc_id", F.lit("semantic").alias("strategy"), "seq", "text"))
+        .unionByName(C.chunked(given(s, d, SPACED), "coarse", words=20).select("doc_id", F.lit("coarse").alias("strategy"), "seq", "text")),
+        f"""WITH RECURSIVE d AS ({named(SPACED)}), p AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS seq, t AS text, len(list_filter(regexp_split_to_array(t, '\\s+'), lambda w: w <> '')) AS n FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10) || chr(10))))) AS i, trim(unnest(string_split(text, chr(10) || chr(10))), ' ' || chr(10) || chr(9)) AS t FROM d) WHERE t <> ''),
+        f AS (SELECT doc_id, seq, 0 AS pack, n AS held FROM p WHERE seq = 0 UNION ALL SELECT p.doc_id, p.seq, CASE WHEN held + n <= 60 THEN pack ELSE pack + 1 END, CASE WHEN held + n <= 60 THEN held + n ELSE n END FROM f JOIN p ON p.doc_id = f.doc_id AND p.seq = f.seq + 1)
+        SELECT doc_id, 'structural' AS strategy, pack AS seq, string_agg(text, chr(10) || chr(10) ORDER BY seq) AS text FROM f JOIN p USING (doc_id, seq) GROUP BY doc_id, pack UNION ALL SELECT doc_id, 'semantic', seq, text FROM p
+        UNION ALL SELECT doc_id, 'coarse', 0, array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')[:20], ' ') FROM d WHERE len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) > 0""",
+    ),
     "ft_verified_matches": (
         lambda s, d: B.verified_matches(given(s, d, "SELECT p_partkey, concat('A study of ', p_name) AS title, concat(p_name, ' of a study', CASE WHEN p_size % 2 = 0 THEN '' ELSE ' and of many other altogether different things' END) AS candidate, CASE WHEN p_size % 3 = 0 THEN NULL ELSE 'Lee' END AS surname, CASE WHEN p_size % 5 = 0 THEN 'Bo Leeds' ELSE 'Ann Lee' END AS authors FROM {part}")).select("p_partkey", F.round("ratio", 6).alias("ratio")),
         None,
