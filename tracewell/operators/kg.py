@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from .relational import met
 
 #: Relations that hold both ways.
 SYMMETRIC = ("similar_to", "co_authored", "shares_bibliography")
@@ -52,9 +53,8 @@ def problems_addressed(edges: DataFrame, nodes: DataFrame, shown: int = 5) -> Da
 
 def pairs_in(rows: DataFrame, key: str, item: str) -> DataFrame:
     """(a, b, weight) in both directions: items that share a key, by how many keys they share."""
-    one = rows.select(key, item).distinct()
-    met = one.select(key, F.col(item).alias("a")).join(one.select(key, F.col(item).alias("b")), key).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
-    return met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+    pairs = met(rows, key, item).groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
+    return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
 
 
 def works_on(edges: DataFrame, kinds: tuple[str, ...]) -> DataFrame:

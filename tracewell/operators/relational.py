@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Keys of an item, or items of a key, that one side of a join key holds at most.
+BLOCK = 512
 NULL_TOKENS = ("nan", "", "-", "n/a", "none")
 
 
@@ -79,11 +81,23 @@ def top_per_group(df: DataFrame, group: str, item: str, k: int) -> DataFrame:
     return counts.withColumn("place", F.row_number().over(W.partitionBy(group).orderBy(F.desc("n"), item))).where(F.col("place") <= k)
 
 
+def met(rows: DataFrame, item: str, key: str, block: int = BLOCK) -> DataFrame:
+    """(item, a, b): all pairs a < b of keys that share an item.
+
+    An item with over ``block`` keys is met block against block, so no join key ever has more than that many rows on a side.
+    """
+    one = rows.select(item, key).distinct()
+    sizes = one.groupBy(item).agg(F.expr(f"(count(1) + {block - 1}) div {block}").cast("int").alias("blocks"))
+    dealt = one.join(sizes, item).withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int"))
+    left = dealt.select(item, F.col(key).alias("u"), F.col("block").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("y"))
+    right = dealt.select(item, F.col(key).alias("v"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("x"), F.col("block").alias("y"))
+    pairs = left.join(right, [item, "x", "y"]).where((F.col("x") < F.col("y")) | (F.col("u") < F.col("v")))
+    return pairs.select(item, F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+
+
 def cooccurrence(df: DataFrame, key: str, item: str, least: int) -> DataFrame:
-    """Unordered pairs of items by how many keys have both; each key's distinct items are few."""
-    sets = df.groupBy(key).agg(F.array_sort(F.collect_set(item)).alias("items"))
-    pairs = F.explode(F.flatten(F.transform("items", lambda x: F.transform(F.filter("items", lambda y: y > x), lambda y: F.struct(x.alias("a"), y.alias("b"))))))
-    return sets.select(pairs.alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") >= least)
+    """Unordered pairs of items by how many keys have both."""
+    return met(df, key, item).groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") >= least)
 
 
 def dense_timeline(df: DataFrame, year: Column, stance: str) -> DataFrame:
@@ -122,16 +136,22 @@ def difference(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFram
     return joined.select(key, kind.alias("kind")).where("kind IS NOT NULL")
 
 
-def asof_join(left: DataFrame, right: DataFrame, key: str, time: str, carried: str) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, key: str, time: str, carried: str, width: str = "DAY") -> DataFrame:
     """For each left row the last right row of its key at or before its time.
 
-    One shuffle by key: both sides are stacked and the last right value runs along the time order.
+    Both sides are stacked and the last right value runs along the time order within a key and ``width`` of time; what was
+    last before each such stretch comes from one row per key and stretch, so a hot key is spread over its stretches.
     """
+    stretch = F.date_trunc(width, F.col(time))
     both = left.select(key, time, "event_id", F.lit(None).cast(dict(right.dtypes)[carried]).alias(carried), F.lit(1).alias("side")).unionByName(
         right.select(key, time, F.lit(None).cast("long").alias("event_id"), carried, F.lit(0).alias("side"))
-    )
-    run = W.partitionBy(key).orderBy(time, "side").rowsBetween(W.unboundedPreceding, 0)
-    return both.withColumn("last", F.last(carried, ignorenulls=True).over(run)).where("side = 1").select("event_id", key, F.col("last").alias(carried))
+    ).withColumn("stretch", stretch)
+    ends = both.where(F.col(carried).isNotNull()).groupBy(key, "stretch").agg(F.max(F.struct(time, carried))[carried].alias("end_value"))
+    starts = both.select(key, "stretch").distinct().join(ends, [key, "stretch"], "left")
+    before = starts.withColumn("before", F.last("end_value", ignorenulls=True).over(W.partitionBy(key).orderBy("stretch").rowsBetween(W.unboundedPreceding, -1))).drop("end_value")
+    run = W.partitionBy(key, "stretch").orderBy(time, "side").rowsBetween(W.unboundedPreceding, 0)
+    told = both.withColumn("last", F.last(carried, ignorenulls=True).over(run)).where("side = 1").join(before, [key, "stretch"])
+    return told.select("event_id", key, F.coalesce("last", "before").alias(carried))
 
 
 def band_join(left: DataFrame, right: DataFrame, key: str, low: str, high: str, width: int) -> DataFrame:
@@ -144,8 +164,7 @@ def shared_values(df: DataFrame, key: str, item: str, keys_a: str, least: float)
     """Pairs of keys with the Jaccard similarity of their item sets, where it exceeds ``least``."""
     sets = df.select(key, item).distinct()
     sizes = sets.groupBy(key).agg(F.count(F.lit(1)).alias("size"))
-    a, b = sets.select(F.col(key).alias("a"), item), sets.select(F.col(key).alias("b"), item)
-    common = a.join(b, item).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
+    common = met(sets, item, key).groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
     joined = common.join(sizes.select(F.col(key).alias("a"), F.col("size").alias("sa")), "a").join(sizes.select(F.col(key).alias("b"), F.col("size").alias("sb")), "b")
     scored = joined.select("a", "b", "common", F.round(F.col("common") / (F.col("sa") + F.col("sb") - F.col("common")), 6).alias("jaccard"))
     return scored.where(F.col("jaccard") > least)
