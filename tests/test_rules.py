@@ -10,7 +10,7 @@ from tracewell.functions import labels as L
 from tracewell.functions import prose as P
 from tracewell.functions import text as X
 from tracewell.operators import browse, evidence, kg, records, relational, resolution, retrieval
-from tracewell.sources import files
+from tracewell.sources import config, files
 
 
 def one(spark, column, **values):
@@ -174,3 +174,25 @@ def test_rows_and_artifacts(spark, tmp_path):
 
 def test_folded_names(spark):
     assert one(spark, kg.folded(F.col("n")), n="  Ánn-Bée, ß 3 ") == "ann bee 3"
+
+
+def test_acronyms_of_three_forms(spark):
+    texts = ["We use the Convolutional Neural Network (CNN) here", "a CNN (Compact Neural Net) and GPD, or Grasp Pose Detection, too", "nothing of it (ABC) here"]
+    found = {(r["acronym"], r["full_form"], r["n"]) for r in resolution.acronyms(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert found == {("CNN", "Convolutional Neural Network", 2), ("GPD", "Grasp Pose Detection", 1)}
+
+
+def test_configuration_is_checked():
+    good = {"domain": "d", "display_name": "D", "csv_path": "x.csv", "columns": {"Name": {"role": "method.name"}, "Arm": {"role": "hardware"}, "Note": {}}}
+    assert config.columns_by_role(good) == {"method.name": ["Name"], "hardware": ["Arm"]}
+    for bad in ({**good, "csv_path": ""}, {**good, "columns": {"Arm": {"role": "hardware"}}}, {**good, "facets": ["colour"]}):
+        with pytest.raises(config.ConfigError):
+            config.columns_by_role(bad)
+    with pytest.raises(config.ConfigError):
+        config.columns_by_role(good, {"method.name"})
+
+
+def test_hub_items_meet_every_pair_once(spark):
+    rows = [(i, k) for i in range(3) for k in range(40 if i == 0 else 5)]
+    pairs = relational.met(spark.createDataFrame(rows, "item int, key int"), "item", "key", block=7).collect()
+    assert sorted(tuple(r) for r in pairs) == sorted((i, a, b) for i in range(3) for a, b in itertools.combinations(range(40 if i == 0 else 5), 2))

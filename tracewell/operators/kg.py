@@ -253,3 +253,39 @@ def folded(c: Column) -> Column:
     """Lower case without accents; what is neither letter nor digit as one blank, none around."""
     plain = F.translate(F.lower(c), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
     return F.trim(F.regexp_replace(F.regexp_replace(plain, "[^\\x00-\\x7f]", ""), "[^a-z0-9]+", " "))
+
+
+STOP_WORDS = ("the", "a", "an", "is", "are", "of", "in", "to", "and", "for", "with", "on")
+
+
+def claim_conflicts(claims: DataFrame, edges: DataFrame, least: int = 3) -> DataFrame:
+    """(paper_a, paper_b, shared, limitation, claim): papers that share a technique where a limitation of one and a claim of the other have ``least`` words in common.
+
+    ``claims`` has claim_id, paper, kind, value. Both sides meet on a pair of papers and a word; the pair's best match stays.
+    """
+    both = met(edges.where("type = 'uses_technique'"), "dst", "src").select("a", "b").distinct()
+    pairs = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    words = claims.select("claim_id", "paper", "kind", F.explode(F.array_distinct(F.filter(F.split(F.lower("value"), r"\s+"), lambda w: (w != "") & ~w.isin(*STOP_WORDS)))).alias("word"))
+    limits = words.where("kind = 'limitation'").select(F.col("claim_id").alias("limitation"), F.col("paper").alias("a"), "word")
+    said = words.where("kind IN ('contribution', 'comparison')").select(F.col("claim_id").alias("claim"), F.col("paper").alias("b"), "word")
+    found = limits.join(pairs, "a").join(said, ["b", "word"]).groupBy("a", "b", "limitation", "claim").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
+    best = found.groupBy("a", "b").agg(F.min(F.struct((-F.col("shared")).alias("n"), "limitation", "claim")).alias("m"))
+    return best.select(F.col("a").alias("paper_a"), F.col("b").alias("paper_b"), (-F.col("m.n")).alias("shared"), "m.limitation", "m.claim")
+
+
+def explained_predictions(predicted: DataFrame, edges: DataFrame, kinds: tuple[str, ...], least: float = 0.55, shown: int = 12) -> DataFrame:
+    """(a, b, confidence, n_shared, shared): predictions of ``least`` or more, one a pair, with the neighbours of ``kinds`` of edges that both ends have, the first few of them."""
+    key = [F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")]
+    pairs = predicted.where(F.col("confidence") >= least).select(*key, "confidence").groupBy("a", "b").agg(F.max("confidence").alias("confidence"))
+    near = edges.where(F.col("type").isin(*kinds)).select("src", F.col("dst").alias("via")).distinct()
+    common = pairs.join(near.withColumnRenamed("src", "a"), "a").join(near.withColumnRenamed("src", "b"), ["b", "via"]).select("a", "b", "via")
+    counts = common.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_shared"))
+    few = first_ones(common, ["a", "b"], [F.col("via")], shown).groupBy("a", "b").agg(F.array_join(F.array_sort(F.collect_list("via")), ",").alias("shared"))
+    return pairs.join(counts, ["a", "b"], "left").join(few, ["a", "b"], "left").fillna({"n_shared": 0, "shared": ""})
+
+
+def cell_links(entries: DataFrame, edges: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """(metric, condition, src, dst, type): edges of ``kinds`` between papers that report the same cell. ``entries`` has metric, condition, paper."""
+    told = entries.select("metric", "condition", "paper").distinct()
+    kept = edges.where(F.col("type").isin(*kinds)).select("src", "dst", "type").distinct()
+    return kept.join(told.withColumnRenamed("paper", "src"), "src").join(told.withColumnRenamed("paper", "dst"), ["metric", "condition", "dst"]).select("metric", "condition", "src", "dst", "type")

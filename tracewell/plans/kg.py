@@ -31,6 +31,7 @@ LINKED = """SELECT DISTINCT concat('c', o_custkey) AS src, concat('c', 1 + o_ord
 INTENTS = """SELECT concat('c', o_custkey) AS src, concat('c', 1 + o_orderkey % 150) AS dst, CASE WHEN o_orderkey % 2 = 0 THEN 'result' ELSE 'method' END AS intent, CAST(o_orderkey % 20 AS DOUBLE) / 20 AS conf FROM {orders} WHERE o_orderkey % 3 = 0"""
 TITLES = "SELECT concat('c', c_custkey) AS paper, CASE WHEN c_custkey % 2 = 0 THEN concat('Customér ', CAST(c_custkey AS STRING), ': a Study of Things') ELSE concat('A study, ', CAST(c_custkey AS STRING)) END AS title FROM {customer} WHERE c_custkey <= 60"
 ENTRIES = "SELECT c_custkey AS entry, CASE c_custkey % 3 WHEN 0 THEN concat('customer ', CAST(c_custkey AS STRING), ' - A STUDY of things') WHEN 1 THEN concat('Customer ', CAST(c_custkey AS STRING), ' a study of') ELSE concat('see also: A Study ', CAST(c_custkey AS STRING), ' (extended)') END AS title FROM {customer} WHERE c_custkey <= 90"
+SAID = "SELECT p_partkey AS claim_id, concat('c', 1 + p_size % 30) AS paper, CASE p_partkey % 3 WHEN 0 THEN 'limitation' WHEN 1 THEN 'contribution' ELSE 'comparison' END AS kind, concat('The ', p_name, ' is of ', p_type, ' with ', p_name) AS value FROM {part}"
 _FOLD = "trim(regexp_replace(regexp_replace(strip_accents(lower({0})), '[^\\x00-\\x7f]', '', 'g'), '[^a-z0-9]+', ' ', 'g'))"
 _MD5 = "substr(md5({0}), 1, 8)"
 
@@ -146,6 +147,22 @@ QUERIES = {
         f"""WITH e AS (SELECT entry, {_FOLD.format('title')} AS s FROM ({named(ENTRIES)})), t AS (SELECT paper, {_FOLD.format('title')} AS k FROM ({named(TITLES)})),
         m AS (SELECT entry, paper, CASE WHEN s = k THEN 0 ELSE 1 END AS r FROM e JOIN t ON length(k) > 5 AND (s = k OR (length(s) > 10 AND contains(s, k)) OR (length(s) > 20 AND contains(k, s)))) SELECT entry, arg_min(paper, (r, paper)) AS paper FROM m GROUP BY entry""",
     ),
+    "gr_claim_conflicts": (
+        lambda s, d: K.claim_conflicts(given(s, d, SAID), edges(s, d)),
+        f"""WITH {GRAPH}, c AS ({named(SAID)}), t AS (SELECT DISTINCT x.src AS a, y.src AS b FROM edges x JOIN edges y ON x.dst = y.dst AND x.src <> y.src WHERE x.type = 'uses_technique' AND y.type = 'uses_technique'),
+        w AS (SELECT claim_id, paper, kind, list_distinct(list_filter(string_split(lower(value), ' '), lambda x: x NOT IN ('the', 'a', 'an', 'is', 'are', 'of', 'in', 'to', 'and', 'for', 'with', 'on'))) AS w FROM c),
+        m AS (SELECT a, b, l.claim_id AS limitation, k.claim_id AS claim, len(list_intersect(l.w, k.w)) AS shared FROM w l JOIN t ON t.a = l.paper JOIN w k ON k.paper = t.b WHERE l.kind = 'limitation' AND k.kind IN ('contribution', 'comparison'))
+        SELECT a AS paper_a, b AS paper_b, shared, limitation, claim FROM m WHERE shared >= 3 QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY shared DESC, limitation, claim) = 1""",
+    ),
+    "gr_explained_predictions": (
+        lambda s, d: K.explained_predictions(given(s, d, PREDICTED), edges(s, d), ("uses_technique", "addresses_problem"), 0.4, 2),
+        f"""WITH {GRAPH}, p AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, max(confidence) AS confidence FROM ({named(PREDICTED)}) WHERE confidence >= 0.4 GROUP BY ALL), n AS (SELECT DISTINCT src, dst FROM edges WHERE type IN ('uses_technique', 'addresses_problem'))
+        SELECT a, b, confidence, count(y.dst) AS n_shared, coalesce(array_to_string(list_sort(list(y.dst) FILTER (y.dst IS NOT NULL))[:2], ','), '') AS shared FROM p LEFT JOIN n x ON x.src = a LEFT JOIN n y ON y.src = b AND y.dst = x.dst GROUP BY a, b, confidence""",
+    ),
+    "jn_cell_links": (
+        lambda s, d: K.cell_links(given(s, d, "SELECT p_type AS metric, p_brand AS condition, concat('c', p_size) AS paper FROM {part}"), edges(s, d), ("cites",)),
+        f"WITH {GRAPH}, e AS (SELECT DISTINCT p_type AS metric, p_brand AS condition, 'c' || p_size AS paper FROM part) SELECT DISTINCT a.metric, a.condition, src, dst, edges.type FROM edges JOIN e a ON a.paper = src JOIN e b ON b.paper = dst AND a.metric = b.metric AND a.condition = b.condition WHERE edges.type = 'cites'",
+    ),
     "str_folded": (
         lambda s, d: given(s, d, "SELECT doc_id, substring(text, 1, 200) AS head FROM {documents}").select("doc_id", K.folded(F.col("head")).alias("folded")),
         f"SELECT doc_id, {_FOLD.format('substr(text, 1, 200)')} AS folded FROM documents",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import resolution as R
 from ..sources import files
 from ..sources.views import CHUNKS, chunks, table
+from .given import given
 
 
 def resolved(s, d):
@@ -30,12 +31,8 @@ def spelled(s, d):
     return R.corrected(wrong, words.select(F.col("w").alias("word")))
 
 
-def with_acronyms(s, d):
-    # the corpus has none of its own: each text is followed by a definition made from its first words
-    head = F.split(F.regexp_replace("text", "[^A-Za-z]+", " "), " ")
-    a, b = F.get(head, F.lit(1)), F.get(head, F.lit(2))
-    made = F.concat(F.col("text"), F.lit("\nsee "), a, F.lit(" "), b, F.lit(" ("), F.upper(F.concat(F.substring(a, 1, 1), F.substring(b, 1, 1))), F.lit(")"))
-    return R.acronyms(table(s, d, "documents").select("doc_id", F.coalesce(made, "text").alias("text")))
+ACRONYMS = """SELECT p_partkey AS doc_id, CASE p_size % 5 WHEN 0 THEN concat('We use the Convolutional Neural ', initcap(p_type), 's (CN', substring(p_type, 1, 1), ') here') WHEN 1 THEN concat('a PB', substring(p_type, 1, 1), ' (Position Based ', initcap(p_type), ') is')
+  WHEN 2 THEN concat('PBVS', substring(p_type, 1, 1), ', or Position Based Visual Servoing, works') WHEN 3 THEN 'no words of it (ZZZ) here' ELSE 'Some Other Words (QQQ) here' END AS text FROM {part}"""
 
 
 QUERIES = {
@@ -66,7 +63,11 @@ QUERIES = {
         d AS (SELECT word, w, levenshtein(lower(word), w) AS distance FROM x JOIN v ON levenshtein(lower(word), w) <= CASE WHEN length(word) <= 4 THEN 1 WHEN length(word) <= 7 THEN 2 ELSE 3 END WHERE lower(word) NOT IN (SELECT w FROM v))
         SELECT word, CASE WHEN length(word) > 1 AND left(word, 1) = upper(left(word, 1)) AND substr(word, 2) = lower(substr(word, 2)) THEN upper(left(w, 1)) || substr(w, 2) WHEN length(word) > 1 AND word = upper(word) THEN upper(w) ELSE w END AS fixed, CAST(distance AS INT) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY word ORDER BY distance, w) = 1""",
     ),
-    "tx_acronyms": (with_acronyms, None),
+    "tx_acronyms": (
+        lambda s, d: R.acronyms(given(s, d, ACRONYMS)),
+        """WITH a AS (SELECT p_partkey, left(p_type, 1) AS c, upper(left(p_type, 1)) || lower(substr(p_type, 2)) AS t, p_size % 5 AS k FROM part), x AS (SELECT p_partkey, CASE k WHEN 0 THEN 'CN' || c WHEN 1 THEN 'PB' || c ELSE 'PBVS' || c END AS acronym, CASE k WHEN 0 THEN 'Convolutional Neural ' || t || 's' WHEN 1 THEN 'Position Based ' || t ELSE 'Position Based Visual Servoing' END AS f FROM a WHERE k < 3)
+        SELECT acronym, arg_min(f, p_partkey) AS full_form, count(*) AS n FROM x GROUP BY acronym""",
+    ),
     "jn_mentions": (
         lambda s, d: R.mentions(table(s, d, "documents"), table(s, d, "part").select(F.explode(F.array(F.lit("the"), F.lit("que"), F.lit("und"), F.split("p_name", " ")[0])).alias("alias"))),
         """WITH a AS (SELECT 'the' AS alias UNION SELECT 'que' UNION SELECT 'und' UNION SELECT string_split(p_name, ' ')[1] FROM part), w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS alias FROM documents)
