@@ -41,6 +41,11 @@ def replaced(c: Column, *steps: tuple[str, str]) -> Column:
     return reduce(lambda out, step: F.regexp_replace(out, *step), steps, c)
 
 
+def bound(c: Column, use) -> Column:
+    """``use`` of a column that is evaluated once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def registry_key(name: Column) -> Column:
     """Lower case without citation marks, counts, markers and 'baseline(s)'; brackets, percent signs and separators as one space."""
     steps = ((r"\[[\d,\s\-]+\]", " "), (r"\(\s*n\s*=\s*\d+\s*\)", " "), (r"[*†‡✓✗()%]", " "), (r"[-_/]", " "), (r"\bbaselines?\b", " "), (r"\s+", " "))
@@ -77,17 +82,18 @@ def valid_method_name(name: Column) -> Column:
 
 def cell_value(cell: Column) -> tuple[Column, Column, Column]:
     """(value, deviation, unit) of a table cell; a cell of several numbers before its bracket or deviation has no value."""
-    text = F.trim(F.coalesce(cell, F.lit("")))
-    none = F.lower(text).isin(*NULL_CELLS)
-    fixed = F.regexp_replace(text, r"(\d)\s*\.\s*(\d)", "$1.$2")
-    head = F.split(fixed, r"[(±]", 2)[0]
     number = F.lit(r"(-?\d+\.?\d*)")
-    leading, every = F.regexp_extract_all(head, number, 1), F.regexp_extract_all(fixed, number, 1)
-    chosen = F.when(F.size(leading) > 0, leading).otherwise(every)
-    many = F.size(leading) > 1
-    value = F.when(~none & ~many & (F.size(chosen) > 0), F.get(chosen, F.lit(0)).try_cast("double"))
-    deviation = F.regexp_extract(fixed, r"±\s*(\d+\.?\d*)", 1).try_cast("double")
-    return value, F.when(value.isNotNull(), deviation), F.when(~none & fixed.contains("%"), F.lit("%"))
+    text = F.trim(F.coalesce(cell, F.lit("")))
+
+    def parts(fixed: Column) -> Column:
+        none = F.lower(fixed).isin(*NULL_CELLS)
+        leading = F.regexp_extract_all(F.split(fixed, r"[(±]", 2)[0], number, 1)
+        first = bound(leading, lambda n: F.when(F.size(n) == 1, n[0]).when(F.size(n) == 0, F.get(F.regexp_extract_all(fixed, number, 1), F.lit(0))))
+        value = F.when(~none, first.try_cast("double"))
+        return F.struct(value.alias("value"), F.regexp_extract(fixed, r"±\s*(\d+\.?\d*)", 1).try_cast("double").alias("deviation"), F.when(~none & fixed.contains("%"), F.lit("%")).alias("unit"))
+
+    found = bound(F.regexp_replace(text, r"(\d)\s*\.\s*(\d)", "$1.$2"), parts)
+    return found["value"], F.when(found["value"].isNotNull(), found["deviation"]), found["unit"]
 
 
 def time_scope(label: Column) -> Column:
@@ -137,19 +143,24 @@ def header_row(first: Column, numbers_after: Column) -> Column:
 
 def metric_of(label: Column, metrics: list[dict]) -> Column:
     """The id of the metric that a label names: by an alias as a whole, else by the longest alias of four characters or more in it."""
-    key = registry_key(label)
-    aliases = [(m["id"], a) for m in metrics for a in (m["id"], *m.get("aliases", ()))]
-    keyed = [(i, _plain_key(a)) for i, a in aliases]
-    whole = [F.when(key == a, F.lit(i)) for i, a in keyed]
-    inside = [F.when(key.contains(a), F.lit(i)) for i, a in sorted(keyed, key=lambda x: -len(x[1])) if len(a) >= 4]
-    return F.coalesce(*whole, *inside, F.lit(None).cast("string"))
+    keyed = [(m["id"], _plain_key(a)) for m in metrics for a in (m["id"], *m.get("aliases", ()))]
+
+    def named(key: Column) -> Column:
+        whole = [F.when(key == a, F.lit(i)) for i, a in keyed]
+        inside = [F.when(key.contains(a), F.lit(i)) for i, a in sorted(keyed, key=lambda x: -len(x[1])) if len(a) >= 4]
+        return F.coalesce(*whole, *inside, F.lit(None).cast("string"))
+
+    return bound(registry_key(label), named)
 
 
 def condition_of(label: Column, conditions: list[dict]) -> Column:
     """The id of the condition that a label names: by an alias as a whole, else by the first alias of four characters or more in it."""
-    key = registry_key(label)
     keyed = [(c["id"], _plain_key(a)) for c in conditions for a in (c["id"], *c.get("aliases", ()))]
-    return F.coalesce(*[F.when(key == a, F.lit(i)) for i, a in keyed], *[F.when(key.contains(a), F.lit(i)) for i, a in keyed if len(a) >= 4], F.lit(None).cast("string"))
+
+    def named(key: Column) -> Column:
+        return F.coalesce(*[F.when(key == a, F.lit(i)) for i, a in keyed], *[F.when(key.contains(a), F.lit(i)) for i, a in keyed if len(a) >= 4], F.lit(None).cast("string"))
+
+    return bound(registry_key(label), named)
 
 
 def unit_of(label: Column, default: Column) -> Column:

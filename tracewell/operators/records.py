@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..session import staged
 
 #: Characters that both sides of a containment are met by.
 SEED = 5
@@ -129,7 +130,7 @@ def records_from_cells(cells: DataFrame, tables: DataFrame, metrics: list[dict],
     kept apart by their last label; rows of totals are left out; what a column does not say the caption may.
     """
     value, deviation, unit = L.cell_value(F.col("text"))
-    cells = cells.withColumns({"value": value, "deviation": deviation, "cell_unit": unit})
+    cells = staged(cells.withColumns({"value": value, "deviation": deviation, "cell_unit": unit}))  # headers, names and numbers are read from it
     rows = cells.groupBy("table_id", "row").agg(F.max(F.when(F.col("col") == 0, F.col("text"))).alias("first"), F.count(F.when(F.col("col") > 0, F.col("value"))).alias("numbers"))
     sizes = rows.groupBy("table_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(~L.header_row(F.col("first"), F.col("numbers")), F.col("row"))).alias("lead")).where("n >= 2")
     sizes = sizes.select("table_id", F.least(F.col("n") - 1, F.greatest(F.lit(1), F.coalesce("lead", "n"))).alias("headers"))

@@ -155,9 +155,10 @@ def by_strength(results: DataFrame) -> DataFrame:
 
 
 def positions(chunks: DataFrame, key: str = "doc_id", order: str = "seq") -> DataFrame:
-    """(key, order, position): each chunk's ordinal over the number of chunks, to two digits."""
+    """(key, order, position): each chunk's ordinal over the number of chunks, to two digits, halves up."""
     w = W.partitionBy(key)
-    return chunks.select(key, order, F.round((F.row_number().over(w.orderBy(order)) - 1) / F.count(F.lit(1)).over(w), 2).alias("position"))
+    rows = chunks.select(key, order, (F.row_number().over(w.orderBy(order)) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
+    return rows.select(key, order, (F.floor((200 * F.col("i") + F.col("n")) / (2 * F.col("n"))) / 100).alias("position"))
 
 
 def topic_breaks(sentences: DataFrame, least: float, key: str = "doc_id") -> DataFrame:

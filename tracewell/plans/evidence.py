@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..operators import evidence as E
-from ..session import cut
+from ..session import staged
 from ..sources.views import RESULTS, results, table
 
 _CV = "CASE WHEN count(value) < 2 OR avg(value) = 0 THEN 0.0 ELSE stddev_pop(value) / abs(avg(value)) END"
@@ -45,7 +45,7 @@ def trust(s, d):
 
 def found_cells(s, d):
     """Records are joined and written once; leaderboard, validations and wins each read them from there."""
-    rows = cut(results(s, d))
+    rows = staged(results(s, d))
     return E.cells(E.leaderboard(rows), E.cross_validation(rows), E.pairwise_wins(rows))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..operators import records as R
-from ..session import cut
+from ..session import staged
 from .given import given, named
 
 METRICS = [
@@ -107,8 +107,8 @@ def normal(s, d):
 
 def published(s, d):
     """Records and then distinct mentions are written once, since the cascade reads its mentions in every step."""
-    rows = cut(normal(s, d))
-    return R.published(rows, cut(R.method_cascade(cut(rows.select("mention").distinct()), given(s, d, METHODS), given(s, d, ALIASES))))
+    rows = staged(normal(s, d))
+    return R.published(rows, staged(R.method_cascade(staged(rows.select("mention").distinct()), given(s, d, METHODS), given(s, d, ALIASES))))
 
 
 def labelled(s, d):
@@ -120,7 +120,7 @@ def graded(s, d):
     """Published records that can be compared, with the grade that their method and cell earn over all papers."""
     from ..operators import evidence as E
 
-    rows = cut(published(s, d)).where("comparable").select(
+    rows = staged(published(s, d)).where("comparable").select(
         "method", "metric", "condition", "paper", "value", "confidence", F.lit(True).alias("verified"), F.concat_ws("/", "table_id", "row", "col").alias("record_id")
     )
     return E.inherit_grades(rows, E.cross_validation(rows))

@@ -82,7 +82,7 @@ QUERIES = {
         f"""WITH {RESULTS}, r AS (SELECT *, record_id % 5 <> 0 AS resolved, CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE CASE WHEN verified THEN 2 ELSE 3 END END AS g FROM results)
         SELECT record_id, metric, row_number() OVER (PARTITION BY metric ORDER BY resolved DESC, g, lower(method), record_id, value, condition, paper) AS by_evidence, row_number() OVER (PARTITION BY metric ORDER BY lower(method), lower(metric), record_id, value, condition, paper) AS by_method, row_number() OVER (PARTITION BY metric ORDER BY condition || '|' || paper || '|' || lower(method), record_id, value) AS by_protocol FROM r""",
     ),
-    "wn_positions": (lambda s, d: R.positions(chunks(s, d)), f"WITH {CHUNKS} SELECT doc_id, seq, round((row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1) / count(*) OVER (PARTITION BY doc_id)::DOUBLE, 2) AS position FROM chunks"),
+    "wn_positions": (lambda s, d: R.positions(chunks(s, d)), f"WITH {CHUNKS} SELECT doc_id, seq, ((200 * (row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1) + count(*) OVER (PARTITION BY doc_id)) // (2 * count(*) OVER (PARTITION BY doc_id)))::DOUBLE / 100 AS position FROM chunks"),
     "wn_topic_breaks": (
         lambda s, d: R.topic_breaks(given(s, d, SENTENCES).withColumn("vector", F.col("vector").cast("array<double>")), 0.05),
         f"""WITH x AS (SELECT doc_id, seq, CAST(vector AS DOUBLE[]) AS v, lag(CAST(vector AS DOUBLE[])) OVER (PARTITION BY doc_id ORDER BY seq) AS b FROM ({named(SENTENCES)}))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +39,13 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()).rstrip("/")
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written once as a table in the shared folder and read again, for what several branches of a plan read."""
+    path = f"{shared_dir(df.sparkSession)}/tracewell/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` checkpointed in the shared folder, its lineage cut."""
     shared_dir(df.sparkSession)
