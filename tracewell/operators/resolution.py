@@ -105,7 +105,7 @@ def corrected(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 #: Ways to define an acronym: (pattern, group of the acronym, group of the full form, whether letters must agree).
 ACRONYM_FORMS = (
-    (r"((?:[A-Z][\p{L}-]+|of|and|for|the|in|on)(?: (?:[\p{L}-]+)){1,6}) \(([A-Z][A-Za-z]{1,7})\)", 2, 1, True),
+    (r"((?:[\p{L}-]+ ){2,7})\(([A-Z][A-Za-z]{1,7})\)", 2, 1, True),
     (r"\b([A-Z]{2,8}) \(([A-Z][\p{L}-]+(?: [\p{L}-]+){1,6})\)", 1, 2, True),
     (r"\b([A-Z]{2,8}),? or ([A-Z][\p{L}-]+(?: [A-Z][\p{L}-]+){1,6})", 1, 2, False),
 )
@@ -114,20 +114,22 @@ ACRONYM_FORMS = (
 def acronyms(docs: DataFrame) -> DataFrame:
     """(acronym, full_form, n): acronyms defined before or after their full form or by 'or'; the first definition wins, n documents define it.
 
-    In a bracketed form half of the acronym's letters must be initials of capitalised or long words; of words before the
-    brackets only the last ones, as many as the acronym has letters, count.
+    In a bracketed form the acronym's letters are the initials of the words, or half of them are initials of capitalised or
+    long words; of words before the brackets only the last ones, as many as the acronym has letters, count.
     """
     every = None
     for pattern, acronym, full, agrees in ACRONYM_FORMS:
         hits = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), 0)).alias("at", "hit"))
-        part = hits.select("doc_id", "at", F.regexp_extract("hit", pattern, acronym).alias("acronym"), F.split(F.regexp_extract("hit", pattern, full), " ").alias("words"))
+        part = hits.select("doc_id", "at", F.regexp_extract("hit", pattern, acronym).alias("acronym"), F.split(F.trim(F.regexp_extract("hit", pattern, full)), " ").alias("words"))
         if acronym > full:
             n = F.length("acronym")
             part = part.withColumn("words", F.slice("words", F.greatest(F.lit(1), F.size("words") - n + 1), n))
         if agrees:
             initials = F.array_join(F.transform(F.filter("words", lambda w: w.rlike("^[A-Z]") | (F.length(w) > 3)), lambda w: F.upper(F.substring(w, 1, 1))), "")
             letters = F.split(F.upper("acronym"), "")
-            part = part.where((F.size("words") >= 2) & (F.size(F.filter(letters, lambda c: initials.contains(c) & (c != ""))) >= F.length("acronym") * 0.5))
+            plain = F.upper(F.array_join(F.transform("words", lambda w: F.substring(w, 1, 1)), ""))
+            half = F.size(F.filter(letters, lambda c: initials.contains(c) & (c != ""))) >= F.length("acronym") * 0.5
+            part = part.where((F.size("words") >= 2) & ((plain == F.upper("acronym")) | half))
         part = part.select("acronym", "doc_id", "at", F.array_join("words", " ").alias("full"))
         every = part if every is None else every.unionByName(part)
     return every.groupBy("acronym").agg(F.min(F.struct("doc_id", "at", "full")).alias("m"), F.countDistinct("doc_id").alias("n")).select("acronym", F.col("m.full").alias("full_form"), "n")
