@@ -1,14 +1,14 @@
 """Benchmark decontamination by winnowing (DataFrame functions only).
 
 The hashes of all runs of ``k`` words of a text are winnowed: of every ``window - k + 1`` runs that follow each
-other, the smallest hash stays (all places of it, if it ties). A window of ``window`` words holds exactly that many runs,
-so a text that holds a window of a benchmark item also keeps that window's smallest hash: training texts and
-benchmark are joined on these fingerprints alone, about two in seven places at the usual sizes, and no shared
-span of ``window`` words or more is missed. An item of fewer words is one window of its own
+other, the smallest hash stays. A window of ``window`` words holds exactly that many runs, so a text that holds a
+window of a benchmark item also keeps that window's smallest hash: training texts and benchmark are joined on
+these distinct fingerprints alone, about two for seven words at the usual sizes, and no shared span of
+``window`` words or more is missed. An item of fewer words is one window of its own
 length; its fingerprint is the hash of all its words, and texts give every run of the lengths that such items have.
 
-Hits are extended: the windows around a hit's place are cut out of the text and looked up, word for word, among the distinct
-windows of the benchmark. Windows of the same items form a class, and texts with the same classes share one
+Hits are extended: in texts with a hit, every window whose fingerprint is one of the benchmark's must agree with a window
+of that fingerprint word for word. Windows of the same items form a class, and texts with the same classes share one
 list of items, so a passage that many items and many texts hold is listed once.
 
 Texts of documents are not shuffled, only those with a hit are, once for each digest. What documents are joined with
@@ -54,26 +54,17 @@ def run_hashes(words: Column, length: int) -> Column:
 
 def smallest(hashes: Column, many: int) -> Column:
     """The smallest of each ``many`` hashes that follow each other."""
-    return F.transform(from_zero(F.size(hashes) - many + 1), lambda j: F.array_min(F.slice(hashes, j + 1, many)))
+    return F.transform(from_zero(F.size(hashes) - many + 1), lambda j: F.least(*[F.get(hashes, j + i) for i in range(many)]) if many > 1 else F.get(hashes, j))
 
 
-def fingerprints(texts: DataFrame, window: int, k: int, short: list[int]) -> DataFrame:
-    """(digest, length, at, hash) of texts (digest, words): winnowed runs have length 0, the others their own."""
-    many = window - k + 1
-    hashed = texts.withColumn("hashes", run_hashes(F.col("words"), k))
-    least = hashed.withColumn("least", smallest(F.col("hashes"), many))
+def with_fingerprints(texts: DataFrame, window: int, k: int, short: list[int]) -> tuple[DataFrame, dict[int, Column]]:
+    """``texts`` (words) with the hashes that the columns need, and by length (0: winnowed) the fingerprint of the window at each place."""
+    least = texts.withColumn("hashes", run_hashes(F.col("words"), k)).withColumn("least", smallest(F.col("hashes"), window - k + 1))
 
-    def kept(i: Column) -> Column:  # smallest in one of the windows that hold it, and so in the one whose smallest is largest
-        first = F.greatest(i - (many - 1), F.lit(0))
-        last = F.least(i, F.size("least") - 1)
-        return F.get("hashes", i) == F.array_max(F.slice("least", first + 1, last - first + 1))
+    def runs(length: int) -> Column:
+        return F.transform(from_zero(F.size("words") - length + 1), lambda i: F.xxhash64(F.slice("words", i + 1, length)))
 
-    places = F.filter(from_zero(F.when(F.size("least") > 0, F.size("hashes")).otherwise(0)), kept)
-    found = [F.transform(places, lambda i: F.struct(F.lit(0).alias("length"), i.alias("at"), F.get("hashes", i).alias("hash")))]
-    for length in short:
-        starts = from_zero(F.size("words") - length + 1)
-        found.append(F.transform(starts, lambda i, n=length: F.struct(F.lit(n).alias("length"), i.alias("at"), F.xxhash64(F.slice("words", i + 1, n)).alias("hash"))))
-    return least.select("digest", F.explode(F.concat(*found) if short else found[0]).alias("f")).select("digest", "f.*")
+    return least, {0: F.col("least")} | {length: runs(length) for length in short}
 
 
 def item_windows(benchmark: DataFrame, window: int, k: int) -> DataFrame:
@@ -102,22 +93,24 @@ def matches(texts: DataFrame, windows: DataFrame, window: int, k: int) -> DataFr
     """(digest, code, cls) of distinct texts (digest, text): the windows that occur, found by fingerprint and extended word for word."""
     short = sorted(r["length"] for r in windows.select("length").distinct().collect() if r["length"])
     known = staged(windows.select("length", "hash").distinct(), "leak-fingerprints")
-    given = texts.select("digest", words_of(F.col("text")).alias("words"))
-    met_at = met(fingerprints(given, window, k, short), known, ["length", "hash"], "left_semi", ["digest", "at"])
-    hits = staged(met_at.groupBy("digest").agg(F.collect_set(F.col("at") * F.lit(PLACE).cast("long") + F.col("length")).alias("places")), "leak-hits")
-    whole = met(texts, staged(hits.select("digest"), "leak-digests"), ["digest"], "left_semi", ["digest"]).groupBy("digest").agg(F.first("text").alias("text"))
-    around = whole.join(hits, "digest").select("digest", words_of(F.col("text")).alias("words"), "places")
-
-    def starts(place: Column) -> Column:
-        at, length = F.floor(place / PLACE), place % PLACE
-        wide = F.sequence(F.greatest(at - (window - k), F.lit(0)), at)
-        return F.when(length > 0, F.array(place)).otherwise(F.transform(wide, lambda s: s * PLACE + window))
-
-    codes = around.withColumn("codes", F.array_distinct(F.flatten(F.transform("places", starts))))
-    fits = F.filter("codes", lambda c: F.floor(c / PLACE) + c % PLACE <= F.size("words"))
-    cut = F.transform(fits, lambda c: F.struct(c.alias("code"), F.array_join(F.slice("words", (F.floor(c / PLACE) + 1).cast("int"), (c % PLACE).cast("int")), " ").alias("gram")))
-    asked = codes.select("digest", F.explode(cut).alias("c")).select("digest", "c.*")
-    return met(asked, staged(windows.select("gram", "cls"), "leak-windows"), ["gram"], "inner", ["digest", "code"]).select("digest", "code", "cls")
+
+    least, printed = with_fingerprints(texts.select("digest", words_of(F.col("text")).alias("words")), window, k, short)
+
+    def distinct(n: int, prints: Column) -> Column:
+        return F.transform(F.array_distinct(prints), lambda h: F.struct(F.lit(n).alias("length"), h.alias("hash")))
+
+    asked = least.select("digest", F.explode(F.concat(*[distinct(n, p) for n, p in printed.items()])).alias("f")).select("digest", "f.*")
+    hits = staged(met(asked, known, ["length", "hash"], "left_semi", ["digest"]).select("digest").distinct(), "leak-digests")
+
+    whole = met(texts, hits, ["digest"], "left_semi", ["digest"]).groupBy("digest").agg(F.first("text").alias("text"))
+    least, printed = with_fingerprints(whole.select("digest", words_of(F.col("text")).alias("words")), window, k, short)
+
+    def grams(n: int, prints: Column) -> Column:
+        words = n or window
+        return F.transform(prints, lambda h, i: F.struct(F.lit(n).alias("length"), h.alias("hash"), (i * F.lit(PLACE).cast("long") + words).alias("code"), F.array_join(F.slice("words", i + 1, words), " ").alias("gram")))
+
+    around = least.select("digest", F.explode(F.concat(*[grams(n, p) for n, p in printed.items()])).alias("w")).select("digest", "w.*")
+    return met(around, staged(windows.select("length", "hash", "gram", "cls"), "leak-windows"), ["length", "hash", "gram"], "inner", ["digest", "code"]).select("digest", "code", "cls")
 
 
 def prepared(docs: DataFrame, benchmark: DataFrame, window: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
