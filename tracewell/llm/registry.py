@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators."""
 
-from . import ball_kmeans, decontaminate, embedding_dedup, exact_dedup, html_extract, jaccard_join, language_id, mixing, packing, quality, secret_scan, token_counts
+from . import ball_kmeans, decontaminate, embedding_dedup, exact_dedup, hard_negatives, html_extract, jaccard_join, language_id, mixing, packing, quality, secret_scan, token_counts
 
 _QUERIES = [
     (secret_scan.op1_secret_scan, None),
@@ -15,6 +15,7 @@ _QUERIES = [
     (exact_dedup.op9_exact_dedup, exact_dedup.SQL),
     (jaccard_join.op10_jaccard_join, jaccard_join.SQL),
     (ball_kmeans.op11_ball_kmeans, ball_kmeans.SQL),
+    (hard_negatives.op12_hard_negatives, hard_negatives.SQL),
     (decontaminate.op13_decontaminate, decontaminate.SQL),
 ]
 
