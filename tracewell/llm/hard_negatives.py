@@ -32,8 +32,8 @@ from .common import partitions, pick, read, staged
 SAMPLE = 16_384
 #: Rows of a block at least and at most.
 LEAST, BLOCK = 2048, 65_536
-#: Rows of a leaf.
-LEAF = 128
+#: Rows of a leaf, and splits above it at most: what copies leave unsplit is a larger leaf.
+LEAF, DEPTH = 128, 64
 #: Anchors whose distances to a block's vantage points are held at once.
 HELD = 1024
 #: Squared norms stay below this, so that a hundred times a score fits a long.
@@ -58,16 +58,16 @@ class Tree:
     """A vantage-point tree: nodes in the order of a walk, each with the bounds of its two sides; leaves hold runs of ``order``."""
 
     def __init__(self, x: np.ndarray, m: int, leaf: int):
-        """``x``: augmented rows; equal distances stay on one side, so a run of copies may make a leaf larger than ``leaf``."""
+        """``x``: augmented rows; equal distances stay on one side, so copies may make a leaf larger than ``leaf``."""
         self.m, self.order, self.starts, self.nodes = m, np.arange(len(x)), [], []
         self.vantage: list[np.ndarray] = []
         self._split(x, 0, len(x), leaf)
         self.starts.append(len(x))
         self.points = np.array(self.vantage) if self.vantage else np.empty((0, x.shape[1]))
 
-    def _split(self, x: np.ndarray, at: int, end: int, leaf: int) -> tuple[str, int]:
+    def _split(self, x: np.ndarray, at: int, end: int, leaf: int, depth: int = 0) -> tuple[str, int]:
         rows = self.order[at:end]
-        if len(rows) > leaf:
+        if len(rows) > leaf and depth < DEPTH:
             own = x[rows]
             spread = own[:: max(1, len(rows) // 64)]
             start = ((own - spread.mean(axis=0)) ** 2).sum(axis=1).argmax()  # a row at the rim parts better than one in the middle
@@ -82,7 +82,7 @@ class Tree:
                 self.vantage.append(own[start])
                 order, near, far = np.concatenate([rows[inside], rows[~inside]]), d[inside], d[~inside]
                 self.order[at:end] = order
-                sides = [self._split(x, at, at + len(near), leaf), self._split(x, at + len(near), end, leaf)]
+                sides = [self._split(x, at, at + len(near), leaf, depth + 1), self._split(x, at + len(near), end, leaf, depth + 1)]
                 self.nodes[number] = (sides, [(near.min(), near.max()), (far.min(), far.max())], median)
                 return "node", number
         self.starts.append(at)
