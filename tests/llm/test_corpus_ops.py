@@ -7,6 +7,7 @@ import json
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -638,6 +639,22 @@ def test_deep_and_wide_pages():
     assert html_extract.main_text(wide[0], place) == " ".join(map(str, range(3000)))
 
 
+@pytest.mark.parametrize("unit", ["<a ", "<b>", '<a "', "<a '>\"", "<b><h1>", "<!--", '<a "x>y" ', "<svg", "</b>", '<a <a "x>', "<![CDATA[", "<li><b>"])
+def test_broken_pages_are_read_in_linear_time(unit):
+    took = []
+    for size in (200_000, 1_600_000):
+        began = time.process_time()
+        html_extract.main_text(unit * (size // len(unit)), None)
+        took.append(time.process_time() - began)
+    assert took[1] < 10 and took[1] < 24 * took[0] + 0.5
+
+
+def test_text_of_formulas_and_quoted_markup_stays_and_comment_lists_go():
+    page = '<article><p>Area <math><mi>x</mi><mo>+</mo>2</math> holds</p><xmp>a < b</xmp><p title="1 > 0">c</p><ol class="commentlist"><li>yo</ol><div class="commentary">d</div></article>'
+    assert html_extract.main_text(page, None) == "Area x+2 holds a < b c d"
+    assert html_extract.main_text('<article><p>one</p><p title="never closed>two</p><p>three</article>', None) == "one two three"
+
+
 def test_alignment_makes_optional_and_repeated_parts():
     one, two = (html_extract.part_of(html_extract.tree(f"<ul>{x}</ul>")) for x in ("<li>a<li>b<li>c", "<li>a<p>z"))
     ul = html_extract.aligned_part(one, two)[5][0]

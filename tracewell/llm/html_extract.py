@@ -48,20 +48,17 @@ DEEP = 100
 #: A text that never varied belongs to the template if so many pages showed it.
 CONSTANT_PAGES = 3
 
-_token = re.compile(
-    r"<!--(?:(?!-->).)*+(?:-->|\Z)|<!\[CDATA\[(?:(?!\]\]>).)*+(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|noembed|noframes|xmp|svg|math)\b(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+>(?:(?!</(?P=raw)\b).)*+(?:</(?P=raw)[^>]*+(?:>|\Z)|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attrs>(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>"
-    r"|(?P<text>[^<]++|<)",
-    re.IGNORECASE | re.DOTALL,
-)
+_apart_from_text = re.compile(r"<!--|<!\[CDATA\[|<[!?]|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)", re.IGNORECASE)
+_attrs = re.compile(r"(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+>")
+#: Elements whose content is no markup, and how each ends; all but ``xmp`` are left out.
+RAW = {tag: re.compile(rf"</{tag}\b[^>]*>?", re.IGNORECASE) for tag in ("script", "style", "noscript", "template", "textarea", "iframe", "noembed", "noframes", "svg", "xmp")}
 _named = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _hint = re.compile(r"[a-z]+")
 _space = re.compile(r"\s+")
 _digits = re.compile(r"[0-9]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mspace semantics annotation".split())
 #: Elements that never hold main text.
 APART = frozenset("nav header footer aside form script style noscript template button select option input head title menu dialog iframe svg".split())
 #: Elements that hold the page or its main part, whatever their class, id or role says.
@@ -84,55 +81,104 @@ ENDS_P = frozenset("address article aside blockquote details div dl fieldset fig
 SCOPE = frozenset("html body article section main div table ul ol dl td th blockquote aside nav header footer form figure".split())
 
 
+def tokens(page: str):
+    """(text, None, None, None) or (None, "/" or "", tag, attributes) of each token of a page, in time linear in it.
+
+    A tag ends at the first ``>`` outside quotes. Where a quote stays open up to the end of the page, tags that
+    start before it end at the first ``>`` at all, so no stretch is read for a tag more than a few times. Comments, and raw elements with their contents, are left out.
+    """
+    at, size, last, torn = 0, len(page), page.rfind(">"), -1
+    while at < size:
+        start = page.find("<", at)
+        if start < 0:
+            start = size
+        if start > at:
+            yield page[at:start], None, None, None
+        if start > last:  # no tag ends any more
+            if not page.startswith(("<!", "<?"), start) and start < size:
+                follows = min((x for x in (page.find("<!", start), page.find("<?", start)) if x >= 0), default=size)
+                yield page[start:follows], None, None, None
+            return
+        m = _apart_from_text.match(page, start)
+        if not m:
+            yield "<", None, None, None
+            at = start + 1
+        elif not m["tag"]:
+            stop = {"<!--": "-->", "<![CDATA[": "]]>"}.get(m[0].upper(), ">")
+            end = page.find(stop, m.end())
+            at = size if end < 0 else end + len(stop)
+        else:
+            whole = None
+            if start > torn:
+                whole = _attrs.match(page, m.end())
+                if not whole:  # a quote that never closes: it is the last of its kind
+                    rest = re.sub(r"\"[^\"]*+\"|'[^']*+'", lambda q: " " * len(q[0]), page[m.end() :])
+                    torn = m.end() + min(x for x in (rest.find('"'), rest.find("'"), len(rest)) if x >= 0)
+            end = whole.end() if whole else page.find(">", m.end()) + 1
+            tag, at = m["tag"].lower(), end
+            if not m["end"] and tag in RAW:
+                close = RAW[tag].search(page, end)
+                if tag == "xmp":
+                    yield None, "", tag, ""
+                    yield page[end : close.start() if close else size], None, None, None
+                    yield None, "/", tag, ""
+                at = close.end() if close else size
+                continue
+            yield None, m["end"], tag, page[m.end() : end - 1]
+
+
 def tree(page: str | None) -> list:
     """The page as [key, parts]; a text part is a string. Unclosed and crossed tags are repaired.
 
     Below ``DEEP`` an element has no parts of its own: they follow it in its parent, and an empty part
     of its name marks its end. Only a part that is left out (a menu in an article) still gets its own.
+    Places of open elements are kept by tag, so no tag searches the stack.
     """
     root: list = ["", []]
     stack, tags = [root], [""]
+    places: dict[str, list[int]] = {}
+    scopes: list[int] = [0]
 
     def close(at: int) -> None:
         for k in range(len(tags) - 1, at - 1, -1):
             if stack[k] is stack[k - 1]:
                 stack[k][1].append([tags[k], []])
+            places[tags[k]].pop()
+            if scopes[-1] == k:
+                scopes.pop()
         del tags[at:], stack[at:]
 
-    for m in _token.finditer(page or ""):
-        if text := m["text"]:
-            stack[-1][1].append(text)
-            continue
-        tag = m["tag"]
-        if not tag:
+    for text, end, tag, attrs in tokens(page or ""):
+        if text is not None:
+            if text:
+                stack[-1][1].append(text)
             continue
-        tag = tag.lower()
-        if m["end"]:
-            if tag in tags:
-                close(len(tags) - 1 - tags[::-1].index(tag))
+        if end:
+            if places.get(tag):
+                close(places[tag][-1])
             continue
-        if tag in ("html", "body") and tag in tags:
+        if tag in ("html", "body") and places.get(tag):
             continue
-        ends = CLOSES.get(tag, ()) if tag not in ENDS_P else {"p"}
-        for at in range(len(tags) - 1, 0, -1):
-            if tags[at] in ends:
-                close(at)
-                break
-            if tags[at] in SCOPE:
-                break
-        names = sorted({w for a in _named.findall(m["attrs"]) for w in (a[1] or a[2] or a[3]).lower().split()}) if m["attrs"] else []
+        ends = CLOSES.get(tag, ()) if tag not in ENDS_P else ("p",)
+        at = max((places[t][-1] for t in ends if places.get(t)), default=0)
+        if at and at >= scopes[-1]:
+            close(at)
+        names = sorted({w for a in _named.findall(attrs) for w in (a[1] or a[2] or a[3]).lower().split()}) if attrs else []
         node: list = [" ".join([tag, *names]), []]
         stack[-1][1].append(node)
-        if tag not in VOID and not m["attrs"].endswith("/"):
+        if tag not in VOID and not attrs.endswith("/"):
             stack.append(stack[-1] if len(stack) > DEEP and (apart(stack[-1][0]) or not apart(node[0])) else node)
+            places.setdefault(tag, []).append(len(tags))
+            if tag in SCOPE:
+                scopes.append(len(tags))
             tags.append(tag)
     return root
 
 
 def marks(name: str) -> bool:
-    """Whether a class, id or role names a part that is left out: ``sidebar-left`` and ``site-footer`` do, ``has-sidebar``, ``share-price`` and ``comments-open`` do not."""
+    """Whether a class, id or role names a part that is left out: ``sidebar-left``, ``site-footer`` and ``commentlist`` do, ``has-sidebar``, ``share-price`` and ``comments-open`` do not."""
     words = [w for w in _hint.findall(name) if w not in PLACE]
-    return bool(words) and all(w in APART_WORDS for w in words)
+    return bool(words) and all(w in APART_WORDS or any(w[:i] in APART_WORDS and w[i:] in PLACE for i in range(2, len(w))) for w in words)
 
 
 @lru_cache(4096)
