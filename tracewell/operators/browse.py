@@ -11,12 +11,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ranks import numbered
+
 NOT_REPORTED = "not reported"
 # What condition tokens are called, and synonyms that widen a question.
 TOKEN_CATEGORIES = (
     ("Scene", ("packed", "pile", "real", "sim", "isolated", "cluttered")), ("Success criterion", ("gsr", "dr", "sr")), ("Camera view", ("fixedview", "randomview")), ("Depth noise", ("gammanoise", "gaussnoise")),
     ("Object set", ("egad", "ycb", "partnet")), ("Training", ("noretrain",)),
 )
+TOKEN_ALIASES = {"simulation": "sim"}
 SYNONYMS = (
     ("gripper", "end-effector", "hand"), ("fast", "speed", "latency", "runtime", "time"), ("accuracy", "success", "precision"), ("clutter", "cluttered", "pile", "piled"), ("sim", "simulation", "simulated"),
     ("real", "physical", "real-world"), ("grasp", "grasping"), ("plan", "planner", "planning"),
@@ -27,7 +30,7 @@ def table_search(methods: DataFrame, name: str, attributes: tuple[str, ...], ter
     """Rows whose name or any attribute contains the term and whose columns have the values asked for; ``place``: highlighted ones first, then by name."""
     text = F.lower(F.concat_ws(" ", name, *attributes))
     kept = reduce(lambda df, f: df.where(F.lower(f[0]) == f[1].lower()), filters.items(), methods.where(text.contains(term.lower())))
-    return kept.withColumn("place", F.row_number().over(W.orderBy(F.desc(F.col(name).isin(highlighted)), F.lower(name), name)))
+    return numbered(kept, [], [F.desc(F.col(name).isin(highlighted)), F.lower(name), name, *(c for c in kept.columns if c != name)])
 
 
 def record_search(records: DataFrame, columns: tuple[str, ...], term: str, known: DataFrame | None = None) -> DataFrame:
@@ -161,10 +164,11 @@ def filter_by_tags(tagged: DataFrame, chosen: dict[str, list[str]]) -> DataFrame
 
 def facets(condition: Column) -> Column:
     """Category to token of a condition, the first token of a category counting; what no category knows is listed under rest."""
-    tokens = F.filter(F.split(F.coalesce(condition, F.lit("")), ":"), lambda t: t != "")
+    said = F.filter(F.split(F.coalesce(condition, F.lit("")), ":"), lambda t: t != "")
+    tokens = F.transform(said, lambda t: F.coalesce(*[F.when(F.lower(t) == a, F.lit(name)) for a, name in TOKEN_ALIASES.items()], F.lower(t)))
     pairs = [F.struct(F.lit(name).alias("key"), F.get(F.array_intersect(tokens, F.array(*map(F.lit, words))), F.lit(0)).alias("value")) for name, words in TOKEN_CATEGORIES]
-    known = [w for _, words in TOKEN_CATEGORIES for w in words]
-    rest = F.struct(F.lit("rest").alias("key"), F.nullif(F.array_join(F.array_except(tokens, F.array(*map(F.lit, known))), ":"), F.lit("")).alias("value"))
+    known = [*(w for _, words in TOKEN_CATEGORIES for w in words), *TOKEN_ALIASES]
+    rest = F.struct(F.lit("rest").alias("key"), F.nullif(F.array_join(F.filter(F.array_distinct(said), lambda t: ~F.lower(t).isin(known)), ":"), F.lit("")).alias("value"))
     return F.map_from_entries(F.filter(F.array(*pairs, rest), lambda p: p["value"].isNotNull()))
 
 
@@ -203,12 +207,13 @@ def routed_metric(query: Column, keywords: dict[str, list[str]]) -> Column:
 
 
 def board_lines(boards: DataFrame, metric: str, condition: str | None, cells: int = 2, rows: int = 6) -> DataFrame:
-    """(metric, condition, line): the first ``rows`` entries of at most ``cells`` boards of a metric, exact conditions first; a top-k report."""
+    """(metric, dataset, condition, line): the first ``rows`` entries of at most ``cells`` boards of a metric, exact conditions first; a top-k report."""
     found = boards.where(F.col("metric") == metric).where(F.col("rank") <= rows)
     exact = F.when(F.col("condition") == condition, 0).otherwise(1) if condition else F.lit(0)
-    best = found.groupBy("condition").agg(F.count(F.lit(1)).alias("n")).orderBy(exact, F.desc("n"), "condition").limit(cells)
-    kept = found.join(best.select("condition"), "condition", "left_semi")
-    return kept.select("metric", "condition", F.concat_ws(" ", F.concat(F.col("rank").cast("string"), F.lit(".")), "method", F.format_string("%.2f", F.col("value")), "grade").alias("line"))
+    best = found.groupBy("dataset", "condition").agg(F.count(F.lit(1)).alias("n")).orderBy(exact, F.desc("n"), "condition", "dataset").limit(cells)
+    best = F.broadcast(best.select(F.col("dataset").alias("d"), F.col("condition").alias("c")))  # ``cells`` rows
+    kept = found.join(best, F.col("dataset").eqNullSafe(F.col("d")) & F.col("condition").eqNullSafe(F.col("c")), "left_semi")
+    return kept.select("metric", "dataset", "condition", F.concat_ws(" ", F.concat(F.col("rank").cast("string"), F.lit(".")), "method", F.format_string("%.2f", F.col("value")), "grade").alias("line"))
 
 
 def manifest(papers: DataFrame, sources: DataFrame) -> DataFrame:

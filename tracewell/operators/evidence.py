@@ -2,63 +2,85 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import stats
+from ..functions import labels, stats
+from ..session import staged
+from .browse import facets
+from .ranks import matched, medians
 
-CELL = ("metric", "condition")
+#: What two numbers must share to be compared; a null dataset or condition equals a null one.
+CELL = ("metric", "dataset", "condition")
+#: The variation that each type of metric may have, others 0.15.
+THRESHOLDS = {"rate": 0.10, "time": 0.20, "count": 0.15}
 
 
-def leaderboard(records: DataFrame, least_entries: int = 2) -> DataFrame:
-    """One row per cell and method, ranked: the headline is the median over papers of each paper's median.
+def complete(records: DataFrame) -> DataFrame:
+    """``records`` with null columns for what they lack of dataset, condition, kind (the metric's type), std and caption."""
+    lacking = {c: t for c, t in (("dataset", "string"), ("condition", "string"), ("kind", "string"), ("std", "double"), ("caption", "string")) if c not in records.columns}
+    return records.withColumns({c: F.lit(None).cast(t) for c, t in lacking.items()})
 
-    Two aggregations: per paper (the large one, combined in the map tasks), then per method; the
-    rank orders at most the methods of a cell.
+
+def evidence_of(rows: DataFrame, key: tuple[str, ...], thresholds: dict[str, float]) -> DataFrame:
+    """Per key, over all its values: papers, mean, variation, status, grade, confidence and corroboration.
+
+    One paper that contradicts itself varies as two would. Grade A falls to B where all papers give one value with one and the same
+    deviation, or a caption says that the method's numbers are another paper's.
     """
-    per_paper = records.where(F.col("value").isNotNull()).groupBy(*CELL, "method", "paper").agg(
-        F.median("value").alias("rep"), F.count("value").alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") ** 2).alias("s2"),
-        F.max("higher_is_better").alias("higher_is_better"), F.max("value").alias("hi"), F.min("value").alias("lo"), F.max((F.col("confidence") != "low") & F.col("verified")).alias("sound"),
+    found = rows.groupBy(*key).agg(
+        F.countDistinct("paper").alias("n_papers"), F.avg("value").alias("mean"), stats.coefficient_of_variation("value").alias("cv"), F.count("value").alias("n"), F.max("kind").alias("kind"),
+        F.max(F.col("verified").cast("int")).alias("verified"), F.max("confidence").alias("sure"),
+        ((F.min("value") == F.max("value")) & (F.min("std") == F.max("std")) & (F.count("std") == F.count("value"))).alias("one"), F.max(labels.caption_copied(F.col("method"), F.col("caption"))).alias("said"),
     )
-    entries = per_paper.groupBy(*CELL, "method").agg(
-        F.median("rep").alias("value"), F.count(F.lit(1)).alias("n_reports"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("s2").alias("s2"),
-        F.max("higher_is_better").alias("higher_is_better"), F.max("hi").alias("hi"), F.min("lo").alias("lo"), F.max("sound").alias("sound"),
-    )
-    mean = F.col("s") / F.col("n")
-    cv = F.when((F.col("n") < 2) | (mean == 0), 0.0).otherwise(F.sqrt(F.greatest(F.lit(0.0), F.col("s2") / F.col("n") - mean * mean)) / F.abs(mean))
-    graded = entries.withColumn("cv", F.round(cv, 6)).withColumn("status", stats.consistency(F.col("cv"), F.lit("score"), {}))
-    graded = graded.withColumn("grade", stats.evidence_grade(~F.col("sound"), F.col("status"), F.col("n_reports")))
+    status = stats.consistency(F.col("cv"), F.coalesce("kind", F.lit("default")), thresholds)
+    same = F.coalesce((F.col("n_papers") >= 2) & F.col("one"), F.lit(False))
+    grade = stats.evidence_grade((F.col("sure") == "low") | (F.col("verified") == 0), F.when(F.col("n") >= 2, F.col("status")).otherwise(""), F.col("n_papers"))
+    demoted = F.when((same | F.col("said")) & (grade == "A"), "B").otherwise(grade)
+    told = found.withColumn("status", status).withColumn("grade", demoted).withColumn("cv", F.round("cv", 6))
+    word = F.when(same, "identical_values_suspected_copy").when(F.col("said"), "caption_copied_baseline").otherwise("independent")
+    return told.select(*key, "n_papers", "mean", "cv", "status", "grade", stats.confidence(F.col("grade"), F.round("cv", 3)).alias("confidence"), word.alias("corroboration"))
+
+
+def leaderboard(records: DataFrame, least_entries: int = 2, thresholds: dict[str, float] | None = None) -> DataFrame:
+    """One row per cell and method, ranked: the headline is the median over papers of each paper's median, ``best`` the best of these.
+
+    Medians are picked from counted values in order, so no task holds a group. The rank orders at most the methods of a cell.
+    """
+    rows = complete(records).where(F.col("value").isNotNull())
+    entry = (*CELL, "method")
+    per_paper = medians(rows, [*entry, "paper"], "value", "rep")
+    ends = per_paper.groupBy(*entry).agg(F.max("rep").alias("hi"), F.min("rep").alias("lo"))
+    heads = matched(ends, medians(per_paper, list(entry), "rep", "value"), entry)
+    higher = rows.groupBy(*CELL).agg(F.coalesce(F.max("higher_is_better"), F.lit(True)).alias("higher_is_better"))
+    graded = matched(matched(heads, evidence_of(rows, entry, THRESHOLDS if thresholds is None else thresholds), entry), higher, CELL).withColumn("value", F.round("value", 2))
     order = F.when(F.col("higher_is_better"), -F.col("value")).otherwise(F.col("value"))
     cell = W.partitionBy(*CELL)
     return (
         graded.withColumn("size", F.count(F.lit(1)).over(cell))
         .where(F.col("size") >= least_entries)
         .withColumn("rank", F.row_number().over(cell.orderBy(order, "method")))
-        .select(*CELL, "rank", "method", "value", F.when(F.col("higher_is_better"), F.col("hi")).otherwise(F.col("lo")).alias("best"), "n_reports", "cv", "grade")
+        .select(*CELL, "rank", "method", "value", F.round(F.when(F.col("higher_is_better"), F.col("hi")).otherwise(F.col("lo")), 2).alias("best"), F.col("n_papers").alias("n_reports"), "cv", "grade", "confidence", "corroboration")
     )
 
 
-def cross_validation(records: DataFrame, least_papers: int = 2) -> DataFrame:
-    """Cells of one method that several papers report: mean, variation, status, grade, confidence."""
-    key = ("method", *CELL)
-    found = records.where(F.col("value").isNotNull()).groupBy(*key).agg(
-        F.countDistinct("paper").alias("n_papers"), F.avg("value").alias("mean"), stats.coefficient_of_variation("value").alias("cv"),
-        F.max((F.col("confidence") != "low") & F.col("verified")).alias("sound"),
-    )
-    found = found.where(F.col("n_papers") >= least_papers).withColumn("status", stats.consistency(F.col("cv"), F.lit("score"), {}, 0.5))
-    grade = stats.evidence_grade(~F.col("sound"), F.col("status"), F.col("n_papers"))
-    return found.withColumn("grade", grade).select(*key, "n_papers", F.round("mean", 6).alias("mean"), F.round("cv", 6).alias("cv"), "status", "grade", stats.confidence(F.col("grade"), F.col("cv")).alias("confidence"))
+def cross_validation(records: DataFrame, least_papers: int = 2, thresholds: dict[str, float] | None = None) -> DataFrame:
+    """Cells of one method that several papers report: mean, variation, status by the metric's type, grade, confidence, corroboration."""
+    found = evidence_of(complete(records).where(F.col("value").isNotNull()), ("method", *CELL), THRESHOLDS if thresholds is None else thresholds)
+    word = F.when(F.col("corroboration") == "identical_values_suspected_copy", F.col("corroboration")).otherwise("independent")
+    return found.where(F.col("n_papers") >= least_papers).withColumns({"mean": F.round("mean", 6), "corroboration": word})
 
 
 def pairwise_wins(records: DataFrame) -> DataFrame:
     """Per paper and cell, own rows against other methods' rows that they beat; margins to two digits."""
-    rows = records.where(F.col("value").isNotNull())
-    own = rows.where("is_own").select("paper", *CELL, F.col("method").alias("winner"), F.col("value").alias("own_value"), "higher_is_better", F.col("record_id").alias("own_id"))
-    other = rows.where("NOT is_own").select("paper", *CELL, F.col("method").alias("loser"), F.col("value").alias("other_value"), F.col("record_id").alias("other_id"))
-    met = own.join(other, ["paper", *CELL]).where("winner <> loser")
+    key = ("paper", *CELL)
+    rows = complete(records).where(F.col("value").isNotNull())
+    own = rows.where("is_own").select(*key, F.col("method").alias("winner"), F.col("value").alias("own_value"), F.coalesce("higher_is_better", F.lit(True)).alias("higher_is_better"), F.col("record_id").alias("own_id"))
+    other = rows.where("NOT is_own").select(*key, F.col("method").alias("loser"), F.col("value").alias("other_value"), F.col("record_id").alias("other_id"))
+    met = matched(own, other, key).where("winner <> loser")
     wins = F.when(F.col("higher_is_better"), F.col("own_value") > F.col("other_value")).otherwise(F.col("own_value") < F.col("other_value"))
-    return met.where(wins).select("paper", *CELL, "winner", "loser", F.round(F.abs(F.col("own_value") - F.col("other_value")), 2).alias("margin"), "own_id", "other_id")
+    return met.where(wins).select(*key, "winner", "loser", F.round(F.abs(F.col("own_value") - F.col("other_value")), 2).alias("margin"), "own_id", "other_id")
 
 
 def method_index(wins: DataFrame, validations: DataFrame) -> DataFrame:
@@ -76,16 +98,16 @@ def method_index(wins: DataFrame, validations: DataFrame) -> DataFrame:
 
 def inherit_grades(records: DataFrame, validations: DataFrame) -> DataFrame:
     """Every valued record with the grade and paper count of its method and cell; B and 1 without any."""
-    known = validations.select(F.col("method").alias("m"), F.col("metric").alias("t"), F.col("condition").alias("c"), "grade", "n_papers")
-    met = records.where(F.col("value").isNotNull()).join(known, (F.col("method").eqNullSafe(F.col("m"))) & (F.col("metric").eqNullSafe(F.col("t"))) & (F.col("condition").eqNullSafe(F.col("c"))), "left")
-    weak = (F.col("confidence") == "low") | ~F.col("verified")
-    return met.select("record_id", "method", "metric", "condition", "value", F.coalesce("grade", F.when(weak, "C").otherwise("B")).alias("grade"), F.coalesce("n_papers", F.lit(1)).alias("n_papers"))
+    key = ("method", *CELL)
+    rows = complete(records).where(F.col("value").isNotNull()).select("record_id", *key, "value", ((F.col("confidence") == "low") | ~F.col("verified")).alias("weak"))
+    met = matched(rows, validations.select(*key, "grade", "n_papers"), key, "left")
+    return met.select("record_id", *key, "value", F.coalesce("grade", F.when(F.col("weak"), "C").otherwise("B")).alias("grade"), F.coalesce("n_papers", F.lit(1)).alias("n_papers"))
 
 
 def merge_records(base: DataFrame, fresh: DataFrame) -> DataFrame:
     """Union of two record sets, one row per measurement: verified first, then by source priority."""
-    both = base.unionByName(fresh)
-    best = W.partitionBy("method", "metric", "condition", "value").orderBy(F.desc("verified"), F.desc("priority"), "record_id")
+    both = complete(base).unionByName(complete(fresh))
+    best = W.partitionBy("method", *CELL, "value").orderBy(F.desc("verified"), F.desc("priority"), "record_id")
     return both.withColumn("place", F.row_number().over(best)).where("place = 1").drop("place")
 
 
@@ -104,7 +126,7 @@ def suspected_copies(records: DataFrame) -> DataFrame:
     """Cells where several papers report one and the same value with one and the same deviation."""
     measured = F.struct("value", "std")
     return (
-        records.where("value IS NOT NULL AND std IS NOT NULL").groupBy("method", *CELL)
+        complete(records).where("value IS NOT NULL AND std IS NOT NULL").groupBy("method", *CELL)
         .agg(F.countDistinct("paper").alias("n_papers"), F.countDistinct(measured).alias("n_values"), F.min("value").alias("value"))
         .where("n_papers >= 2 AND n_values = 1").drop("n_values")
     )
@@ -115,20 +137,34 @@ def cells(boards: DataFrame, validations: DataFrame, wins: DataFrame) -> DataFra
     b = boards.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n_methods"), F.min(F.when(F.col("rank") == 1, F.col("method"))).alias("leader"))
     v = validations.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n_validations"))
     c = wins.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n_comparisons"))
-    joined = b.join(v, list(CELL), "left").join(c, list(CELL), "left")
+    joined = matched(matched(b, v, CELL, "left"), c, CELL, "left")
     return joined.select(*CELL, "n_methods", "leader", F.coalesce("n_validations", F.lit(0)).alias("n_validations"), F.coalesce("n_comparisons", F.lit(0)).alias("n_comparisons"))
 
 
-def nearest_cells(found: DataFrame, metric: str, condition: str) -> DataFrame:
-    """Cells of a metric by how many condition facets differ from those asked for."""
-    asked = F.array(*[F.lit(x) for x in condition.split(":")])
-    facets = F.split("condition", ":")
-    return found.where(F.col("metric") == metric).select("metric", "condition", "n_methods", F.size(F.filter(F.zip_with(facets, asked, lambda x, y: x != y), lambda d: d)).alias("n_differing"))
+def differing(condition: Column, asked: dict[str, str]) -> Column:
+    """The facets asked for that a condition does not have as asked, in their order; an absent facet differs."""
+    known = facets(condition)
+    return F.array_compact(F.array(*[F.when(~F.element_at(known, k).eqNullSafe(F.lit(v)), F.lit(k)) for k, v in asked.items()]).cast("array<string>"))
+
+
+def nearest_cells(found: DataFrame, boards: DataFrame, metric: str | None, asked: dict[str, str], methods: tuple[str, ...] = ()) -> DataFrame:
+    """(cell, n_methods, matched, differs_by, n_differing): the cells of a metric that have all ``methods`` and the facets asked for.
+
+    Only where none has them all, the cells that differ are given, with the names of the facets in which they do; such a
+    cell never counts as matched.
+    """
+    rows = found if metric is None else found.where(F.col("metric") == metric)
+    if methods:
+        present = boards.where(F.col("method").isin(*methods)).groupBy(*CELL).agg(F.countDistinct("method").alias("n_present")).where(F.col("n_present") == len(set(methods)))
+        rows = matched(rows, present.drop("n_present"), CELL, "left_semi")
+    told = staged(rows.select(*CELL, "n_methods", differing(F.col("condition"), asked).alias("differs_by")).withColumn("n_differing", F.size("differs_by")))
+    exact = not told.where("n_differing = 0").isEmpty()
+    return told.where("n_differing = 0" if exact else "n_differing > 0").withColumn("matched", F.lit(exact))
 
 
 def coverage_gaps(records: DataFrame, least: int = 2) -> DataFrame:
     """Cells that fewer than ``least`` methods report."""
-    return records.groupBy(*CELL).agg(F.countDistinct("method").alias("n_methods")).where(F.col("n_methods") < least)
+    return complete(records).groupBy(*CELL).agg(F.countDistinct("method").alias("n_methods")).where(F.col("n_methods") < least)
 
 
 def faceted_filter(records: DataFrame, chosen: dict[str, list[str]]) -> DataFrame:

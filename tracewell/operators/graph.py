@@ -77,9 +77,9 @@ def symmetric(pairs: DataFrame, close: float = 0.02) -> DataFrame:
 
 def mutual(wins: DataFrame) -> DataFrame:
     """Contradictions: pairs that claim to beat each other in the same cell."""
-    w = wins.groupBy("metric", "condition", "winner", "loser").agg(F.count(F.lit(1)).alias("n"), F.max("margin").alias("margin"))
-    back = w.select("metric", "condition", F.col("loser").alias("winner"), F.col("winner").alias("loser"), F.col("n").alias("n_back"), F.col("margin").alias("margin_back"))
-    return w.join(back, ["metric", "condition", "winner", "loser"]).where("winner < loser")
+    w = wins.groupBy("metric", "dataset", "condition", "winner", "loser").agg(F.count(F.lit(1)).alias("n"), F.max("margin").alias("margin"))
+    back = w.select("metric", "dataset", "condition", F.col("loser").alias("winner"), F.col("winner").alias("loser"), F.col("n").alias("n_back"), F.col("margin").alias("margin_back"))
+    return w.join(back, ["metric", "dataset", "condition", "winner", "loser"]).where("winner < loser")
 
 
 def distmult(pairs: DataFrame, vectors: DataFrame, relation: list[float]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .kg import first_ones
+from .ranks import numbered
 
 
 def histogram(rows: DataFrame, column: str, claims: tuple[str, ...] = ()) -> DataFrame:
@@ -135,7 +136,7 @@ def totals(wins: DataFrame, boards: DataFrame, validations: DataFrame, unresolve
     """One row: numbers of comparisons, leaderboards, validations, indexed methods, grade A and quarantined records."""
     methods = boards.select("method").union(validations.select("method")).union(wins.select(F.col("winner").alias("method"))).distinct()
     one = [
-        wins.agg(F.count(F.lit(1)).alias("n_comparisons")), boards.select("metric", "condition").distinct().agg(F.count(F.lit(1)).alias("n_leaderboards")),
+        wins.agg(F.count(F.lit(1)).alias("n_comparisons")), boards.select("metric", "dataset", "condition").distinct().agg(F.count(F.lit(1)).alias("n_leaderboards")),
         validations.agg(F.count(F.lit(1)).alias("n_validations"), F.count_if(F.col("grade") == "A").alias("n_grade_a")), methods.agg(F.count(F.lit(1)).alias("n_methods")), unresolved.agg(F.count(F.lit(1)).alias("n_quarantined")),
     ]
     out = one[0]
@@ -147,11 +148,14 @@ def totals(wins: DataFrame, boards: DataFrame, validations: DataFrame, unresolve
 def by_strength(results: DataFrame) -> DataFrame:
     """``place`` by evidence: resolved first, then grade A, B, C, none, then method and metric; also by method and label, and by paper."""
     grade = F.when(F.col("grade") == "A", 0).when(F.col("grade") == "B", 1).when(F.col("grade") == "C", 2).otherwise(3)
-    every = W.partitionBy("metric")  # pages of one metric
-    return results.select(
-        "record_id", "metric", F.row_number().over(every.orderBy(F.desc("resolved"), grade, F.lower("method"), "record_id", "value", "condition", "paper")).alias("by_evidence"),
-        F.row_number().over(every.orderBy(F.lower("method"), F.lower("metric"), "record_id", "value", "condition", "paper")).alias("by_method"), F.row_number().over(every.orderBy(F.concat_ws("|", "condition", "paper", F.lower("method")), "record_id", "value")).alias("by_protocol"),
-    )
+    orders = {
+        "by_evidence": [F.desc("resolved"), grade, F.lower("method"), "record_id", "value", "condition", "paper"],
+        "by_method": [F.lower("method"), F.lower("metric"), "record_id", "value", "condition", "paper"],
+        "by_protocol": [F.concat_ws("|", "condition", "paper", F.lower("method")), "record_id", "value"],
+    }
+    for name, order in orders.items():
+        results = numbered(results, ["metric"], order, name)
+    return results.select("record_id", "metric", *orders)
 
 
 def positions(chunks: DataFrame, key: str = "doc_id", order: str = "seq") -> DataFrame:
@@ -184,7 +188,7 @@ def ranked_candidates(candidates: DataFrame, filtered: DataFrame, papers: DataFr
         + F.when(F.arrays_overlap(words, F.array(*map(F.lit, cited))), 2).otherwise(0) + F.when(F.arrays_overlap(words, F.array(*map(F.lit, query.lower().split()))), 1).otherwise(0)
     )
     rows = candidates.join(filtered.select("name", F.lit(True).alias("is_filtered")).distinct(), "name", "left").join(papers.select("paper", F.lit(True).alias("is_paper")).distinct(), "paper", "left")
-    return rows.select("name", points.alias("points"), F.row_number().over(W.orderBy(F.desc(points), "place")).alias("rank"))
+    return numbered(rows.select("name", "place", points.alias("points")), [], [F.desc("points"), "place", "name"], "rank").select("name", "points", "rank")
 
 
 def anchors(scored: DataFrame, group: str, k: int = 4, least: float = 0.5) -> DataFrame:
@@ -204,8 +208,8 @@ def top_quotes(quotes: DataFrame, anchor: DataFrame, k: int = 4) -> DataFrame:
 
 def split_edges(edges: DataFrame, seed: str = "0") -> DataFrame:
     """Edges with part train, valid or test: 80, 10 and 10 in a hundred of each relation in a seeded order, all train under five edges."""
-    w = W.partitionBy("type")
-    rows = edges.withColumn("order", F.md5(F.concat_ws("|", F.lit(seed), "src", "dst", "type"))).withColumn("n", F.count(F.lit(1)).over(w)).withColumn("i", F.row_number().over(w.orderBy("order")) - 1)
+    digest = F.md5(F.concat_ws("|", F.lit(seed), "src", "dst", "type"))
+    rows = numbered(edges.select("src", "dst", "type", digest.alias("digest")), ["type"], ["digest", "src", "dst"], "i", "n").withColumn("i", F.col("i") - 1)
     part = F.when(F.col("n") < 5, "train").when(F.col("i") * 10 < F.col("n") * 8, "train").when(F.col("i") * 10 < F.col("n") * 9, "valid").otherwise("test")
     return rows.select("src", "dst", "type", part.alias("part"))
 
@@ -215,12 +219,12 @@ def negatives(edges: DataFrame, nodes: DataFrame, per_edge: int, seed: str = "0"
 
     Nodes of a type are numbered, so a corrupted target is found by an equi-join on type and number.
     """
-    numbered = nodes.select("id", F.col("type").alias("kind"), (F.row_number().over(W.partitionBy("type").orderBy("id")) - 1).alias("number"))
-    sizes = numbered.groupBy("kind").agg(F.count(F.lit(1)).alias("size"))
+    known = numbered(nodes.select("id", F.col("type").alias("kind")), ["kind"], ["id"], "number").withColumn("number", F.col("number") - 1)
+    sizes = nodes.groupBy(F.col("type").alias("kind")).agg(F.count(F.lit(1)).alias("size"))
     aimed = edges.join(nodes.select(F.col("id").alias("dst"), F.col("type").alias("kind")), "dst").join(sizes, "kind")
     drawn = aimed.withColumn("turn", F.explode(F.sequence(F.lit(1), F.lit(per_edge)))).withColumn("digest", F.md5(F.concat_ws("|", F.lit(seed), "src", "dst", "type", "turn")))
     number = F.pmod(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long"), F.col("size"))
-    found = drawn.withColumn("number", number).join(numbered, ["kind", "number"]).select("src", F.col("id").alias("dst"), "type").where("src <> dst").distinct()
+    found = drawn.withColumn("number", number).join(known, ["kind", "number"]).select("src", F.col("id").alias("dst"), "type").where("src <> dst").distinct()
     return found.join(edges.select("src", "dst", "type"), ["src", "dst", "type"], "left_anti")
 
 

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import staged
+from .ranks import matched, numbered, running
+
 #: Vectors of a block.
 BLOCK = 2048
 
@@ -152,22 +155,29 @@ def tf_idf(rows: DataFrame, key: str, words: str) -> DataFrame:
 
 
 def ranking_metrics(scored: DataFrame, cutoffs: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
-    """AUC, average precision, MRR, hits, precision, recall, F1 and accuracy of scored rows, by group.
+    """AUC, average precision, MRR, NDCG at ten, hits, precision, recall, F1 and accuracy of scored rows, by group.
 
-    Ties count half for the AUC; the other metrics order ties by id.
+    Ties count half for the AUC; the other metrics order ties by id. Places and running counts come from ranges of
+    the order, so a group may hold all rows.
     """
-    order = W.partitionBy("group").orderBy(F.desc("score"), "id")
-    rising = W.partitionBy("group").orderBy("score")
-    rows = scored.withColumn("rank", F.row_number().over(order)).withColumn("seen", F.sum("label").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    rows = rows.withColumn("low", F.rank().over(rising)).withColumn("same", F.count(F.lit(1)).over(W.partitionBy("group", "score")))
-    pos, n = F.sum("label"), F.count(F.lit(1))
-    auc = (F.sum(F.when(F.col("label") == 1, F.col("low") + (F.col("same") - 1) / 2)) - pos * (pos + 1) / 2) / F.nullif(pos * (n - pos), F.lit(0))
+    hit = F.col("label") == 1
+    ranked = staged(numbered(scored.select("group", "id", "score", "label"), ["group"], [F.desc("score"), "id"], "rank"))
+    found = numbered(ranked.where(hit).select("group", "rank"), ["group"], ["rank"], "seen")
+    at_ten = F.when(F.col("rank") <= 10, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)
+    ideal = F.when(F.col("seen") <= 10, 1 / F.log2(F.col("seen") + 1)).otherwise(0.0)
+    good = found.groupBy("group").agg(
+        F.round(F.avg(F.col("seen") / F.col("rank")), 6).alias("average_precision"), F.round(1 / F.min("rank"), 6).alias("mrr"), F.round(F.sum(at_ten) / F.sum(ideal), 6).alias("ndcg_at_10"),
+    )
+
+    levels = ranked.groupBy("group", "score").agg(F.sum("label").alias("p"), (F.count(F.lit(1)) - F.sum("label")).alias("q"))
+    below = running(levels, ["group"], ["score"], "q", "upto")
+    wins = below.groupBy("group").agg(F.sum(F.col("p") * (2 * F.col("upto") - F.col("q"))).alias("twice"))
+
     guess = (F.col("score") >= 0.5).cast("int")
-    hit, claimed = F.sum(guess * F.col("label")), F.sum(guess)
-    out = [
-        F.round(auc, 6).alias("auc"), F.round(F.avg(F.when(F.col("label") == 1, F.col("seen") / F.col("rank"))), 6).alias("average_precision"),
-        F.round(1 / F.min(F.when(F.col("label") == 1, F.col("rank"))), 6).alias("mrr"), F.round(hit / F.nullif(claimed, F.lit(0)), 6).alias("precision"), F.round(hit / F.nullif(pos, F.lit(0)), 6).alias("recall"),
-        F.round(2 * hit / F.nullif(claimed + pos, F.lit(0)), 6).alias("f1"), F.round(F.avg((guess == F.col("label")).cast("int")), 6).alias("accuracy"),
-    ]
-    out += [F.round(F.sum(F.when(F.col("rank") <= c, F.col("label")).otherwise(0)) / c, 6).alias(f"hits_at_{c}") for c in cutoffs]
-    return rows.groupBy("group").agg(*out)
+    pos, n, right, claimed = F.sum("label"), F.count(F.lit(1)), F.sum(guess * F.col("label")), F.sum(guess)
+    whole = ranked.groupBy("group").agg(
+        (2 * pos * (n - pos)).alias("pairs"), F.round(right / F.nullif(claimed, F.lit(0)), 6).alias("precision"), F.round(right / F.nullif(pos, F.lit(0)), 6).alias("recall"),
+        F.round(2 * right / F.nullif(claimed + pos, F.lit(0)), 6).alias("f1"), F.round(F.avg((guess == F.col("label")).cast("int")), 6).alias("accuracy"),
+        *[F.round(F.sum(F.when(F.col("rank") <= c, F.col("label")).otherwise(0)) / c, 6).alias(f"hits_at_{c}") for c in cutoffs],
+    )
+    return matched(matched(whole, wins, ["group"]), good, ["group"], "left").withColumn("auc", F.round(F.col("twice") / F.nullif(F.col("pairs"), F.lit(0)), 6)).drop("twice", "pairs")

@@ -38,8 +38,8 @@ UNION SELECT record_id, CASE WHEN token IN ('pile', 'sim') THEN 'Scene' WHEN tok
 
 QUERIES = {
     "ft_table_search": (
-        lambda s, d: B.table_search(table(s, d, "part"), "p_name", ("p_brand", "p_type"), "RED", {"p_type": "promo"}, ["red ring", "cold red"]).select("p_partkey", "p_name", "place").drop("place").distinct(),
-        "SELECT DISTINCT p_partkey, p_name FROM part WHERE contains(lower(p_name || ' ' || p_brand || ' ' || p_type), 'red') AND lower(p_type) = 'promo'",
+        lambda s, d: B.table_search(table(s, d, "part"), "p_name", ("p_brand", "p_type"), "RED", {"p_type": "promo"}, ["red ring", "cold red"]).select("p_partkey", "p_name", "place"),
+        "SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_name IN ('red ring', 'cold red') DESC, lower(p_name), p_name, p_partkey) AS place FROM part WHERE contains(lower(p_name || ' ' || p_brand || ' ' || p_type), 'red') AND lower(p_type) = 'promo'",
     ),
     "ft_record_search": (
         lambda s, d: B.record_search(results(s, d), ("method", "metric", "paper"), "brand#1", results(s, d).where("value > 49").select("method")).select("record_id", "method"),
@@ -94,7 +94,7 @@ QUERIES = {
         "SELECT p_partkey AS record_id FROM part WHERE p_size % 4 IN (0, 1) AND p_size % 3 = 0",
     ),
     "str_facets": (
-        lambda s, d: given(s, d, TAGGED).select("record_id", B.facets(F.concat(F.col("condition"), F.lit(":real:x:sim"))).alias("f")).select("record_id", *[F.element_at("f", k).alias(k.lower().replace(" ", "_")) for k in ("Scene", "Object set", "rest")]),
+        lambda s, d: given(s, d, TAGGED).select("record_id", B.facets(F.concat(F.col("condition"), F.lit(":real:x:Simulation"))).alias("f")).select("record_id", *[F.element_at("f", k).alias(k.lower().replace(" ", "_")) for k in ("Scene", "Object set", "rest")]),
         "SELECT p_partkey AS record_id, CASE p_size % 4 WHEN 0 THEN 'pile' WHEN 1 THEN 'sim' WHEN 2 THEN 'real' END AS scene, CASE WHEN p_size % 4 = 1 THEN 'ycb' END AS object_set, CASE p_size % 4 WHEN 0 THEN 'latency:x' WHEN 1 THEN 'success-rate-k:x' WHEN 2 THEN 'inference-time:x' END AS rest FROM part",
     ),
     "str_canonical_names": (
@@ -108,8 +108,8 @@ QUERIES = {
     "str_routed_metrics": (lambda s, d: given(s, d, ASKED).select("p_partkey", B.routed_metric(F.col("query"), KEYWORDS).alias("metric")), "SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'latency' WHEN 1 THEN 'success_rate' WHEN 3 THEN 'path' END AS metric FROM part"),
     "bm_board_lines": (
         lambda s, d: B.board_lines(E.leaderboard(results(s, d)), "PROMO", "n:o"),
-        f"""WITH {BOARD}, b AS (SELECT * FROM board WHERE metric = 'PROMO' AND rank <= 6), c AS (SELECT condition FROM b GROUP BY condition ORDER BY condition <> 'n:o', count(*) DESC, condition LIMIT 2)
-        SELECT metric, condition, rank || '. ' || method || ' ' || printf('%.2f', value) || ' ' || grade AS line FROM b WHERE condition IN (SELECT condition FROM c)""",
+        f"""WITH {BOARD}, b AS (SELECT * FROM board WHERE metric = 'PROMO' AND rank <= 6), c AS (SELECT dataset, condition FROM b GROUP BY dataset, condition ORDER BY condition <> 'n:o', count(*) DESC, condition, dataset LIMIT 2)
+        SELECT metric, dataset, condition, rank || '. ' || method || ' ' || printf('%.2f', value) || ' ' || grade AS line FROM b WHERE (dataset, condition) IN (SELECT (dataset, condition) FROM c)""",
     ),
     "snk_manifest": (
         lambda s, d: B.manifest(given(s, d, "SELECT c_custkey AS paper, md5(c_name) AS sha FROM {customer}"), given(s, d, "SELECT c_custkey AS paper, 'cache' AS source FROM {customer} WHERE c_custkey % 2 = 0")),

@@ -9,22 +9,25 @@ from ..operators import evidence as E
 from ..session import staged
 from ..sources.views import RESULTS, results, table
 
-_CV = "CASE WHEN count(value) < 2 OR avg(value) = 0 THEN 0.0 ELSE stddev_pop(value) / abs(avg(value)) END"
-BOARD = f"""{RESULTS},
-per_paper AS (SELECT metric, condition, method, paper, median(value) AS rep FROM results GROUP BY ALL),
-heads AS (SELECT metric, condition, method, median(rep) AS value, count(*) AS n_reports FROM per_paper GROUP BY ALL),
-rest AS (SELECT metric, condition, method, bool_or(higher_is_better) AS hib, max(value) AS hi, min(value) AS lo, bool_or(confidence <> 'low' AND verified) AS sound, round({_CV}, 6) AS cv FROM results GROUP BY metric, condition, method),
-board AS (SELECT metric, condition, row_number() OVER (PARTITION BY metric, condition ORDER BY CASE WHEN hib THEN -value ELSE value END, method) AS rank, method, value,
-   CASE WHEN hib THEN hi ELSE lo END AS best, n_reports, cv,
-   CASE WHEN NOT sound OR cv > 0.15 THEN 'C' WHEN n_reports >= 2 THEN 'A' WHEN n_reports = 1 THEN 'B' ELSE 'C' END AS grade
-   FROM heads JOIN rest USING (metric, condition, method) QUALIFY count(*) OVER (PARTITION BY metric, condition) >= 2)"""
-VALID = f"""{RESULTS},
-v AS (SELECT method, metric, condition, count(DISTINCT paper) AS n_papers, avg(value) AS mean, {_CV} AS cv, bool_or(confidence <> 'low' AND verified) AS sound FROM results GROUP BY method, metric, condition HAVING count(DISTINCT paper) >= 2),
-valid AS (SELECT method, metric, condition, n_papers, round(mean, 6) AS mean, round(cv, 6) AS cv, CASE WHEN cv <= 0.5 THEN 'consistent' ELSE 'high_variance' END AS status,
-   CASE WHEN NOT sound OR cv > 0.5 THEN 'C' WHEN n_papers >= 2 THEN 'A' WHEN n_papers = 1 THEN 'B' ELSE 'C' END AS grade, cv AS raw FROM v),
-validated AS (SELECT method, metric, condition, n_papers, mean, cv, status, grade, round(CASE grade WHEN 'A' THEN 0.92 WHEN 'B' THEN 0.78 ELSE 0.45 END * (1 - 0.3 * least(raw, 1.0)), 2) AS confidence FROM valid)"""
-WINS = """wins AS (SELECT o.paper, o.metric, o.condition, o.method AS winner, x.method AS loser, round(abs(o.value - x.value), 2) AS margin, o.record_id AS own_id, x.record_id AS other_id
-  FROM results o JOIN results x ON o.paper = x.paper AND o.metric = x.metric AND o.condition = x.condition
+_CELL = "metric, dataset, condition"
+# per method and cell, over all values; a grade needs all of: a known extraction, a check, little spread for the metric's type
+_EVIDENCE = f"""ev AS (SELECT *, CASE WHEN same THEN 'identical_values_suspected_copy' WHEN said THEN 'caption_copied_baseline' ELSE 'independent' END AS corroboration, CASE WHEN cv <= bound THEN 'consistent' ELSE 'high_variance' END AS status,
+   CASE WHEN NOT sound OR cv > bound THEN 'C' WHEN n_papers >= 2 AND NOT same AND NOT said THEN 'A' ELSE 'B' END AS grade
+   FROM (SELECT *, n_papers >= 2 AND least_v = most_v AND least_s = most_s AND n_s = n AS same, CASE kind WHEN 'rate' THEN 0.10 WHEN 'time' THEN 0.20 ELSE 0.15 END AS bound FROM
+   (SELECT method, {_CELL}, max(kind) AS kind, count(DISTINCT paper) AS n_papers, avg(value) AS mean, CASE WHEN count(value) < 2 OR avg(value) = 0 THEN 0.0 ELSE stddev_pop(value) / abs(avg(value)) END AS cv, count(value) AS n, bool_or(copied) AS said,
+   min(value) AS least_v, max(value) AS most_v, min(std) AS least_s, max(std) AS most_s, count(std) AS n_s, bool_or(verified) AND max(confidence) <> 'low' AS sound FROM results GROUP BY method, {_CELL})))"""
+_SURE = "round(CASE grade WHEN 'A' THEN 0.92 WHEN 'B' THEN 0.78 ELSE 0.45 END * (1 - 0.3 * least(round(cv, 3), 1.0)), 2) AS confidence"
+_BOARD = f"""per_paper AS (SELECT {_CELL}, method, paper, median(value) AS rep FROM results GROUP BY ALL),
+heads AS (SELECT {_CELL}, method, round(median(rep), 2) AS value, round(max(rep), 2) AS hi, round(min(rep), 2) AS lo FROM per_paper GROUP BY ALL),
+board AS (SELECT {_CELL}, row_number() OVER (PARTITION BY {_CELL} ORDER BY CASE WHEN metric <> 'ECONOMY' THEN -value ELSE value END, method) AS rank, method, value,
+   CASE WHEN metric <> 'ECONOMY' THEN hi ELSE lo END AS best, n_papers AS n_reports, round(cv, 6) AS cv, grade, {_SURE}, corroboration
+   FROM heads JOIN ev USING ({_CELL}, method) QUALIFY count(*) OVER (PARTITION BY {_CELL}) >= 2)"""
+_VALID = f"""validated AS (SELECT method, {_CELL}, n_papers, round(mean, 6) AS mean, round(cv, 6) AS cv, status, grade, {_SURE}, CASE WHEN same THEN corroboration ELSE 'independent' END AS corroboration FROM ev WHERE n_papers >= 2)"""
+BOARD = f"{RESULTS}, {_EVIDENCE}, {_BOARD}"
+VALID = f"{RESULTS}, {_EVIDENCE}, {_VALID}"
+BOTH = f"{RESULTS}, {_EVIDENCE}, {_BOARD}, {_VALID}"
+WINS = f"""wins AS (SELECT o.paper, o.metric, o.dataset, o.condition, o.method AS winner, x.method AS loser, round(abs(o.value - x.value), 2) AS margin, o.record_id AS own_id, x.record_id AS other_id
+  FROM results o JOIN results x ON o.paper = x.paper AND o.metric = x.metric AND o.dataset = x.dataset AND o.condition = x.condition
   WHERE o.is_own AND NOT x.is_own AND o.method <> x.method AND CASE WHEN o.higher_is_better THEN o.value > x.value ELSE o.value < x.value END)"""
 CHOSEN = {"metric": ["PROMO", "SMALL"], "condition": ["a:f", "n:o"]}
 
@@ -49,6 +52,16 @@ def found_cells(s, d):
     return E.cells(E.leaderboard(rows), E.cross_validation(rows), E.pairwise_wins(rows))
 
 
+def nearest(s, d, asked):
+    """Conditions of two, one and no facets; those of the second flag also under the name that another paper uses."""
+    rows = results(s, d).withColumn("condition", F.expr("CASE condition WHEN 'a:f' THEN 'pile:gsr' WHEN 'n:f' THEN 'simulation' WHEN 'n:o' THEN 'gsr:pile' WHEN 'r:f' THEN NULL ELSE condition END"))
+    boards = staged(E.leaderboard(rows))
+    return E.nearest_cells(E.cells(boards, E.cross_validation(rows), E.pairwise_wins(rows)), boards, "PROMO", asked).withColumn("differs_by", F.array_join("differs_by", ","))
+
+
+FACETED = f"""{BOARD.replace("lower(l_returnflag) || ':' || lower(l_linestatus)", "CASE lower(l_returnflag) || ':' || lower(l_linestatus) WHEN 'a:f' THEN 'pile:gsr' WHEN 'n:f' THEN 'simulation' WHEN 'n:o' THEN 'gsr:pile' WHEN 'r:f' THEN '' ELSE lower(l_returnflag) || ':' || lower(l_linestatus) END")},
+n AS (SELECT metric, dataset, nullif(condition, '') AS condition, count(*) AS n_methods, CASE WHEN condition IN ('pile:gsr', 'gsr:pile') THEN [] ELSE ['Scene', 'Success criterion'] END AS differs_by FROM board WHERE metric = 'PROMO' GROUP BY ALL)"""
+
 QUERIES = {
     "ag_leaderboard": (lambda s, d: E.leaderboard(results(s, d)), f"WITH {BOARD} SELECT * FROM board"),
     "ag_cross_validation": (lambda s, d: E.cross_validation(results(s, d)), f"WITH {VALID} SELECT * FROM validated"),
@@ -60,14 +73,14 @@ QUERIES = {
     ),
     "ag_results_grade_join": (
         lambda s, d: E.inherit_grades(results(s, d), E.cross_validation(results(s, d))),
-        f"""WITH {VALID} SELECT r.record_id, r.method, r.metric, r.condition, r.value, coalesce(v.grade, CASE WHEN r.confidence = 'low' OR NOT r.verified THEN 'C' ELSE 'B' END) AS grade, coalesce(v.n_papers, 1) AS n_papers
-        FROM results r LEFT JOIN validated v ON r.method IS NOT DISTINCT FROM v.method AND r.metric IS NOT DISTINCT FROM v.metric AND r.condition IS NOT DISTINCT FROM v.condition WHERE r.value IS NOT NULL""",
+        f"""WITH {VALID} SELECT r.record_id, r.method, r.metric, r.dataset, r.condition, r.value, coalesce(v.grade, CASE WHEN r.confidence = 'low' OR NOT r.verified THEN 'C' ELSE 'B' END) AS grade, coalesce(v.n_papers, 1) AS n_papers
+        FROM results r LEFT JOIN validated v ON r.method IS NOT DISTINCT FROM v.method AND r.metric = v.metric AND r.dataset = v.dataset AND r.condition = v.condition WHERE r.value IS NOT NULL""",
     ),
     "wn_merge_records": (
-        lambda s, d: E.merge_records(_priority(results(s, d).where("verified")), _priority(results(s, d))).select("record_id", "method", "metric", "condition", "value", "verified"),
+        lambda s, d: E.merge_records(_priority(results(s, d).where("verified")), _priority(results(s, d))).select("record_id", "method", "metric", "dataset", "condition", "value", "verified"),
         f"""WITH {RESULTS}, b AS (SELECT * FROM results WHERE verified UNION ALL SELECT * FROM results)
-        SELECT record_id, method, metric, condition, value, verified FROM b
-        QUALIFY row_number() OVER (PARTITION BY method, metric, condition, value ORDER BY verified DESC, CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, record_id) = 1""",
+        SELECT record_id, method, metric, dataset, condition, value, verified FROM b
+        QUALIFY row_number() OVER (PARTITION BY method, metric, dataset, condition, value ORDER BY verified DESC, CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, record_id) = 1""",
     ),
     "jn_merge_by_paper": (
         lambda s, d: E.merge_by_paper(results(s, d).where("metric = 'PROMO' AND condition = 'a:f' AND value = 50"), results(s, d).where("is_own"), results(s, d).where("metric <> 'PROMO'").select("paper")).select("record_id", "paper", "value"),
@@ -80,23 +93,26 @@ QUERIES = {
     ),
     "ag_suspected_copies": (
         lambda s, d: E.suspected_copies(results(s, d).withColumn("method", F.concat_ws("/", "method", "record_id")).unionByName(results(s, d).withColumns({"method": F.concat_ws("/", "method", "record_id"), "paper": F.concat(F.lit("x"), "paper")}))),
-        f"""WITH {RESULTS}, b AS (SELECT method || '/' || record_id AS method, metric, condition, paper, value, std FROM results UNION ALL SELECT method || '/' || record_id, metric, condition, 'x' || paper, value, std FROM results)
-        SELECT method, metric, condition, count(DISTINCT paper) AS n_papers, min(value) AS value FROM b WHERE value IS NOT NULL AND std IS NOT NULL GROUP BY ALL HAVING count(DISTINCT paper) >= 2 AND count(DISTINCT (value, std)) = 1""",
+        f"""WITH {RESULTS}, b AS (SELECT method || '/' || record_id AS method, metric, dataset, condition, paper, value, std FROM results UNION ALL SELECT method || '/' || record_id, metric, dataset, condition, 'x' || paper, value, std FROM results)
+        SELECT method, metric, dataset, condition, count(DISTINCT paper) AS n_papers, min(value) AS value FROM b WHERE value IS NOT NULL AND std IS NOT NULL GROUP BY ALL HAVING count(DISTINCT paper) >= 2 AND count(DISTINCT (value, std)) = 1""",
     ),
     "jn_cells": (
         found_cells,
-        f"""WITH {BOARD}, {VALID[len(RESULTS) + 2 :]}, {WINS}
-        SELECT b.metric, b.condition, count(*) AS n_methods, min(CASE WHEN rank = 1 THEN method END) AS leader,
-        (SELECT count(*) FROM validated v WHERE v.metric = b.metric AND v.condition = b.condition) AS n_validations,
-        (SELECT count(*) FROM wins w WHERE w.metric = b.metric AND w.condition = b.condition) AS n_comparisons FROM board b GROUP BY b.metric, b.condition""",
+        f"""WITH {BOTH}, {WINS},
+        b AS (SELECT {_CELL}, count(*) AS n_methods, min(CASE WHEN rank = 1 THEN method END) AS leader FROM board GROUP BY ALL), v AS (SELECT {_CELL}, count(*) AS n_validations FROM validated GROUP BY ALL), c AS (SELECT {_CELL}, count(*) AS n_comparisons FROM wins GROUP BY ALL)
+        SELECT {_CELL}, n_methods, leader, coalesce(n_validations, 0) AS n_validations, coalesce(n_comparisons, 0) AS n_comparisons FROM b LEFT JOIN v USING ({_CELL}) LEFT JOIN c USING ({_CELL})""",
     ),
     "ft_nearest_cells": (
-        lambda s, d: E.nearest_cells(found_cells(s, d), "PROMO", "a:o"),
-        f"""WITH {BOARD} SELECT metric, condition, count(*) AS n_methods, CAST((split_part(condition, ':', 1) <> 'a') AS INT) + CAST((split_part(condition, ':', 2) <> 'o') AS INT) AS n_differing FROM board WHERE metric = 'PROMO' GROUP BY metric, condition""",
+        lambda s, d: nearest(s, d, {"Scene": "pile", "Success criterion": "gsr"}),
+        f"""WITH {FACETED} SELECT {_CELL}, n_methods, array_to_string(differs_by, ',') AS differs_by, CAST(len(differs_by) AS INT) AS n_differing, len(differs_by) = 0 AS matched FROM n WHERE (len(differs_by) = 0) = (SELECT bool_or(len(differs_by) = 0) FROM n)""",
+    ),
+    "ft_absent_cells": (
+        lambda s, d: nearest(s, d, {"Scene": "pile", "Success criterion": "gsr", "Training": "noretrain"}),
+        f"""WITH {FACETED} SELECT {_CELL}, n_methods, array_to_string(list_append(differs_by, 'Training'), ',') AS differs_by, CAST(len(differs_by) + 1 AS INT) AS n_differing, false AS matched FROM n""",
     ),
     "ag_coverage_gaps": (
-        lambda s, d: E.coverage_gaps(results(s, d).withColumn("condition", F.concat_ws(":", "condition", "paper", F.col("value").cast("int").cast("string")))),
-        f"WITH {RESULTS} SELECT metric, condition || ':' || paper || ':' || CAST(value AS INT) AS condition, count(DISTINCT method) AS n_methods FROM results GROUP BY ALL HAVING count(DISTINCT method) < 2",
+        lambda s, d: E.coverage_gaps(results(s, d)),
+        f"WITH {RESULTS} SELECT metric, dataset, condition, count(DISTINCT method) AS n_methods FROM results GROUP BY ALL HAVING count(DISTINCT method) < 2",
     ),
     "ft_faceted_filter": (
         lambda s, d: E.faceted_filter(results(s, d), CHOSEN).select("record_id", "metric", "condition"),

@@ -95,8 +95,8 @@ QUERIES = {
     ),
     "gr_contradictions": (
         lambda s, d: G.mutual(E.pairwise_wins(results(s, d))),
-        f"""WITH {RESULTS}, {WINS}, w AS (SELECT metric, condition, winner, loser, count(*) AS n, max(margin) AS margin FROM wins GROUP BY ALL)
-        SELECT w.*, x.n AS n_back, x.margin AS margin_back FROM w JOIN w x ON w.metric = x.metric AND w.condition = x.condition AND w.winner = x.loser AND w.loser = x.winner WHERE w.winner < w.loser""",
+        f"""WITH {RESULTS}, {WINS}, w AS (SELECT metric, dataset, condition, winner, loser, count(*) AS n, max(margin) AS margin FROM wins GROUP BY ALL)
+        SELECT w.*, x.n AS n_back, x.margin AS margin_back FROM w JOIN w x ON w.metric = x.metric AND w.dataset = x.dataset AND w.condition = x.condition AND w.winner = x.loser AND w.loser = x.winner WHERE w.winner < w.loser""",
     ),
     "gr_link_scores": (
         predicted,

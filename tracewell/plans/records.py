@@ -121,9 +121,9 @@ def graded(s, d):
     from ..operators import evidence as E
 
     rows = staged(published(s, d)).where("comparable").select(
-        "method", "metric", "condition", "paper", "value", "confidence", F.lit(True).alias("verified"), F.concat_ws("/", "table_id", "row", "col").alias("record_id")
+        "method", "metric", "condition", "paper", "value", "confidence", F.col("deviation").alias("std"), F.coalesce(*[F.when(F.col("metric") == m["id"], F.lit(m["type"])) for m in METRICS]).alias("kind"), F.lit(True).alias("verified"), F.concat_ws("/", "table_id", "row", "col").alias("record_id")
     )
-    return E.inherit_grades(rows, E.cross_validation(rows))
+    return E.inherit_grades(rows, E.cross_validation(rows)).drop("dataset")  # tables name no dataset
 
 
 QUERIES = {
@@ -174,9 +174,9 @@ QUERIES = {
     "bm_published": (published, f"WITH {_PUBLISHED} SELECT * FROM published"),
     "bm_graded_results": (
         graded,
-        f"""WITH {_PUBLISHED}, r AS (SELECT table_id || '/' || row || '/' || col AS record_id, method, metric, condition, paper, value, confidence FROM published WHERE comparable),
-        cv AS (SELECT method, metric, condition, count(DISTINCT paper) AS n, bool_or(confidence <> 'low') AS sound, CASE WHEN count(value) < 2 OR avg(value) = 0 THEN 0 ELSE stddev_pop(value) / abs(avg(value)) END AS cv FROM r GROUP BY ALL HAVING count(DISTINCT paper) >= 2)
-        SELECT record_id, r.method, r.metric, r.condition, r.value, CASE WHEN n IS NULL THEN CASE WHEN confidence = 'low' THEN 'C' ELSE 'B' END WHEN NOT sound OR cv > 0.5 THEN 'C' ELSE 'A' END AS grade, coalesce(n, 1) AS n_papers
+        f"""WITH {_PUBLISHED}, r AS (SELECT table_id || '/' || row || '/' || col AS record_id, method, metric, condition, paper, value, deviation, confidence FROM published WHERE comparable),
+        cv AS (SELECT method, metric, condition, count(DISTINCT paper) AS n, max(confidence) <> 'low' AS sound, min(value) = max(value) AND min(deviation) = max(deviation) AND count(deviation) = count(value) AS same, CASE WHEN count(value) < 2 OR avg(value) = 0 THEN 0 ELSE stddev_pop(value) / abs(avg(value)) END AS cv FROM r GROUP BY ALL HAVING count(DISTINCT paper) >= 2)
+        SELECT record_id, r.method, r.metric, r.condition, r.value, CASE WHEN n IS NULL THEN CASE WHEN confidence = 'low' THEN 'C' ELSE 'B' END WHEN NOT sound OR cv > CASE r.metric WHEN 'latency' THEN 0.2 ELSE 0.1 END THEN 'C' WHEN same THEN 'B' ELSE 'A' END AS grade, coalesce(n, 1) AS n_papers
         FROM r LEFT JOIN cv v ON r.method IS NOT DISTINCT FROM v.method AND r.metric IS NOT DISTINCT FROM v.metric AND r.condition IS NOT DISTINCT FROM v.condition""",
     ),
     "str_copied_captions": (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import evidence as E
 from ..operators import reports as R
 from ..sources.views import CHUNKS, RESULTS, chunks, results, table
-from .evidence import BOARD, VALID, WINS
+from .evidence import BOARD, BOTH, WINS
 from .given import given, named
 from .kg import GRAPH, edges, nodes
 
@@ -74,7 +74,7 @@ QUERIES = {
     ),
     "ag_totals": (
         lambda s, d: R.totals(E.pairwise_wins(results(s, d)), E.leaderboard(results(s, d)), E.cross_validation(results(s, d)), results(s, d).where("confidence = 'low'")),
-        f"""WITH {BOARD}, {VALID[len(RESULTS) + 2 :]}, {WINS} SELECT (SELECT count(*) FROM wins) AS n_comparisons, (SELECT count(DISTINCT (metric, condition)) FROM board) AS n_leaderboards, (SELECT count(*) FROM validated) AS n_validations, (SELECT count(*) FROM validated WHERE grade = 'A') AS n_grade_a,
+        f"""WITH {BOTH}, {WINS} SELECT (SELECT count(*) FROM wins) AS n_comparisons, (SELECT count(DISTINCT (metric, dataset, condition)) FROM board) AS n_leaderboards, (SELECT count(*) FROM validated) AS n_validations, (SELECT count(*) FROM validated WHERE grade = 'A') AS n_grade_a,
         (SELECT count(DISTINCT m) FROM (SELECT method AS m FROM board UNION SELECT method FROM validated UNION SELECT winner FROM wins)) AS n_methods, (SELECT count(*) FROM results WHERE confidence = 'low') AS n_quarantined""",
     ),
     "wn_evidence_order": (

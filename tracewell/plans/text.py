@@ -219,9 +219,10 @@ QUERIES = {
         """WITH r AS (SELECT source AS "group", doc_id AS id, least(n_chars, 4000) / 4000.0::DOUBLE AS score, quality AS label FROM labels JOIN documents USING (doc_id)),
         k AS (SELECT *, row_number() OVER w AS rank, sum(label) OVER (PARTITION BY "group" ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING) AS seen, rank() OVER (PARTITION BY "group" ORDER BY score) AS low, count(*) OVER (PARTITION BY "group", score) AS same FROM r WINDOW w AS (PARTITION BY "group" ORDER BY score DESC, id)),
         a AS (SELECT "group", sum(label)::DOUBLE AS pos, count(*) AS n, sum(CASE WHEN label = 1 THEN low + (same - 1) / 2.0::DOUBLE END) AS s, avg(CASE WHEN label = 1 THEN seen / rank::DOUBLE END) AS ap, min(CASE WHEN label = 1 THEN rank END) AS f,
+          sum(CASE WHEN label = 1 AND rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END) / nullif(sum(CASE WHEN label = 1 AND seen <= 10 THEN 1 / log2(seen + 1) ELSE 0 END), 0) AS g,
           sum(CASE WHEN score >= 0.5 THEN label ELSE 0 END)::DOUBLE AS hit, sum(CASE WHEN score >= 0.5 THEN 1 ELSE 0 END)::DOUBLE AS claimed, avg(CASE WHEN (score >= 0.5) = (label = 1) THEN 1 ELSE 0 END) AS acc,
           sum(CASE WHEN rank <= 1 THEN label ELSE 0 END) / 1.0::DOUBLE AS h1, sum(CASE WHEN rank <= 5 THEN label ELSE 0 END) / 5.0::DOUBLE AS h5, sum(CASE WHEN rank <= 10 THEN label ELSE 0 END) / 10.0::DOUBLE AS h10 FROM k GROUP BY "group")
         SELECT "group", round((s - pos * (pos + 1) / 2) / nullif(pos * (n - pos), 0), 6) AS auc, round(ap, 6) AS average_precision, round(1.0::DOUBLE / f, 6) AS mrr, round(hit / nullif(claimed, 0), 6) AS precision, round(hit / nullif(pos, 0), 6) AS recall, round(2 * hit / nullif(claimed + pos, 0), 6) AS f1, round(acc, 6) AS accuracy,
-        round(h1, 6) AS hits_at_1, round(h5, 6) AS hits_at_5, round(h10, 6) AS hits_at_10 FROM a""",
+        round(h1, 6) AS hits_at_1, round(h5, 6) AS hits_at_5, round(h10, 6) AS hits_at_10, round(g, 6) AS ndcg_at_10 FROM a""",
     ),
 }

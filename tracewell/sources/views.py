@@ -21,6 +21,9 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_brand").alias("method"),
         F.col("p_type").alias("metric"),
         F.concat_ws(":", F.lower("l_returnflag"), F.lower("l_linestatus")).alias("condition"),
+        F.concat(F.lit("d"), (F.col("l_orderkey") % 53).cast("string")).alias("dataset"),
+        F.when(F.col("p_type") == "PROMO", "rate").when(F.col("p_type") == "ECONOMY", "time").when(F.col("p_type") == "SMALL", "count").otherwise("default").alias("kind"),
+        F.when(F.col("l_orderkey") % 11 == 3, "Baseline results are taken from [4]").otherwise("Results").alias("caption"),
         F.col("l_quantity").alias("value"),
         F.when(F.col("l_tax") != 0, F.col("l_tax")).alias("std"),
         (F.col("p_type") != "ECONOMY").alias("higher_is_better"),
@@ -33,6 +36,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RESULTS = """results AS (
   SELECT 's' || l_suppkey AS paper, p_brand AS method, p_type AS metric, lower(l_returnflag) || ':' || lower(l_linestatus) AS condition,
+         'd' || (l_orderkey % 53) AS dataset, CASE p_type WHEN 'PROMO' THEN 'rate' WHEN 'ECONOMY' THEN 'time' WHEN 'SMALL' THEN 'count' ELSE 'default' END AS kind, l_orderkey % 11 = 3 AS copied,
          l_quantity AS value, nullif(l_tax, 0) AS std, p_type <> 'ECONOMY' AS higher_is_better, l_linenumber = 1 AS is_own, l_linenumber <= 5 AS verified,
          CASE l_linenumber % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS confidence, l_orderkey * 10 + l_linenumber AS record_id
   FROM lineitem JOIN part ON l_partkey = p_partkey)"""
