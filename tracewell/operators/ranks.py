@@ -32,33 +32,32 @@ def matched(left: DataFrame, right: DataFrame, keys: tuple[str, ...] | list[str]
     return left.join(other, on, how).drop(*[f"r_{k}" for k in keys])
 
 
-def with_before(rows: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
-    """``rows`` with, for each of ``sums``, name_before (its sum over the key's earlier partitions) and name_whole (over the key); first: the key's first place in the partition.
+def with_before(rows: DataFrame, keys: list[str], name: str, own: Column, along=F.sum) -> DataFrame:
+    """``rows`` with name_before (``along`` the key's earlier partitions), name_whole (along all) and the key's first place in the partition.
 
     The table that is joined has a row for each key and partition that holds it: no more than keys and partitions together.
     """
-    held = rows.groupBy(*keys, _PART).agg(F.min(_AT).alias("first"), *[s.alias(n) for n, s in sums.items()])
+    held = rows.groupBy(*keys, _PART).agg(F.min(_AT).alias("first"), own.alias("own"))
     key = W.partitionBy(*keys)  # one row per partition that the key spans
     earlier = key.orderBy(_PART).rowsBetween(W.unboundedPreceding, -1)
-    told = held.select(*keys, _PART, "first", *[c for n in sums for c in (F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"{n}_before"), F.sum(n).over(key).alias(f"{n}_whole"))])
-    told = staged(told).toDF(*[f"r_{c}" for c in told.columns])
-    on = reduce(lambda a, b: a & b, [rows[c].eqNullSafe(told[f"r_{c}"]) for c in (*keys, _PART)])
-    return rows.join(told, on).drop(*[f"r_{c}" for c in (*keys, _PART)]).withColumnsRenamed({f"r_{c}": c for c in ("first", *[f"{n}_{x}" for n in sums for x in ("before", "whole")])})
+    told = staged(held.select(*keys, _PART, "first", along("own").over(earlier).alias(f"{name}_before"), along("own").over(key).alias(f"{name}_whole")))
+    return matched(rows, told, [*keys, _PART])
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[Column | str], name: str = "place", count: str | None = None) -> DataFrame:
     """``df`` with each row's place (from 1) in the order of its key, and the key's number of rows as ``count``."""
-    rows = with_before(ranged(df, keys, order), keys, {"n": F.count(F.lit(1))})
+    rows = with_before(ranged(df, keys, order), keys, "n", F.count(F.lit(1)))
     extra = [F.col("n_whole").alias(count)] if count else []
-    return rows.select(*df.columns, (F.col(_AT) - F.col("first") + F.col("n_before") + 1).alias(name), *extra)
+    return rows.select(*df.columns, (F.col(_AT) - F.col("first") + F.coalesce("n_before", F.lit(0)) + 1).alias(name), *extra)
 
 
-def running(df: DataFrame, keys: list[str], order: list[Column | str], value: str, name: str, whole: str | None = None) -> DataFrame:
-    """``df`` with the sum of ``value`` over the rows of the key up to and with each row, and over all of them as ``whole``."""
-    rows = with_before(ranged(df, keys, order), keys, {"s": F.sum(value)})
-    local = F.sum(value).over(W.partitionBy(_PART, *keys).orderBy(_AT).rowsBetween(W.unboundedPreceding, 0))  # a part of the key's rows
-    extra = [F.col("s_whole").alias(whole)] if whole else []
-    return rows.select(*df.columns, (local + F.col("s_before")).alias(name), *extra)
+def running(df: DataFrame, keys: list[str], order: list[Column | str], value: str, name: str, whole: str | None = None, along=F.sum) -> DataFrame:
+    """``df`` with ``along`` (a sum, least or greatest) of ``value`` over the rows of the key up to and with each row, and over all of them as ``whole``."""
+    rows = with_before(ranged(df, keys, order), keys, "v", along(value), along)
+    local = along(value).over(W.partitionBy(_PART, *keys).orderBy(_AT).rowsBetween(W.unboundedPreceding, 0))  # a part of the key's rows
+    both = {F.sum: lambda a, b: a + F.coalesce(b, F.lit(0)), F.min: F.least, F.max: F.greatest}[along]
+    extra = [F.col("v_whole").alias(whole)] if whole else []
+    return rows.select(*df.columns, both(local, F.col("v_before")).alias(name), *extra)
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float]) -> DataFrame:

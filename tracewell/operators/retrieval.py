@@ -99,6 +99,50 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, within: tuple[str, .
     return top_k(found.withColumn("score", F.round("score", 6)), k, ["query_id"], "vec_id")
 
 
+def outliers(vectors: DataFrame) -> DataFrame:
+    """(vec_id, mean_similarity, percentile, reading): each vector's mean cosine to all others, and the share of vectors that are more like the rest.
+
+    The mean over all pairs of one vector is its product with the sum of all unit vectors, so two passes over the vectors do; tasks
+    send one partial sum each. Means are compared to nine digits. Zero vectors are like nothing; null and non-finite ones, and those of another length
+    than most, are left out.
+    """
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("e")).where(F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
+    sizes = rows.groupBy(F.size("e").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
+    if sizes is None or not sizes["dim"]:
+        return rows.select("vec_id", F.lit(0.0).alias("mean_similarity"), F.lit(0.0).alias("percentile"), F.lit("typical").alias("reading")).limit(0)
+    dim, n = sizes["dim"], sizes["n"]
+
+    def units(batch) -> np.ndarray:
+        x = batch.column("e").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+        x = x / np.maximum(np.abs(x).max(axis=1), np.finfo(float).tiny)[:, None]
+        length = np.linalg.norm(x, axis=1)
+        return x / np.where(length > 0, length, 1.0)[:, None]
+
+    def summed(batches):
+        total, lost = np.zeros(dim), np.zeros(dim)  # what rounding loses is added back
+        for batch in batches:
+            if batch.num_rows:
+                part = units(batch).sum(axis=0) - lost
+                now = total + part
+                lost, total = (now - total) - part, now
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim, dtype=np.int32)), pa.array(total)], ["i", "s"])
+
+    kept = rows.where(F.size("e") == dim)
+    whole = np.array([r["s"] for r in kept.mapInArrow(summed, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).orderBy("i").collect()])
+
+    def compared(batches):
+        for batch in batches:
+            if batch.num_rows:
+                u = units(batch)
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array((u @ whole - np.einsum("ij,ij->i", u, u)) / max(1, n - 1))], ["vec_id", "mean"])
+
+    means = staged(kept.mapInArrow(compared, f"vec_id {dict(rows.dtypes)['vec_id']}, mean double").withColumn("mean", F.round("mean", 9)))
+    levels = running(means.groupBy("mean").agg(F.count(F.lit(1)).alias("n_equal")), [], ["mean"], "n_equal", "upto", "whole")
+    share = levels.select("mean", F.round(100 * (F.col("whole") - F.col("upto")) / F.col("whole"), 1).alias("percentile"))
+    reading = F.when(F.col("percentile") < 70, "typical").when(F.col("percentile") < 90, "somewhat unusual").otherwise("outlier")
+    return means.join(share, "mean").select("vec_id", F.round("mean", 6).alias("mean_similarity"), "percentile", reading.alias("reading"))
+
+
 def pairwise(vectors: DataFrame, names: list[str]) -> DataFrame:
     """(a, b, similarity, distance, reading) of the named vectors, ten at most; ``vectors`` has name and embedding. Zero vectors are like nothing."""
     if len(names) > 10:

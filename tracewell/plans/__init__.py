@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import browse, evidence, graph, kg, prose, records, relational, reports, resolution, streaming, text
+from . import browse, discovery, evidence, graph, kg, prose, records, relational, reports, resolution, streaming, text
 
 
 def registered() -> dict:
     found: dict = {}
-    for module in (evidence, records, kg, reports, prose, browse, relational, text, resolution, graph, streaming):
+    for module in (evidence, records, kg, reports, prose, browse, relational, text, resolution, graph, discovery, streaming):
         found |= module.QUERIES
     return found
