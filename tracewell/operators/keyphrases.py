@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import groupby, repeat
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -59,7 +59,7 @@ def picked(rows: Iterator[tuple[str, float, dict[str, float]]], k: int, diversit
 
 
 def runs_of(starts: Column, length: int) -> Column:
-    return F.transform(starts, lambda at: F.slice("words", at, length))
+    return F.transform(starts, lambda at: F.slice("line", at, length))
 
 
 def candidates(texts: DataFrame, longest: int = 3) -> DataFrame:
@@ -73,16 +73,17 @@ def candidates(texts: DataFrame, longest: int = 3) -> DataFrame:
     known = words.select("doc_id", F.explode(F.array_distinct("words")).alias("word"))
     n = texts.agg(F.count(F.lit(1)).alias("docs"))  # one row
     idf = known.groupBy("word").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("word", F.round(F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1, 9).alias("idf"))
+    placed = words.select("doc_id", F.posexplode("words").alias("at", "word")).join(idf, "word")
+    lines = placed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "word", "idf"))).alias("line"))
+    told = staged(lines.select("doc_id", F.transform("line", lambda x: F.struct(x["word"].alias("word"), x["idf"].alias("idf"))).alias("line")))
     every = None
     for length in range(1, longest + 1):
-        starts = F.when(F.size("words") >= length, F.sequence(F.lit(1), F.size("words") - (length - 1))).otherwise(F.array().cast("array<int>"))
-        part = words.select("doc_id", F.explode(runs_of(starts, length)).alias("own"))
+        starts = F.when(F.size("line") >= length, F.sequence(F.lit(1), F.size("line") - (length - 1))).otherwise(F.array().cast("array<int>"))
+        part = told.select("doc_id", F.explode(runs_of(starts, length)).alias("weights"))
         every = part if every is None else every.unionByName(part)
-    counts = every.where(F.size(F.array_distinct("own")) == F.size("own")).groupBy("doc_id", "own").agg(F.count(F.lit(1)).alias("times"))
-    told = counts.withColumn("word", F.explode("own")).join(idf, "word").groupBy("doc_id", "own", "times").agg(F.array_sort(F.collect_list(F.struct("word", "idf"))).alias("weights"))
+    counts = every.where(F.size(F.array_distinct("weights.word")) == F.size("weights")).groupBy("doc_id", "weights").agg(F.count(F.lit(1)).alias("times"))
     mean = F.aggregate("weights", F.lit(0.0), lambda s, w: s + w["idf"]) / F.size("weights")
-    raw = told.select("doc_id", F.array_join("own", " ").alias("phrase"), (F.log1p(F.col("times")) * mean).alias("raw"), "weights")
-    raw = staged(raw)
+    raw = staged(counts.select("doc_id", F.array_join("weights.word", " ").alias("phrase"), (F.log1p(F.col("times")) * mean).alias("raw"), "weights"))
     top = raw.groupBy("doc_id").agg(F.max("raw").alias("top"))
     return raw.join(top, "doc_id").select("doc_id", "phrase", F.round(F.col("raw") / F.col("top"), 6).alias("relevance"), "weights")
 
@@ -98,10 +99,14 @@ def keyphrases(texts: DataFrame, k: int = 10, diversity: float = 0.5, longest: i
     def choose(batches):
         def stream():
             for batch in batches:
-                yield from zip(*(batch.column(c).to_pylist() for c in ("doc_id", "phrase", "relevance", "weights")), strict=True)
+                yield from zip(batch.column("doc_id").to_pylist(), repeat(batch), range(batch.num_rows))
+
+        def told(rows):  # only what is looked at leaves the batch
+            for _, batch, i in rows:
+                yield batch.column("phrase")[i].as_py(), batch.column("relevance")[i].as_py(), {w["word"]: w["idf"] for w in batch.column("weights")[i].as_py()}
 
         for doc, own in groupby(stream(), key=lambda r: r[0]):
-            found = picked(((phrase, relevance, {w["word"]: w["idf"] for w in weights}) for _, phrase, relevance, weights in own), k, diversity)
+            found = picked(told(own), k, diversity)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([doc] * len(found), pa.int64()), pa.array([f[0] for f in found]), pa.array([f[1] for f in found]), pa.array(range(1, len(found) + 1), pa.int32())], ["doc_id", "phrase", "relevance", "place"])
 

@@ -111,8 +111,8 @@ QUERIES = {
         f"""WITH {FACETED} SELECT {_CELL}, n_methods, array_to_string(list_append(differs_by, 'Training'), ',') AS differs_by, CAST(len(differs_by) + 1 AS INT) AS n_differing, false AS matched FROM n""",
     ),
     "ag_coverage_gaps": (
-        lambda s, d: E.coverage_gaps(results(s, d)),
-        f"WITH {RESULTS} SELECT metric, dataset, condition, count(DISTINCT method) AS n_methods FROM results GROUP BY ALL HAVING count(DISTINCT method) < 2",
+        lambda s, d: E.coverage_gaps(results(s, d).where("is_own AND value >= 48")),
+        f"WITH {RESULTS} SELECT metric, dataset, condition, count(DISTINCT method) AS n_methods FROM results WHERE is_own AND value >= 48 GROUP BY ALL HAVING count(DISTINCT method) < 2",
     ),
     "ft_faceted_filter": (
         lambda s, d: E.faceted_filter(results(s, d), CHOSEN).select("record_id", "metric", "condition"),
