@@ -61,10 +61,10 @@ def test_betweenness_of_small_graphs(spark):
 
 
 TEXTS = [
-    ("p1", "The Dex-Net planner beats GraspNet; dex net 2.0 and DEX-NET 2.0 are its\nsuccessors, while graspnets and _graspnet_ are not meant. " * 2),
-    ("p2", "GraspNet (and ẞtrange İnputs) GRASPNET-1B. C++ or c++? " + "x" * 100 + " dex-net 2.0"), ("p3", "short GraspNet"), ("p4", None), ("p5", "nothing of the kind is named here " * 5),
+    ("p1", "The Fox-Net planner beats HoldNet; fox net 2.0 and FOX-NET 2.0 are its\nsuccessors, while holdnets and _holdnet_ are not meant. " * 2),
+    ("p2", "HoldNet (and ẞtrange İnputs) HOLDNET-1B. C++ or c++? " + "x" * 100 + " fox-net 2.0"), ("p3", "short HoldNet"), ("p4", None), ("p5", "nothing of the kind is named here " * 5),
 ]
-ALIASES = [("dex", "Dex-Net"), ("dex", "dex net 2.0"), ("dex", "Dex-Net 2.0"), ("p2", "GraspNet"), ("grasp", "graspnet"), ("grasp", "GraspNet-1B"), ("cpp", "C++"), ("none", ""), ("none", None), ("dex", "net")]
+ALIASES = [("dex", "Fox-Net"), ("dex", "fox net 2.0"), ("dex", "Fox-Net 2.0"), ("p2", "HoldNet"), ("grasp", "holdnet"), ("grasp", "HoldNet-1B"), ("cpp", "C++"), ("none", ""), ("none", None), ("dex", "net")]
 
 
 def named_by_regex(texts, aliases):
@@ -96,15 +96,15 @@ def test_mentions_of_random_words(spark):
 
 
 def test_name_forms(spark):
-    rows = spark.createDataFrame([("Contact-GraspNet (CGN)",), ("ab",), (None,)], "name string").select(mentions.name_forms(mentions.F.col("name")).alias("f")).collect()
-    assert set(rows[0]["f"]) == {"contact-graspnet (cgn)", "contact graspnet (cgn)", "contactgraspnet (cgn)", "contact-graspnet-(cgn)", "contact-grasp net (cgn)", "cgn"} and rows[1]["f"] == []
+    rows = spark.createDataFrame([("Contact-HoldNet (CHN)",), ("ab",), (None,)], "name string").select(mentions.name_forms(mentions.F.col("name")).alias("f")).collect()
+    assert set(rows[0]["f"]) == {"contact-holdnet (chn)", "contact holdnet (chn)", "contactholdnet (chn)", "contact-holdnet-(chn)", "contact-hold net (chn)", "chn"} and rows[1]["f"] == []
 
 
 def test_questions_name_whole_words_and_padded_names(spark):
-    asked = [(1, "compare graspQP to graspVLA"), (2, "is VGN better than dex-net 2.0 now"), (3, "grasp things"), (4, "volumetric grasping network?"), (5, None), (6, ""), (7, "the Dex-Net  2.0 one")]
-    known = [("GraspQP",), ("GraspVLA",), ("Volumetric Grasping Network (VGN)",), ("* Dex-Net 2.0",), ("of",), ("",)]
+    asked = [(1, "compare holdQP to holdVLA"), (2, "is WHN better than fox-net 2.0 now"), (3, "grasp things"), (4, "wide holding network?"), (5, None), (6, ""), (7, "the Fox-Net  2.0 one")]
+    known = [("HoldQP",), ("HoldVLA",), ("Wide Holding Network (WHN)",), ("* Fox-Net 2.0",), ("of",), ("",)]
     got = mentions.named_in(spark.createDataFrame(asked, "query_id int, query string"), spark.createDataFrame(known, "method string"))
-    assert sorted(map(tuple, got.collect())) == [(1, "GraspQP"), (1, "GraspVLA"), (2, "* Dex-Net 2.0"), (2, "Volumetric Grasping Network (VGN)")]
+    assert sorted(map(tuple, got.collect())) == [(1, "HoldQP"), (1, "HoldVLA"), (2, "* Fox-Net 2.0"), (2, "Wide Holding Network (WHN)")]
     assert mentions.named_in(spark.createDataFrame(asked, "query_id int, query string"), spark.createDataFrame([], "method string")).count() == 0
 
 

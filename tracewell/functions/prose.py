@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .labels import replaced
+from .labels import bound, replaced
 
 # The patterns that rules of prose go by.
 LIGATURES = (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"))
@@ -161,16 +161,27 @@ def sentiment(context: Column) -> Column:
 
 
 def citation_context(text: Column, marker: Column, reach: int = 200) -> Column:
-    """Up to ``reach`` characters on both sides of a marker, from a sentence's start in the first half to one's end in the second, the marker in 【】."""
+    """Up to ``reach`` characters on both sides of a marker's first place, from a sentence's start in the first half to one's end in the second, the marker in 【】.
+
+    Each step is bound, so the expression does not copy the steps before it. :func:`operators.facts.citations` gives every place.
+    """
     at = F.locate("\x00", F.replace(text, marker, F.concat(F.lit("\x00"), marker)))
-    begin = F.greatest(F.lit(1), at - reach)
-    window = F.substring(text, begin, at - begin + F.length(marker) + reach)
-    lead = F.regexp_extract(window, r"(?s)^(.*?[.?!]\s+)", 1)
-    space = F.locate(" ", window)
-    opened = F.when(begin == 1, window).when((F.length(lead) > 0) & (F.length(lead) < F.length(window) * 0.5), F.substring(window, F.length(lead) + 1, F.length(window))).when(space.between(2, 20), F.substring(window, space + 1, F.length(window))).otherwise(window)
-    last = F.length(F.regexp_extract(opened, r"(?s)^(.*[.?!]) ", 1))
-    closed = F.when(last - 1 > F.length(opened) * 0.5, F.substring(opened, F.lit(1), last)).otherwise(opened)
-    return F.when(at > 0, F.replace(closed, marker, F.concat(F.lit("【"), marker, F.lit("】"))))
+
+    def window(x: Column) -> Column:
+        begin = F.greatest(F.lit(1), x - reach)
+        return F.struct(x.alias("at"), begin.alias("begin"), F.substring(text, begin, x - begin + F.length(marker) + reach).alias("text"))
+
+    def opened(w: Column) -> Column:
+        t, lead, space = w["text"], F.length(F.regexp_extract(w["text"], r"(?s)^(.*?[.?!]\s+)", 1)), F.locate(" ", w["text"])
+        skipped = F.when(w["begin"] == 1, 0).when((lead > 0) & (lead < F.length(t) * 0.5), lead).when(space.between(2, 20), space).otherwise(0)
+        return F.struct(w["at"].alias("at"), F.substring(t, skipped + 1, F.length(t)).alias("text"))
+
+    def closed(w: Column) -> Column:
+        last = F.length(F.regexp_extract(w["text"], r"(?s)^(.*[.?!]) ", 1))
+        kept = F.when(last - 1 > F.length(w["text"]) * 0.5, F.substring(w["text"], F.lit(1), last)).otherwise(w["text"])
+        return F.when(w["at"] > 0, F.replace(kept, marker, F.concat(F.lit("【"), marker, F.lit("】"))))
+
+    return bound(bound(bound(at, window), opened), closed)
 
 
 def intent(query: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .facts import places
 from .ranks import numbered
 
 NOT_REPORTED = "not reported"
@@ -227,11 +228,11 @@ def found_facts(chunks: DataFrame, patterns: dict[str, str], reach: int = 40, ca
 
     ``caps`` says how many values of a kind a document shows; that limit is the feature.
     """
-    families = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract_all("text", F.lit(f"({p})"), 1).alias("hits")) for k, p in patterns.items()])
-    hits = chunks.select("doc_id", "seq", "text", F.explode(families).alias("f")).select("doc_id", "seq", "text", "f.kind", F.posexplode("f.hits").alias("i", "value"))
-    at = F.locate("\x00", F.replace(F.col("text"), F.col("value"), F.concat(F.lit("\x00"), F.col("value"))))
-    begin = F.greatest(F.lit(1), at - reach)
-    told = hits.withColumn("context", F.substring("text", begin, at - begin + F.length("value") + reach))
+    families = F.array(*[F.struct(F.lit(k).alias("kind"), places(F.col("text"), p).alias("hits")) for k, p in patterns.items()])
+    hits = chunks.select("doc_id", "seq", "text", F.explode(families).alias("f")).select("doc_id", "seq", "text", "f.kind", F.posexplode("f.hits").alias("i", "hit"))
+    begin = F.greatest(F.lit(0), F.col("hit.at") - reach)
+    context = F.substring("text", begin + 1, F.col("hit.at") - begin + F.length("hit.hit") + reach)
+    told = hits.select("doc_id", "seq", "kind", "i", F.col("hit.hit").alias("value"), context.alias("context"))
     first = told.groupBy("doc_id", "kind", F.lower(F.trim("value")).alias("key")).agg(F.min(F.struct("seq", "i", "value", "context")).alias("m"))
     limit = F.coalesce(*[F.when(F.col("kind") == k, F.lit(n)) for k, n in (caps or {}).items()], F.lit(2**31 - 1))
     ranked = first.withColumn("place", F.row_number().over(W.partitionBy("doc_id", "kind").orderBy("m.seq", "m.i", "key"))).where(F.col("place") <= limit)
