@@ -26,7 +26,7 @@ SELECT id, round(coalesce(amount, 0) / (((SELECT count(*) FROM v) - 1) * ((SELEC
 
 # every document may name parts and itself: aliases of two words and of one, in capitals, within words and across punctuation
 TALK = """SELECT concat('c', doc_id) AS source, concat(text, ' It beats the ', (SELECT max(p_name) FROM {part}), ', unlike reds or RED', CASE WHEN doc_id % 3 = 0 THEN '-ring; ' ELSE ' ring ' END, 'c', CAST(doc_id AS STRING)) AS text FROM {documents}"""
-CALLED = """SELECT concat('p', p_size) AS target, p_name AS alias FROM {part} UNION SELECT 'ring', 'red' UNION SELECT 'ring', 'Red Ring' UNION SELECT 'ring', 'ring' UNION SELECT concat('c', doc_id), concat('c', CAST(doc_id AS STRING)) FROM {documents}"""
+CALLED = """SELECT concat('b', p_brand) AS target, max(p_name) AS alias FROM {part} GROUP BY p_brand UNION SELECT 'ring', 'red' UNION SELECT 'ring', 'Red Ring' UNION SELECT 'ring', 'ring' UNION SELECT concat('c', n_nationkey), concat('c', CAST(n_nationkey AS STRING)) FROM {nation}"""
 ASKED = """SELECT p_partkey AS query_id, CASE p_size % 5 WHEN 0 THEN concat('Compare ', upper(p_name), ' to all') WHEN 1 THEN concat('is M', CAST(p_partkey % 9 AS STRING), 'X better, or ', p_name, '?') WHEN 2 THEN concat('what of (', p_name, ')') WHEN 3 THEN concat('m', CAST(p_partkey % 9 AS STRING), 'xs and ring') ELSE NULL END AS query FROM {part}"""
 CALLABLE = """SELECT DISTINCT concat('* ', p_name, ' (M', CAST(p_partkey % 9 AS STRING), 'X)') AS method FROM {part} UNION SELECT 'Ring' UNION SELECT 'Of'"""
 # headers share a brand or a size, which chains some of them only by way of others

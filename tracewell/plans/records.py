@@ -116,6 +116,22 @@ def labelled(s, d):
     return given(s, d, LABELS).select("p_partkey", label.alias("label"), L.valid_metric_label(label, F.col("metric_id")).alias("valid"), L.time_scope(F.col("label")).alias("scope"))
 
 
+_FIELDS = ("row", "col", "method_raw", "mention", "metric_raw", "metric", "condition", "value_str", "unit", "higher_is_better", "is_own", "is_ablation", "caption")
+
+
+def digests(rows):
+    """Per table, a digest of all fields of its records in order: what a table says, checked as a whole."""
+    told = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in _FIELDS] + [F.coalesce(F.round(F.col(c) * 1000).cast("long").cast("string"), F.lit("-")) for c in ("value", "deviation")]
+    line = F.struct("row", "col", F.concat_ws("|", *told).alias("line"))
+    lines = F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"])
+    return rows.groupBy("paper", "table_id").agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(lines, "/").cast("binary")).alias("digest"))
+
+
+def _digests(rows: str) -> str:
+    told = [f"coalesce(CAST({c} AS VARCHAR), '-')" for c in _FIELDS] + [f"coalesce(CAST(CAST(round({c} * 1000) AS BIGINT) AS VARCHAR), '-')" for c in ("value", "deviation")]
+    return f"SELECT paper, table_id, count(*) AS n, md5(string_agg(line, '/' ORDER BY row, col, line)) AS digest FROM (SELECT *, {' || chr(124) || '.join(told)} AS line FROM {rows}) GROUP BY paper, table_id"
+
+
 def graded(s, d):
     """Published records that can be compared, with the grade that their method and cell earn over all papers."""
     from ..operators import evidence as E
@@ -171,6 +187,8 @@ QUERIES = {
     ),
     "bm_cell_records": (records, f"WITH {_RECORDS} SELECT * FROM records"),
     "bm_normalised_records": (normal, f"WITH {_RECORDS} SELECT * FROM normal"),
+    "bm_record_digests": (lambda s, d: digests(records(s, d)), f"WITH {_RECORDS} {_digests('records')}"),
+    "bm_normalised_digests": (lambda s, d: digests(normal(s, d)), f"WITH {_RECORDS} {_digests('normal')}"),
     "bm_published": (published, f"WITH {_PUBLISHED} SELECT * FROM published"),
     "bm_graded_results": (
         graded,

@@ -72,7 +72,7 @@ QUERIES = {
     "ft_equations": (lambda s, d: given(s, d, EQUATIONS).select("p_partkey", X.valid_equation(F.col("e")).alias("valid")), f"SELECT p_partkey, coalesce({_VALID_EQ}, false) AS valid FROM (SELECT p_partkey, trim(e) AS e FROM ({named(EQUATIONS)}))"),
     "tx_citation_places": (
         lambda s, d: X.citations(given(s, d, CITED), given(s, d, "SELECT doc_id, '[7]' AS marker FROM {documents} UNION ALL SELECT doc_id, '[70]' FROM {documents} WHERE doc_id % 2 = 0")),
-        rf"""WITH t AS ({named(CITED)}), m AS (SELECT doc_id, text, unnest(CASE WHEN doc_id % 2 = 0 THEN ['[7]', '[70]'] ELSE ['[7]'] END) AS marker FROM t), p AS (SELECT doc_id, text, marker, length(marker) AS k, unnest(list_filter(range(length(text)), lambda i: substr(text, i + 1, length(marker)) = marker)) AS pos FROM m),
+        rf"""WITH t AS ({named(CITED)}), m AS (SELECT doc_id, text, unnest(CASE WHEN doc_id % 2 = 0 THEN ['[7]', '[70]'] ELSE ['[7]'] END) AS marker FROM t), q AS (SELECT *, length(marker) AS k, list_transform(string_split(text, marker), lambda z: length(z)) AS gaps FROM m), p AS (SELECT doc_id, text, marker, k, CAST(list_sum(gaps[1:i]) AS BIGINT) + (i - 1) * k AS pos FROM q, range(1, len(gaps)) r(i)),
         a AS (SELECT *, greatest(0, pos - 200) AS g, substr(text, greatest(0, pos - 200) + 1, pos - greatest(0, pos - 200)) AS bef, substr(text, pos + k + 1, 200) AS aft FROM p), b AS (SELECT *, length(regexp_extract(bef, '^(?s:.*?)[.?!]\s+')) AS lead, length(bef) + k + length(aft) AS size, strpos(bef, ' ') AS sp FROM a),
         c AS (SELECT *, substr(bef, 1 + CASE WHEN g = 0 THEN 0 WHEN lead > 0 AND lead < size * 0.5 THEN lead WHEN sp BETWEEN 2 AND 20 THEN sp ELSE 0 END) AS opened, length(regexp_extract(aft, '^((?s:.*)[.?!]) ', 1)) AS fin FROM b)
         SELECT doc_id, marker, CAST(pos AS INT) AS at, opened || '【' || marker || '】' || CASE WHEN fin > 0 AND length(opened) + k + fin - 1 > (length(opened) + k + length(aft)) * 0.5 THEN substr(aft, 1, fin) ELSE aft END AS context FROM c""",
