@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import focus as X
 from ..operators import kg as K
+from ..operators.focus import Focus
 from ..sources.views import CHUNKS, chunks
 from .given import given, named
 
@@ -53,7 +55,26 @@ _BUILT = f"""facts AS ({named(FACTS)}), papers AS (SELECT 'c' || c_custkey AS pa
 good AS (SELECT 'paper:' || f.paper_id AS src, kind || ':' || {_MD5.format('lower(trim(value))')} AS dst, 'has_' || kind AS type, trim(value) AS label, kind FROM facts f JOIN papers USING (paper_id) WHERE confidence <> 'low' AND length(trim(value)) >= 10 AND NOT regexp_matches(lower(value), 'not explicitly|no specific')),
 every AS (SELECT kind || ':' || {_MD5.format('lower(trim(value))')} AS id, kind AS type, min(trim(value)) AS label FROM facts WHERE confidence <> 'low' AND length(trim(value)) >= 10 AND NOT regexp_matches(lower(value), 'not explicitly|no specific') GROUP BY ALL)"""
 
+ASKED = Focus(("paper", "technique", "institution"), ("claims",), 4, ("addresses_problem", "claims"))
+_SEEDS = "('c1', 'c2', 'c3', 'c5', 'c8', 'c13')"
+FOCUSED = f"""{GRAPH}, e AS (SELECT *, md5(src || '|' || dst || '|' || type) AS seq FROM edges), near AS (SELECT id FROM nodes WHERE id IN {_SEEDS} UNION SELECT n.id FROM e JOIN nodes n ON (src IN {_SEEDS} AND dst = n.id) OR (dst IN {_SEEDS} AND src = n.id) WHERE n.type IN ('paper', 'technique', 'institution')),
+base AS (SELECT id FROM near UNION SELECT p.id FROM e JOIN near t ON t.id = e.dst JOIN nodes k ON k.id = t.id AND k.type = 'technique' JOIN nodes p ON p.id = e.src AND p.type = 'paper' UNION SELECT dst FROM e WHERE type = 'cites' AND src IN {_SEEDS} UNION SELECT src FROM e WHERE type = 'cites' AND dst IN {_SEEDS}),
+told AS (SELECT src, dst FROM e WHERE type = 'claims' AND src IN {_SEEDS} QUALIFY row_number() OVER (PARTITION BY src ORDER BY seq) <= 4), few AS (SELECT id FROM nodes WHERE id IN {_SEEDS} AND (SELECT count(*) FROM told WHERE src = id) < 4),
+shown AS (SELECT id FROM (SELECT id FROM base UNION SELECT dst FROM told UNION SELECT dst FROM e WHERE type = 'addresses_problem' AND src IN (SELECT id FROM few)) WHERE id IN (SELECT id FROM nodes)),
+links AS (SELECT src, dst, arg_min(type, seq) AS type FROM e WHERE src IN (SELECT id FROM shown) AND dst IN (SELECT id FROM shown) GROUP BY src, dst), ends AS (SELECT src AS id, dst AS other FROM links UNION SELECT dst, src FROM links)"""
+
+
+def focused(s, d, part):
+    seeds = given(s, d, f"SELECT concat('c', c_custkey) AS id, c_custkey AS place FROM {{customer}} WHERE concat('c', c_custkey) IN {_SEEDS}")  # the papers of an answer
+    return X.focused(nodes(s, d), edges(s, d).withColumn("seq", F.md5(F.concat_ws("|", "src", "dst", "type"))), seeds, focus=ASKED)[part]
+
+
 QUERIES = {
+    "gr_focused_nodes": (
+        lambda s, d: focused(s, d, 0),
+        f"WITH {FOCUSED} SELECT id, CASE WHEN type IN ('comparison', 'problem') THEN 'claim' ELSE type END AS type, type AS subtype, (SELECT count(*) FROM ends WHERE ends.id = nodes.id) AS degree FROM nodes WHERE id IN (SELECT id FROM shown)",
+    ),
+    "gr_focused_links": (lambda s, d: focused(s, d, 1), f"WITH {FOCUSED} SELECT * FROM links"),
     "gr_papers_using": (lambda s, d: K.papers_using(edges(s, d), nodes(s, d), "brand#1"), f"WITH {GRAPH} SELECT DISTINCT src AS paper, label AS technique FROM edges JOIN nodes ON id = dst WHERE nodes.type = 'technique' AND contains(lower(label), 'brand#1')"),
     "gr_successors": (lambda s, d: K.successors_of(edges(s, d), nodes(s, d), "c7", ("technique", "problem", "comparison")), f"WITH {GRAPH} SELECT DISTINCT nodes.type, id, label FROM edges JOIN nodes ON id = dst WHERE src = 'c7' AND nodes.type IN ('technique', 'problem', 'comparison')"),
     "gr_comparisons_involving": (lambda s, d: K.comparisons_involving(nodes(s, d), edges(s, d), "RED"), f"WITH {GRAPH} SELECT id, label, (SELECT min(src) FROM edges WHERE dst = id) AS paper FROM nodes WHERE type = 'comparison' AND contains(lower(label), 'red')"),

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+from ..sources.versions import Versions
 from ..sources.views import table
 from ..streaming import events as S
+from .given import given
 
 
 def salted(s, d, salt):
@@ -13,6 +18,17 @@ def salted(s, d, salt):
     return docs.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("content"), F.when(F.col("lang") == salt, "v2").otherwise("v1").alias("salt"))
 
 
+def versioned(s, d):
+    """Orders as chunks of customers: made, changed and added to, customers deleted, orphans dropped; what the last version holds."""
+    t = Versions(s, f"{shared_dir(s)}/tracewell/versions-{uuid.uuid4().hex}", "paper", "chunk", buckets=8)
+    orders = given(s, d, "SELECT o_custkey AS paper, o_orderkey AS chunk, o_totalprice AS price FROM {orders}")
+    t.apply(orders)
+    t.apply(orders.where("chunk % 10 = 3").withColumn("price", F.lit(-1.0)).unionByName(given(s, d, "SELECT c_custkey AS paper, CAST(-1 AS BIGINT) AS chunk, c_acctbal AS price FROM {customer} WHERE c_custkey % 13 = 0")))
+    t.apply(deletes=given(s, d, "SELECT c_custkey AS paper FROM {customer} WHERE c_custkey % 7 = 0"))
+    t.retain(given(s, d, "SELECT c_custkey AS paper FROM {customer} WHERE c_custkey % 11 <> 0"))
+    return t.read()
+
+
 QUERIES = {
     "st_window_counts": (
         lambda s, d: S.run(lambda e: S.windowed(e, "1 day", "1 day"), s, d, "complete").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 2).alias("total")),
@@ -24,7 +40,16 @@ QUERIES = {
         n AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM g), c AS (SELECT user_id, k, count(*) AS n FROM n GROUP BY ALL)
         SELECT user_id, count(*) AS sessions, CAST(sum(n) AS BIGINT) AS events, max(n) AS longest FROM c GROUP BY user_id""",
     ),
-    "st_rate_limit": (lambda s, d: S.run(lambda e: S.rate_limited(e, 3, 1 / 3600), s, d), None),
+    "st_rate_limit": (
+        lambda s, d: S.run(lambda e: S.rate_limited(e, 3, 1 / 3600), s, d),
+        """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+        r AS (SELECT user_id, event_id, n, t, 3.0::DOUBLE AS tokens FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.event_id, e.n, e.t, least(3.0::DOUBLE, r.tokens - CASE WHEN r.tokens >= 1 THEN 1 ELSE 0 END + greatest(0.0::DOUBLE, e.t - r.t) * (1.0::DOUBLE / 3600)) FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+        SELECT event_id, user_id, tokens >= 1 AS admitted FROM r""",
+    ),
+    "st_versioned_upsert": (
+        versioned,
+        """SELECT o_custkey AS paper, o_orderkey AS chunk, CASE WHEN o_orderkey % 10 = 3 THEN -1.0::DOUBLE ELSE o_totalprice END AS price FROM orders WHERE o_custkey % 7 <> 0 AND o_custkey % 11 <> 0 UNION ALL SELECT c_custkey, -1, c_acctbal FROM customer WHERE c_custkey % 13 = 0 AND c_custkey % 7 <> 0 AND c_custkey % 11 <> 0""",
+    ),
     "st_dedup": (lambda s, d: S.run(lambda e: S.distinct_events(e, ["user_id", "event_type"], "3650 days"), s, d).groupBy("event_type").agg(F.countDistinct("user_id").alias("users"), F.count(F.lit(1)).alias("n")), "SELECT event_type, count(DISTINCT user_id) AS users, count(DISTINCT user_id) AS n FROM events GROUP BY event_type"),
     "st_changed_only": (
         lambda s, d: S.changed_only(salted(s, d, "none"), salted(s, d, "fr"), "doc_id", ["content", "salt"]).select("doc_id", "salt"),
