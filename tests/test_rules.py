@@ -196,3 +196,62 @@ def test_hub_items_meet_every_pair_once(spark):
     rows = [(i, k) for i in range(3) for k in range(40 if i == 0 else 5)]
     pairs = relational.met(spark.createDataFrame(rows, "item int, key int"), "item", "key", block=7).collect()
     assert sorted(tuple(r) for r in pairs) == sorted((i, a, b) for i in range(3) for a, b in itertools.combinations(range(40 if i == 0 else 5), 2))
+
+
+def merged_by_loop(groups, least, most):
+    """Group after group, as read from the rules: fit, absorb, close, cut, and what is left over."""
+    packs, held, tokens = [], [], 0
+    for seq, sizes in groups:
+        if tokens + sum(sizes) <= most:
+            held += [(seq, i) for i in range(len(sizes))]
+            tokens += sum(sizes)
+            continue
+        if held and tokens < least:
+            held += [(seq, i) for i in range(len(sizes))]
+            tokens += sum(sizes)
+            if tokens >= least:
+                packs.append(held)
+                held, tokens = [], 0
+            continue
+        if held:
+            packs.append(held)
+        held, tokens = [], 0
+        for i, n in enumerate(sizes):
+            if sum(sizes) > most and held and tokens + n > most:
+                packs.append(held)
+                held, tokens = [], 0
+            held.append((seq, i))
+            tokens += n
+    if held and (tokens >= least or not packs):
+        packs.append(held)
+    elif held:
+        packs[-1] = packs[-1] + held
+    return packs
+
+
+def test_groups_are_absorbed_cut_and_flushed(spark):
+    import random
+
+    from tracewell.operators.resolution import merged_groups
+
+    rng = random.Random(6)
+    docs = {d: [(seq, [rng.choice([1, 3, 8, 30]) for _ in range(rng.randrange(1, 7))]) for seq in range(rng.randrange(1, 14))] for d in range(60)}
+    docs |= {100: [(0, [2])], 101: [(0, [50, 50, 50])], 102: [(0, [1]), (1, [60, 1]), (2, [1])], 103: [(0, [])]}
+    df = spark.createDataFrame([(d, seq, sizes) for d, gs in docs.items() for seq, sizes in gs], "doc_id long, seq int, sizes array<int>")
+    got = {}
+    for r in merged_groups(df, 12, 40).collect():
+        got.setdefault(r["doc_id"], {}).setdefault(r["pack"], []).append((r["seq"], r["sentence"]))
+    for d, gs in docs.items():
+        want = merged_by_loop([g for g in gs if g[1]], 12, 40)
+        assert [sorted(got.get(d, {})[n]) for n in range(len(got.get(d, {})))] == want
+
+
+def test_answers_that_are_cut_off_or_odd(spark):
+    from tracewell.operators import browse
+
+    rows = [(1, '[{"type": "loss", "value": "long enough"}'), (2, "no list"), (3, None), (4, '[{"type": "loss"}, 3, {"type": "loss", "value": "long enough"}]'), (5, "```\n[]\n```")]
+    got = browse.parsed_entities(spark.createDataFrame(rows, "answer_id int, answer string"), ("loss",)).collect()
+    assert {r["answer_id"] for r in got} <= {4}
+    said = [(1, '{"answer": "yes", "citations": [null, {"paper_id": "p"}]}'), (2, '{"answer": 3}'), (3, '{"answer": ""}'), (4, "}{"), (5, None), (6, '{"answer": "cut')]
+    told = {r["answer_id"]: r for r in browse.structured_answers(spark.createDataFrame(said, "answer_id int, answer string")).collect()}
+    assert told[1]["answer"] == "yes" and told[1]["discussed"] == [] and [tuple(c) for c in told[1]["citations"]] == [("p", "p", "")] and not {3, 4, 5, 6} & set(told)

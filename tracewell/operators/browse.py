@@ -117,6 +117,38 @@ def parsed_triples(answers: DataFrame, relations: tuple[str, ...]) -> DataFrame:
     return rows.where(F.col("t.relation").isin(*relations) & (F.trim("t.object") != "") & (F.trim("t.quote") != "")).select("answer_id", "i", "t.relation", "t.object", "t.quote")
 
 
+def parsed_entities(answers: DataFrame, kinds: tuple[str, ...], least: int = 6, most: int = 300) -> DataFrame:
+    """(answer_id, i, type, value, confidence) of the JSON array in an answer, fenced or with text around it: known types and values of ``least`` characters or more, cut at ``most``.
+
+    An array that is cut off or broken gives nothing, as it cannot be told what is whole; a missing confidence is medium.
+    """
+    body = F.regexp_extract(F.coalesce(F.nullif(F.regexp_extract("answer", r"(?s)```(?:json)?\s*\n?(.*?)\n?```", 1), F.lit("")), F.col("answer")), r"(?s)(\[.*\])", 1)
+    rows = answers.select("answer_id", F.posexplode(F.from_json(body, "array<struct<type: string, value: string, confidence: string>>")).alias("i", "e"))
+    good = rows.where(F.col("e.type").isin(*kinds) & (F.length("e.value") >= least))
+    return good.select("answer_id", "i", "e.type", F.substring("e.value", 1, most).alias("value"), F.coalesce("e.confidence", F.lit("medium")).alias("confidence"))
+
+
+def structured_answers(answers: DataFrame) -> DataFrame:
+    """(answer_id, answer, discussed, citations) of answers given as JSON, fenced or not; those that are not, or say nothing, are left out.
+
+    What is discussed may be names or objects with id or method; a citation's marker and paper stand in for each other.
+    """
+    fenced = F.regexp_extract("answer", r"(?is)```(?:json)?\s*(.*?)```", 1)
+    body = F.regexp_extract(F.when(F.col("answer").rlike(r"(?is)```(?:json)?\s*(.*?)```"), fenced).otherwise(F.col("answer")), r"(?s)(\{.*\})", 1)
+    shape = "answer string, discussed array<string>, methods array<string>, citations array<struct<marker: string, paper_id: string, paper_title: string>>"
+    told = answers.select("answer_id", F.from_json(body, shape).alias("o")).where(F.trim(F.coalesce("o.answer", F.lit(""))) != "")
+
+    def name(d: Column) -> Column:
+        is_object = F.coalesce(d, F.lit("")).startswith("{")
+        inner = F.coalesce(F.nullif(F.get_json_object(d, "$.id"), F.lit("")), F.get_json_object(d, "$.method"), F.lit(""))
+        return F.trim(F.when(is_object, inner).otherwise(F.coalesce(d, F.lit(""))))
+
+    names = F.filter(F.transform(F.coalesce("o.discussed", "o.methods", F.array().cast("array<string>")), name), lambda n: n != "")
+    either = lambda a, b: F.trim(F.coalesce(F.nullif(a, F.lit("")), b, F.lit("")))
+    cited = F.transform(F.filter(F.coalesce("o.citations", F.array().cast("array<struct<marker: string, paper_id: string, paper_title: string>>")), lambda c: c.isNotNull()), lambda c: F.struct(either(c["marker"], c["paper_id"]).alias("marker"), either(c["paper_id"], c["marker"]).alias("paper_id"), F.trim(F.coalesce(c["paper_title"], F.lit(""))).alias("paper_title")))
+    return told.select("answer_id", F.trim("o.answer").alias("answer"), names.alias("discussed"), cited.alias("citations"))
+
+
 def records_of_json(payloads: DataFrame, schema: str) -> DataFrame:
     """Records of JSON documents by an explicit schema: keys it lacks are dropped, missing ones are null, decimals broken by blanks are joined."""
     rows = payloads.select("payload_id", F.explode(F.from_json("payload", f"array<struct<{schema}>>")).alias("r")).select("payload_id", "r.*")

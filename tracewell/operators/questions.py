@@ -86,3 +86,25 @@ def conversation_queries(turns: DataFrame) -> DataFrame:
     told = turns.withColumn("before", F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(order)).withColumn("answer", F.last(F.when(F.col("role") != "user", F.col("text")), ignorenulls=True).over(order))
     whole = told.where("role = 'user'").select("conv_id", "turn", rewritten(F.col("text"), F.col("before"), F.col("answer")).alias("query"))
     return whole.withColumns({"shape": answer_shape(F.col("query")), "intent": routed_intent(F.col("query"))})
+
+
+def column_hits(query: Column, keywords: dict[str, tuple[str, ...]]) -> dict[str, Column]:
+    """How many of each column's keywords a question names."""
+    low = F.lower(F.coalesce(query, F.lit("")))
+    return {c: sum((low.contains(w).cast("int") for w in words), F.lit(0)) for c, words in keywords.items()}
+
+
+def column_weights(query: Column, weights: dict[str, float], keywords: dict[str, tuple[str, ...]]) -> dict[str, Column]:
+    """Weights of columns for a question: two more for each keyword named, six at most, and 16 in all; others stay."""
+    hits = column_hits(query, keywords)
+    return {c: F.when(hits[c] > 0, F.least(F.lit(16.0), F.lit(float(w)) + F.least(hits[c] * 2, F.lit(6)))).otherwise(F.lit(float(w))) if c in hits else F.lit(float(w)) for c, w in weights.items()}
+
+
+def color_by(query: Column, keywords: dict[str, tuple[str, ...]], boosted: dict[str, Column] | None = None, weights: dict[str, float] | None = None) -> Column:
+    """The column with most keywords in the question, the first of equals; without any, the one whose weight grew most, else cluster."""
+    def most(scores: dict[str, Column]) -> Column:
+        best = F.array_max(F.array(*[F.struct(s.cast("double").alias("s"), F.lit(-i).alias("i"), F.lit(c).alias("c")) for i, (c, s) in enumerate(scores.items())]))
+        return F.when(best["s"] > 0, best["c"])
+
+    grown = {c: b - F.lit(float((weights or {}).get(c, 10))) for c, b in (boosted or {}).items() if c in keywords}
+    return F.coalesce(most(column_hits(query, keywords)), *([most(grown)] if grown else []), F.lit("cluster"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -172,6 +174,69 @@ def packed(chunks: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
     return sizes.mapInArrow(packs, f"{key} {kind}, pack int, first int, last int, tokens int")
 
 
+def merged_groups(groups: DataFrame, least: int, most: int, key: str = "doc_id") -> DataFrame:
+    """(key, seq, sentence, pack): groups of sentences merged into packs of ``least`` to ``most`` tokens, in one pass over each document.
+
+    ``groups`` has key, seq and sizes, the tokens of a group's sentences. Groups join the open pack while they fit. Where one does not, a pack that is
+    large enough is closed; one that is too small absorbs the group, whatever its size, and is closed if it is large enough then. A group
+    larger than a pack is cut between sentences. What is open at the end is closed if large enough or alone, else it joins the last pack.
+    """
+    kind = dict(groups.dtypes)[key]
+
+    class Fold:
+        def __init__(self) -> None:
+            self.packs: list[list[tuple[int, int]]] = []
+            self.open: list[tuple[int, int]] = []
+            self.tokens = 0
+
+        def close(self) -> None:
+            self.packs.append(self.open)
+            self.open, self.tokens = [], 0
+
+        def add(self, seq: int, sizes: list[int]) -> None:
+            total, own = sum(sizes), [(seq, i) for i in range(len(sizes))]
+            if self.tokens + total <= most:
+                self.open, self.tokens = self.open + own, self.tokens + total
+                return
+            if self.open and self.tokens < least:
+                self.open, self.tokens = self.open + own, self.tokens + total
+                if self.tokens >= least:
+                    self.close()
+                return
+            if self.open:
+                self.close()
+            for place, size in zip(own, sizes, strict=True):
+                if total > most and self.tokens + size > most and self.open:
+                    self.close()
+                self.open.append(place)
+                self.tokens += size
+
+        def end(self) -> list[list[tuple[int, int]]]:
+            if self.open:
+                if self.tokens >= least or not self.packs:
+                    self.close()
+                else:
+                    self.packs[-1] = self.packs[-1] + self.open
+            return self.packs
+
+    def fold(batches):
+        def stream():
+            for batch in batches:
+                yield from zip(*(batch.column(c).to_pylist() for c in ("key", "seq", "sizes")), strict=True)
+
+        for name, own in groupby(stream(), key=lambda r: r[0]):
+            f = Fold()
+            for _, seq, sizes in own:
+                f.add(seq, sizes)
+            rows = [(name, seq, i, n) for n, pack in enumerate(f.end()) for seq, i in pack]
+            if rows:
+                columns = [pa.array(c) for c in zip(*rows, strict=True)]
+                yield pa.RecordBatch.from_arrays([columns[0], *[c.cast(pa.int32()) for c in columns[1:]]], [key, "seq", "sentence", "pack"])
+
+    rows = groups.where(F.size("sizes") > 0).select(F.col(key).alias("key"), F.col("seq").cast("int"), F.col("sizes").cast("array<int>")).repartition("key").sortWithinPartitions("key", "seq")
+    return rows.mapInArrow(fold, f"{key} {kind}, seq int, sentence int, pack int")
+
+
 def first_k(df: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
     """The first k rows of each group."""
     return df.withColumn("place", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("place") <= k)

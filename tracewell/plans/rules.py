@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import browse as B
 from ..operators import evidence as E
 from ..operators import facts as X
 from ..operators import features as A
+from ..operators import landing as G
 from ..operators import questions as Q
+from ..operators import resolution as R
 from ..session import staged
 from ..sources.views import results, table
 from .evidence import VALID
@@ -67,6 +70,19 @@ coalesce(objects, 'not reported') AS object_set, 'not reported' AS gripper, 'not
 concat_ws('; ', CASE WHEN objects IS NULL THEN {_without('object_set')} END, {_without('gripper')}, {_without('arm')}, {_without('sensor')}, CASE WHEN scene IS NULL THEN {_without('scene')} END, CASE WHEN crit IS NULL THEN {_without('success_criterion')} END, CASE WHEN tried IS NULL THEN {_without('trials')} END, CASE WHEN protocol IS NULL THEN {_without('protocol')} END) AS do_not_compare,
 CASE condition WHEN 'a:f' THEN 'Pile · Grasp success rate (GSR) · YCB objects' WHEN 'n:f' THEN 'Simulation · Fixed camera · No retrain (OOD)' WHEN 'n:o' THEN 'Grasp success rate (GSR)' WHEN 'r:f' THEN 'Odd · Pile · Gaussian noise · Success rate (SR)' WHEN 'r:o' THEN 'Isolated' ELSE 'All conditions' END AS condition_label FROM k"""
 
+COVERED = "SELECT p_partkey AS place, p_name AS name, CASE p_size % 5 WHEN 0 THEN concat(p_brand, ', ', p_type, ',') WHEN 1 THEN p_type WHEN 2 THEN 'nan' WHEN 3 THEN NULL ELSE concat(' ', p_brand, ' ,', p_brand) END AS datasets, CASE p_size % 4 WHEN 0 THEN CAST(1990 + p_size AS STRING) WHEN 1 THEN concat(CAST(2000 + p_size % 29 AS STRING), '.0') WHEN 2 THEN 'soon' END AS year FROM {part}"
+OUTSIDE = "SELECT concat('c', o_custkey) AS src, concat('w', o_orderkey % 97) AS dst, CASE o_orderkey % 3 WHEN 0 THEN 'cites_external' WHEN 1 THEN 'cites' ELSE 'about' END AS type, CASE o_orderkey % 5 WHEN 0 THEN 'builds_on' WHEN 1 THEN 'differs_from' WHEN 2 THEN 'other' END AS sentiment FROM {orders}"
+WORKS = "SELECT concat('w', p_partkey) AS id, CASE WHEN p_partkey % 10 = 0 THEN '' ELSE concat('Work ', CAST(p_partkey % 40 AS STRING)) END AS label, 1990 + p_size AS year, p_brand AS venue FROM {part}"
+USES = "SELECT o_custkey AS src, p_brand AS dst, CASE o_orderkey % 4 WHEN 0 THEN 'uses_loss' WHEN 1 THEN 'about' ELSE 'uses_technique' END AS type FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey JOIN {part} ON l_partkey = p_partkey WHERE l_linenumber = 1"
+ANCHORS = "SELECT p_brand AS label, CASE WHEN p_size % 3 = 0 THEN ' N/A' ELSE p_type END AS a, 'Not reported' AS b, CASE WHEN p_size % 2 = 0 THEN ' One' ELSE 'ONE ' END AS c, p_type AS e FROM {part}"
+REPLIES = """SELECT p_partkey AS answer_id, concat(CASE p_size % 5 WHEN 0 THEN concat('Sure:', chr(10), '```json', chr(10)) WHEN 1 THEN 'The list is ' WHEN 2 THEN '{"a": ' ELSE '' END, '[', chr(123), '"type": "loss", "value": "', p_name, ' ', repeat('x', 40 * (p_size % 9)), '", "confidence": "high"', chr(125), ', ', chr(123), '"type": "other", "value": "long enough"', chr(125), ', ', chr(123), '"type": "dataset", "value": "the ', p_type, '"', chr(125), ', ', chr(123), '"type": "loss", "value": "short"', chr(125),
+  CASE p_size % 5 WHEN 0 THEN concat(']', chr(10), '```') WHEN 1 THEN '] as said' WHEN 2 THEN ' cut off' WHEN 3 THEN ', {]' ELSE '' END) AS answer FROM {part}""".replace("'{\"a\": '", "'a: '").replace("', {]'", "', (]'")
+STRUCTURED = """SELECT p_partkey AS answer_id, CASE p_size % 4 WHEN 0 THEN concat('```json', chr(10), chr(123), '"answer": " It is ', p_name, '", "discussed": ["', p_name, '", ', chr(123), '"id": "', p_brand, '", "why": "x"', chr(125), ', ""], "citations": [', chr(123), '"marker": "[1]"', chr(125), ', ', chr(123), '"paper_id": "p2", "paper_title": "T"', chr(125), ']', chr(125), chr(10), '```')
+  WHEN 1 THEN concat('So: ', chr(123), '"answer": "It is ', p_name, '", "methods": [', chr(123), '"method": "', p_type, '"', chr(125), ']', chr(125), ' done') WHEN 2 THEN concat(chr(123), '"answer": "  "', chr(125)) ELSE p_name END AS answer FROM {part}"""
+WEIGHTS = {"output": 11, "scene": 8, "other": 5}
+WORDS = {"output": ("loss", "network", "method", "o"), "scene": ("pile", "field")}
+GROUPS = "SELECT o_custkey AS doc_id, o_orderkey AS seq, l_linenumber AS i, CAST(l_quantity AS INT) AS n FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey"
+
 QUERIES = {
     "tx_facts": (lambda s, d: X.facts(given(s, d, STATED)), f"WITH {_FACTS}"),
     "ft_equations": (lambda s, d: given(s, d, EQUATIONS).select("p_partkey", X.valid_equation(F.col("e")).alias("valid")), f"SELECT p_partkey, coalesce({_VALID_EQ}, false) AS valid FROM (SELECT p_partkey, trim(e) AS e FROM ({named(EQUATIONS)}))"),
@@ -96,5 +112,40 @@ QUERIES = {
         CASE p_partkey % 5 WHEN 0 THEN 'Packed' WHEN 1 THEN 'Piled' WHEN 2 THEN 'Structured' WHEN 3 THEN 'Cluttered' ELSE 'Unknown' END AS scene_difficulty, CASE hardware WHEN 'Two-finger' THEN 'Parallel-jaw' WHEN 'Suction cup' THEN 'Suction' WHEN 'Three-finger' THEN 'Dexterous' WHEN 'Multi-finger' THEN 'Dexterous' WHEN 'Two-finger, Suction' THEN 'Multi-gripper' ELSE 'Unknown' END AS gripper_type,
         CASE language WHEN 'Python, Keras' THEN 'Keras' WHEN 'TensorFlow/PyTorch' THEN 'PyTorch' WHEN 'TensorFlow' THEN 'TensorFlow' ELSE 'None' END AS framework, CASE WHEN year IS NULL THEN 'Unknown' WHEN year < 2019 THEN 'Pioneer (2016-2018)' WHEN year < 2022 THEN 'Growth (2019-2021)' ELSE 'Modern (2022+)' END AS era FROM m""",
     ),
+    "ag_dataset_coverage": (
+        lambda s, d: G.dataset_coverage(given(s, d, COVERED), 12, 5),
+        f"WITH m AS ({named(COVERED)}), t AS (SELECT place, name, unnest(list_filter(list_transform(string_split(coalesce(datasets, ''), ','), lambda p: trim(p)), lambda p: p <> '' AND lower(p) <> 'nan')) AS dataset FROM m) SELECT dataset, count(*) AS n, array_to_string(list(name ORDER BY place)[:5], ', ') AS methods FROM t GROUP BY dataset ORDER BY n DESC, dataset LIMIT 12",
+    ),
+    "ag_years_covered": (lambda s, d: G.years_covered(given(s, d, COVERED)), f"SELECT y AS year, count(*) AS n FROM (SELECT TRY_CAST(trunc(TRY_CAST(year AS DOUBLE)) AS INT) AS y FROM ({named(COVERED).replace(' AS STRING', ' AS VARCHAR')})) WHERE y BETWEEN 2005 AND 2030 GROUP BY y"),
+    "ag_external_references": (
+        lambda s, d: G.external_references(given(s, d, OUTSIDE), given(s, d, WORKS)),
+        f"WITH e AS ({named(OUTSIDE)}), w AS ({named(WORKS).replace(' AS STRING', ' AS VARCHAR')}) SELECT label, count(*) AS n, arg_min(year, id) AS year, arg_min(venue, id) AS venue FROM e JOIN w ON id = dst WHERE type = 'cites_external' AND label <> '' GROUP BY label HAVING count(*) >= 2 ORDER BY n DESC, label LIMIT 10",
+    ),
+    "ag_citation_flow": (lambda s, d: G.citation_flow(given(s, d, OUTSIDE)), f"WITH e AS ({named(OUTSIDE)}), c AS (SELECT coalesce(sentiment, 'neutral') AS s FROM e WHERE type = 'cites' UNION ALL SELECT NULL) SELECT v.s AS sentiment, (SELECT count(*) FROM c WHERE c.s = v.s) AS n FROM (SELECT 'builds_on' AS s UNION SELECT 'differs_from' UNION SELECT 'neutral' UNION SELECT s FROM c WHERE s IS NOT NULL) v"),
+    "ag_companions": (lambda s, d: G.companions(given(s, d, USES), "Brand#11", ("uses_technique", "uses_loss"), 3), f"WITH u AS ({named(USES)}) SELECT dst AS id, count(*) AS n FROM u WHERE type <> 'about' AND dst <> 'Brand#11' AND src IN (SELECT src FROM u WHERE dst = 'Brand#11' AND type <> 'about') GROUP BY dst ORDER BY n DESC, id LIMIT 3"),
+    "ag_dimension_status": (
+        lambda s, d: G.dimension_status(given(s, d, ANCHORS), "label", ("a", "b", "c", "e")),
+        f"WITH m AS ({named(ANCHORS)}), t AS (SELECT label, unnest(['a', 'b', 'c', 'e']) AS dimension, unnest([a, b, c, e]) AS v FROM m), l AS (SELECT label, dimension, CASE WHEN lower(trim(v)) NOT IN ('', 'not reported', 'n/a', '-') THEN lower(trim(v)) END AS v FROM t) SELECT label, dimension, CASE WHEN count(v) = 0 THEN 'gap' WHEN count(v) < count(*) THEN 'partial' WHEN count(DISTINCT v) = 1 THEN 'shared' ELSE 'differs' END AS status, count(v) AS filled, count(*) AS anchors FROM l GROUP BY label, dimension",
+    ),
+    "gr_shared_items": (
+        lambda s, d: G.first_shared(given(s, d, "SELECT concat('c', o_custkey) AS a, concat('c', o_custkey % 20 + 1) AS b FROM {orders}"), given(s, d, USES).withColumn("src", F.concat(F.lit("c"), "src")), "uses_technique"),
+        f"WITH u AS (SELECT DISTINCT 'c' || src AS src, dst FROM ({named(USES)}) WHERE type = 'uses_technique'), p AS (SELECT DISTINCT 'c' || o_custkey AS a, 'c' || (o_custkey % 20 + 1) AS b FROM orders), m AS (SELECT a, b, x.dst FROM p JOIN u x ON x.src = a JOIN u y ON y.src = b AND y.dst = x.dst) SELECT a, b, count(*) AS n, array_to_string(list_sort(list(dst))[:3], ',') AS items FROM m GROUP BY a, b",
+    ),
+    "str_parsed_entities": (
+        lambda s, d: B.parsed_entities(given(s, d, REPLIES), ("loss", "dataset")),
+        "SELECT p_partkey AS answer_id, 0 AS i, 'loss' AS type, left(p_name || ' ' || repeat('x', 40 * (p_size % 9)), 300) AS value, 'high' AS confidence FROM part WHERE p_size % 5 IN (0, 1) UNION ALL SELECT p_partkey, 2, 'dataset', 'the ' || p_type, 'medium' FROM part WHERE p_size % 5 IN (0, 1)",
+    ),
+    "str_structured_answers": (
+        lambda s, d: B.structured_answers(given(s, d, STRUCTURED)).select("answer_id", "answer", F.array_join("discussed", "|").alias("discussed"), F.array_join(F.transform("citations", lambda c: F.concat_ws("/", c["marker"], c["paper_id"], c["paper_title"])), "|").alias("citations")),
+        "SELECT p_partkey AS answer_id, 'It is ' || p_name AS answer, CASE WHEN p_size % 4 = 0 THEN p_name || '|' || p_brand ELSE p_type END AS discussed, CASE WHEN p_size % 4 = 0 THEN '[1]/[1]/|p2/p2/T' ELSE '' END AS citations FROM part WHERE p_size % 4 IN (0, 1)",
+    ),
+    "str_column_weights": (
+        lambda s, d: given(s, d, PUZZLES).select("p_partkey", *[c.alias(n) for n, c in Q.column_weights(F.col("query"), WEIGHTS, WORDS).items()], Q.color_by(F.col("query"), WORDS, Q.column_weights(F.col("query"), WEIGHTS, WORDS), WEIGHTS).alias("color")),
+        f"""WITH q AS (SELECT p_partkey, lower(coalesce(query, '')) AS q FROM ({named(PUZZLES)})), h AS (SELECT p_partkey, contains(q, 'loss')::INT + contains(q, 'network')::INT + contains(q, 'method')::INT + contains(q, 'o')::INT AS a, contains(q, 'pile')::INT + contains(q, 'field')::INT AS b FROM q)
+        SELECT p_partkey, CASE WHEN a > 0 THEN least(16, 11.0::DOUBLE + least(2 * a, 6)) ELSE 11.0::DOUBLE END AS output, CASE WHEN b > 0 THEN least(16, 8.0::DOUBLE + least(2 * b, 6)) ELSE 8.0::DOUBLE END AS scene, 5.0::DOUBLE AS other, CASE WHEN a = 0 AND b = 0 THEN 'cluster' WHEN a >= b THEN 'output' ELSE 'scene' END AS color FROM h""",
+    ),
+    "wn_merged_groups": (
+        lambda s, d: R.merged_groups(given(s, d, GROUPS).groupBy("doc_id", "seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "n"))), lambda x: x["n"]).alias("sizes")), 40, 120), None,  # a fold: tested against a plain loop
+    ),
     "bm_cards": (cards, f"WITH {_CARDS}"),
 }
