@@ -11,6 +11,7 @@ from ..operators import features as A
 from ..operators import landing as G
 from ..operators import questions as Q
 from ..operators import resolution as R
+from ..operators import table_wins as T
 from ..session import staged
 from ..sources.views import results, table
 from .evidence import VALID
@@ -79,6 +80,11 @@ REPLIES = """SELECT p_partkey AS answer_id, concat(CASE p_size % 5 WHEN 0 THEN c
   CASE p_size % 5 WHEN 0 THEN concat(']', chr(10), '```') WHEN 1 THEN '] as said' WHEN 2 THEN ' cut off' WHEN 3 THEN ', {]' ELSE '' END) AS answer FROM {part}""".replace("'{\"a\": '", "'a: '").replace("', {]'", "', (]'")
 STRUCTURED = """SELECT p_partkey AS answer_id, CASE p_size % 4 WHEN 0 THEN concat('```json', chr(10), chr(123), '"answer": " It is ', p_name, '", "discussed": ["', p_name, '", ', chr(123), '"id": "', p_brand, '", "why": "x"', chr(125), ', ""], "citations": [', chr(123), '"marker": "[1]"', chr(125), ', ', chr(123), '"paper_id": "p2", "paper_title": "T"', chr(125), ']', chr(125), chr(10), '```')
   WHEN 1 THEN concat('So: ', chr(123), '"answer": "It is ', p_name, '", "methods": [', chr(123), '"method": "', p_type, '"', chr(125), ']', chr(125), ' done') WHEN 2 THEN concat(chr(123), '"answer": "  "', chr(125)) ELSE p_name END AS answer FROM {part}"""
+_LINES = "(SELECT o_custkey, l_orderkey, l_quantity, l_linenumber, p_brand, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, p_brand, l_quantity, o_custkey) AS INT) AS n FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey JOIN {part} ON l_partkey = p_partkey) t"
+_COLUMNS = "(SELECT 0 AS col UNION ALL SELECT 1 UNION ALL SELECT 2) h"
+GRIDS = f"""SELECT concat('paper:c', o_custkey) AS paper, o_orderkey AS table_id, 0 AS row, col, CASE col WHEN 0 THEN 'Method' WHEN 1 THEN 'Score ↑' ELSE 'Time (lower)' END AS text FROM {{orders}}, {_COLUMNS}
+  UNION ALL SELECT concat('paper:c', o_custkey), l_orderkey, n, col, CASE col WHEN 0 THEN CASE WHEN l_linenumber % 4 = 0 THEN 'Ours' ELSE concat(p_brand, ' [3]') END WHEN 1 THEN concat(CAST(CAST(l_quantity AS INT) AS STRING), '%') ELSE CASE WHEN l_linenumber % 3 = 0 THEN '-' ELSE concat(CAST(CAST(l_quantity AS INT) * 2 AS STRING), '.5 ± 1 ms') END END FROM {_LINES}, {_COLUMNS}"""
+BRANDS = "SELECT concat('method:', p_brand) AS id, 'method' AS type, p_brand AS label, min(p_partkey) AS place FROM {part} GROUP BY p_brand"
 WEIGHTS = {"output": 11, "scene": 8, "other": 5}
 WORDS = {"output": ("loss", "network", "method", "o"), "scene": ("pile", "field")}
 GROUPS = "SELECT o_custkey AS doc_id, o_orderkey AS seq, l_linenumber AS i, CAST(l_quantity AS INT) AS n FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey"
@@ -144,6 +150,14 @@ QUERIES = {
         f"""WITH q AS (SELECT p_partkey, lower(coalesce(query, '')) AS q FROM ({named(PUZZLES)})), h AS (SELECT p_partkey, contains(q, 'loss')::INT + contains(q, 'network')::INT + contains(q, 'method')::INT + contains(q, 'o')::INT AS a, contains(q, 'pile')::INT + contains(q, 'field')::INT AS b FROM q)
         SELECT p_partkey, CASE WHEN a > 0 THEN least(16, 11.0::DOUBLE + least(2 * a, 6)) ELSE 11.0::DOUBLE END AS output, CASE WHEN b > 0 THEN least(16, 8.0::DOUBLE + least(2 * b, 6)) ELSE 8.0::DOUBLE END AS scene, 5.0::DOUBLE AS other, CASE WHEN a = 0 AND b = 0 THEN 'cluster' WHEN a >= b THEN 'output' ELSE 'scene' END AS color FROM h""",
     ),
+    "gr_table_wins": (
+        lambda s, d: T.outperforms(given(s, d, GRIDS), given(s, d, BRANDS)),
+        rf"""WITH c AS ({named(GRIDS).replace(' AS STRING', ' AS VARCHAR')}), n AS (SELECT paper, table_id, row, max(CASE WHEN col = 0 THEN CASE WHEN text = 'Ours' THEN paper ELSE 'method:' || split_part(text, ' ', 1) END END) AS id FROM c WHERE row > 0 GROUP BY ALL),
+        v AS (SELECT paper, table_id, row, col, CASE col WHEN 1 THEN 'Score ↑' ELSE 'Time (lower)' END AS metric, CAST(nullif(regexp_extract(text, '\d+(\.\d+)?'), '') AS DOUBLE) AS x FROM c WHERE row > 0 AND col > 0 AND text <> '-'),
+        g AS (SELECT paper, table_id FROM n GROUP BY ALL HAVING count(*) >= 2 AND count(DISTINCT id) >= 2), r AS (SELECT v.*, id FROM v JOIN n USING (paper, table_id, row) JOIN g USING (paper, table_id)),
+        w AS (SELECT a.id AS src, b.id AS dst, a.metric, a.col = 1 AS higher_is_better, true AS confident, a.x AS winner_value, b.x AS loser_value, round(abs(a.x - b.x) / greatest(abs(a.x), abs(b.x), 1e-6), 4) AS margin, a.paper, a.table_id, a.col, a.row AS i, b.row AS j FROM r a JOIN r b ON a.paper = b.paper AND a.table_id = b.table_id AND a.col = b.col AND a.id <> b.id AND CASE WHEN a.col = 1 THEN a.x > b.x ELSE a.x < b.x END)
+        SELECT src, dst, metric, higher_is_better, confident, winner_value, loser_value, margin, paper, table_id FROM w QUALIFY row_number() OVER (PARTITION BY src, dst, metric ORDER BY margin DESC, paper, table_id, col, i, j) = 1""",
+    ),
     "wn_merged_groups": (
         lambda s, d: R.merged_groups(given(s, d, GROUPS).groupBy("doc_id", "seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "n"))), lambda x: x["n"]).alias("sizes")), 40, 120), None,  # a fold: tested against a plain loop
     ),
