@@ -304,6 +304,56 @@ def test_base_spans_are_those_of_the_contract():
     assert found == {("assign", 'API_KEY = "abcdef'), ("access", "AKIA" + "Z" * 16), ("hex", "0a" * 12), ("assign", "SECRET'='zz.zz-zz")}
 
 
+def layered():
+    """Texts with one key each in a coat, the kind that is found and where it starts and ends."""
+    pem = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(re.findall(".{1,64}", base64.b64encode(PKCS1).decode())) + "\n-----END RSA PRIVATE KEY-----\n"
+    once = base64.b64encode(pem.encode()).decode()
+    lines = pem.strip().split("\n")
+    part = lambda *x: base64.urlsafe_b64encode(x[0]).decode().rstrip("=")
+    token = ".".join([part(b'{"alg":"RSA-OAEP","enc":"A256GCM"}'), part(bytes(range(64))), part(bytes(12)), part(b"cipher"), part(bytes(16))])
+    return {
+        "base64 of armour": (f"tls.key: {once}\nnext", "pem", 9, 9 + len(once)),
+        "base64 of armour in lines": ("key: |\n  " + "\n  ".join(re.findall(".{1,76}", once)) + "\nend: x", "pem", 9, None),
+        "twice": (f"v: {base64.b64encode(once.encode()).decode()} x", "pem", 3, 3 + len(base64.b64encode(once.encode()))),
+        "hex of armour": (f"k {pem.encode().hex()} z", "pem", 2, 2 + 2 * len(pem)),
+        "quoted lines": ("He wrote:\n> " + "\n> ".join(lines) + "\n> bye", "pem", 12, None),
+        "twice quoted": (">> " + "\n>> ".join(lines), "pem", 3, None),
+        "literals": ("String k = " + " +\n    ".join(f'"{x}\\n"' for x in lines) + ";", "pem", 12, None),
+        "implicit literals": ("k = (\n" + "\n".join(f"    '{x}\\n'" for x in lines) + ")", "pem", None, None),
+        "colons": ("key " + PKCS8.hex(":") + " end", "der", 4, 4 + len(PKCS8.hex(":"))),
+        "colons in lines": ("    " + "\n    ".join(re.findall(".{1,45}", PKCS8.hex(":"))), "der", 4, None),
+        "five parts": (f"Bearer {token} x", "jwe", 7, 7 + len(token)),
+    }
+
+
+@pytest.mark.parametrize("name", sorted(layered()))
+def test_secrets_in_layers(name):
+    text, kind, start, end = layered()[name]
+    found = [(a, secret_scan.KINDS[k], b) for a, k, b in secret_scan.confirmed_spans(text)]
+    assert [k for _, k, _ in found] == [kind]
+    assert (start is None or found[0][0] == start) and (end is None or found[0][2] == end)
+
+
+def test_layers_end_and_lookalikes_are_no_secrets():
+    text = "-----BEGIN RSA PRIVATE KEY-----\n" + base64.b64encode(PKCS1).decode() + "\n-----END RSA PRIVATE KEY-----"
+    for _ in range(secret_scan.LAYERS + 1):
+        text = base64.b64encode(text.encode()).decode()
+    assert secret_scan.confirmed_spans(text) == []
+    plain = base64.b64encode(b"-----BEGIN nothing of the kind, only prose that goes on and on-----" * 3).decode()
+    broken = ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (b'{"alg":"dir","enc":"A256GCM"}', b"", bytes(11), b"cipher", bytes(16)))
+    assert secret_scan.confirmed_spans(f"{plain} {broken} " + "ab:" * 50 + "cd") == []
+
+
+@pytest.mark.parametrize("unit", ["LS0tLS1CRUdJTi\n", "> ", "ab:", "30:82:", "eyJhbGciOi.", "'\n'", "ab: \n", base64.b64encode(b"-----BEGIN PRIVATE KEY-----").decode().rstrip("=") + "\n", base64.b64encode(b"x" * 60).decode() + " "])
+def test_layers_are_read_in_linear_time(unit):
+    took = []
+    for size in (150_000, 1_200_000):
+        began = time.process_time()
+        secret_scan.confirmed_spans("-----BEGIN RSA PRIVATE KEY-----" + unit * (size // len(unit)) + "-----END RSA PRIVATE KEY-----")
+        took.append(time.process_time() - began)
+    assert took[1] < 10 and took[1] < 24 * took[0] + 0.5
+
+
 def test_secret_digest_awkward_rows(spark):
     rows = secret_scan.digest(docs(spark)).collect()
     assert len(rows) == len(AWKWARD) and {r["base_sha256"] for r in rows} == {hashlib.sha256(b"").hexdigest()}

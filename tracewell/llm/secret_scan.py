@@ -9,7 +9,12 @@ base64, base64url and hex run and confirms what it is by structure:
   form has its two headers and is made of whole cipher blocks;
 * ``der``: a run that decodes to a private key in DER: nested lengths fill each other exactly and the
   fields are those of PKCS#1, SEC1, DSA, PKCS#8 or encrypted PKCS#8;
-* ``openssh``: a run that decodes to an OpenSSH private key, its length-prefixed fields filling it.
+* ``openssh``: a run that decodes to an OpenSSH private key, its length-prefixed fields filling it;
+* ``jwe``: five base64url parts; the header names a known content encryption, and initialisation vector and tag have its lengths.
+
+What a run decodes to is scanned again where it is text, ``LAYERS`` deep, so a key in base64 or hex is found in another coat of these;
+the span is that of the outer run. Armour may stand in quoted lines (``> ``) or in string literals that are put together
+line by line, and hex may have colons.
 
 Each text is scanned whole by itself, so the job is one pass over the table without a shuffle. The
 time is linear in the text: armour lines are paired in one walk, lines of encoded characters are
@@ -30,16 +35,22 @@ from pyspark.sql import functions as F
 
 from .common import pick, read
 
-KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "openssh")
+KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "openssh", "jwe")
+#: Coats of base64 or hex around a secret that are taken off at most; each leaves three quarters or half of a text.
+LAYERS = 2
 
 _assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _access = re.compile(r"AKIA[A-Z0-9]+")
 _long_hex = re.compile(r"[0-9a-f]{24,}")
 _jwt = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
+_jwe = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]*)\.([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]{16,})")
 _armour = re.compile(r"-----(BEGIN|END) ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
 #: Line ends and other characters that string literals write with a backslash, once or more often.
 _escaped_end = re.compile(r"(?<!\\)\\++(?:[nrt]|(?=\s))")
 _escaped_char = re.compile(r"(?<!\\)\\++(?:u00(2[bBfF]|3[dD])|(?=/))")
+#: What marks a line as quoted, and what stands between the literals of lines that are put together.
+_quoted = re.compile(r"(?m)^[ \t]*(?:>[ \t]?)+")
+_literals = re.compile(r"(?:\\+[nr])*[\"'][ \t]*[+.,]?[ \t]*(?:\\[ \t]*)?\r?\n[ \t]*(?:[+.][ \t]*)?[\"']")
 #: The two headers of an encrypted body, and the bytes of a block by cipher (fixed values of that format).
 _headed = re.compile(r"Proc-Type:\x20*4,\x20*ENCRYPTED\s+DEK-Info:\x20*([A-Z0-9-]+),([0-9A-Fa-f]+)\s+")
 BLOCK_BYTES = {"DES-CBC": 8, "DES-EDE3-CBC": 8, "AES-128-CBC": 16, "AES-192-CBC": 16, "AES-256-CBC": 16}
@@ -47,9 +58,10 @@ BLOCK_BYTES = {"DES-CBC": 8, "DES-EDE3-CBC": 8, "AES-128-CBC": 16, "AES-192-CBC"
 LABELS = {"RSA PRIVATE KEY": "pkcs1", "EC PRIVATE KEY": "sec1", "DSA PRIVATE KEY": "dsa", "PRIVATE KEY": "pkcs8", "ENCRYPTED PRIVATE KEY": "pkcs8-encrypted", "OPENSSH PRIVATE KEY": "openssh"}
 _run64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 _run16 = re.compile(r"[0-9A-Fa-f]{80,}")
-#: Where a key that goes on over line ends may start (a DER sequence or the OpenSSH magic), a line of it, and what may part its lines.
+_run_colons = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{2}:\s*){39,}[0-9A-Fa-f]{2}(?![0-9A-Fa-f])")
+#: Where a key that goes on over line ends may start (a DER sequence, the OpenSSH magic or armour in base64), a line of it, and what may part its lines.
 _start = r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nrt]))"
-_start64 = re.compile(_start + r"(?:M[A-P]|b3BlbnNzaC1rZXktdjEA)")
+_start64 = re.compile(_start + r"(?:M[A-P]|b3BlbnNzaC1rZXktdjEA|LS0tLS1CRUdJTi)")
 _start16 = re.compile(_start + r"30[0-9A-Fa-f]{2}")
 _line64 = re.compile(r"[A-Za-z0-9+/_-]+")
 _line16 = re.compile(r"[0-9A-Fa-f]+")
@@ -61,6 +73,9 @@ SIGNATURE_BYTES = {
     "ES256": 64, "ES384": 96, "ES512": 132, "ES256K": 64, "EdDSA": None, "none": 0,
 }
 
+#: Bytes of initialisation vector and tag by content encryption (fixed values of the encrypted-token standard).
+CONTENT = {"A128CBC-HS256": (16, 16), "A192CBC-HS384": (16, 24), "A256CBC-HS512": (16, 32), "A128GCM": (12, 16), "A192GCM": (12, 16), "A256GCM": (12, 16)}
+
 
 def decoded64(run: str) -> bytes | None:
     """A base64 or base64url run, padded or not; None if it cannot be one."""
@@ -193,6 +208,27 @@ def signed_token(head: str, claims: str, signature: str) -> bool:
     return len(raw_signature) == size if size is not None else len(raw_signature) >= 64
 
 
+def encrypted_token(head: str, key: str, vector: str, text: str, tag: str) -> bool:
+    raw = [decoded64(x) if x else b"" for x in (head, key, vector, text, tag)]
+    if any(x is None for x in raw):
+        return False
+    try:
+        told = json.loads(raw[0])
+    except (ValueError, RecursionError):
+        return False
+    if not isinstance(told, dict) or not isinstance(told.get("alg"), str) or not isinstance(told.get("enc"), str):
+        return False
+    return CONTENT.get(told["enc"]) == (len(raw[2]), len(raw[4])) and (bool(raw[1]) or told["alg"] in ("dir", "ECDH-ES"))
+
+
+def inner_kind(data: bytes, depth: int) -> int | None:
+    """The kind of the first secret in what a run decodes to, if that is text."""
+    if depth >= LAYERS or not data[:64].isascii() or not data.isascii():
+        return None
+    found = confirmed_spans(data.decode("ascii"), depth + 1)
+    return min(found)[1] if found else None
+
+
 def extent(data: bytes) -> int | None:
     """Bytes of the DER key that ``data`` begins with, as far as the start tells; None if it is no key's start."""
     if data[:1] == b"0" and len(data) >= 8:
@@ -211,6 +247,7 @@ class Lines:
 
     def __init__(self, text: str, at: int, line: re.Pattern):
         self.starts, self.ends, self.before, pieces = [], [], [0], []
+        self.told = -1  # up to where they have been read as a coat
         while m := line.match(text, at):
             pieces.append(m[0])
             self.starts.append(m.start())
@@ -250,9 +287,27 @@ def joined(text: str, lines: Lines, i: int, is64: bool) -> tuple[int, int] | Non
     return kind, end
 
 
+def wrapped(text: str, lines: Lines, i: int, depth: int) -> tuple[int, int] | None:
+    """(place of the kind, end) of armour in base64 that starts with line ``i`` and goes on in the next ones; all of them are its coat."""
+    start = lines.before[i]
+    if depth >= LAYERS or not lines.chars.startswith("LS0tLS1CRUdJTi", start) or lines.told > start:
+        return None
+    lines.told = len(lines.chars)  # read once, however many starts there are
+    data = decoded64(lines.chars[start:])
+    kind = inner_kind(data, depth) if data else None
+    if kind is None:
+        return None
+    end = lines.ends[-1]
+    while text[end : end + 1] == "=" and end - lines.ends[-1] < 2:
+        end += 1
+    return kind, end
+
+
 def armoured(label: str, body: str) -> bool:
     """Whether ``body`` is what armour of ``label`` holds."""
+    body = _literals.sub("\n", body) if '"' in body or "'" in body else body
     body = _escaped_end.sub("\n", body) if "\\" in body else body
+    body = _quoted.sub("", body) if ">" in body else body
     body = _escaped_char.sub(lambda c: chr(int(c[1], 16)) if c[1] else "", body) if "\\" in body else body
     body, headed = body.strip(), None
     if label in ("RSA PRIVATE KEY", "EC PRIVATE KEY", "DSA PRIVATE KEY") and (headed := _headed.match(body)):
@@ -274,9 +329,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, place of the kind, end) of the spans that only their structure shows to be secrets."""
+def confirmed_spans(text: str, depth: int = 0) -> list[tuple[int, int, int]]:
+    """(start, place of the kind, end) of the spans that only their structure shows to be secrets; ``depth`` coats have been taken off."""
     found = []
+    for m in _jwe.finditer(text) if "." in text else ():
+        if encrypted_token(*m.groups()):
+            found.append((m.start(), 7, m.end()))
     for m in _jwt.finditer(text) if "." in text else ():
         if signed_token(m[1], m[2], m[3]):
             found.append((m.start(), 3, m.end()))
@@ -293,11 +351,11 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
         return k >= 0 and at < armour[k][1]
 
     known = set()
-    for pattern, decode in ((_run64, decoded64), (_run16, decoded16)):
-        for m in pattern.finditer(text):
+    for pattern, decode in ((_run64, decoded64), (_run16, decoded16), (_run_colons, lambda run: bytes.fromhex(run.replace(":", "")))):
+        for m in pattern.finditer(text) if pattern is not _run_colons or ":" in text else ():
             data = decode(m[0])
-            kind = None if not data or inside(m.start()) else 5 if private_der(data) else 6 if private_openssh(data) else None
-            if kind:
+            kind = None if not data or inside(m.start()) else 5 if private_der(data) else 6 if private_openssh(data) else inner_kind(data, depth)
+            if kind and not (known and pattern is _run16 and m.start() in known):
                 found.append((m.start(), kind, m.end()))
                 known.add(m.start())
     for pattern, line, is64 in ((_start64, _line64, True), (_start16, _line16, False)):
@@ -311,14 +369,14 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
                     continue
                 lines = Lines(text, at, line)
                 place = {start: i for i, start in enumerate(lines.starts)}
-            if one := joined(text, lines, place[at], is64):
+            if one := joined(text, lines, place[at], is64) or wrapped(text, lines, place[at], depth if is64 else LAYERS):
                 found.append((at, *one))
     return found
 
 
 def starts_key(text: str, at: int, is64: bool) -> bool:
     """Whether the first characters at ``at`` may start a key, so that its lines are worth joining."""
-    if is64 and text.startswith("b3BlbnNzaC1rZXktdjEA", at):
+    if is64 and text.startswith(("b3BlbnNzaC1rZXktdjEA", "LS0tLS1CRUdJTi"), at):
         return True
     head = (_line64 if is64 else _line16).match(text, at, at + (16 if is64 else 24))[0]
     head = head[: len(head) // 4 * 4] if is64 else head[: len(head) // 2 * 2]
