@@ -74,6 +74,18 @@ def test_exact_dedup_empty_and_table_form(spark):
 # mixing
 
 
+def test_mix_of_null_and_repeated_ids_is_spread_and_exact(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(mixing, "FOLD", 16)
+    rng = random.Random(4)
+    rows = [(None, " ".join("w" * rng.randrange(1, 9)), "a") for _ in range(300)] + [(None, "same text of copies", "a")] * 200 + [(7, "x y z", "b")] * 90 + [(7, "x " * (i % 5), "b") for i in range(40)] + [(i, "p q", None) for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = sorted(r["digest"] for r in mixing.mix(table).where("doc_id IS NULL").select("digest").distinct().collect())
+    assert len({d[:3] for d in sizes}) == len(sizes) > 5
+    table.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    c = connection(str(tmp_path))
+    assert same(mixing.op7_mixing(spark, str(tmp_path)), mixing.SQL, c) == len(rows)
+
+
 def test_mix_awkward_rows(spark):
     rows = mixing.mix(docs(spark)).collect()
     assert len(rows) == len(AWKWARD) and all(0 <= r["taken"] <= 2 * r["size"] for r in rows)

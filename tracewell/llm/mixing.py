@@ -23,6 +23,8 @@ from .common import WORD, by_place, pick, place_of, read, staged
 
 #: Digest ranges of a source (three hex digits).
 BUCKETS = 4096
+#: Repeats of a row that one task unfolds.
+FOLD = 4096
 #: Ranges of finish time up to the fluid cut-off; as many lie beyond it.
 RANGES = 16384
 WEIGHTS = (5, 2, 1)
@@ -60,15 +62,15 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, budget_share: fl
 
     size counts words (null text: 0); taken is size times the number of services inside the budget.
     Documents are taken whole, so a source ends within one document of its target. Null source is a
-    source of its own, last. Null ids queue under the text 'null'. Rows that repeat an id queue next
-    to each other by size. Empty texts take nothing. An empty table gives no rows. The order depends
+    source of its own, last. Rows with a null id queue by a digest of their text. Rows that repeat an id queue next
+    to each other by size; those that repeat id and text are folded, so no task orders them one by one. Empty texts take nothing. An empty table gives no rows. The order depends
     on ids and ``seed`` alone, so reruns agree.
     """
     rows = pick(docs, doc_id=id_col, text=text_col, source=source_col)
     sized = staged(
         rows.select(
             "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("digest"),
+            F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))))).alias("digest"),
             F.xxhash64("text").alias("row_key"),
         ).withColumn("bucket", F.conv(F.substring("digest", 1, 3), 16, 10).cast("int")),
         "mix-sized",
@@ -82,13 +84,18 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, budget_share: fl
         .withColumn("ahead", F.coalesce(F.sum("n").over(in_source), F.lit(0)))
         .select(F.col("source").alias("s"), F.col("bucket").alias("b"), "ahead")
     )
-    running = W.partitionBy("source", "bucket").orderBy("digest", "size").rowsBetween(W.unboundedPreceding, 0)
-    queued = staged(
-        sized.withColumn("here", F.sum("size").over(running))
+    row = ["doc_id", "source", "digest", "row_key", "size"]
+    folded = sized.groupBy(*row, "bucket").agg(F.count(F.lit(1)).alias("times"))
+    running = W.partitionBy("source", "bucket").orderBy("digest", "size", "row_key").rowsBetween(W.unboundedPreceding, 0)
+    ended = (
+        folded.withColumn("here", F.sum(F.col("size") * F.col("times")).over(running))
         .join(ahead, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-        .select("doc_id", "source", "digest", "row_key", "size", (F.col("ahead") + F.col("here")).alias("cum")),
-        "mix-queued",
+        .select(*row, "times", (F.col("ahead") + F.col("here")).alias("last"))
     )
+    parts = ended.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / FOLD))))
+    spread = parts.where(F.col("times") <= FOLD).unionByName(parts.where(F.col("times") > FOLD).repartition("digest", "part"))
+    nth = F.sequence(F.col("part") * FOLD + 1, F.least((F.col("part") + 1) * FOLD, F.col("times")))
+    queued = staged(spread.withColumn("nth", F.explode(nth)).select(*row, (F.col("last") - (F.col("times") - F.col("nth")) * F.col("size")).alias("cum")), "mix-queued")
 
     of_source = plan.withColumnRenamed("source", "s")
     services = (
@@ -136,7 +143,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, md5('0:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS digest,
+  SELECT doc_id, source, md5('0:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))) AS digest,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents),
 src AS (
