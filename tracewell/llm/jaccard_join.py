@@ -117,7 +117,8 @@ def frequent(texts: DataFrame) -> np.ndarray:
         if total > FREQUENT:
             break
         least = b
-    return np.sort(np.array([r["token"] for r in counts.where(F.col("n") >= F.lit(2.0**least)).select("token").collect()], np.int64))
+    found = counts.where(F.col("n") >= F.lit(2.0**least)).select("token").toArrow()  # no Python object for each
+    return np.sort(found.column("token").to_numpy().astype(np.int64))
 
 
 def prefix_size(n: int) -> int:
