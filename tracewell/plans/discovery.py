@@ -1,10 +1,11 @@
-"""Registered queries of betweenness, mentions, header clusters, keyphrases and outliers, with the SQL that they must agree with."""
+"""Registered queries of betweenness, mentions, header clusters, keyphrases, density clusters and outliers, with the SQL that they must agree with."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..operators import betweenness as B
+from ..operators import density as D
 from ..operators import headers as H
 from ..operators import keyphrases as K
 from ..operators import mentions as M
@@ -57,6 +58,7 @@ QUERIES = {
         SELECT *, row_number() OVER (ORDER BY n DESC, cluster) AS rank FROM g""",
     ),
     "tx_keyphrases": (lambda s, d: K.keyphrases(table(s, d, "documents").select("doc_id", "text")), None),  # greedy choice: tested against brute force
+    "ml_density_clusters": (lambda s, d: D.density_clusters(table(s, d, "embeddings"), ("label",)), None),  # merges one by one: tested against a sequential version
     "ml_outliers": (
         lambda s, d: R.outliers(table(s, d, "embeddings")),
         """WITH m AS (SELECT a.vec_id, round(avg(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 9) AS mean FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id GROUP BY a.vec_id), p AS (SELECT vec_id, mean, round(100.0::DOUBLE * (count(*) OVER () - count(*) OVER (ORDER BY mean)) / count(*) OVER (), 1) AS percentile FROM m)
