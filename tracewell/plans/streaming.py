@@ -10,6 +10,7 @@ from ..session import shared_dir
 from ..sources.versions import Versions
 from ..sources.views import table
 from ..streaming import events as S
+from ..streaming import ordered as O
 from .given import given
 
 
@@ -46,6 +47,12 @@ QUERIES = {
         r AS (SELECT user_id, event_id, n, t, 3.0::DOUBLE AS tokens FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.event_id, e.n, e.t, least(3.0::DOUBLE, r.tokens - CASE WHEN r.tokens >= 1 THEN 1 ELSE 0 END + greatest(0.0::DOUBLE, e.t - r.t) * (1.0::DOUBLE / 3600)) FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
         SELECT event_id, user_id, tokens >= 1 AS admitted FROM r""",
     ),
+    "st_rate_limit_in_order": (
+        lambda s, d: S.run(lambda e: O.in_order(e, 3.0, 1 / 3600, "2 days"), s, d, store=O.ROCKS),
+        """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE ts <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY),
+        r AS (SELECT user_id, event_id, n, t, 3.0::DOUBLE AS tokens FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.event_id, e.n, e.t, least(3.0::DOUBLE, r.tokens - CASE WHEN r.tokens >= 1 THEN 1 ELSE 0 END + greatest(0.0::DOUBLE, e.t - r.t) * (1.0::DOUBLE / 3600)) FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+        SELECT event_id, user_id, tokens >= 1 AS admitted FROM r""",
+    ),
     "st_versioned_upsert": (
         versioned,
         """SELECT o_custkey AS paper, o_orderkey AS chunk, CASE WHEN o_orderkey % 10 = 3 THEN -1.0::DOUBLE ELSE o_totalprice END AS price FROM orders WHERE o_custkey % 7 <> 0 AND o_custkey % 11 <> 0 UNION ALL SELECT c_custkey, -1, c_acctbal FROM customer WHERE c_custkey % 13 = 0 AND c_custkey % 7 <> 0 AND c_custkey % 11 <> 0""",

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 from ..session import shared_dir
 
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table as a stream of its files; event times as timestamps."""
     batch = spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,8 +27,26 @@ def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """All rows that the stream yields from what is there now, exactly once, as a table."""
+@contextmanager
+def stored_by(spark: SparkSession, provider: str | None) -> Iterator[None]:
+    """Streams that start inside keep their state in a store of this class, where one is named."""
+    before = spark.conf.get(STORE, None)
+    if provider:
+        spark.conf.set(STORE, provider)
+    try:
+        yield
+    finally:
+        if provider:
+            spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)
+
+
+def drained(stream: DataFrame, mode: str = "append", store: str | None = None) -> DataFrame:
+    """All rows that the stream yields from what is there now, exactly once, as a table; its state in a store of class ``store``."""
+    with stored_by(stream.sparkSession, store):
+        return _drained(stream, mode)
+
+
+def _drained(stream: DataFrame, mode: str) -> DataFrame:
     spark = stream.sparkSession
     where = f"{shared_dir(spark)}/tracewell-stream/{uuid.uuid4().hex}"
     if mode == "append":
@@ -59,7 +81,7 @@ def distinct_events(events: DataFrame, keys: list[str], late: str) -> DataFrame:
 def rate_limited(events: DataFrame, capacity: float = 20.0, per_second: float = 20 / 60) -> DataFrame:
     """Token bucket per user: each event takes a token if there is one; buckets refill steadily.
 
-    State is two numbers per user. Works on streams; event times must not run backwards between batches.
+    State is two numbers per user. Works on streams; event times must not run backwards between batches (``ordered.in_order`` takes those that do).
     """
 
     def admit(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -89,5 +111,5 @@ def changed_only(stored: DataFrame, found: DataFrame, key: str, stamps: list[str
     return found.join(stored.select(key, *stamps), [key, *stamps], "left_anti")
 
 
-def run(query: Callable[[DataFrame], DataFrame], spark: SparkSession, sf_dir: str, mode: str = "append") -> DataFrame:
-    return drained(query(source(spark, sf_dir, "events")), mode)
+def run(query: Callable[[DataFrame], DataFrame], spark: SparkSession, sf_dir: str, mode: str = "append", store: str | None = None) -> DataFrame:
+    return drained(query(source(spark, sf_dir, "events")), mode, store)
