@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import browse, discovery, evidence, graph, kg, prose, records, relational, reports, resolution, rules, streaming, text
+from . import browse, bundle, discovery, evidence, graph, kg, prose, records, relational, reports, resolution, rules, streaming, text
 
 
 def registered() -> dict:
     found: dict = {}
-    for module in (evidence, records, kg, reports, prose, browse, relational, text, resolution, graph, discovery, rules, streaming):
+    for module in (evidence, records, kg, reports, prose, browse, relational, text, resolution, graph, bundle, discovery, rules, streaming):
         found |= module.QUERIES
     return found
