@@ -10,6 +10,7 @@ from ..operators import headers as H
 from ..operators import keyphrases as K
 from ..operators import mentions as M
 from ..operators import retrieval as R
+from ..operators import terms as T
 from ..sources.views import table
 from .given import given, named
 
@@ -36,6 +37,16 @@ _TOLD = "list_distinct(list_filter(regexp_extract_all(lower(raw), '[a-z0-9]+'),
 _CLUSTERS = f"""h AS ({named(HEADERS).replace(' AS STRING', ' AS VARCHAR')}), w AS (SELECT place, unnest({_TOLD}) AS word FROM h), near AS (SELECT DISTINCT a.place AS i, b.place AS j FROM w a JOIN w b ON a.word = b.word AND b.place < a.place),
 reach AS (SELECT i, j FROM near UNION SELECT r.i, n.j FROM reach r JOIN near n ON n.i = r.j), clusters AS (SELECT place, raw, n, coalesce((SELECT min(j) FROM reach WHERE i = place), place) AS cluster FROM h)"""
 
+_COMMON = ("the", "of", "and", "to", "in", "is", "for", "der", "die", "und", "de", "la", "le", "les", "el", "en")
+
+
+def _weights(texts, features, common=(), least=1, most=1.0):
+    kept = f"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\pL\\pN_]{{2,}}'), lambda w: w NOT IN ('', {', '.join(repr(c) for c in common) or repr('')}))"
+    return f"""d AS (SELECT row_number() OVER () AS r, id, {kept} AS w FROM ({texts})), t AS (SELECT r, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM d), n AS (SELECT count(*) AS n FROM d),
+v AS (SELECT term, count(DISTINCT r) AS df, count(*) AS places FROM t GROUP BY term HAVING df >= {least} AND df <= {most}::DOUBLE * (SELECT n FROM n) ORDER BY places DESC, term LIMIT {features}),
+f AS (SELECT id, term, df, count(*) AS tf FROM t JOIN v USING (term) GROUP BY ALL), w AS (SELECT id, term, tf * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS w FROM f, n), x AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM w)"""
+
+
 QUERIES = {
     "gr_betweenness": (lambda s, d: B.betweenness(given(s, d, ROADS), batch=512).withColumn("betweenness", F.round("betweenness", 8)), _BETWEEN),
     "jn_mention_contexts": (
@@ -58,6 +69,14 @@ QUERIES = {
         SELECT *, row_number() OVER (ORDER BY n DESC, cluster) AS rank FROM g""",
     ),
     "tx_keyphrases": (lambda s, d: K.keyphrases(table(s, d, "documents").select("doc_id", "text")), None),  # greedy choice: tested against brute force
+    "ml_term_weights": (
+        lambda s, d: T.term_weights(given(s, d, "SELECT p_partkey AS id, concat(p_name, ', ', p_type, '-', p_brand) AS text FROM {part}"), "id", "text").withColumn("weight", F.round("weight", 6)),
+        f"WITH {_weights("SELECT p_partkey AS id, concat(p_name, ', ', p_type, '-', p_brand) AS text FROM part", 50)} SELECT id, term, round(weight, 6) AS weight FROM x",
+    ),
+    "tx_top_terms": (
+        lambda s, d: T.top_terms(T.term_weights(table(s, d, "documents"), "doc_id", "text", 500, _COMMON, 2, 0.8), "doc_id"),
+        f"WITH {_weights('SELECT doc_id AS id, text FROM documents', 500, _COMMON, 2, 0.8)} SELECT id AS doc_id, row_number() OVER (PARTITION BY id ORDER BY round(weight, 9) DESC, term) AS rank, term, round(round(weight, 9), 4) AS weight FROM x QUALIFY rank <= 15",
+    ),
     "ml_density_clusters": (lambda s, d: D.density_clusters(table(s, d, "embeddings"), ("label",)), None),  # merges one by one: tested against a sequential version
     "ml_outliers": (
         lambda s, d: R.outliers(table(s, d, "embeddings")),
