@@ -70,6 +70,19 @@ def test_cell_values(spark):
     assert got == {"85 . 3 ± 2 . 1": (85.3, 2.1, None), "7ms 30ms 66ms": (None, None, None), "93%": (93.0, None, "%"), "—": (None, None, None), "(12)": (12.0, None, None), "-4": (-4.0, None, None), "0.93": (0.93, None, None)}
 
 
+def test_records_move_the_cells_of_a_table_once(spark):
+    lines = [(0, ["#", "Method", "Success Rate (%)", "time"]), (1, ["1", "Ours [3]", "93", "7ms"]), (2, ["2", "average", "1", "2"]), (3, ["3", "Base", "-", "4 ± 1"]), (3, ["3", "Base", "5", ""])]
+    rows = spark.createDataFrame([(1, row, cells) for row, cells in lines], "table_id long, row int, cells array<string>")
+    cells = spark.createDataFrame([(1, row, col, text) for row, texts in lines for col, text in enumerate(texts)], "table_id long, row int, col int, text string")
+    tables = spark.createDataFrame([(1, "p", "Table 2")], "table_id long, paper string, caption string")
+    metrics = [{"id": "sr", "aliases": ["Success Rate"], "unit": "%"}, {"id": "latency", "aliases": ["time"], "unit": "s"}]
+    for found in (records.records_from_cells(cells, tables, metrics, []), records.records_from_rows(rows, tables, metrics, [])):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") <= 2  # the cells and the tables
+        got = sorted((r["row"], r["col"], r["mention"], r["metric"], r["value"], r["deviation"]) for r in found.collect())
+        assert got == [(1, 2, "Ours", "sr", 93.0, None), (1, 3, "Ours", "latency", 7.0, None)] + [(3, 2, "Base", "sr", 5.0, None)] * 2 + [(3, 3, "Base", "latency", 4.0, 1.0)] * 2
+
+
 def test_method_names(spark):
     good, bad = ["S4G", "π 0 (fine-tuned)", "6-DoF GraspNet"], ["+ CollisionNet", "w/o refinement", "( 0 , 0 , 10 )", "10 K", "10N", "5 ms", "x"]
     assert all(one(spark, L.valid_method_name(F.col("n")), n=n) for n in good) and not any(one(spark, L.valid_method_name(F.col("n")), n=n) for n in bad)

@@ -80,8 +80,8 @@ def valid_method_name(name: Column) -> Column:
     return (F.length(F.trim(name)) >= 2) & ~name.rlike(ABLATION_PATTERN) & (letters != "") & ~F.lower(letters).isin(*UNIT_TOKENS)
 
 
-def cell_value(cell: Column) -> tuple[Column, Column, Column]:
-    """(value, deviation, unit) of a table cell; a cell of several numbers before its bracket or deviation has no value."""
+def parsed_cell(cell: Column) -> Column:
+    """Value, deviation and unit of a table cell in one struct; a cell of several numbers before its bracket or deviation has no value."""
     number = F.lit(r"(-?\d+\.?\d*)")
     text = F.trim(F.coalesce(cell, F.lit("")))
 
@@ -92,7 +92,18 @@ def cell_value(cell: Column) -> tuple[Column, Column, Column]:
         value = F.when(~none, first.try_cast("double"))
         return F.struct(value.alias("value"), F.regexp_extract(fixed, r"±\s*(\d+\.?\d*)", 1).try_cast("double").alias("deviation"), F.when(~none & fixed.contains("%"), F.lit("%")).alias("unit"))
 
-    found = bound(F.regexp_replace(text, r"(\d)\s*\.\s*(\d)", "$1.$2"), parts)
+    def told(said: Column) -> Column:  # most cells are a bare number or have none
+        plain = F.struct(said.try_cast("double").alias("value"), F.lit(None).cast("double").alias("deviation"), F.lit(None).cast("string").alias("unit"))
+        none = F.struct(F.lit(None).cast("double").alias("value"), F.lit(None).cast("double").alias("deviation"), F.when(said.contains("%"), F.lit("%")).alias("unit"))
+        whole = bound(F.regexp_replace(said, r"(\d)\s*\.\s*(\d)", "$1.$2"), parts)
+        return F.when(said.rlike(r"^-?\d+(\.\d+)?$"), plain).when(~said.rlike("[0-9]"), none).otherwise(whole)
+
+    return bound(text, told)
+
+
+def cell_value(cell: Column) -> tuple[Column, Column, Column]:
+    """(value, deviation, unit) of a table cell."""
+    found = parsed_cell(cell)
     return found["value"], F.when(found["value"].isNotNull(), found["deviation"]), found["unit"]
 
 

@@ -127,45 +127,64 @@ def records_from_cells(cells: DataFrame, tables: DataFrame, metrics: list[dict],
 
     ``cells`` has table_id, row, col, text; ``tables`` table_id, paper, caption. Leading header rows collapse into one
     label per column; the method column is the first that is no row number; columns of one metric and condition are
-    kept apart by their last label; rows of totals are left out; what a column does not say the caption may.
+    kept apart by their last label; rows of totals are left out; what a column does not say the caption may. Cells move once, to their table.
     """
-    value, deviation, unit = L.cell_value(F.col("text"))
-    cells = staged(cells.withColumns({"value": value, "deviation": deviation, "cell_unit": unit}))  # headers, names and numbers are read from it
-    rows = cells.groupBy("table_id", "row").agg(F.max(F.when(F.col("col") == 0, F.col("text"))).alias("first"), F.count(F.when(F.col("col") > 0, F.col("value"))).alias("numbers"))
-    sizes = rows.groupBy("table_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(~L.header_row(F.col("first"), F.col("numbers")), F.col("row"))).alias("lead")).where("n >= 2")
-    sizes = sizes.select("table_id", F.least(F.col("n") - 1, F.greatest(F.lit(1), F.coalesce("lead", "n"))).alias("headers"))
-    told = cells.join(sizes, "table_id")
-    trimmed = F.trim(F.coalesce("text", F.lit("")))
-    heads = told.where(F.col("row") < F.col("headers")).where(trimmed != "").groupBy("table_id", "col").agg(F.array_sort(F.collect_list(F.struct("row", trimmed.alias("text")))).alias("h"))
-    heads = heads.select("table_id", "col", F.array_distinct(F.transform("h", lambda x: x["text"])).alias("labels"))  # a label per header row
-    shown = told.select("table_id", "col").distinct().join(heads, ["table_id", "col"], "left").withColumn("labels", F.coalesce("labels", F.array().cast("array<string>")))
-    shown = shown.withColumn("is_index", F.regexp_replace(F.lower(F.trim(F.array_join("labels", " | "))), r"\.+$", "").isin(*L.INDEX_TOKENS))
-    method_col = shown.groupBy("table_id").agg(F.coalesce(F.min(F.when(~F.col("is_index"), F.col("col"))), F.lit(0)).alias("method_col"))
-    leaf = F.element_at("labels", -1)
-    labels = shown.join(method_col, "table_id").where((F.col("col") != F.col("method_col")) & ~F.col("is_index")).select("table_id", "col", "labels", F.posexplode("labels").alias("i", "label"))
-    labels = labels.withColumns({"metric": L.metric_of(F.col("label"), metrics), "condition": L.condition_of(F.col("label"), conditions)})
-    columns = (
-        labels.groupBy("table_id", "col")
-        .agg(F.any_value("labels").alias("labels"), F.min(F.when(F.col("metric").isNotNull(), F.struct("i", "metric", "label"))).alias("m"), F.min(F.when(F.col("condition").isNotNull(), F.struct("i", "condition"))).alias("c"))
-        .select("table_id", "col", "labels", "m.metric", F.col("m.label").alias("named"), F.col("c.condition").alias("own_condition"))
-        .withColumn("alike", F.count(F.lit(1)).over(W.partitionBy("table_id", "metric", "own_condition")))
+    moved = cells.where("table_id IS NOT NULL").repartition("table_id")  # rows are then put together where they lie
+    return _records(moved.groupBy("table_id", "row").agg(F.collect_list(F.struct("col", "text")).alias("cells")), tables, metrics, conditions)
+
+
+def records_from_rows(rows: DataFrame, tables: DataFrame, metrics: list[dict], conditions: list[dict]) -> DataFrame:
+    """:func:`records_from_cells` of ``rows`` with table_id, row and the texts of the row's columns as an array ``cells``; rows of one number are one row."""
+    moved = rows.where("table_id IS NOT NULL").select("table_id", "row", "cells").repartition("table_id")
+    placed = moved.withColumn("cells", F.transform("cells", lambda text, col: F.struct(col.alias("col"), text.alias("text"))))
+    return _records(placed.groupBy("table_id", "row").agg(F.flatten(F.collect_list("cells")).alias("cells")), tables, metrics, conditions)
+
+
+def _records(rows: DataFrame, tables: DataFrame, metrics: list[dict], conditions: list[dict]) -> DataFrame:
+    """Records of ``rows`` (table_id, row, cells of col and text) that lie with their table's others already: sorted once, and moved no more."""
+    table = W.partitionBy("table_id")
+
+    def blank(text: Column) -> Column:
+        return F.trim(F.coalesce(text, F.lit(""))) == ""
+
+    told = rows.select("table_id", "row", F.transform("cells", lambda c: F.struct(c["col"].alias("col"), c["text"].alias("text"), L.parsed_cell(c["text"]).alias("cell"))).alias("cells"))
+    first = F.array_max(F.transform(F.filter("cells", lambda c: c["col"] == 0), lambda c: c["text"]))
+    numbers = F.size(F.filter("cells", lambda c: (c["col"] > 0) & c["cell"]["value"].isNotNull()))
+    told = told.withColumn("heads", L.header_row(first, numbers)).withColumns({"n": F.count(F.lit(1)).over(table), "lead": F.min(F.when(~F.col("heads"), F.col("row"))).over(table), "nth": F.row_number().over(table.orderBy("row"))}).where("n >= 2")
+    told = told.withColumn("headers", F.least(F.col("n") - 1, F.greatest(F.lit(1), F.coalesce("lead", "n")))).drop("heads", "n", "lead")
+    said = F.transform(F.filter("cells", lambda c: ~blank(c["text"])), lambda c: F.struct(c["col"].alias("col"), F.col("row").alias("row"), F.trim(c["text"]).alias("text")))
+    told = told.withColumn("said", F.collect_list(F.when(F.col("row") < F.col("headers"), said)).over(table))
+    # what columns say is worked out at a table's first row and then told to all; a column without a label is no measure and no method
+    told = told.withColumn("said", F.when(F.col("nth") == 1, F.array_sort(F.flatten("said"))))
+    told = told.withColumn("columns", F.transform(F.array_distinct("said.col"), lambda at: F.struct(at.alias("col"), F.array_distinct(F.transform(F.filter("said", lambda x: x["col"] == at), lambda x: x["text"])).alias("labels")))).drop("said")  # a label per header row
+    told = told.withColumn("columns", F.filter("columns", lambda c: ~F.regexp_replace(F.lower(F.trim(F.array_join(c["labels"], " | "))), r"\.+$", "").isin(*L.INDEX_TOKENS)))
+    told = told.withColumn("method_col", F.when(F.col("nth") == 1, F.coalesce(F.array_min("columns.col"), F.lit(0))))
+    told = told.withColumn("columns", F.transform(F.filter("columns", lambda c: c["col"] != F.col("method_col")), lambda c: F.struct(c["col"].alias("col"), c["labels"].alias("labels"), F.transform(c["labels"], lambda x: F.struct(x.alias("label"), L.metric_of(x, metrics).alias("metric"), L.condition_of(x, conditions).alias("condition"))).alias("said"))))
+
+    def measure(c: Column) -> Column:
+        naming, under = F.get(F.filter(c["said"], lambda x: x["metric"].isNotNull()), F.lit(0)), F.get(F.filter(c["said"], lambda x: x["condition"].isNotNull()), F.lit(0))
+        leaf = F.element_at(c["labels"], -1)
+        return F.struct(c["col"].alias("col"), naming["metric"].alias("metric"), F.array_join(c["labels"], " | ").alias("metric_raw"), F.coalesce(naming["label"], leaf).alias("unit_label"), under["condition"].alias("own_condition"), F.nullif(L.slug(leaf), F.lit("")).alias("last"))
+
+    told = told.withColumn("columns", F.transform("columns", measure))
+    told = told.withColumns({"columns": F.first("columns", True).over(table), "method_col": F.first("method_col", True).over(table)}).where(F.col("row") >= F.col("headers"))
+    told = told.withColumn("method_raw", F.explode(F.transform(F.filter("cells", lambda c: c["col"] == F.col("method_col")), lambda c: c["text"]))).where(F.trim("method_raw") != "")
+    told = told.withColumn("mention", F.trim(L.replaced(F.col("method_raw"), (r"\s*\[[\d,\s\-]+\]", ""), (r"[*†‡✓✗]+$", "")))).where(~F.lower("mention").isin(*L.SUMMARY_ROWS))
+    told = told.withColumns({"is_own": F.lower("mention").rlike(r"\bours?\b"), "is_ablation": F.lower("mention").rlike(r"^(no |w/o |without |w/ |with |\+ |- )")})
+    told = told.select("*", F.explode(F.filter("cells", lambda c: c["cell"]["value"].isNotNull())).alias("c")).drop("cells")
+    told = told.withColumn("at", F.get(F.filter("columns", lambda x: x["col"] == F.col("c.col")), F.lit(0))).where("at IS NOT NULL")
+    alike = F.size(F.filter("columns", lambda x: x["metric"].eqNullSafe(F.col("at.metric")) & x["own_condition"].eqNullSafe(F.col("at.own_condition"))))
+    apart = F.col("at.metric").isNotNull() & (alike > 1)
+    units = F.coalesce(*[F.when(F.col("at.metric") == m["id"], F.lit(m.get("unit"))) for m in metrics], F.lit(None).cast("string"))
+    higher = F.coalesce(*[F.when(F.col("at.metric") == m["id"], F.lit(m.get("higher_is_better"))) for m in metrics], F.lit(None).cast("boolean"))
+    found = told.select(
+        "table_id", "row", F.col("c.col").alias("col"), "method_raw", "mention", "at.metric_raw", "at.metric", F.when(apart, F.concat_ws(":", "at.own_condition", F.coalesce("at.last", F.lit("col")))).otherwise(F.col("at.own_condition")).alias("own_condition"),
+        "c.cell.value", F.trim("c.text").alias("value_str"), "c.cell.deviation", F.coalesce(F.when(F.col("at.metric").isNotNull(), L.unit_of(F.col("at.unit_label"), units)), F.col("c.cell.unit")).alias("unit"), higher.alias("higher_is_better"), "is_own", "is_ablation",
     )
-    apart = F.col("metric").isNotNull() & (F.col("alike") > 1)
-    last = F.nullif(L.slug(leaf), F.lit(""))
-    columns = columns.select(
-        "table_id", "col", "metric", F.array_join("labels", " | ").alias("metric_raw"), F.coalesce("named", leaf).alias("unit_label"),
-        F.when(apart, F.concat_ws(":", "own_condition", F.coalesce(last, F.lit("col")))).otherwise(F.col("own_condition")).alias("own_condition"),
-    )
-    named = told.where(F.col("row") >= F.col("headers")).join(method_col, "table_id").where(F.col("col") == F.col("method_col"))
-    name = F.trim(L.replaced(F.col("text"), (r"\s*\[[\d,\s\-]+\]", ""), (r"[*†‡✓✗]+$", "")))
-    named = named.select("table_id", "row", F.col("text").alias("method_raw"), name.alias("mention")).where((F.trim("method_raw") != "") & ~F.lower("mention").isin(*L.SUMMARY_ROWS))
-    units = F.coalesce(*[F.when(F.col("metric") == m["id"], F.lit(m.get("unit"))) for m in metrics], F.lit(None).cast("string"))
-    higher = F.coalesce(*[F.when(F.col("metric") == m["id"], F.lit(m.get("higher_is_better"))) for m in metrics], F.lit(None).cast("boolean"))
-    found = told.where((F.col("row") >= F.col("headers")) & F.col("value").isNotNull()).join(columns, ["table_id", "col"]).join(named, ["table_id", "row"]).join(tables, "table_id")
-    return found.select(
-        "paper", "table_id", "row", "col", "method_raw", "mention", "metric_raw", "metric", F.coalesce("own_condition", L.condition_of(F.col("caption"), conditions)).alias("condition"),
-        "value", F.trim("text").alias("value_str"), "deviation", F.coalesce(F.when(F.col("metric").isNotNull(), L.unit_of(F.col("unit_label"), units)), F.col("cell_unit")).alias("unit"), higher.alias("higher_is_better"),
-        F.lower("mention").rlike(r"\bours?\b").alias("is_own"), F.lower("mention").rlike(r"^(no |w/o |without |w/ |with |\+ |- )").alias("is_ablation"), "caption",
+    about = tables.select("table_id", "paper", "caption", L.condition_of(F.col("caption"), conditions).alias("about"))
+    return found.join(about, "table_id").select(
+        "paper", "table_id", "row", "col", "method_raw", "mention", "metric_raw", "metric", F.coalesce("own_condition", "about").alias("condition"),
+        "value", "value_str", "deviation", "unit", "higher_is_better", "is_own", "is_ablation", "caption",
     )
 
 
