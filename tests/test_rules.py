@@ -90,6 +90,21 @@ def test_chunks_keep_vertical_tabs_in_words_and_lose_wide_spaces_around_as_in_sq
     assert one(spark, F.length(P.bare(F.col("t"))), t=short) == len(short.strip("\u3000\xa0 ")) and one(spark, P.bare(F.col("t")), t="\t a\n\u3000") == "\t a\n"
 
 
+def test_published_records_move_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows = [("Base [1]", "Base", "p", 1, 1, 2, "sr", "Success", 1.0), ("Base [1]", "Base", "q", 2, 1, 2, "sr", "Success", 2.0), ("10 K", "10 K", "p", 1, 2, 2, "sr", "Success", 3.0), ("Our-Net", "ours", "p", 1, 3, 2, None, "time (ms)", 4.0), ("Base [1]", "Base", "p", 1, 1, 3, None, "?", 5.0)]
+        told = spark.createDataFrame(rows, "method_raw string, mention string, paper string, table_id long, row int, col int, metric string, metric_raw string, value double")
+        told = told.withColumns({"condition": F.lit(None).cast("string"), "deviation": F.lit(None).cast("double"), "unit": F.lit("%"), "higher_is_better": F.lit(True), "is_own": F.lit(False)}).repartition(3)
+        resolved = spark.createDataFrame([("Base", "BaseNet", "high"), ("other", "OurNet", "low"), ("ours", None, "low")], "mention string, method string, confidence string")
+        found = records.published(told, resolved)
+        lines = found._jdf.queryExecution().executedPlan().toString().splitlines()
+        assert sum("Exchange hashpartitioning" in a and "table_id" in b for a, b in zip(lines, lines[1:])) == 1
+        assert sorted((r["table_id"], r["row"], r["method"], r["comparable"], r["confidence"]) for r in found.collect()) == [(1, 1, "BaseNet", True, "high"), (1, 3, "OurNet", False, "low"), (2, 1, "BaseNet", True, "high")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_method_names(spark):
     good, bad = ["S4G", "π 0 (fine-tuned)", "6-DoF GraspNet"], ["+ CollisionNet", "w/o refinement", "( 0 , 0 , 10 )", "10 K", "10N", "5 ms", "x"]
     assert all(one(spark, L.valid_method_name(F.col("n")), n=n) for n in good) and not any(one(spark, L.valid_method_name(F.col("n")), n=n) for n in bad)

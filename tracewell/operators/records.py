@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from ..session import staged
+from .ranks import matched
 
 #: Characters that both sides of a containment are met by.
 SEED = 5
@@ -209,13 +209,16 @@ def published(records: DataFrame, resolved: DataFrame) -> DataFrame:
     def compact(c: Column) -> Column:
         return F.regexp_replace(F.lower(c), "[^a-z0-9+]+", "")
 
-    rows = records.join(resolved.select("mention", F.col("method").alias("resolved"), F.col("confidence").alias("match")), "mention", "left")
+    # a name is settled once, however many records have it, and records move once, without what nobody asks for
     own_name = L.method_name(F.col("method_raw"))
+    names = records.select("mention", "method_raw").distinct().join(resolved.select("mention", F.col("method").alias("resolved"), F.col("confidence").alias("match")), "mention", "left")
     known = resolved.where("method IS NOT NULL").groupBy(compact(F.col("method")).alias("form")).agg(F.min("method").alias("salvaged"))
-    rows = rows.withColumn("clean", own_name).withColumn("form", compact(F.col("clean"))).join(known, "form", "left")
-    rows = rows.withColumn("method", F.coalesce("resolved", "salvaged", "clean")).withColumn("label", L.metric_label(F.coalesce("metric", "metric_raw")))
-    valid = L.valid_method_name(F.col("method")) & L.valid_method_name(F.col("clean")) & L.valid_metric_label(F.col("label"), F.col("metric"))
-    return rows.where(valid).select(
-        "paper", "table_id", "row", "col", "method", "metric", "label", "condition", F.round("value", 4).alias("value"), "deviation", "unit", "higher_is_better", "is_own",
-        (F.col("metric").isNotNull() & F.coalesce("resolved", "salvaged").isNotNull()).alias("comparable"), F.coalesce("match", F.lit("low")).alias("confidence"),
+    names = names.withColumn("clean", own_name).withColumn("form", compact(F.col("clean"))).join(known, "form", "left").withColumn("found", F.coalesce("resolved", "salvaged"))
+    names = names.withColumn("method", F.coalesce("found", "clean")).where(L.valid_method_name(F.col("method")) & L.valid_method_name(F.col("clean")))
+    names = names.select("mention", "method_raw", "method", F.col("found").isNotNull().alias("known"), F.coalesce("match", F.lit("low")).alias("confidence"))
+    rows = records.withColumn("label", L.metric_label(F.coalesce("metric", "metric_raw"))).where(L.valid_metric_label(F.col("label"), F.col("metric")))
+    rows = rows.select("mention", "method_raw", "paper", "table_id", "row", "col", "metric", "label", "condition", F.round("value", 4).alias("value"), "deviation", "unit", "higher_is_better", "is_own")
+    return matched(rows, names, ["mention", "method_raw"]).select(
+        "paper", "table_id", "row", "col", "method", "metric", "label", "condition", "value", "deviation", "unit", "higher_is_better", "is_own",
+        (F.col("metric").isNotNull() & F.col("known")).alias("comparable"), "confidence",
     )
