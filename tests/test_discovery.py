@@ -127,6 +127,18 @@ def test_header_clusters_are_those_of_the_sequential_loop(spark):
     assert len(best) == 5 and [r["n"] for r in best] == sorted((r["n"] for r in best), reverse=True)
 
 
+def test_phrases_are_counted_where_their_documents_lie(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = keyphrases.keyphrases(spark.createDataFrame([(1, "red ring red"), (2, "blue ring"), (3, None)], "doc_id long, text string"), 2)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        assert not any("weights" in line for line in moved) and sum("doc_id" in line for line in moved) == 2  # its words and what they weigh
+        assert sorted({r["doc_id"] for r in found.collect()}) == [1, 2]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_keyphrases_are_those_of_a_full_search(spark):
     rng = random.Random(9)
     words = ["grasp", "planner", "network", "depth", "the", "of", "camera", "point", "cloud", "loss", "a", "x1"]

@@ -7,7 +7,8 @@ from collections.abc import Iterator
 from itertools import groupby, repeat
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import staged
@@ -18,6 +19,7 @@ STOP_WORDS = (
     "he", "her", "here", "his", "how", "if", "in", "into", "is", "it", "its", "just", "more", "most", "no", "nor", "not", "now", "of", "off", "on", "once", "only", "or", "other", "our", "out", "over", "own", "same", "she", "so", "some", "such", "than", "that", "the", "their", "them", "then",
     "there", "these", "they", "this", "those", "through", "to", "too", "under", "until", "up", "very", "was", "we", "were", "what", "when", "where", "which", "while", "who", "why", "will", "with", "you", "your",
 )
+TASK_WORDS = 250_000  # of the documents of one task
 PHRASE = "doc_id long, phrase string, relevance double, place int"
 
 
@@ -58,34 +60,35 @@ def picked(rows: Iterator[tuple[str, float, dict[str, float]]], k: int, diversit
     return [(x[0], x[1]) for x in out]
 
 
-def runs_of(starts: Column, length: int) -> Column:
-    return F.transform(starts, lambda at: F.slice("line", at, length))
-
-
 def candidates(texts: DataFrame, longest: int = 3) -> DataFrame:
     """(doc_id, phrase, relevance, weights): phrases of a text's words without stop words, and the inverse document frequencies of their words.
 
     Relevance is the number of times, damped by its logarithm, times the mean weight of the words, over the largest of the document. A
-    phrase whose words repeat is none.
+    phrase whose words repeat is none. All phrases of a document lie in one partition.
     """
     tokens = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-z0-9]{2,})"), 1)
     words = staged(texts.select("doc_id", F.filter(tokens, lambda w: ~w.isin(*STOP_WORDS)).alias("words")))
     known = words.select("doc_id", F.explode(F.array_distinct("words")).alias("word"))
     n = texts.agg(F.count(F.lit(1)).alias("docs"))  # one row
     idf = known.groupBy("word").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("word", F.round(F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1, 9).alias("idf"))
-    placed = words.select("doc_id", F.posexplode("words").alias("at", "word")).join(idf, "word")
+    # a document's words move once as a whole, its different words with their frequencies; all else is done where they lie
+    valued = known.join(idf, "word").groupBy("doc_id").agg(F.collect_list(F.struct("word", "idf")).alias("valued"))
+    at = F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"), F.lit(None).cast("double").alias("idf")))
+    worth = F.transform("valued", lambda v: F.struct(v["word"].alias("word"), F.lit(None).cast("int").alias("at"), v["idf"].alias("idf")))
+    total = words.agg(F.sum(F.size("words"))).first()[0] or 0  # phrases take many times their words' room, so tasks are dealt by words
+    tasks = max(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_WORDS))
+    rows = words.repartition(tasks, "doc_id").join(valued, "doc_id").select("doc_id", F.explode(F.concat(at, worth)).alias("x")).select("doc_id", "x.word", "x.at", "x.idf")
+    placed = rows.withColumn("idf", F.max("idf").over(W.partitionBy("doc_id", "word"))).where("at IS NOT NULL")
     lines = placed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "word", "idf"))).alias("line"))
-    told = staged(lines.select("doc_id", F.transform("line", lambda x: F.struct(x["word"].alias("word"), x["idf"].alias("idf"))).alias("line")))
-    every = None
-    for length in range(1, longest + 1):
-        starts = F.when(F.size("line") >= length, F.sequence(F.lit(1), F.size("line") - (length - 1))).otherwise(F.array().cast("array<int>"))
-        part = told.select("doc_id", F.explode(runs_of(starts, length)).alias("weights"))
-        every = part if every is None else every.unionByName(part)
+    told = lines.select("doc_id", F.transform("line", lambda x: F.struct(x["word"].alias("word"), x["idf"].alias("idf"))).alias("line"))
+    lengths = F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("line")))).alias("length")
+    starts = F.sequence(F.lit(1), F.size("line") - (F.col("length") - 1))
+    every = told.select("doc_id", "line", lengths).select("doc_id", F.explode(F.transform(starts, lambda at: F.slice("line", at, F.col("length")))).alias("weights"))
     counts = every.where(F.size(F.array_distinct("weights.word")) == F.size("weights")).groupBy("doc_id", "weights").agg(F.count(F.lit(1)).alias("times"))
     mean = F.aggregate("weights", F.lit(0.0), lambda s, w: s + w["idf"]) / F.size("weights")
-    raw = staged(counts.select("doc_id", F.array_join("weights.word", " ").alias("phrase"), (F.log1p(F.col("times")) * mean).alias("raw"), "weights"))
-    top = raw.groupBy("doc_id").agg(F.max("raw").alias("top"))
-    return raw.join(top, "doc_id").select("doc_id", "phrase", F.round(F.col("raw") / F.col("top"), 6).alias("relevance"), "weights")
+    raw = counts.select("doc_id", F.array_join("weights.word", " ").alias("phrase"), (F.log1p(F.col("times")) * mean).alias("raw"), "weights")
+    top = F.max("raw").over(W.partitionBy("doc_id"))
+    return raw.withColumn("top", top).select("doc_id", "phrase", F.round(F.col("raw") / F.col("top"), 6).alias("relevance"), "weights")
 
 
 def keyphrases(texts: DataFrame, k: int = 10, diversity: float = 0.5, longest: int = 3) -> DataFrame:
@@ -94,7 +97,7 @@ def keyphrases(texts: DataFrame, k: int = 10, diversity: float = 0.5, longest: i
     ``texts`` has doc_id (not null, unique) and text. Rows of a document are read in the order of relevance by one task, which stops
     looking where no phrase left can win. Texts without words have no phrases.
     """
-    rows = candidates(texts, longest).repartition("doc_id").sortWithinPartitions("doc_id", F.desc("relevance"), "phrase")
+    rows = candidates(texts, longest).sortWithinPartitions("doc_id", F.desc("relevance"), "phrase")
 
     def choose(batches):
         def stream():
