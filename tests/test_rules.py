@@ -53,6 +53,13 @@ def test_near_chunks_contained_in_better_ones_go(spark):
     assert sorted((r["doc_id"], r["seq"]) for r in kept.collect()) == [(1, 2), (1, 3), (1, 4), (2, 0)]
 
 
+def test_near_chunks_offer_only_what_others_begin_with(spark):
+    rows = spark.createDataFrame([(1, 0, "alpha beta gamma", 2.0, "mid"), (1, 1, "beta gamma", 1.0, "mid"), (2, 0, "beta", 1.0, "mid")], "doc_id int, seq int, text string, score double, layer string")
+    found = retrieval.suppress_near(rows)
+    assert "array_intersect" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["doc_id"], r["seq"]) for r in found.collect()) == [(1, 0), (2, 0)]
+
+
 def test_neighbours_skip_unusable_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, None), (4, [0.0, 0.0]), (5, [1.0, None]), (6, [float("nan"), 1.0]), (7, [1.0, 0.0, 0.0])]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
