@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..session import staged
 from .relational import met
 
 #: Relations that hold both ways.
@@ -261,16 +262,29 @@ STOP_WORDS = ("the", "a", "an", "is", "are", "of", "in", "to", "and", "for", "wi
 def claim_conflicts(claims: DataFrame, edges: DataFrame, least: int = 3) -> DataFrame:
     """(paper_a, paper_b, shared, limitation, claim): papers that share a technique where a limitation of one and a claim of the other have ``least`` words in common.
 
-    ``claims`` has claim_id, paper, kind, value. Both sides meet on a pair of papers and a word; the pair's best match stays.
+    ``claims`` has claim_id, paper, kind, value; the pair's best match stays. Only papers that claim something are paired. Equal sets of words are compared
+    once, however many claims and pairs have them, and meet on their rarer words: of ``least`` common words one is not among the ``least - 1`` most frequent ones of either set.
     """
-    both = met(edges.where("type = 'uses_technique'"), "dst", "src").select("a", "b").distinct()
+    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower("value"), r"\s+"), lambda w: (w != "") & ~w.isin(*STOP_WORDS))))
+    kept = claims.where(F.col("kind").isin("limitation", "contribution", "comparison")).select("paper", (F.col("kind") == "limitation").alias("limits"), words.alias("words"), "claim_id")
+    kept = kept.where(F.size("words") >= least).withColumn("words", F.array_join("words", " "))
+    told = staged(kept.groupBy("paper", "limits", "words").agg(F.min(F.struct("claim_id")).alias("m")).select("paper", "limits", "words", "m.claim_id"))
+    claiming = edges.where("type = 'uses_technique'").join(told.select(F.col("paper").alias("src")).distinct(), "src", "left_semi")
+    both = met(claiming, "dst", "src").select("a", "b").distinct()
     pairs = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    words = claims.select("claim_id", "paper", "kind", F.explode(F.array_distinct(F.filter(F.split(F.lower("value"), r"\s+"), lambda w: (w != "") & ~w.isin(*STOP_WORDS)))).alias("word"))
-    limits = words.where("kind = 'limitation'").select(F.col("claim_id").alias("limitation"), F.col("paper").alias("a"), "word")
-    said = words.where("kind IN ('contribution', 'comparison')").select(F.col("claim_id").alias("claim"), F.col("paper").alias("b"), "word")
-    found = limits.join(pairs, "a").join(said, ["b", "word"]).groupBy("a", "b", "limitation", "claim").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
-    best = found.groupBy("a", "b").agg(F.min(F.struct((-F.col("shared")).alias("n"), "limitation", "claim")).alias("m"))
-    return best.select(F.col("a").alias("paper_a"), F.col("b").alias("paper_b"), (-F.col("m.n")).alias("shared"), "m.limitation", "m.claim")
+
+    each = told.select("limits", "words").distinct().withColumn("word", F.explode(F.split("words", " ")))
+    often = each.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    rarest = each.join(often, "word").groupBy("limits", "words").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("met"))
+    seeds = rarest.select("limits", "words", F.explode(F.slice("met.word", F.lit(1), F.size("met") - (least - 1))).alias("word"))
+    alike = seeds.where("limits").select("word", F.col("words").alias("own")).join(seeds.where("NOT limits").select("word", F.col("words").alias("other")), "word").select("own", "other").distinct()
+    alike = alike.withColumn("n", F.size(F.array_intersect(F.split("own", " "), F.split("other", " ")))).where(F.col("n") >= least)
+
+    limits = told.where("limits").select(F.col("paper").alias("a"), F.col("words").alias("own"), F.col("claim_id").alias("limitation"))
+    said = told.where("NOT limits").select(F.col("paper").alias("b"), F.col("words").alias("other"), F.col("claim_id").alias("claim"))
+    near = limits.join(alike, "own").groupBy("a", "other").agg(F.min(F.struct((-F.col("n")).alias("n"), "limitation")).alias("m"))  # all that a paper's limitations say to a set
+    best = near.join(said, "other").join(pairs, ["a", "b"]).groupBy("a", "b").agg(F.min(F.struct("m.n", "m.limitation", "claim")).alias("m"))
+    return best.select(F.col("a").alias("paper_a"), F.col("b").alias("paper_b"), (-F.col("m.n")).cast("long").alias("shared"), "m.limitation", "m.claim")
 
 
 def explained_predictions(predicted: DataFrame, edges: DataFrame, kinds: tuple[str, ...], least: float = 0.55, shown: int = 12) -> DataFrame:
