@@ -106,3 +106,30 @@ def test_bundles_are_those_of_a_walk(spark):
         assert got[6] == ("", 0, 0)
         for q in want:
             assert got[q] == want[q], (q, words)
+
+
+def test_questions_share_the_edges_of_papers_with_very_many(spark, monkeypatch):
+    nodes = [(f"paper{i}", "paper", f"Paper {i % 9}", None, None, None, None) for i in range(300)] + [(f"x{i}", "limitation" if i % 2 else "hardware", f"thing {i % 40}", None, "high", False, None) for i in range(400)]
+    nodes += [(f"t{i}", "technique", f"way {i}", "sub", "high", False, None) for i in range(4)]
+    pairs = [(f"paper{i % 3}", f"x{i}", "has") for i in range(400)] + [(f"paper{i}", f"paper{i % 3}", "cites") for i in range(3, 300)] + [("paper0", "paper1", "cites"), ("paper1", "paper0", "cites")] + [(f"paper{i // 2}", f"t{i}", "uses") for i in range(4)] + [("paper2", "t1", "uses")]
+    edges = [(s, d, t, i, i % 7, "builds_on" if t == "cites" else None) for i, (s, d, t) in enumerate(pairs)]
+    intents = ["LIMITATION", "TECHNICAL", "PEOPLE", "COMPARISON"]
+    questions = [(i, f"way {i % 5} for a robot", intents[i % 4]) for i in range(60)]
+    ranked = [(q, f"paper{(q + k) % 3}", k) for q in range(60) for k in range(3)]
+    written, write = [], B.staged
+
+    def counting(rows):
+        out = write(rows)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(B, "staged", counting)
+    make = spark.createDataFrame
+    found = B.context_bundles(
+        make(questions, "query_id int, query string, intent string"), make(ranked, "query_id int, paper string, place int"),
+        make(nodes, "id string, type string, label string, subtype string, confidence string, is_methodology boolean, year string"),
+        make(edges, "src string, dst string, type string, seq long, mentions int, sentiment string"), make([], "paper string, type string, label string, confidence double, relevance double, seq long"), 500,
+    )
+    got = {r["query_id"]: (r["context"], r["n_words"], r["n_sections"]) for r in found.collect()}
+    assert got == walk(questions, ranked, nodes, edges, [], 500)
+    assert max(written) <= len(edges)  # not questions times edges
