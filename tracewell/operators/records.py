@@ -11,6 +11,8 @@ from .ranks import matched
 
 #: Characters that both sides of a containment are met by.
 SEED = 5
+#: Rows of tables that a task gets: with their records they are sorted in its memory, as they are many times the size of what is moved.
+ROWS = 50_000
 
 
 def first_of(df: DataFrame, key: str, order: str, *kept: str) -> DataFrame:
@@ -129,17 +131,22 @@ def records_from_cells(cells: DataFrame, tables: DataFrame, metrics: list[dict],
     label per column; the method column is the first that is no row number; columns of one metric and condition are
     kept apart by their last label; rows of totals are left out; what a column does not say the caption may. Cells move once, to their table.
     """
-    moved = cells.where("table_id IS NOT NULL").repartition("table_id")  # rows are then put together where they lie
+    moved = _moved(cells.where("table_id IS NOT NULL"), 6 * ROWS)  # rows are then put together where they lie
     return _records(moved.groupBy("table_id", "row").agg(F.collect_list(F.struct("col", "text")).alias("cells")), tables, metrics, conditions)
 
 
 def records_from_rows(rows: DataFrame, tables: DataFrame, metrics: list[dict], conditions: list[dict]) -> DataFrame:
     """:func:`records_from_cells` of ``rows`` with table_id, row and the texts of the row's columns as an array ``cells``; rows of one number are one row."""
-    moved = rows.where("table_id IS NOT NULL").select("table_id", "row", "cells").repartition("table_id")
+    moved = _moved(rows.where("table_id IS NOT NULL").select("table_id", "row", "cells"), ROWS)
     placed = moved.withColumn("cells", F.transform("cells", lambda text, col: F.struct(col.alias("col"), text.alias("text"))))
     return _records(placed.groupBy("table_id", "row").agg(F.flatten(F.collect_list("cells")).alias("cells")), tables, metrics, conditions)
 
 
+def _moved(rows: DataFrame, most: int) -> DataFrame:
+    """``rows`` dealt by table to as many tasks as give each about ``most`` of them: the default number would let tasks grow with the input until their sorts go to disk."""
+    return rows.repartition(max(1, -(-rows.count() // most)), "table_id")
+
+
 def _records(rows: DataFrame, tables: DataFrame, metrics: list[dict], conditions: list[dict]) -> DataFrame:
     """Records of ``rows`` (table_id, row, cells of col and text) that lie with their table's others already: sorted once, and moved no more."""
     table = W.partitionBy("table_id")
@@ -147,10 +154,11 @@ def _records(rows: DataFrame, tables: DataFrame, metrics: list[dict], conditions
     def blank(text: Column) -> Column:
         return F.trim(F.coalesce(text, F.lit(""))) == ""
 
-    told = rows.select("table_id", "row", F.transform("cells", lambda c: F.struct(c["col"].alias("col"), c["text"].alias("text"), L.parsed_cell(c["text"]).alias("cell"))).alias("cells"))
+    # cells are read after the sort, which moves their texts only
     first = F.array_max(F.transform(F.filter("cells", lambda c: c["col"] == 0), lambda c: c["text"]))
-    numbers = F.size(F.filter("cells", lambda c: (c["col"] > 0) & c["cell"]["value"].isNotNull()))
-    told = told.withColumn("heads", L.header_row(first, numbers)).withColumns({"n": F.count(F.lit(1)).over(table), "lead": F.min(F.when(~F.col("heads"), F.col("row"))).over(table), "nth": F.row_number().over(table.orderBy("row"))}).where("n >= 2")
+    numbers = F.size(F.filter("cells", lambda c: (c["col"] > 0) & L.parsed_cell(c["text"])["value"].isNotNull()))
+    told = rows.withColumn("heads", L.header_row(first, numbers)).withColumn("nth", F.row_number().over(table.orderBy("row")))
+    told = told.withColumns({"n": F.count(F.lit(1)).over(table), "lead": F.min(F.when(~F.col("heads"), F.col("row"))).over(table)}).where("n >= 2")
     told = told.withColumn("headers", F.least(F.col("n") - 1, F.greatest(F.lit(1), F.coalesce("lead", "n")))).drop("heads", "n", "lead")
     said = F.transform(F.filter("cells", lambda c: ~blank(c["text"])), lambda c: F.struct(c["col"].alias("col"), F.col("row").alias("row"), F.trim(c["text"]).alias("text")))
     told = told.withColumn("said", F.collect_list(F.when(F.col("row") < F.col("headers"), said)).over(table))
@@ -168,21 +176,23 @@ def _records(rows: DataFrame, tables: DataFrame, metrics: list[dict], conditions
 
     told = told.withColumn("columns", F.transform("columns", measure))
     told = told.withColumns({"columns": F.first("columns", True).over(table), "method_col": F.first("method_col", True).over(table)}).where(F.col("row") >= F.col("headers"))
+    about = tables.select("table_id", "paper", "caption", L.condition_of(F.col("caption"), conditions).alias("about"))
+    told = told.drop("headers", "nth").join(about, "table_id")  # while rows are still in the order of their tables
     told = told.withColumn("method_raw", F.explode(F.transform(F.filter("cells", lambda c: c["col"] == F.col("method_col")), lambda c: c["text"]))).where(F.trim("method_raw") != "")
     told = told.withColumn("mention", F.trim(L.replaced(F.col("method_raw"), (r"\s*\[[\d,\s\-]+\]", ""), (r"[*†‡✓✗]+$", "")))).where(~F.lower("mention").isin(*L.SUMMARY_ROWS))
     told = told.withColumns({"is_own": F.lower("mention").rlike(r"\bours?\b"), "is_ablation": F.lower("mention").rlike(r"^(no |w/o |without |w/ |with |\+ |- )")})
-    told = told.select("*", F.explode(F.filter("cells", lambda c: c["cell"]["value"].isNotNull())).alias("c")).drop("cells")
+    read = F.transform("cells", lambda c: F.struct(c["col"].alias("col"), c["text"].alias("text"), L.parsed_cell(c["text"]).alias("cell")))
+    told = told.select("*", F.explode_outer(F.filter(read, lambda c: c["cell"]["value"].isNotNull())).alias("c")).drop("cells").where("c IS NOT NULL")  # a plain explode would read all cells a second time, to see whether any is left
     told = told.withColumn("at", F.get(F.filter("columns", lambda x: x["col"] == F.col("c.col")), F.lit(0))).where("at IS NOT NULL")
     alike = F.size(F.filter("columns", lambda x: x["metric"].eqNullSafe(F.col("at.metric")) & x["own_condition"].eqNullSafe(F.col("at.own_condition"))))
     apart = F.col("at.metric").isNotNull() & (alike > 1)
     units = F.coalesce(*[F.when(F.col("at.metric") == m["id"], F.lit(m.get("unit"))) for m in metrics], F.lit(None).cast("string"))
     higher = F.coalesce(*[F.when(F.col("at.metric") == m["id"], F.lit(m.get("higher_is_better"))) for m in metrics], F.lit(None).cast("boolean"))
     found = told.select(
-        "table_id", "row", F.col("c.col").alias("col"), "method_raw", "mention", "at.metric_raw", "at.metric", F.when(apart, F.concat_ws(":", "at.own_condition", F.coalesce("at.last", F.lit("col")))).otherwise(F.col("at.own_condition")).alias("own_condition"),
+        "paper", "caption", "about", "table_id", "row", F.col("c.col").alias("col"), "method_raw", "mention", "at.metric_raw", "at.metric", F.when(apart, F.concat_ws(":", "at.own_condition", F.coalesce("at.last", F.lit("col")))).otherwise(F.col("at.own_condition")).alias("own_condition"),
         "c.cell.value", F.trim("c.text").alias("value_str"), "c.cell.deviation", F.coalesce(F.when(F.col("at.metric").isNotNull(), L.unit_of(F.col("at.unit_label"), units)), F.col("c.cell.unit")).alias("unit"), higher.alias("higher_is_better"), "is_own", "is_ablation",
     )
-    about = tables.select("table_id", "paper", "caption", L.condition_of(F.col("caption"), conditions).alias("about"))
-    return found.join(about, "table_id").select(
+    return found.select(
         "paper", "table_id", "row", "col", "method_raw", "mention", "metric_raw", "metric", F.coalesce("own_condition", "about").alias("condition"),
         "value", "value_str", "deviation", "unit", "higher_is_better", "is_own", "is_ablation", "caption",
     )
