@@ -32,3 +32,11 @@ def test_claim_conflicts_pair_only_papers_that_claim(spark, monkeypatch):
             best[a, b] = min(best.get((a, b), (0, 0, 0)), (-shared, i, j))
     assert {(r["paper_a"], r["paper_b"]): (-r["shared"], r["limitation"], r["claim"]) for r in found} == best
     assert len(best) > 10 and paired == [7]  # of 400 papers with techniques
+
+
+def test_papers_of_equal_titles_meet_methods_once(spark):
+    papers = [(f"p{i:04}", f"On Gripping {i % 3}" if i % 2 else "ring bolt") for i in range(2000)] + [("q", None), ("p", "Ring  Bolt!")]
+    found = K.method_papers(spark.createDataFrame([("ring bolt",), ("gripping 1",), ("fixed",), ("none",), ("gripping",)], "method string"), spark.createDataFrame(papers, "paper string, title string"), spark.createDataFrame([("fixed", "o")], "method string, paper string"))
+    rows = sorted(map(tuple, found.collect()))
+    assert rows == [("fixed", "o", "override"), ("gripping", "p0001", "words"), ("gripping 1", "p0001", "words"), ("none", None, None), ("ring bolt", "p", "slug")]
+    assert "keys=[title#" in found._jdf.queryExecution().optimizedPlan().toString() or "Aggregate [title#" in found._jdf.queryExecution().optimizedPlan().toString()

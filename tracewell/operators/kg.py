@@ -224,6 +224,7 @@ def method_papers(methods: DataFrame, papers: DataFrame, overrides: DataFrame) -
 
     ``papers`` has paper and title. Words meet by an equi-join; a null paper marks what nothing matches.
     """
+    papers = papers.where("title IS NOT NULL").groupBy("title").agg(F.min(F.struct("paper")).alias("m")).select("title", "m.paper")  # papers of equal titles match alike, so the first of them stands for all
     known = methods.select("method").distinct()
     fixed = known.join(overrides, "method").select("method", "paper", F.lit(1).alias("rank"), F.lit("override").alias("how"))
     slugs = known.withColumn("slug", L.slug(F.col("method"))).join(papers.select("paper", L.slug(F.col("title")).alias("slug")), "slug").select("method", "paper", F.lit(2).alias("rank"), F.lit("slug").alias("how"))
