@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..session import staged
-from .relational import met
+from .relational import met, shared_counts
 
 #: Relations that hold both ways.
 SYMMETRIC = ("similar_to", "co_authored", "shares_bibliography")
@@ -54,7 +54,7 @@ def problems_addressed(edges: DataFrame, nodes: DataFrame, shown: int = 5) -> Da
 
 def pairs_in(rows: DataFrame, key: str, item: str) -> DataFrame:
     """(a, b, weight) in both directions: items that share a key, by how many keys they share."""
-    pairs = met(rows, key, item).groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
+    pairs = shared_counts(rows, key, item, "weight")
     return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import staged
+
 #: Keys of an item, or items of a key, that one side of a join key holds at most.
 BLOCK = 512
 NULL_TOKENS = ("nan", "", "-", "n/a", "none")
@@ -95,9 +97,29 @@ def met(rows: DataFrame, item: str, key: str, block: int = BLOCK) -> DataFrame:
     return pairs.select(item, F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
 
 
+def shared_counts(rows: DataFrame, item: str, key: str, name: str, block: int = BLOCK) -> DataFrame:
+    """(a, b, name): pairs a < b of keys that share items, with how many.
+
+    What moves is not a row per pair and item: an item's keys are put into sorted lists of about ``block``, each key takes the rest of its
+    lists along to where its pairs are counted, and no count moves again. Items with several lists meet list against list.
+    """
+    one = rows.select(item, key).where(F.col(key).isNotNull()).distinct()
+    sizes = one.groupBy(item).agg(F.expr(f"(count(1) + {block - 1}) div {block}").cast("int").alias("blocks"))
+    dealt = one.join(sizes, item).withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int"))
+    lists = staged(dealt.groupBy(item, "blocks", "block").agg(F.array_sort(F.collect_list(key)).alias("vs")))
+    inside = lists.select("vs", F.posexplode("vs").alias("i", "u")).select("u", F.slice("vs", F.col("i") + 2, F.size("vs")).alias("vs"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    hubs = lists.where("blocks > 1")
+    asking = hubs.select(item, F.col("block").alias("x"), F.col("vs").alias("us"), other.alias("y")).where("x <> y")
+    across = asking.join(hubs.select(item, other.alias("x"), F.col("block").alias("y"), "vs").where("x <> y"), [item, "x", "y"])
+    across = across.select(F.explode("us").alias("u"), "vs").select("u", F.filter("vs", lambda v: v > F.col("u")).alias("vs"))
+    met_once = inside.unionByName(across).where(F.size("vs") > 0).repartition("u")
+    return met_once.select(F.col("u").alias("a"), F.explode("vs").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias(name))
+
+
 def cooccurrence(df: DataFrame, key: str, item: str, least: int) -> DataFrame:
     """Unordered pairs of items by how many keys have both."""
-    return met(df, key, item).groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") >= least)
+    return shared_counts(df, key, item, "weight").where(F.col("weight") >= least)
 
 
 def dense_timeline(df: DataFrame, year: Column, stance: str) -> DataFrame:
@@ -164,8 +186,9 @@ def shared_values(df: DataFrame, key: str, item: str, keys_a: str, least: float)
     """Pairs of keys with the Jaccard similarity of their item sets, where it exceeds ``least``."""
     sets = df.select(key, item).distinct()
     sizes = sets.groupBy(key).agg(F.count(F.lit(1)).alias("size"))
-    common = met(sets, item, key).groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
-    joined = common.join(sizes.select(F.col(key).alias("a"), F.col("size").alias("sa")), "a").join(sizes.select(F.col(key).alias("b"), F.col("size").alias("sb")), "b")
+    common = shared_counts(sets, item, key, "common").join(sizes.select(F.col(key).alias("a"), F.col("size").alias("sa")), "a")
+    within = common.where(F.round(F.col("common") / F.col("sa"), 6) > least)  # no pair is more alike than what it shares of one set
+    joined = within.join(sizes.select(F.col(key).alias("b"), F.col("size").alias("sb")), "b")
     scored = joined.select("a", "b", "common", F.round(F.col("common") / (F.col("sa") + F.col("sb") - F.col("common")), 6).alias("jaccard"))
     return scored.where(F.col("jaccard") > least)
 
