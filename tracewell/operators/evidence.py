@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from ..functions import labels, stats
 from ..session import staged
 from .browse import facets
-from .ranks import matched, medians
+from .ranks import any_above, matched, medians, quantiles
 
 #: What two numbers must share to be compared; a null dataset or condition equals a null one.
 CELL = ("metric", "dataset", "condition")
 #: The variation that each type of metric may have, others 0.15.
 THRESHOLDS = {"rate": 0.10, "time": 0.20, "count": 0.15}
+#: Records of one method in one cell that one task may order; more are spread.
+FEW = 4_000_000
 
 
 def complete(records: DataFrame) -> DataFrame:
@@ -46,13 +48,14 @@ def evidence_of(rows: DataFrame, key: tuple[str, ...], thresholds: dict[str, flo
 def leaderboard(records: DataFrame, least_entries: int = 2, thresholds: dict[str, float] | None = None) -> DataFrame:
     """One row per cell and method, ranked: the headline is the median over papers of each paper's median, ``best`` the best of these.
 
-    Medians are picked from counted values in order, so no task holds a group. The rank orders at most the methods of a cell.
+    Records are written once, as they are read several times. Medians are picked from counted values in order; entries of over ``FEW`` records are
+    spread over tasks for it, so no task holds a large group. The rank orders at most the methods of a cell.
     """
-    rows = complete(records).where(F.col("value").isNotNull())
     entry = (*CELL, "method")
-    per_paper = medians(rows, [*entry, "paper"], "value", "rep")
-    ends = per_paper.groupBy(*entry).agg(F.max("rep").alias("hi"), F.min("rep").alias("lo"))
-    heads = matched(ends, medians(per_paper, list(entry), "rep", "value"), entry)
+    rows = staged(complete(records).where(F.col("value").isNotNull()).select(*entry, "paper", "value", "kind", "verified", "confidence", "std", "caption", "higher_is_better"))
+    large = any_above(rows, list(entry), FEW)
+    per_paper = medians(rows, [*entry, "paper"], "value", "rep", large)
+    heads = quantiles(per_paper, list(entry), "rep", {"lo": 0.0, "value": 0.5, "hi": 1.0}, large)
     higher = rows.groupBy(*CELL).agg(F.coalesce(F.max("higher_is_better"), F.lit(True)).alias("higher_is_better"))
     graded = matched(matched(heads, evidence_of(rows, entry, THRESHOLDS if thresholds is None else thresholds), entry), higher, CELL).withColumn("value", F.round("value", 2))
     order = F.when(F.col("higher_is_better"), -F.col("value")).otherwise(F.col("value"))

@@ -54,7 +54,7 @@ def found_cells(s, d):
 
 def nearest(s, d, asked):
     """Conditions of two, one and no facets; those of the second flag also under the name that another paper uses."""
-    rows = results(s, d).withColumn("condition", F.expr("CASE condition WHEN 'a:f' THEN 'pile:gsr' WHEN 'n:f' THEN 'simulation' WHEN 'n:o' THEN 'gsr:pile' WHEN 'r:f' THEN NULL ELSE condition END"))
+    rows = staged(results(s, d)).withColumn("condition", F.expr("CASE condition WHEN 'a:f' THEN 'pile:gsr' WHEN 'n:f' THEN 'simulation' WHEN 'n:o' THEN 'gsr:pile' WHEN 'r:f' THEN NULL ELSE condition END"))
     boards = staged(E.leaderboard(rows))
     return E.nearest_cells(E.cells(boards, E.cross_validation(rows), E.pairwise_wins(rows)), boards, "PROMO", asked).withColumn("differs_by", F.array_join("differs_by", ","))
 
