@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .labels import bound
+
 def slug(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.regexp_replace(name, r"^[^A-Za-z0-9]+", "")), "[^a-z0-9]+", "-"), F.lit("-"))
 
@@ -37,12 +39,14 @@ def stem(word: Column) -> Column:
 
 def role(text: Column, patterns: dict[str, tuple[str, ...]], default: str) -> Column:
     """The role with the most matching patterns; the first of equals, the default if none match."""
-    counts = [sum((F.lower(text).rlike(p).cast("int") for p in ps), F.lit(0)) for ps in patterns.values()]
-    most = F.greatest(*counts) if len(counts) > 1 else counts[0]
-    out = F.lit(default)
-    for name, n in reversed(list(zip(patterns, counts, strict=True))):
-        out = F.when((n == most) & (n > 0), F.lit(name)).otherwise(out)
-    return out
+    def counted(low: Column) -> Column:
+        return F.array(*[sum((low.rlike(p).cast("int") for p in ps), F.lit(0)) for ps in patterns.values()])
+
+    def chosen(counts: Column) -> Column:
+        most = F.array_max(counts)
+        return F.when(most > 0, F.get(F.array(*map(F.lit, patterns)), F.array_position(counts, most).cast("int") - 1)).otherwise(F.lit(default))
+
+    return bound(bound(F.lower(text), counted), chosen)  # each pattern is tried once
 
 
 def snippet(text: Column, size: int) -> Column:
