@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.prose import sentiment
-from ..session import staged
+from ..session import dealt, staged
 
 #: Characters of aliases in one automaton, which takes some hundred bytes for each.
 CHARACTERS = 1_000_000
@@ -136,13 +136,14 @@ def named_in(queries: DataFrame, methods: DataFrame) -> DataFrame:
     """(query_id, method): the methods that a question names by their name, bracketed short form or name without brackets.
 
     An alias of one word and three characters or more must be a word of the question, one of five characters or more may also stand between blanks. Both
-    are equi-joins: on the question's words, and on its runs of blank-separated words as long as an alias.
+    are equi-joins: on the question's words, and on its runs of blank-separated words as long as an alias. Questions are dealt to tasks first, so that what
+    they name stays with them.
     """
     name = F.lower(F.trim(F.regexp_replace("method", r"^[^\p{L}\p{N}]+", "")))
     short = F.transform(F.regexp_extract_all(name, F.lit(r"\(([^)]+)\)"), 1), lambda a: F.trim(F.regexp_replace(a, "[()]", "")))
     forms = F.filter(F.array_distinct(F.concat(F.array(name), short, F.array(F.trim(F.regexp_replace(name, r"\s*\([^)]*\)\s*", " "))))), lambda a: a != "")
     known = staged(methods.select("method", F.explode(forms).alias("alias")).distinct())
-    asked = queries.select("query_id", F.lower(F.coalesce("query", F.lit(""))).alias("low"))
+    asked = dealt(queries.select("query_id", F.lower(F.coalesce("query", F.lit(""))).alias("low")), "query_id")
     words = asked.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit("([a-z0-9]+)"), 1))).alias("alias"))
     by_word = words.join(known.where(F.col("alias").rlike("^[a-z0-9]{3,}$")), "alias")
     longer = known.where(F.length("alias") >= 5).withColumn("n", F.size(F.split("alias", " ")))
