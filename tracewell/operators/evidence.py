@@ -126,13 +126,11 @@ def quarantine(records: DataFrame, known: list[str], top: int = 50) -> DataFrame
 
 
 def suspected_copies(records: DataFrame) -> DataFrame:
-    """Cells where several papers report one and the same value with one and the same deviation."""
-    measured = F.struct("value", "std")
-    return (
-        complete(records).where("value IS NOT NULL AND std IS NOT NULL").groupBy("method", *CELL)
-        .agg(F.countDistinct("paper").alias("n_papers"), F.countDistinct(measured).alias("n_values"), F.min("value").alias("value"))
-        .where("n_papers >= 2 AND n_values = 1").drop("n_values")
-    )
+    """Cells where several papers report one and the same value with one and the same deviation. Records move once, to their method and cell."""
+    key = ("method", *CELL)
+    rows = complete(records).where("value IS NOT NULL AND std IS NOT NULL").select(*key, "paper", "value", "std").repartition(*key)
+    one = (F.min("value") == F.max("value")) & (F.min("std") == F.max("std"))
+    return rows.groupBy(*key).agg(F.countDistinct("paper").alias("n_papers"), F.min("value").alias("value"), one.alias("one")).where("n_papers >= 2 AND one").drop("one")
 
 
 def cells(boards: DataFrame, validations: DataFrame, wins: DataFrame) -> DataFrame:
