@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import staged
+from ..session import dealt, staged
 
+#: Words, at most, that go to all tasks as the only ones whose pairs can be frequent enough.
+FREQUENT = 4096
 WORD = r"([\p{L}\p{N}_]{2,})"
 
 
@@ -17,34 +19,53 @@ def words_of(text: Column, stop_words: tuple[str, ...]) -> Column:
     return F.filter(words, lambda w: ~w.isin(*stop_words)) if stop_words else words
 
 
-def with_pairs(words: Column) -> Column:
-    """Words, and each two that follow each other."""
-    after = F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
-    two = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), after, lambda a, b: F.concat_ws(" ", a, b))
-    return F.concat(words, two)
+def pairs_of(words: Column, among: list[str] | None = None) -> Column:
+    """Each two words that follow each other; of those, both in ``among`` where it is given."""
+    marked = words if among is None else F.transform(words, lambda w: F.when(w.isin(*among), w))
+    return F.array_compact(F.zip_with(marked, F.slice(marked, 2, F.greatest(F.size(marked) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b)))
+
+
+def counted(rows: DataFrame, terms: Column) -> DataFrame:
+    """(term, tf, df): places and rows of each of the ``terms``, by partial sums; nothing is grouped by row."""
+    lists = rows.select(terms.alias("terms")).select(F.posexplode(F.array("terms", F.array_distinct("terms"))).alias("once", "terms"))
+    return lists.select("once", F.explode("terms").alias("term")).groupBy("term").agg(F.sum(1 - F.col("once")).alias("tf"), F.sum("once").alias("df"))
 
 
 def vocabulary(rows: DataFrame, features: int, least: int = 1, most: float = 1.0) -> DataFrame:
-    """(term, df): of the terms in ``least`` rows or more and in no more than a share ``most`` of ``rows`` (terms), the ``features`` with the most places, then first in order.
+    """(term, df, n): of the words and pairs in ``least`` rows or more and in no more than a share ``most`` of all n ``rows`` (words), the ``features`` with the most places, then first in order.
 
-    Places and rows are counted in one pass with partial sums, and nothing is grouped by row.
+    Words alone say how many places a term needs at least, and a pair has no more places than either of its words; so only pairs of words with so many
+    are counted, unless these are more than ``FREQUENT``: then all pairs are.
     """
-    both = F.concat(F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))), F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))))
-    sums = rows.select(F.explode(both).alias("t")).groupBy("t.term").agg(F.sum("t.tf").alias("tf"), F.sum("t.df").alias("df"))
-    n = rows.agg(F.count(F.lit(1)).alias("n"))  # one row
-    kept = sums.crossJoin(F.broadcast(n)).where((F.col("df") >= least) & (F.col("df") <= F.lit(most) * F.col("n")))
-    return kept.orderBy(F.desc("tf"), "term").limit(features).select("term", "df", "n")
+    n = rows.count()
+
+    def best(sums: DataFrame) -> DataFrame:
+        return sums.where((F.col("df") >= least) & (F.col("df") <= F.lit(float(most)) * n)).orderBy(F.desc("tf"), "term").limit(features)
+
+    single = staged(counted(rows, F.col("words")))
+    reached = best(single).agg(F.count(F.lit(1)).alias("n"), F.min("tf").alias("tf")).first()
+    needed = reached["tf"] if reached["n"] == features else 1
+    frequent = [r["term"] for r in single.where(F.col("tf") >= needed).select("term").limit(FREQUENT + 1).collect()]
+    both = single.unionByName(counted(rows, pairs_of(F.col("words"), frequent if len(frequent) <= FREQUENT else None))) if frequent else single
+    return best(both).select("term", "df", F.lit(n).alias("n"))
 
 
 def term_weights(rows: DataFrame, key: str, text: str, features: int = 50, stop_words: tuple[str, ...] = (), least: int = 1, most: float = 1.0) -> DataFrame:
     """(key, term, weight): smooth idf weights of a row's terms that are among the ``features``, rows of unit length.
 
     Rows without such terms, null texts among them, have no weights but count as rows; rows that repeat a key are one text
-    for their weights. The vocabulary, ``features`` rows at most, goes to all tasks, so only places of its terms are shuffled.
+    for their weights. Texts are dealt to tasks and read once, their words written. The vocabulary, ``features`` rows at most, goes to all tasks, so only
+    places of its terms are listed.
     """
-    split = rows.select(F.col(key).alias("key"), words_of(F.col(text), stop_words).alias("words")).select("key", with_pairs(F.col("words")).alias("terms"))
+    texts = dealt(rows.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", "text")
+    split = staged(texts.select("key", words_of(F.col("text"), stop_words).alias("words")))
     known = staged(vocabulary(split, features, least, most))
-    tf = split.select("key", F.explode("terms").alias("term")).join(F.broadcast(known), "term").groupBy("key", "term", "df", "n").agg(F.count(F.lit(1)).alias("tf"))
+    names = [r["term"] for r in known.select("term").collect()]
+    single, pairs = [t for t in names if " " not in t], [t for t in names if " " in t]
+    listed = F.filter("words", lambda w: w.isin(*single))
+    if pairs:
+        listed = F.concat(listed, F.filter(pairs_of(F.col("words"), sorted({w for p in pairs for w in p.split(" ")})), lambda p: p.isin(*pairs)))
+    tf = split.select("key", F.explode(listed).alias("term")).join(F.broadcast(known), "term").groupBy("key", "term", "df", "n").agg(F.count(F.lit(1)).alias("tf"))
     weighted = tf.withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     length = F.sqrt(F.sum(F.col("w") ** 2).over(W.partitionBy("key")))  # ``features`` rows at most
     return weighted.select(F.col("key").alias(key), "term", (F.col("w") / length).alias("weight"))
