@@ -97,6 +97,13 @@ def test_chunks_keep_vertical_tabs_in_words_and_lose_wide_spaces_around_as_in_sq
     assert one(spark, F.length(P.bare(F.col("t"))), t=short) == len(short.strip("\u3000\xa0 ")) and one(spark, P.bare(F.col("t")), t="\t a\n\u3000") == "\t a\n"
 
 
+def test_words_begin_after_letters_with_accents_as_in_sql(spark):
+    names = "IERQUE!! LERÉEUX!! ÉREOUPA!! ÉANELLEOU!! ÈAN!! ÉANVIIER,!! ÈOUEUX!! IERTION!! PATION!! {} Ann Bee * Carl Dee * MIT Lab"
+    assert one(spark, P.valid_chunk(F.col("t")), t=names.format("ÉAN")) and not one(spark, P.valid_chunk(F.col("t")), t=names.format("ÉXN"))  # "an " is a word of a sentence there
+    assert one(spark, P.valid_chunk(F.col("t")), t=names.format("İS")) and one(spark, P.sentiment(F.col("t")), t="éfollows") == "builds_on"
+    assert one(spark, X.role(F.col("t"), P.ROLES, "general"), t="là éwe propose") == "algorithm_description" and one(spark, P.topics(F.col("t"), ("grasp",)), t="graspé") == ["grasp"]
+
+
 def test_published_records_move_once(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:

@@ -46,6 +46,11 @@ def bound(c: Column, use) -> Column:
     return F.get(F.transform(F.array(c), use), F.lit(0))
 
 
+def ascii_words(pattern: str) -> str:
+    r"""``pattern`` with its \b between ASCII words only, as SQL has it: Spark's counts all letters, so that after one with an accent no word would begin."""
+    return pattern.replace(r"\b", r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))")
+
+
 def registry_key(name: Column) -> Column:
     """Lower case without citation marks, counts, markers and 'baseline(s)'; brackets, percent signs and separators as one space."""
     steps = ((r"\[[\d,\s\-]+\]", " "), (r"\(\s*n\s*=\s*\d+\s*\)", " "), (r"[*†‡✓✗()%]", " "), (r"[-_/]", " "), (r"\bbaselines?\b", " "), (r"\s+", " "))

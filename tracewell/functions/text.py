@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .labels import bound
+from .labels import ascii_words, bound
 
 def slug(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.regexp_replace(name, r"^[^A-Za-z0-9]+", "")), "[^a-z0-9]+", "-"), F.lit("-"))
@@ -40,7 +40,7 @@ def stem(word: Column) -> Column:
 def role(text: Column, patterns: dict[str, tuple[str, ...]], default: str) -> Column:
     """The role with the most matching patterns; the first of equals, the default if none match."""
     def counted(low: Column) -> Column:
-        return F.array(*[sum((low.rlike(p).cast("int") for p in ps), F.lit(0)) for ps in patterns.values()])
+        return F.array(*[sum((low.rlike(ascii_words(p)).cast("int") for p in ps), F.lit(0)) for ps in patterns.values()])
 
     def chosen(counts: Column) -> Column:
         most = F.array_max(counts)
