@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What the cells of result tables are told apart by.
@@ -95,7 +95,7 @@ def parsed_cell(cell: Column) -> Column:
         leading = F.regexp_extract_all(F.split(fixed, r"[(±]", 2)[0], number, 1)
         first = bound(leading, lambda n: F.when(F.size(n) == 1, n[0]).when(F.size(n) == 0, F.get(F.regexp_extract_all(fixed, number, 1), F.lit(0))))
         value = F.when(~none, first.try_cast("double"))
-        return F.struct(value.alias("value"), F.regexp_extract(fixed, r"±\s*(\d+\.?\d*)", 1).try_cast("double").alias("deviation"), F.when(~none & fixed.contains("%"), F.lit("%")).alias("unit"))
+        return F.struct(value.alias("value"), F.nullif(F.regexp_extract(fixed, r"±\s*(\d+\.?\d*)", 1), F.lit("")).try_cast("double").alias("deviation"), F.when(~none & fixed.contains("%"), F.lit("%")).alias("unit"))
 
     def told(said: Column) -> Column:  # most cells are a bare number or have none
         plain = F.struct(said.try_cast("double").alias("value"), F.lit(None).cast("double").alias("deviation"), F.lit(None).cast("string").alias("unit"))
@@ -112,6 +112,22 @@ def cell_value(cell: Column) -> tuple[Column, Column, Column]:
     return found["value"], F.when(found["value"].isNotNull(), found["deviation"]), found["unit"]
 
 
+def with_parsed(rows: DataFrame, text: str) -> DataFrame:
+    """Rows with the struct of :func:`parsed_cell` of the column ``text``, those without a value left out; for many cells, as steps between columns are compiled and lambdas are not."""
+    number = F.lit(r"(-?\d+\.?\d*)")
+    said = rows.withColumn("said_", F.trim(F.coalesce(text, F.lit(""))))
+    said = said.withColumn("plain_", F.col("said_").rlike(r"^-?\d+(\.\d+)?$"))
+    said = said.withColumn("fixed_", F.when(~F.col("plain_") & F.col("said_").rlike("[0-9]"), F.regexp_replace("said_", r"(\d)\s*\.\s*(\d)", "$1.$2")))
+    said = said.withColumn("leading_", F.when(~F.lower("fixed_").isin(*NULL_CELLS), F.regexp_extract_all(F.regexp_extract("fixed_", r"^[^(±]*", 0), number, 1)))
+    first = F.when(F.size("leading_") == 1, F.get("leading_", F.lit(0))).when(F.size("leading_") == 0, F.nullif(F.regexp_extract("fixed_", r"-?\d+\.?\d*", 0), F.lit("")))
+    said = said.withColumn("value_", F.when(F.col("plain_"), F.col("said_")).otherwise(first).try_cast("double"))
+    deviation = F.nullif(F.regexp_extract("fixed_", r"±\s*(\d+\.?\d*)", 1), F.lit("")).try_cast("double")  # an empty text costs an exception each
+    unit = F.when(F.col("fixed_").contains("%"), F.lit("%"))
+    cell = F.when(F.col("value_").isNotNull(), F.array(F.struct(F.col("value_").alias("value"), deviation.alias("deviation"), unit.alias("unit"))))
+    told = said.select(*rows.columns, F.explode_outer(cell).alias("cell"))  # a plain where would be put below all steps, and these done twice
+    return told.where("cell IS NOT NULL")
+
+
 def time_scope(label: Column) -> Column:
     """A latency header as a slug of its words, without what stands in brackets; null if nothing is left."""
     words = F.trim(replaced(F.lower(label), (r"\(.*?\)", " "), ("[^a-z]+", " ")))
@@ -124,9 +140,28 @@ def protocol_tokens(header: Column, caption: Column) -> Column:
     return F.array_compact(F.array(*[F.coalesce(*[F.when(said.rlike("(?i)" + p), F.lit(t)) for t, p in axis], F.lit(None).cast("string")) for axis in PROTOCOL_AXES]))
 
 
+def protocol_places(text: Column) -> Column:
+    """For each protocol axis the place of its first pattern that ``text`` matches, null for none.
+
+    No pattern matches a bar, so the places of a header and its caption, or of labels joined by bars, are the least of theirs, and each can be settled alone.
+    """
+    return F.array(*[F.coalesce(*[F.when(text.rlike("(?i)" + p), F.lit(i)) for i, (_, p) in enumerate(axis)], F.lit(None).cast("int")) for axis in PROTOCOL_AXES])
+
+
+def least_places(several: Column) -> Column:
+    """The least place of each axis in an array of places."""
+    return F.array(*[F.array_min(F.transform(several, lambda one: one[n])) for n in range(len(PROTOCOL_AXES))])
+
+
+def tokens_at(places: Column, others: Column) -> Column:
+    """The tokens of :func:`protocol_tokens` by the places of a header and of its caption."""
+    at = [F.least(F.get(places, F.lit(n)), F.get(others, F.lit(n))) for n in range(len(PROTOCOL_AXES))]
+    return F.array_compact(F.array(*[F.coalesce(*[F.when(x == i, F.lit(t)) for i, (t, _) in enumerate(axis)], F.lit(None).cast("string")) for x, axis in zip(at, PROTOCOL_AXES)]))
+
+
 def with_tokens(condition: Column, tokens: Column) -> Column:
     """The condition's tokens and then the new ones among ``tokens``, joined by colons; null if there are none."""
-    own = F.filter(F.split(F.coalesce(condition, F.lit("")), ":"), lambda t: t != "")
+    own = F.array_remove(F.split(F.coalesce(condition, F.lit("")), ":"), "")
     return F.nullif(F.array_join(F.concat(own, F.array_except(tokens, own)), ":"), F.lit(""))
 
 
@@ -151,10 +186,15 @@ def caption_copied(method: Column, caption: Column) -> Column:
     return F.coalesce((status == "all") | ((status == "except") & ~same), F.lit(False))
 
 
+def header_first(first: Column) -> Column:
+    """Whether a row's first cell is one that begins headers: blank, or naming a column."""
+    said = F.lower(F.trim(F.coalesce(first, F.lit(""))))
+    return (said == "") | reduce(lambda a, b: a | b, [said.contains(t) for t in HEADER_TOKENS])
+
+
 def header_row(first: Column, numbers_after: Column) -> Column:
     """Whether a row is a header: its first cell is blank or names a column, and no later cell is a number."""
-    said = F.lower(F.trim(F.coalesce(first, F.lit(""))))
-    return ((said == "") | reduce(lambda a, b: a | b, [said.contains(t) for t in HEADER_TOKENS])) & (numbers_after == 0)
+    return header_first(first) & (numbers_after == 0)
 
 
 def metric_of(label: Column, metrics: list[dict]) -> Column:

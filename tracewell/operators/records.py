@@ -7,12 +7,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..session import staged
 from .ranks import matched
 
 #: Characters that both sides of a containment are met by.
 SEED = 5
 #: Rows of tables that a task gets: with their records they are sorted in its memory, as they are many times the size of what is moved.
 ROWS = 50_000
+#: Different header rows, captions or labels that go to all tasks, settled once each; beyond, each is settled where it lies.
+FEW = 20_000
 
 
 def first_of(df: DataFrame, key: str, order: str, *kept: str) -> DataFrame:
@@ -135,11 +138,19 @@ def records_from_cells(cells: DataFrame, tables: DataFrame, metrics: list[dict],
     return _records(moved.groupBy("table_id", "row").agg(F.collect_list(F.struct("col", "text")).alias("cells")), tables, metrics, conditions)
 
 
-def records_from_rows(rows: DataFrame, tables: DataFrame, metrics: list[dict], conditions: list[dict]) -> DataFrame:
-    """:func:`records_from_cells` of ``rows`` with table_id, row and the texts of the row's columns as an array ``cells``; rows of one number are one row."""
-    moved = _moved(rows.where("table_id IS NOT NULL").select("table_id", "row", "cells"), ROWS)
-    placed = moved.withColumn("cells", F.transform("cells", lambda text, col: F.struct(col.alias("col"), text.alias("text"))))
-    return _records(placed.groupBy("table_id", "row").agg(F.flatten(F.collect_list("cells")).alias("cells")), tables, metrics, conditions)
+def records_from_rows(rows: DataFrame, tables: DataFrame, metrics: list[dict], conditions: list[dict], protocol: bool = False) -> DataFrame:
+    """:func:`records_from_cells` of ``rows`` with table_id, row and the texts of the row's columns as an array ``cells``; rows of one number are one row.
+
+    What header rows and captions say is settled once for each different one, if these are few. With ``protocol`` records have ``scope`` and
+    ``tokens``, as :func:`normalised` would find them, too.
+    """
+    rows = rows.where("table_id IS NOT NULL").select("table_id", "row", F.transform("cells", lambda text, col: F.struct(col.alias("col"), text.alias("text"))).alias("cells"))
+    heading = F.when(L.header_first(F.get("cells", F.lit(0))["text"]) | (F.col("row") < 1), F.col("cells"))
+    different = staged(rows.groupBy(heading.alias("heading")).agg(F.count(F.lit(1)).alias("n")))  # all other rows are counted as one
+    count, kinds = different.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    moved = rows.repartition(max(1, -(-count // ROWS)), "table_id")
+    known = different.where("heading IS NOT NULL").select("heading", _said(F.col("heading"), metrics, conditions, protocol).alias("known")) if kinds <= FEW else None
+    return _records(moved.groupBy("table_id", "row").agg(F.flatten(F.collect_list("cells")).alias("cells")), tables, metrics, conditions, known, protocol)
 
 
 def _moved(rows: DataFrame, most: int) -> DataFrame:
@@ -147,67 +158,101 @@ def _moved(rows: DataFrame, most: int) -> DataFrame:
     return rows.repartition(max(1, -(-rows.count() // most)), "table_id")
 
 
-def _records(rows: DataFrame, tables: DataFrame, metrics: list[dict], conditions: list[dict]) -> DataFrame:
-    """Records of ``rows`` (table_id, row, cells of col and text) that lie with their table's others already: sorted once, and moved no more."""
-    table = W.partitionBy("table_id")
+def _said(cells: Column, metrics: list[dict], conditions: list[dict], protocol: bool) -> Column:
+    """The labels of a header row's cells that are not blank, by column, with what they name."""
+    def told(c: Column) -> Column:
+        label = F.trim(c["text"])
+        extra = [L.protocol_places(label).alias("places")] if protocol else []
+        return F.struct(c["col"].alias("col"), label.alias("label"), L.metric_of(label, metrics).alias("metric"), L.condition_of(label, conditions).alias("condition"), F.nullif(L.slug(label), F.lit("")).alias("last"), *extra)
+
+    return F.array_sort(F.transform(F.filter(cells, lambda c: F.trim(F.coalesce(c["text"], F.lit(""))) != ""), told))
+
+
+def _about(tables: DataFrame, conditions: list[dict], protocol: bool) -> DataFrame:
+    """``tables`` with the condition (and protocol places) of their captions, each different caption settled once if these are few."""
+    caption = F.col("caption")
+    told = {"about": L.condition_of(caption, conditions)} | ({"caption_places": L.protocol_places(F.coalesce(caption, F.lit("")))} if protocol else {})
+    tables = tables.select("table_id", "paper", "caption")
+    different = staged(tables.select("caption").distinct())
+    return matched(tables, F.broadcast(different.withColumns(told)), ["caption"]) if different.count() <= FEW else tables.withColumns(told)
 
-    def blank(text: Column) -> Column:
-        return F.trim(F.coalesce(text, F.lit(""))) == ""
 
+def _records(rows: DataFrame, tables: DataFrame, metrics: list[dict], conditions: list[dict], known: DataFrame | None = None, protocol: bool = False) -> DataFrame:
+    """Records of ``rows`` (table_id, row, cells of col and text) that lie with their table's others already: sorted once, and moved no more."""
+    table = W.partitionBy("table_id")
     # cells are read after the sort, which moves their texts only
     first = F.array_max(F.transform(F.filter("cells", lambda c: c["col"] == 0), lambda c: c["text"]))
-    numbers = F.size(F.filter("cells", lambda c: (c["col"] > 0) & L.parsed_cell(c["text"])["value"].isNotNull()))
-    told = rows.withColumn("heads", L.header_row(first, numbers)).withColumn("nth", F.row_number().over(table.orderBy("row")))
+    numbers = F.size(F.filter("cells", lambda c: (c["col"] > 0) & c["text"].rlike("[0-9]") & L.parsed_cell(c["text"])["value"].isNotNull()))
+    told = rows.withColumn("nth", F.row_number().over(table.orderBy("row"))).withColumn("first", first).withColumn("heads", L.header_row(F.col("first"), numbers))
+    said = _said(F.col("cells"), metrics, conditions, protocol)
+    if known is not None:
+        asked = told.withColumn("asked", F.when(L.header_first(F.col("first")) | (F.col("row") < 1), F.col("cells")))
+        told = asked.join(F.broadcast(known), F.col("asked") == F.col("heading"), "left").drop("asked", "heading")
+        said = F.coalesce("known", said)
     told = told.withColumns({"n": F.count(F.lit(1)).over(table), "lead": F.min(F.when(~F.col("heads"), F.col("row"))).over(table)}).where("n >= 2")
-    told = told.withColumn("headers", F.least(F.col("n") - 1, F.greatest(F.lit(1), F.coalesce("lead", "n")))).drop("heads", "n", "lead")
-    said = F.transform(F.filter("cells", lambda c: ~blank(c["text"])), lambda c: F.struct(c["col"].alias("col"), F.col("row").alias("row"), F.trim(c["text"]).alias("text")))
-    told = told.withColumn("said", F.collect_list(F.when(F.col("row") < F.col("headers"), said)).over(table))
+    told = told.withColumn("headers", F.least(F.col("n") - 1, F.greatest(F.lit(1), F.coalesce("lead", "n")))).drop("heads", "n", "lead", "first")
+    told = told.withColumn("said", F.collect_list(F.when(F.col("row") < F.col("headers"), F.struct("row", said.alias("labels")))).over(table)).drop("known")
     # what columns say is worked out at a table's first row and then told to all; a column without a label is no measure and no method
-    told = told.withColumn("said", F.when(F.col("nth") == 1, F.array_sort(F.flatten("said"))))
-    told = told.withColumn("columns", F.transform(F.array_distinct("said.col"), lambda at: F.struct(at.alias("col"), F.array_distinct(F.transform(F.filter("said", lambda x: x["col"] == at), lambda x: x["text"])).alias("labels")))).drop("said")  # a label per header row
-    told = told.withColumn("columns", F.filter("columns", lambda c: ~F.regexp_replace(F.lower(F.trim(F.array_join(c["labels"], " | "))), r"\.+$", "").isin(*L.INDEX_TOKENS)))
+    told = told.withColumn("said", F.when(F.col("nth") == 1, F.flatten(F.transform(F.array_sort("said"), lambda x: x["labels"]))))
+    told = told.withColumn("columns", F.transform(F.array_distinct("said.col"), lambda at: F.struct(at.alias("col"), F.array_distinct(F.filter("said", lambda x: x["col"] == at)).alias("said")))).drop("said")  # a label per header row
+    told = told.withColumn("columns", F.filter("columns", lambda c: ~F.regexp_replace(F.lower(F.trim(F.array_join(c["said"]["label"], " | "))), r"\.+$", "").isin(*L.INDEX_TOKENS)))
     told = told.withColumn("method_col", F.when(F.col("nth") == 1, F.coalesce(F.array_min("columns.col"), F.lit(0))))
-    told = told.withColumn("columns", F.transform(F.filter("columns", lambda c: c["col"] != F.col("method_col")), lambda c: F.struct(c["col"].alias("col"), c["labels"].alias("labels"), F.transform(c["labels"], lambda x: F.struct(x.alias("label"), L.metric_of(x, metrics).alias("metric"), L.condition_of(x, conditions).alias("condition"))).alias("said"))))
+
+    def unit_of(metric: Column, label: Column) -> Column:
+        return F.when(metric.isNotNull(), L.unit_of(label, F.coalesce(*[F.when(metric == m["id"], F.lit(m.get("unit"))) for m in metrics], F.lit(None).cast("string"))))
+
+    def higher(metric: Column) -> Column:
+        return F.coalesce(*[F.when(metric == m["id"], F.lit(m.get("higher_is_better"))) for m in metrics], F.lit(None).cast("boolean"))
 
     def measure(c: Column) -> Column:
         naming, under = F.get(F.filter(c["said"], lambda x: x["metric"].isNotNull()), F.lit(0)), F.get(F.filter(c["said"], lambda x: x["condition"].isNotNull()), F.lit(0))
-        leaf = F.element_at(c["labels"], -1)
-        return F.struct(c["col"].alias("col"), naming["metric"].alias("metric"), F.array_join(c["labels"], " | ").alias("metric_raw"), F.coalesce(naming["label"], leaf).alias("unit_label"), under["condition"].alias("own_condition"), F.nullif(L.slug(leaf), F.lit("")).alias("last"))
-
-    told = told.withColumn("columns", F.transform("columns", measure))
+        leaf, raw = F.element_at(c["said"], -1), F.array_join(c["said"]["label"], " | ")
+        extra = [L.least_places(c["said"]["places"]).alias("places"), F.when(naming["metric"] == "latency", L.time_scope(raw)).alias("scope")] if protocol else []
+        unit = unit_of(naming["metric"], F.coalesce(naming["label"], leaf["label"]))
+        return F.struct(c["col"].alias("col"), F.struct(naming["metric"].alias("metric"), raw.alias("metric_raw"), unit.alias("unit"), under["condition"].alias("own_condition"), leaf["last"].alias("last"), higher(naming["metric"]).alias("higher"), *extra).alias("said"))
+
+    def kept_apart(c: Column) -> Column:  # columns of one metric and condition
+        own = c["said"]["own_condition"]
+        alike = F.size(F.filter("columns", lambda x: x["said"]["metric"].eqNullSafe(c["said"]["metric"]) & x["said"]["own_condition"].eqNullSafe(own)))
+        apart = c["said"]["metric"].isNotNull() & (alike > 1)
+        return F.struct(c["col"].alias("col"), c["said"].withField("own_condition", F.when(apart, F.concat_ws(":", own, F.coalesce(c["said"]["last"], F.lit("col")))).otherwise(own)).dropFields("last").alias("said"))
+
+    told = told.withColumn("columns", F.transform(F.filter("columns", lambda c: c["col"] != F.col("method_col")), measure))
+    told = told.withColumn("columns", F.map_from_entries(F.transform("columns", kept_apart)))
     told = told.withColumns({"columns": F.first("columns", True).over(table), "method_col": F.first("method_col", True).over(table)}).where(F.col("row") >= F.col("headers"))
-    about = tables.select("table_id", "paper", "caption", L.condition_of(F.col("caption"), conditions).alias("about"))
-    told = told.drop("headers", "nth").join(about, "table_id")  # while rows are still in the order of their tables
-    told = told.withColumn("method_raw", F.explode(F.transform(F.filter("cells", lambda c: c["col"] == F.col("method_col")), lambda c: c["text"]))).where(F.trim("method_raw") != "")
-    told = told.withColumn("mention", F.trim(L.replaced(F.col("method_raw"), (r"\s*\[[\d,\s\-]+\]", ""), (r"[*†‡✓✗]+$", "")))).where(~F.lower("mention").isin(*L.SUMMARY_ROWS))
-    told = told.withColumns({"is_own": F.lower("mention").rlike(r"\bours?\b"), "is_ablation": F.lower("mention").rlike(r"^(no |w/o |without |w/ |with |\+ |- )")})
-    read = F.transform("cells", lambda c: F.struct(c["col"].alias("col"), c["text"].alias("text"), L.parsed_cell(c["text"]).alias("cell")))
-    told = told.select("*", F.explode_outer(F.filter(read, lambda c: c["cell"]["value"].isNotNull())).alias("c")).drop("cells").where("c IS NOT NULL")  # a plain explode would read all cells a second time, to see whether any is left
-    told = told.withColumn("at", F.get(F.filter("columns", lambda x: x["col"] == F.col("c.col")), F.lit(0))).where("at IS NOT NULL")
-    alike = F.size(F.filter("columns", lambda x: x["metric"].eqNullSafe(F.col("at.metric")) & x["own_condition"].eqNullSafe(F.col("at.own_condition"))))
-    apart = F.col("at.metric").isNotNull() & (alike > 1)
-    units = F.coalesce(*[F.when(F.col("at.metric") == m["id"], F.lit(m.get("unit"))) for m in metrics], F.lit(None).cast("string"))
-    higher = F.coalesce(*[F.when(F.col("at.metric") == m["id"], F.lit(m.get("higher_is_better"))) for m in metrics], F.lit(None).cast("boolean"))
-    found = told.select(
-        "paper", "caption", "about", "table_id", "row", F.col("c.col").alias("col"), "method_raw", "mention", "at.metric_raw", "at.metric", F.when(apart, F.concat_ws(":", "at.own_condition", F.coalesce("at.last", F.lit("col")))).otherwise(F.col("at.own_condition")).alias("own_condition"),
-        "c.cell.value", F.trim("c.text").alias("value_str"), "c.cell.deviation", F.coalesce(F.when(F.col("at.metric").isNotNull(), L.unit_of(F.col("at.unit_label"), units)), F.col("c.cell.unit")).alias("unit"), higher.alias("higher_is_better"), "is_own", "is_ablation",
-    )
-    return found.select(
-        "paper", "table_id", "row", "col", "method_raw", "mention", "metric_raw", "metric", F.coalesce("own_condition", "about").alias("condition"),
-        "value", "value_str", "deviation", "unit", "higher_is_better", "is_own", "is_ablation", "caption",
+    told = told.drop("headers", "nth").join(_about(tables, conditions, protocol), "table_id")  # while rows are still in the order of their tables
+
+    def named(c: Column) -> Column:
+        def own(mention: Column) -> Column:
+            low = F.lower(mention)
+            return F.struct(c["text"].alias("method_raw"), mention.alias("mention"), low.isin(*L.SUMMARY_ROWS).alias("sums"), low.rlike(r"\bours?\b").alias("is_own"), low.rlike(r"^(no |w/o |without |w/ |with |\+ |- )").alias("is_ablation"))
+
+        return L.bound(F.trim(L.replaced(c["text"], (r"\s*\[[\d,\s\-]+\]", ""), (r"[*†‡✓✗]+$", ""))), own)
+
+    names = F.transform(F.filter("cells", lambda c: (c["col"] == F.col("method_col")) & (F.trim(c["text"]) != "")), named)
+    told = told.withColumn("who", F.explode_outer(names)).where("who IS NOT NULL AND NOT who.sums")  # a plain explode would name all rows a second time, to see whether any is left
+    told = told.withColumn("c", F.explode("cells")).drop("cells").withColumn("at", F.col("columns")[F.col("c.col")]).drop("columns").where("at IS NOT NULL")
+    told = L.with_parsed(told.withColumn("text", F.col("c.text")), "text")
+    extra = [F.col("at.scope").alias("scope"), L.tokens_at(F.col("at.places"), F.col("caption_places")).alias("tokens")] if protocol else []
+    return told.select(
+        "paper", "table_id", "row", F.col("c.col").alias("col"), "who.method_raw", "who.mention", "at.metric_raw", "at.metric", F.coalesce("at.own_condition", "about").alias("condition"),
+        "cell.value", F.trim("text").alias("value_str"), "cell.deviation", F.coalesce("at.unit", "cell.unit").alias("unit"), F.col("at.higher").alias("higher_is_better"), "who.is_own", "who.is_ablation", "caption", *extra,
     )
 
 
 def normalised(records: DataFrame, metrics: list[dict], condition_aliases: dict[str, str]) -> DataFrame:
-    """Condition aliases, then rates below 1 as percent (not average precision), then the scope of a bare latency, then protocol tokens."""
+    """Condition aliases, then rates below 1 as percent (not average precision), then the scope of a bare latency, then protocol tokens; these two as records have them, if they do."""
+    settled = "tokens" in records.columns
+    scope, tokens = (F.col("scope"), F.col("tokens")) if settled else (L.time_scope(F.col("metric_raw")), L.protocol_tokens(F.col("metric_raw"), F.col("caption")))
     renamed = F.coalesce(*[F.when(F.col("condition") == k, F.lit(v)) for k, v in condition_aliases.items()], F.col("condition"))
     rates = [m["id"] for m in metrics if m.get("type") == "rate" and m["id"] != "ap"]
-    scoped = F.when(F.col("condition").isNull() & (F.col("metric") == "latency"), L.time_scope(F.col("metric_raw"))).otherwise(F.col("condition"))
+    scoped = F.when(F.col("condition").isNull() & (F.col("metric") == "latency"), scope).otherwise(F.col("condition"))
     return (
         records.withColumn("condition", renamed)
         .withColumn("value", F.when(F.col("metric").isin(*rates) & (F.col("value") > 0) & (F.col("value") < 1), F.col("value") * 100).otherwise(F.col("value")))
         .withColumn("condition", scoped)
-        .withColumn("condition", L.with_tokens(F.col("condition"), L.protocol_tokens(F.col("metric_raw"), F.col("caption"))))
+        .withColumn("condition", L.with_tokens(F.col("condition"), tokens))
+        .drop("scope", "tokens")
     )
 
 
