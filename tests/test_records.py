@@ -36,6 +36,20 @@ def test_headers_captions_and_labels_are_settled_once_or_where_they_lie_with_the
     assert known == plain == told(True)[1] == told(False)[1] and len(known) > 20
 
 
+def test_labels_of_published_records_are_settled_once(spark, monkeypatch):
+    rows = [("Base", "Base", "p", 1, r, 2, m, raw, float(r)) for r, (m, raw) in enumerate([("sr", "Success"), (None, "time (ms)"), (None, "pile"), (None, "time (ms)"), (None, None)])]
+    told = spark.createDataFrame(rows, "method_raw string, mention string, paper string, table_id long, row int, col int, metric string, metric_raw string, value double")
+    told = told.selectExpr("*", "CAST(NULL AS STRING) AS condition", "CAST(NULL AS DOUBLE) AS deviation", "'%' AS unit", "true AS higher_is_better", "false AS is_own")
+    resolved = spark.createDataFrame([("Base", "BaseNet", "high")], "mention string, method string, confidence string")
+    found = R.published(told, resolved)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    broadcast = plan[plan.index("BroadcastExchange") :]
+    assert plan.count("declutter") == broadcast.count("declutter") > 0  # labels meet their patterns before they meet records
+    once = sorted(map(repr, found.collect()))
+    monkeypatch.setattr(R, "FEW", 0)
+    assert once == sorted(map(repr, R.published(told, resolved).collect())) and len(once) == 3
+
+
 def test_compiled_steps_read_cells_as_the_expression_does(spark):
     from pyspark.sql import functions as F
 

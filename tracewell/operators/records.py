@@ -271,9 +271,18 @@ def published(records: DataFrame, resolved: DataFrame) -> DataFrame:
     names = names.withColumn("clean", own_name).withColumn("form", compact(F.col("clean"))).join(known, "form", "left").withColumn("found", F.coalesce("resolved", "salvaged"))
     names = names.withColumn("method", F.coalesce("found", "clean")).where(L.valid_method_name(F.col("method")) & L.valid_method_name(F.col("clean")))
     names = names.select("mention", "method_raw", "method", F.col("found").isNotNull().alias("known"), F.coalesce("match", F.lit("low")).alias("confidence"))
-    rows = records.withColumn("label", L.metric_label(F.coalesce("metric", "metric_raw"))).where(L.valid_metric_label(F.col("label"), F.col("metric")))
+    rows = _labelled(records)
     rows = rows.select("mention", "method_raw", "paper", "table_id", "row", "col", "metric", "label", "condition", F.round("value", 4).alias("value"), "deviation", "unit", "higher_is_better", "is_own")
-    return matched(rows, names, ["mention", "method_raw"]).select(
+    return matched(rows, staged(names), ["mention", "method_raw"]).select(
         "paper", "table_id", "row", "col", "method", "metric", "label", "condition", "value", "deviation", "unit", "higher_is_better", "is_own",
         (F.col("metric").isNotNull() & F.col("known")).alias("comparable"), "confidence",
     )
+
+
+def _labelled(records: DataFrame) -> DataFrame:
+    """``records`` with a valid label, each different metric and label settled once if these are few."""
+    label = L.metric_label(F.coalesce("metric", "metric_raw"))
+    different = staged(records.select("metric", "metric_raw").distinct())
+    few = different.count() <= FEW
+    told = (different if few else records).withColumn("label", label).where(L.valid_metric_label(F.col("label"), F.col("metric")))
+    return matched(records, F.broadcast(told), ["metric", "metric_raw"]) if few else told
