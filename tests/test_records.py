@@ -71,3 +71,14 @@ def test_places_of_protocol_axes_give_their_tokens(spark):
     places = F.when(F.size("heads") > 0, L.least_places(F.transform("heads", L.protocol_places)))
     told = rows.select(L.protocol_tokens(F.array_join("heads", " | "), F.col("caption")).alias("a"), L.tokens_at(places, L.protocol_places(F.coalesce("caption", F.lit("")))).alias("b"))
     assert all(r["a"] == r["b"] for r in told.collect())
+
+
+def test_sequences_of_header_rows_are_settled_once(spark):
+    rows = [(t, r, cells) for t in range(6) for r, cells in [(0, ["Method", "Success Rate", "Size"]), (1, ["", "(%)", ""]), (2, [f"m{t}", "1", "2"]), (2, ["twice", "3", "4"])]] + [(7, 0, ["Method", "Success Rate", "n"]), (7, 0, ["", "(%)", ""]), (7, 5, ["m", "5", "6"])]
+    rows, metrics = spark.createDataFrame(rows, "table_id int, row int, cells array<string>"), [{"id": "success_rate", "aliases": ["Success Rate"]}]
+    headings, shapes = R._headings(rows, metrics, [], False)
+    assert headings.count() == 3 and sorted(len(r["shape"]) for r in shapes.collect()) == [2, 2]  # six tables, one sequence
+    tables = spark.createDataFrame([(t, "p", "c") for t in range(8)], "table_id int, paper string, caption string")
+    got = sorted((r["table_id"], r["mention"], r["metric_raw"], r["value"]) for r in R.records_from_rows(rows, tables, metrics, []).collect())
+    twice = [(t, m, f, v) for t in range(6) for m in (f"m{t}", "twice") for f, vs in (("Success Rate | (%)", (1.0, 3.0)), ("Size", (2.0, 4.0))) for v in vs]
+    assert got == sorted([*twice, (7, "m", "(%) | Success Rate", 5.0), (7, "m", "n", 6.0)])  # two rows of one number are one, whose labels go by their letters

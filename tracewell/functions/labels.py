@@ -117,7 +117,7 @@ def with_parsed(rows: DataFrame, text: str) -> DataFrame:
     number = F.lit(r"(-?\d+\.?\d*)")
     said = rows.withColumn("said_", F.trim(F.coalesce(text, F.lit(""))))
     said = said.withColumn("plain_", F.col("said_").rlike(r"^-?\d+(\.\d+)?$"))
-    said = said.withColumn("fixed_", F.when(~F.col("plain_") & F.col("said_").rlike("[0-9]"), F.regexp_replace("said_", r"(\d)\s*\.\s*(\d)", "$1.$2")))
+    said = said.withColumn("fixed_", F.when(~F.col("plain_") & F.col("said_").rlike("[0-9]"), F.when(F.col("said_").contains("."), F.regexp_replace("said_", r"(\d)\s*\.\s*(\d)", "$1.$2")).otherwise(F.col("said_"))))
     said = said.withColumn("leading_", F.when(~F.lower("fixed_").isin(*NULL_CELLS), F.regexp_extract_all(F.regexp_extract("fixed_", r"^[^(±]*", 0), number, 1)))
     first = F.when(F.size("leading_") == 1, F.get("leading_", F.lit(0))).when(F.size("leading_") == 0, F.nullif(F.regexp_extract("fixed_", r"-?\d+\.?\d*", 0), F.lit("")))
     said = said.withColumn("value_", F.when(F.col("plain_"), F.col("said_")).otherwise(first).try_cast("double"))

@@ -141,16 +141,32 @@ def records_from_cells(cells: DataFrame, tables: DataFrame, metrics: list[dict],
 def records_from_rows(rows: DataFrame, tables: DataFrame, metrics: list[dict], conditions: list[dict], protocol: bool = False) -> DataFrame:
     """:func:`records_from_cells` of ``rows`` with table_id, row and the texts of the row's columns as an array ``cells``; rows of one number are one row.
 
-    What header rows and captions say is settled once for each different one, if these are few. With ``protocol`` records have ``scope`` and
-    ``tokens``, as :func:`normalised` would find them, too.
+    What header rows, their sequences and captions say is settled once for each different one, if these are few. With ``protocol`` records have
+    ``scope`` and ``tokens``, as :func:`normalised` would find them, too.
     """
-    rows = rows.where("table_id IS NOT NULL").select("table_id", "row", F.transform("cells", lambda text, col: F.struct(col.alias("col"), text.alias("text"))).alias("cells"))
-    heading = F.when(L.header_first(F.get("cells", F.lit(0))["text"]) | (F.col("row") < 1), F.col("cells"))
-    different = staged(rows.groupBy(heading.alias("heading")).agg(F.count(F.lit(1)).alias("n")))  # all other rows are counted as one
-    count, kinds = different.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    moved = rows.repartition(max(1, -(-count // ROWS)), "table_id")
-    known = different.where("heading IS NOT NULL").select("heading", _said(F.col("heading"), metrics, conditions, protocol).alias("known")) if kinds <= FEW else None
-    return _records(moved.groupBy("table_id", "row").agg(F.flatten(F.collect_list("cells")).alias("cells")), tables, metrics, conditions, known, protocol)
+    rows = rows.where("table_id IS NOT NULL").select("table_id", "row", "cells")
+    known = _headings(rows, metrics, conditions, protocol)
+    moved = _moved(rows, ROWS).withColumn("cells", F.transform("cells", lambda text, col: F.struct(col.alias("col"), text.alias("text"))))
+    alike = W.partitionBy("table_id", "row").orderBy("row")  # in the order that tables are read in: sorted once, which groups would not be
+    merged = moved.withColumns({"cells": F.flatten(F.collect_list("cells").over(alike)), "nth": F.row_number().over(alike)}).where("nth = 1").drop("nth")
+    return _records(merged, tables, metrics, conditions, known, protocol)
+
+
+def _headings(rows: DataFrame, metrics: list[dict], conditions: list[dict], protocol: bool) -> tuple[DataFrame, DataFrame] | None:
+    """The different header rows (heading, id, what their cells say) and sequences of them at the head of a table (shape, columns, method_col); None if these are not few."""
+    heads = staged(rows.where(L.header_first(F.get("cells", F.lit(0))) | (F.col("row") < 1)))
+    different = staged(heads.select("cells").distinct().withColumn("id", F.monotonically_increasing_id()))
+    if different.count() > FEW:
+        return None
+    placed = heads.join(F.broadcast(different.withColumnRenamed("cells", "other")), F.col("cells") == F.col("other"))
+    shapes = staged(placed.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("row", "id"))).alias("shape")).select("shape").distinct())
+    if shapes.count() > FEW:
+        return None
+    cells = F.transform("cells", lambda text, col: F.struct(col.alias("col"), text.alias("text")))
+    headings = staged(different.select(cells.alias("heading"), "id", _said(cells, metrics, conditions, protocol).alias("labels")))
+    parts = shapes.select("shape", F.posexplode("shape").alias("nth", "part")).join(F.broadcast(headings), F.col("part.id") == F.col("id"))
+    said = parts.groupBy("shape").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("nth", "labels"))), lambda x: x["labels"])).alias("said"))
+    return headings, staged(_columns(said, protocol))
 
 
 def _moved(rows: DataFrame, most: int) -> DataFrame:
@@ -162,12 +178,47 @@ def _said(cells: Column, metrics: list[dict], conditions: list[dict], protocol:
     """The labels of a header row's cells that are not blank, by column, with what they name."""
     def told(c: Column) -> Column:
         label = F.trim(c["text"])
+
+        def of(metric: Column) -> Column:
+            unit = F.coalesce(*[F.when(metric == m["id"], F.lit(m.get("unit"))) for m in metrics], F.lit(None).cast("string"))
+            higher = F.coalesce(*[F.when(metric == m["id"], F.lit(m.get("higher_is_better"))) for m in metrics], F.lit(None).cast("boolean"))
+            return F.struct(metric.alias("metric"), F.when(metric.isNotNull(), L.unit_of(label, unit)).alias("unit"), higher.alias("higher"))
+
         extra = [L.protocol_places(label).alias("places")] if protocol else []
-        return F.struct(c["col"].alias("col"), label.alias("label"), L.metric_of(label, metrics).alias("metric"), L.condition_of(label, conditions).alias("condition"), F.nullif(L.slug(label), F.lit("")).alias("last"), *extra)
+        return F.struct(c["col"].alias("col"), label.alias("label"), L.bound(L.metric_of(label, metrics), of).alias("named"), L.condition_of(label, conditions).alias("condition"), F.nullif(L.slug(label), F.lit("")).alias("last"), *extra)
 
     return F.array_sort(F.transform(F.filter(cells, lambda c: F.trim(F.coalesce(c["text"], F.lit(""))) != ""), told))
 
 
+def _columns(rows: DataFrame, protocol: bool) -> DataFrame:
+    """Rows with ``columns``, a map of what the labels ``said`` (in the order of their rows) make of each column but that of methods, and ``method_col``, instead; null where these are null.
+
+    A column without a label is no measure and no method.
+    """
+    told = rows.withColumn("columns", F.transform(F.array_distinct("said.col"), lambda at: F.struct(at.alias("col"), F.array_distinct(F.filter("said", lambda x: x["col"] == at)).alias("said"))))  # a label per header row
+    told = told.withColumn("columns", F.filter("columns", lambda c: ~F.regexp_replace(F.lower(F.trim(F.array_join(c["said"]["label"], " | "))), r"\.+$", "").isin(*L.INDEX_TOKENS)))
+    told = told.withColumn("method_col", F.when(F.col("said").isNotNull(), F.coalesce(F.array_min("columns.col"), F.lit(0)))).drop("said")
+
+    def measure(c: Column) -> Column:
+        naming, under = F.get(F.filter(c["said"]["named"], lambda x: x["metric"].isNotNull()), F.lit(0)), F.get(F.filter(c["said"]["condition"], lambda x: x.isNotNull()), F.lit(0))
+        told = F.struct(naming.alias("named"), F.array_join(c["said"]["label"], " | ").alias("raw"), under.alias("own_condition"), F.element_at(c["said"], -1)["last"].alias("last"))
+
+        def kept(x: Column) -> Column:
+            extra = [L.least_places(c["said"]["places"]).alias("places"), F.when(x["named"]["metric"] == "latency", L.time_scope(x["raw"])).alias("scope")] if protocol else []
+            return F.struct(x["named"]["metric"].alias("metric"), x["raw"].alias("metric_raw"), x["named"]["unit"].alias("unit"), x["own_condition"].alias("own_condition"), x["last"].alias("last"), x["named"]["higher"].alias("higher"), *extra)
+
+        return F.struct(c["col"].alias("col"), L.bound(told, kept).alias("said"))
+
+    def kept_apart(c: Column) -> Column:  # columns of one metric and condition
+        own = c["said"]["own_condition"]
+        alike = F.size(F.filter("columns", lambda x: x["said"]["metric"].eqNullSafe(c["said"]["metric"]) & x["said"]["own_condition"].eqNullSafe(own)))
+        apart = c["said"]["metric"].isNotNull() & (alike > 1)
+        return F.struct(c["col"].alias("col"), c["said"].withField("own_condition", F.when(apart, F.concat_ws(":", own, F.coalesce(c["said"]["last"], F.lit("col")))).otherwise(own)).dropFields("last").alias("said"))
+
+    told = told.withColumn("columns", F.transform(F.filter("columns", lambda c: c["col"] != F.col("method_col")), measure))
+    return told.withColumn("columns", F.map_from_entries(F.transform("columns", kept_apart)))
+
+
 def _about(tables: DataFrame, conditions: list[dict], protocol: bool) -> DataFrame:
     """``tables`` with the condition (and protocol places) of their captions, each different caption settled once if these are few."""
     caption = F.col("caption")
@@ -177,57 +228,39 @@ def _about(tables: DataFrame, conditions: list[dict], protocol: bool) -> DataFra
     return matched(tables, F.broadcast(different.withColumns(told)), ["caption"]) if different.count() <= FEW else tables.withColumns(told)
 
 
-def _records(rows: DataFrame, tables: DataFrame, metrics: list[dict], conditions: list[dict], known: DataFrame | None = None, protocol: bool = False) -> DataFrame:
+def _records(rows: DataFrame, tables: DataFrame, metrics: list[dict], conditions: list[dict], known: tuple[DataFrame, DataFrame] | None = None, protocol: bool = False) -> DataFrame:
     """Records of ``rows`` (table_id, row, cells of col and text) that lie with their table's others already: sorted once, and moved no more."""
     table = W.partitionBy("table_id")
     # cells are read after the sort, which moves their texts only
     first = F.array_max(F.transform(F.filter("cells", lambda c: c["col"] == 0), lambda c: c["text"]))
     numbers = F.size(F.filter("cells", lambda c: (c["col"] > 0) & c["text"].rlike("[0-9]") & L.parsed_cell(c["text"])["value"].isNotNull()))
     told = rows.withColumn("nth", F.row_number().over(table.orderBy("row"))).withColumn("first", first).withColumn("heads", L.header_row(F.col("first"), numbers))
-    said = _said(F.col("cells"), metrics, conditions, protocol)
-    if known is not None:
-        asked = told.withColumn("asked", F.when(L.header_first(F.col("first")) | (F.col("row") < 1), F.col("cells")))
-        told = asked.join(F.broadcast(known), F.col("asked") == F.col("heading"), "left").drop("asked", "heading")
-        said = F.coalesce("known", said)
     told = told.withColumns({"n": F.count(F.lit(1)).over(table), "lead": F.min(F.when(~F.col("heads"), F.col("row"))).over(table)}).where("n >= 2")
     told = told.withColumn("headers", F.least(F.col("n") - 1, F.greatest(F.lit(1), F.coalesce("lead", "n")))).drop("heads", "n", "lead", "first")
-    told = told.withColumn("said", F.collect_list(F.when(F.col("row") < F.col("headers"), F.struct("row", said.alias("labels")))).over(table)).drop("known")
-    # what columns say is worked out at a table's first row and then told to all; a column without a label is no measure and no method
-    told = told.withColumn("said", F.when(F.col("nth") == 1, F.flatten(F.transform(F.array_sort("said"), lambda x: x["labels"]))))
-    told = told.withColumn("columns", F.transform(F.array_distinct("said.col"), lambda at: F.struct(at.alias("col"), F.array_distinct(F.filter("said", lambda x: x["col"] == at)).alias("said")))).drop("said")  # a label per header row
-    told = told.withColumn("columns", F.filter("columns", lambda c: ~F.regexp_replace(F.lower(F.trim(F.array_join(c["said"]["label"], " | "))), r"\.+$", "").isin(*L.INDEX_TOKENS)))
-    told = told.withColumn("method_col", F.when(F.col("nth") == 1, F.coalesce(F.array_min("columns.col"), F.lit(0))))
-
-    def unit_of(metric: Column, label: Column) -> Column:
-        return F.when(metric.isNotNull(), L.unit_of(label, F.coalesce(*[F.when(metric == m["id"], F.lit(m.get("unit"))) for m in metrics], F.lit(None).cast("string"))))
-
-    def higher(metric: Column) -> Column:
-        return F.coalesce(*[F.when(metric == m["id"], F.lit(m.get("higher_is_better"))) for m in metrics], F.lit(None).cast("boolean"))
-
-    def measure(c: Column) -> Column:
-        naming, under = F.get(F.filter(c["said"], lambda x: x["metric"].isNotNull()), F.lit(0)), F.get(F.filter(c["said"], lambda x: x["condition"].isNotNull()), F.lit(0))
-        leaf, raw = F.element_at(c["said"], -1), F.array_join(c["said"]["label"], " | ")
-        extra = [L.least_places(c["said"]["places"]).alias("places"), F.when(naming["metric"] == "latency", L.time_scope(raw)).alias("scope")] if protocol else []
-        unit = unit_of(naming["metric"], F.coalesce(naming["label"], leaf["label"]))
-        return F.struct(c["col"].alias("col"), F.struct(naming["metric"].alias("metric"), raw.alias("metric_raw"), unit.alias("unit"), under["condition"].alias("own_condition"), leaf["last"].alias("last"), higher(naming["metric"]).alias("higher"), *extra).alias("said"))
-
-    def kept_apart(c: Column) -> Column:  # columns of one metric and condition
-        own = c["said"]["own_condition"]
-        alike = F.size(F.filter("columns", lambda x: x["said"]["metric"].eqNullSafe(c["said"]["metric"]) & x["said"]["own_condition"].eqNullSafe(own)))
-        apart = c["said"]["metric"].isNotNull() & (alike > 1)
-        return F.struct(c["col"].alias("col"), c["said"].withField("own_condition", F.when(apart, F.concat_ws(":", own, F.coalesce(c["said"]["last"], F.lit("col")))).otherwise(own)).dropFields("last").alias("said"))
-
-    told = told.withColumn("columns", F.transform(F.filter("columns", lambda c: c["col"] != F.col("method_col")), measure))
-    told = told.withColumn("columns", F.map_from_entries(F.transform("columns", kept_apart)))
+    heads, labels = F.col("row") < F.col("headers"), _said(F.col("cells"), metrics, conditions, protocol)
+    settled = []
+    if known:  # what is said by header rows that are not among those known, as several of one number make one, is worked out below
+        headings, shapes = known
+        told = told.withColumn("asked", F.when(heads, F.col("cells"))).join(F.broadcast(headings.select("heading", "id")), F.col("asked") == F.col("heading"), "left").drop("asked", "heading")
+        told = told.withColumn("own", F.collect_list(F.when(heads, F.struct("row", "id"))).over(table)).drop("id").withColumn("own", F.array_sort("own"))
+        told = told.join(F.broadcast(shapes.withColumnsRenamed({"columns": "known_columns", "method_col": "known_col"})), F.col("own") == F.col("shape"), "left").drop("own", "shape")
+        heads, settled = heads & F.col("known_col").isNull(), ["known_columns", "known_col"]
+    told = told.withColumn("said", F.collect_list(F.when(heads, F.struct("row", labels.alias("labels")))).over(table))
+    # what columns say is worked out at a table's first row and then told to all
+    asked = (F.col("nth") == 1) & (F.col("known_col").isNull() if known else F.lit(True))
+    told = _columns(told.withColumn("said", F.when(asked, F.flatten(F.transform(F.array_sort("said"), lambda x: x["labels"])))), protocol)
     told = told.withColumns({"columns": F.first("columns", True).over(table), "method_col": F.first("method_col", True).over(table)}).where(F.col("row") >= F.col("headers"))
+    if known:
+        told = told.withColumns({"columns": F.coalesce("known_columns", "columns"), "method_col": F.coalesce("known_col", "method_col")}).drop(*settled)
     told = told.drop("headers", "nth").join(_about(tables, conditions, protocol), "table_id")  # while rows are still in the order of their tables
 
     def named(c: Column) -> Column:
         def own(mention: Column) -> Column:
             low = F.lower(mention)
-            return F.struct(c["text"].alias("method_raw"), mention.alias("mention"), low.isin(*L.SUMMARY_ROWS).alias("sums"), low.rlike(r"\bours?\b").alias("is_own"), low.rlike(r"^(no |w/o |without |w/ |with |\+ |- )").alias("is_ablation"))
+            return F.struct(c["text"].alias("method_raw"), mention.alias("mention"), low.isin(*L.SUMMARY_ROWS).alias("sums"), (low.contains("our") & low.rlike(r"\bours?\b")).alias("is_own"), low.rlike(r"^(no |w/o |without |w/ |with |\+ |- )").alias("is_ablation"))
 
-        return L.bound(F.trim(L.replaced(c["text"], (r"\s*\[[\d,\s\-]+\]", ""), (r"[*†‡✓✗]+$", ""))), own)
+        uncited = F.when(c["text"].contains("["), F.regexp_replace(c["text"], r"\s*\[[\d,\s\-]+\]", "")).otherwise(c["text"])
+        return L.bound(F.trim(F.regexp_replace(uncited, r"[*†‡✓✗]+$", "")), own)
 
     names = F.transform(F.filter("cells", lambda c: (c["col"] == F.col("method_col")) & (F.trim(c["text"]) != "")), named)
     told = told.withColumn("who", F.explode_outer(names)).where("who IS NOT NULL AND NOT who.sums")  # a plain explode would name all rows a second time, to see whether any is left
