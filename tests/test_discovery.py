@@ -139,6 +139,23 @@ def test_phrases_are_counted_where_their_documents_lie(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_phrases_are_counted_in_steps_of_documents_and_sorted_as_they_are_read(spark, monkeypatch):
+    import pyarrow as pa
+
+    docs = [(i, [f"w{(i * j) % 5}" for j in range(i % 4 + 1)]) for i in range(1, 40)]
+    batch = pa.RecordBatch.from_pylist([{"doc_id": i, "words": w, "valued": [{"word": x, "idf": 1.0 + int(x[1:]) / 7} for x in sorted(set(w))]} for i, w in docs]).slice(3)
+
+    def told():
+        return [(doc, list(rows)) for doc, rows in keyphrases.ranked(batch, 3)]
+
+    whole = told()
+    monkeypatch.setattr(keyphrases, "STEP_WORDS", 3)
+    assert told() == whole and [doc for doc, _ in whole] == [i for i, _ in docs[3:]]
+    assert all([(-r, p) for p, r, _ in rows] == sorted((-r, p) for p, r, _ in rows) and rows[0][1] == 1.0 for _, rows in whole)
+    plan = keyphrases.keyphrases(spark.createDataFrame([(1, "red ring")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "relevance" not in "".join(x for x in plan.splitlines() if "Sort [" in x)  # no row a phrase is sorted
+
+
 def test_keyphrases_are_those_of_a_full_search(spark):
     rng = random.Random(9)
     words = ["grasp", "planner", "network", "depth", "the", "of", "camera", "point", "cloud", "loss", "a", "x1"]

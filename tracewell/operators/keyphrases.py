@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import groupby, repeat
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import staged
@@ -20,7 +20,9 @@ STOP_WORDS = (
     "there", "these", "they", "this", "those", "through", "to", "too", "under", "until", "up", "very", "was", "we", "were", "what", "when", "where", "which", "while", "who", "why", "will", "with", "you", "your",
 )
 TASK_WORDS = 250_000  # of the documents of one task
+STEP_WORDS = 100_000  # of the documents whose phrases are counted at once
 PHRASE = "doc_id long, phrase string, relevance double, place int"
+CANDIDATE = "doc_id long, phrase string, relevance double, weights array<struct<word: string, idf: double>>"
 
 
 def alike(a: dict[str, float], b: dict[str, float]) -> float:
@@ -60,57 +62,102 @@ def picked(rows: Iterator[tuple[str, float, dict[str, float]]], k: int, diversit
     return [(x[0], x[1]) for x in out]
 
 
-def candidates(texts: DataFrame, longest: int = 3) -> DataFrame:
-    """(doc_id, phrase, relevance, weights): phrases of a text's words without stop words, and the inverse document frequencies of their words.
-
-    Relevance is the number of times, damped by its logarithm, times the mean weight of the words, over the largest of the document. A
-    phrase whose words repeat is none. All phrases of a document lie in one partition.
+def ranked(batch: pa.RecordBatch, longest: int) -> Iterator[tuple[int, Iterator[tuple[str, float, dict[str, float]]]]]:
+    """Each document of a batch (doc_id, words, valued) with its phrases by falling relevance, equal ones by their letters; phrases are spelt only as far as they are read."""
+    sizes = pc.list_value_length(batch.column("words")).to_numpy(zero_copy_only=False)
+    begin = 0
+    while begin < batch.num_rows:
+        end = begin + max(1, int(np.searchsorted(np.cumsum(sizes[begin:]), STEP_WORDS, "right")))
+        part = batch.slice(begin, min(end, batch.num_rows) - begin)
+        yield from _ranked(part, sizes[begin : begin + part.num_rows], longest)
+        begin += part.num_rows
+
+
+def _ranked(part: pa.RecordBatch, sizes: np.ndarray, longest: int):
+    words = part.column("words").flatten()
+    known, worth = (pc.struct_field(part.column("valued").flatten(), name) for name in ("word", "idf"))
+    coded = pa.concat_arrays([words, known]).dictionary_encode()
+    spelt, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+    word, idf = codes[: len(words)], np.zeros(len(spelt))
+    idf[codes[len(words) :]] = worth.to_numpy(zero_copy_only=False)  # a word weighs the same in all documents
+    doc = np.repeat(np.arange(part.num_rows), sizes)
+    at, ids = np.arange(len(word)), doc  # where phrases of a length begin, and the number of what comes before their last word
+    found = []
+    for length in range(1, longest + 1):
+        last = word[at + length - 1]
+        _, first, ids, times = np.unique(ids * len(spelt) + last, return_index=True, return_inverse=True, return_counts=True)
+        first = at[first]
+        mean = sum((idf[word[first + i]] for i in range(length)), np.zeros(len(first))) / length
+        found.append((doc[first], first, np.full(len(first), length), np.log1p(times) * mean))
+        fits = at + length < len(word)
+        at, ids = at[fits], ids[fits]
+        fits = (doc[at] == doc[at + length]) & np.logical_and.reduce([word[at + i] != word[at + length] for i in range(length)])  # a phrase whose words repeat is none
+        at, ids = at[fits], ids[fits]
+    own, start, length, raw = map(np.concatenate, zip(*found))
+    top = np.zeros(part.num_rows)
+    np.maximum.at(top, own, raw)
+    relevance = np.floor(raw / top[own] * 1e6 + 0.5) / 1e6
+    order = np.lexsort((-relevance, own))
+    start, length, relevance = start[order], length[order], relevance[order]
+    ends = np.searchsorted(own[order], np.arange(part.num_rows), "right")
+
+    def rows(at: int, end: int):
+        falling = -relevance[at:end]
+        begin = at
+        while at < end:
+            equal = begin + int(np.searchsorted(falling, falling[at - begin], "right"))
+            phrases = [[int(c) for c in word[s : s + n]] for s, n in zip(start[at:equal].tolist(), length[at:equal].tolist())]
+            for phrase, own in sorted((" ".join(spelt[c] for c in p), p) for p in phrases):
+                yield phrase, float(relevance[at]), {spelt[c]: float(idf[c]) for c in own}
+            at = equal
+
+    for i, doc_id in enumerate(part.column("doc_id").to_pylist()):
+        yield doc_id, rows(int(ends[i - 1]) if i else 0, int(ends[i]))
+
+
+def worded(texts: DataFrame) -> DataFrame:
+    """(doc_id, words, valued): a text's words without stop words in order, and its different ones with their inverse document frequencies; texts without words are left out.
+
+    A document's words move once, as a whole, and its different words with their frequencies; all else is done where they lie.
     """
     tokens = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-z0-9]{2,})"), 1)
-    words = staged(texts.select("doc_id", F.filter(tokens, lambda w: ~w.isin(*STOP_WORDS)).alias("words")))
+    words = staged(texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.filter(tokens, lambda w: ~w.isin(*STOP_WORDS)).alias("words")))
     known = words.select("doc_id", F.explode(F.array_distinct("words")).alias("word"))
     n = texts.agg(F.count(F.lit(1)).alias("docs"))  # one row
     idf = known.groupBy("word").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("word", F.round(F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1, 9).alias("idf"))
-    # a document's words move once as a whole, its different words with their frequencies; all else is done where they lie
-    valued = known.join(idf, "word").groupBy("doc_id").agg(F.collect_list(F.struct("word", "idf")).alias("valued"))
-    at = F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"), F.lit(None).cast("double").alias("idf")))
-    worth = F.transform("valued", lambda v: F.struct(v["word"].alias("word"), F.lit(None).cast("int").alias("at"), v["idf"].alias("idf")))
     total = words.agg(F.sum(F.size("words"))).first()[0] or 0  # phrases take many times their words' room, so tasks are dealt by words
     tasks = max(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_WORDS))
-    rows = words.repartition(tasks, "doc_id").join(valued, "doc_id").select("doc_id", F.explode(F.concat(at, worth)).alias("x")).select("doc_id", "x.word", "x.at", "x.idf")
-    placed = rows.withColumn("idf", F.max("idf").over(W.partitionBy("doc_id", "word"))).where("at IS NOT NULL")
-    lines = placed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "word", "idf"))).alias("line"))
-    told = lines.select("doc_id", F.transform("line", lambda x: F.struct(x["word"].alias("word"), x["idf"].alias("idf"))).alias("line"))
-    lengths = F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("line")))).alias("length")
-    starts = F.sequence(F.lit(1), F.size("line") - (F.col("length") - 1))
-    every = told.select("doc_id", "line", lengths).select("doc_id", F.explode(F.transform(starts, lambda at: F.slice("line", at, F.col("length")))).alias("weights"))
-    counts = every.where(F.size(F.array_distinct("weights.word")) == F.size("weights")).groupBy("doc_id", "weights").agg(F.count(F.lit(1)).alias("times"))
-    mean = F.aggregate("weights", F.lit(0.0), lambda s, w: s + w["idf"]) / F.size("weights")
-    raw = counts.select("doc_id", F.array_join("weights.word", " ").alias("phrase"), (F.log1p(F.col("times")) * mean).alias("raw"), "weights")
-    top = F.max("raw").over(W.partitionBy("doc_id"))
-    return raw.withColumn("top", top).select("doc_id", "phrase", F.round(F.col("raw") / F.col("top"), 6).alias("relevance"), "weights")
+    valued = known.join(idf, "word").repartition(tasks, "doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("word", "idf")).alias("valued"))  # dealt alike, or the join would have the default number of tasks
+    return words.repartition(tasks, "doc_id").join(valued, "doc_id").select("doc_id", "words", "valued")
+
+
+def candidates(texts: DataFrame, longest: int = 3) -> DataFrame:
+    """(doc_id, phrase, relevance, weights): phrases of a text's words without stop words, and the inverse document frequencies of their words.
+
+    Relevance is the number of times, damped by its logarithm, times the mean weight of the words, over the largest of the document. A
+    phrase whose words repeat is none. All phrases of a document lie in one partition.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("phrase", pa.string()), ("relevance", pa.float64()), ("weights", pa.list_(pa.struct([("word", pa.string()), ("idf", pa.float64())])))])
+
+    def told(batches):
+        for batch in batches:
+            for doc, rows in ranked(batch, longest):
+                yield pa.RecordBatch.from_pylist([{"doc_id": doc, "phrase": p, "relevance": r, "weights": [{"word": w, "idf": v} for w, v in weights.items()]} for p, r, weights in rows], schema)
+
+    return worded(texts).mapInArrow(told, CANDIDATE)
 
 
 def keyphrases(texts: DataFrame, k: int = 10, diversity: float = 0.5, longest: int = 3) -> DataFrame:
     """(doc_id, phrase, relevance, place): the k phrases of each text that are most relevant and least alike, whole texts read; a top-k report.
 
-    ``texts`` has doc_id (not null, unique) and text. Rows of a document are read in the order of relevance by one task, which stops
+    ``texts`` has doc_id (not null, unique) and text. The phrases of a document are read in the order of relevance by one task, which stops
     looking where no phrase left can win. Texts without words have no phrases.
     """
-    rows = candidates(texts, longest).sortWithinPartitions("doc_id", F.desc("relevance"), "phrase")
+    schema = pa.schema([("doc_id", pa.int64()), ("phrase", pa.string()), ("relevance", pa.float64()), ("place", pa.int32())])
 
     def choose(batches):
-        def stream():
-            for batch in batches:
-                yield from zip(batch.column("doc_id").to_pylist(), repeat(batch), range(batch.num_rows))
-
-        def told(rows):  # only what is looked at leaves the batch
-            for _, batch, i in rows:
-                yield batch.column("phrase")[i].as_py(), batch.column("relevance")[i].as_py(), {w["word"]: w["idf"] for w in batch.column("weights")[i].as_py()}
-
-        for doc, own in groupby(stream(), key=lambda r: r[0]):
-            found = picked(told(own), k, diversity)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(found), pa.int64()), pa.array([f[0] for f in found]), pa.array([f[1] for f in found]), pa.array(range(1, len(found) + 1), pa.int32())], ["doc_id", "phrase", "relevance", "place"])
+        for batch in batches:
+            found = [(doc, *row, place) for doc, rows in ranked(batch, longest) for place, row in enumerate(picked(rows, k, diversity), 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)] if found else [pa.array([], f.type) for f in schema], schema=schema)
 
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "phrase", "relevance", "weights").mapInArrow(choose, PHRASE)
+    return worded(texts).mapInArrow(choose, PHRASE)
